@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from workboard.operators import portfolio
+from pyspark.sql import functions as F
+
+from workboard.operators import portfolio, releases, search
 from workboard.plans import roles
 
 # Fixed "now" for operators that stamp or compare against the current time (keeps results reproducible).
@@ -31,7 +33,7 @@ def register(name: str, sql: str | None = None):
 # ------------------------------------------------------------------ A1 J1 H17 H18 H20: project roll-up
 
 _ROLLUP_SQL = f"""
-WITH p AS ({roles.PROJECTS_SQL}), t AS ({roles.TASKS_SQL}),
+WITH p AS ({roles.PROJECTS.sql}), t AS ({roles.TASKS.sql}),
 r AS (
   SELECT p.Id, p.Nombre, p.Responsable, p.Estado, p.FechaInicio, p.FechaFin,
          COUNT(t.Id) AS Tareas, CAST(SUM(CASE WHEN t.EsHito THEN 1 ELSE 0 END) AS BIGINT) AS Hitos,
@@ -52,7 +54,7 @@ FROM r
 
 @register("project_rollup", ORACLE_PROJECT_ROLLUP)
 def q_project_rollup(spark, sf_dir):
-    return portfolio.project_rollup(roles.projects(spark, sf_dir), roles.tasks(spark, sf_dir))
+    return portfolio.project_rollup(roles.PROJECTS.df(spark, sf_dir), roles.TASKS.df(spark, sf_dir))
 
 
 ORACLE_PORTFOLIO_KPIS = _ROLLUP_SQL + """
@@ -65,5 +67,164 @@ FROM r
 
 @register("portfolio_kpis", ORACLE_PORTFOLIO_KPIS)
 def q_portfolio_kpis(spark, sf_dir):
-    rollup = portfolio.project_rollup(roles.projects(spark, sf_dir), roles.tasks(spark, sf_dir), with_cards=False)
+    rollup = portfolio.project_rollup(roles.PROJECTS.df(spark, sf_dir), roles.TASKS.df(spark, sf_dir), with_cards=False)
     return portfolio.portfolio_kpis(rollup)
+
+
+# ------------------------------------------------------------------ P1 P9 P10 T1: request lists
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _search_sql(kind: str, estado=None, q=None, pid=None, limit=search.LIST_LIMIT) -> str:
+    role = roles.REQUESTS[kind]
+    where = ["TRUE"]
+    if estado:
+        where.append(f"Estado = {_q(estado)}")
+    if pid is not None:
+        where.append(f"ProyectoId = {pid}")
+    if q:
+        where.append("(" + " OR ".join(f"{c} ILIKE {_q('%' + q + '%')}" for c in search.SEARCH_COLS[kind]) + ")")
+    cols = ", ".join(search.LIST_COLS[kind])
+    return (f"WITH r AS ({role.sql}) SELECT {cols} FROM r WHERE {' AND '.join(where)} "
+            f"ORDER BY Id DESC LIMIT {limit}")
+
+
+@register("request_search", _search_sql("infra", estado="Nuevo", q="CLI"))
+def q_request_search(spark, sf_dir):
+    return search.list_requests(roles.REQUESTS_INFRA.df(spark, sf_dir), "infra", estado="Nuevo", q="CLI")
+
+
+@register("request_search_project", _search_sql("erp", pid=7))
+def q_request_search_project(spark, sf_dir):
+    return search.list_requests(roles.REQUESTS_ERP.df(spark, sf_dir), "erp", proyecto_id="7")
+
+
+@register("request_search_general", _search_sql("gen", estado="En curso", q="operac"))
+def q_request_search_general(spark, sf_dir):
+    return search.list_requests(roles.REQUESTS_GENERAL.df(spark, sf_dir), "gen", estado="En curso", q="operac")
+
+
+PART_REQUESTS = roles.Role("part", (
+    ("Id", "p_partkey"),
+    ("FechaRegistro", "TIMESTAMP_NTZ '2024-03-01 00:00:00'"),
+    ("Titulo", "p_name"),
+    ("Solicitante", "p_brand"),
+    ("Area", "p_type"),
+    ("Ambito", "CASE WHEN p_size > 25 THEN 'Grande' END"),
+    ("Prioridad", "CASE WHEN p_retailprice > 1500 THEN 'Alta' ELSE 'Media' END"),
+    ("Estado", "'Nuevo'"),
+    ("Responsable", "CAST(NULL AS STRING)"),
+    ("FechaEntrega", "CAST(NULL AS DATE)"),
+    ("FechaActualizacion", "CAST(NULL AS TIMESTAMP_NTZ)"),
+))
+
+
+@register("request_search_multi",
+          f"WITH r AS ({PART_REQUESTS.sql}) SELECT {', '.join(search.GENERAL_LIST)} FROM r "
+          "WHERE (Titulo ILIKE '%RED%' OR Solicitante ILIKE '%RED%' OR Area ILIKE '%RED%' OR Ambito ILIKE '%RED%') "
+          "ORDER BY Id DESC LIMIT 20")
+def q_request_search_multi(spark, sf_dir):
+    return search.list_requests(PART_REQUESTS.df(spark, sf_dir), "gen", q="RED", limit=20)
+
+
+# ------------------------------------------------------------------ P7: rows by id (bulk)
+
+@register("request_by_keys",
+          f"WITH r AS ({roles.REQUESTS_INFRA.sql}) SELECT * FROM r "
+          "WHERE Id IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL AND c_custkey <> 0)")
+def q_request_by_keys(spark, sf_dir):
+    ids = roles.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("Id"))
+    return search.by_ids(roles.REQUESTS_INFRA.df(spark, sf_dir), ids)
+
+
+# ------------------------------------------------------------------ R1: unified request feed
+
+_FEED_SQL = " UNION ALL ".join(
+    f"SELECT '{k}' AS Tipo, {', '.join(search.FEED_COLS)} FROM ({roles.REQUESTS[k].sql})" for k in ("infra", "erp", "gen"))
+
+
+@register("request_feed", _FEED_SQL)
+def q_request_feed(spark, sf_dir):
+    return _feed(spark, sf_dir)
+
+
+def _feed(spark, sf_dir):
+    return search.request_feed(*(roles.REQUESTS[k].df(spark, sf_dir) for k in ("infra", "erp", "gen")))
+
+
+# ------------------------------------------------------------------ P13 T3: task lists of active projects
+
+@register("task_list",
+          f"WITH t AS ({roles.TASKS.sql}), p AS ({roles.PROJECTS.sql}) "
+          f"SELECT {', '.join(search.TASK_LIST)} FROM t WHERE ProyectoId IN (SELECT Id FROM p WHERE Estado = 'Activo')")
+def q_task_list(spark, sf_dir):
+    return search.tasks_of_projects(roles.TASKS.df(spark, sf_dir),
+                                    portfolio.active(roles.PROJECTS.df(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ P11 T4: notes of existing requests
+
+@register("notes_for_request",
+          f"WITH n AS ({roles.NOTES.sql}), f AS ({_FEED_SQL}) "
+          f"SELECT {', '.join(search.NOTE_LIST)} FROM n "
+          "WHERE EXISTS (SELECT 1 FROM f WHERE f.Tipo = n.Tipo AND f.Id = n.SolicitudId)")
+def q_notes_for_request(spark, sf_dir):
+    keys = _feed(spark, sf_dir).select("Tipo", F.col("Id").alias("SolicitudId"))
+    return search.notes_list(roles.NOTES.df(spark, sf_dir), keys)
+
+
+# ------------------------------------------------------------------ release board, counts, totals
+
+_GATES_SQL = ("(CAST(COALESCE(DocArquitectura, FALSE) AS INT) + CAST(COALESCE(DocFuncional, FALSE) AS INT) + "
+              "CAST(COALESCE(DocSoporte, FALSE) AS INT) + CAST(COALESCE(Induccion, FALSE) AS INT))")
+_DAYS_SQL = "CAST(date_diff('day', CAST(DATE '1998-06-01' AS DATE), FechaPlanificada) AS INTEGER)"
+
+ORACLE_RELEASE_BOARD = f"""
+WITH r AS ({roles.RELEASES.sql})
+SELECT {', '.join(search.RELEASE_LIST)},
+  COALESCE(NULLIF(Titulo, ''), '#' || CAST(SolicitudId AS VARCHAR)) AS TituloTexto,
+  COALESCE(CASE Tipo WHEN 'infra' THEN 'Infraestructura' WHEN 'erp' THEN 'ERP' WHEN 'gen' THEN 'General' END, Tipo)
+    AS TipoTexto,
+  COALESCE(strftime(FechaPlanificada, '%Y-%m-%d'), '—') AS FechaTexto,
+  COALESCE(NULLIF((CASE WHEN VentanaInicio IS NOT NULL THEN strftime(VentanaInicio, '%Y-%m-%d %H:%M') ELSE '' END) ||
+    (CASE WHEN VentanaFin IS NOT NULL THEN ' → ' || strftime(VentanaFin, '%Y-%m-%d %H:%M') ELSE '' END), ''), '—')
+    AS VentanaTexto,
+  COALESCE(NULLIF(Responsable, ''), '—') AS ResponsableTexto,
+  {_GATES_SQL} AS Entregables,
+  {_GATES_SQL} >= 4 AS EntregablesCompletos,
+  {_DAYS_SQL} AS DiasRestantes,
+  COALESCE({_DAYS_SQL} BETWEEN 0 AND 7, FALSE) AND NOT (Estado IS NOT DISTINCT FROM 'Completado') AS Pronto
+FROM r
+"""
+
+
+@register("release_board", ORACLE_RELEASE_BOARD)
+def q_release_board(spark, sf_dir):
+    return releases.board(roles.RELEASES.df(spark, sf_dir), AS_OF)
+
+
+@register("release_status_counts", f"""
+WITH r AS ({roles.RELEASES.sql}), c AS (SELECT Estado, COUNT(*) AS Cantidad FROM r GROUP BY Estado),
+d AS (SELECT * FROM (VALUES ('Planificado', 0), ('Aprobado', 1), ('En curso', 2), ('Completado', 3),
+                            ('Rollback', 4)) t(Estado, Orden))
+SELECT COALESCE(d.Estado, c.Estado) AS Estado, CAST(COALESCE(c.Cantidad, 0) AS BIGINT) AS Cantidad,
+       d.Estado IS NOT NULL AS Canonico, CAST(d.Orden AS INTEGER) AS Orden
+FROM c FULL OUTER JOIN d ON c.Estado IS NOT DISTINCT FROM d.Estado
+""")
+def q_release_status_counts(spark, sf_dir):
+    return releases.status_counts(roles.RELEASES.df(spark, sf_dir))
+
+
+@register("release_totals", f"""
+WITH r AS ({roles.RELEASES.sql})
+SELECT COUNT(*) AS Total, COUNT(*) FILTER (WHERE {_GATES_SQL} >= 4) AS Listos,
+  COUNT(*) FILTER (WHERE COALESCE(DocArquitectura, FALSE)) AS DocArquitectura,
+  COUNT(*) FILTER (WHERE COALESCE(DocFuncional, FALSE)) AS DocFuncional,
+  COUNT(*) FILTER (WHERE COALESCE(DocSoporte, FALSE)) AS DocSoporte,
+  COUNT(*) FILTER (WHERE COALESCE(Induccion, FALSE)) AS Induccion
+FROM r
+""")
+def q_release_totals(spark, sf_dir):
+    return releases.totals(roles.RELEASES.df(spark, sf_dir))
