@@ -228,3 +228,240 @@ FROM r
 """)
 def q_release_totals(spark, sf_dir):
     return releases.totals(roles.RELEASES.df(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ U1 R3 A6: tracking patch batch
+
+from dataclasses import replace  # noqa: E402
+
+from workboard.functions import coerce  # noqa: E402
+from workboard.operators import changes  # noqa: E402
+
+# Raw PATCH bodies derived from click events: several patches per key, unknown ids, null estado (keeps),
+# null responsable (clears). Dates arrive as ISO text and go through the date coercion.
+TRACKING_CHANGES = roles.Role("events", (
+    ("id", "CAST(floor(value * 25) AS BIGINT)"),
+    ("seq", "event_id"),
+    ("estado", "CASE WHEN user_id % 3 = 0 THEN CAST(NULL AS STRING) WHEN user_id % 3 = 1 THEN ' En curso ' "
+               "ELSE 'Cerrado' END"),
+    ("responsable", "CASE WHEN value > 100 THEN 'agent' || CAST(user_id AS STRING) END"),
+    ("fechaEntrega", "CASE WHEN value > 50 THEN CAST(CAST(ts AS DATE) + 10 AS STRING) END"),
+), where="event_type = 'click'")
+
+
+def normalise_tracking(raw):
+    """Coerce raw tracking PATCH bodies: ``str(estado, 50)``, ``str(responsable, 200)``, ``toDate(fechaEntrega)``."""
+    return raw.select(F.col("id").alias("Id"), "seq",
+                      coerce.clean_text("estado", 50).alias("Estado"),
+                      coerce.clean_text("responsable", 200).alias("Responsable"),
+                      coerce.to_date_utc("fechaEntrega").alias("FechaEntrega"))
+
+
+_TRACK_NORM_SQL = (f"SELECT id AS Id, seq, trim(estado) AS Estado, responsable AS Responsable, "
+                   f"CAST(fechaEntrega AS DATE) AS FechaEntrega FROM ({TRACKING_CHANGES.sql})")
+
+
+def _patch_sql(target_sql: str, changes_sql: str, policy: dict, cols: list[str], stamp: str | None) -> str:
+    aggs = []
+    for c, p in policy.items():
+        if p == changes.KEEP_IF_NULL:
+            aggs.append(f"arg_max({c}, seq) FILTER (WHERE {c} IS NOT NULL) AS {c}")
+        else:
+            aggs.append(f"arg_max_null({c}, seq) AS {c}")
+    sel = []
+    for c in cols:
+        if c in policy:
+            v = f"COALESCE(a.{c}, t.{c})" if policy[c] == changes.KEEP_IF_NULL else f"a.{c}"
+            sel.append(f"CASE WHEN a.Id IS NOT NULL THEN {v} ELSE t.{c} END AS {c}")
+        elif c == stamp:
+            sel.append(f"CASE WHEN a.Id IS NOT NULL THEN {AS_OF_SQL} ELSE t.{c} END AS {c}")
+        else:
+            sel.append(f"t.{c}")
+    return (f"WITH t AS ({target_sql}), c AS ({changes_sql}), "
+            f"a AS (SELECT Id, {', '.join(aggs)} FROM c GROUP BY Id) "
+            f"SELECT {', '.join(sel)} FROM t LEFT JOIN a ON a.Id = t.Id")
+
+
+@register("tracking_patch", _patch_sql(roles.REQUESTS_ERP.sql, _TRACK_NORM_SQL, changes.TRACKING_POLICY,
+                                       roles.REQUESTS_ERP.names(), "FechaActualizacion"))
+def q_tracking_patch(spark, sf_dir):
+    target = roles.REQUESTS_ERP.df(spark, sf_dir)
+    batch = normalise_tracking(TRACKING_CHANGES.df(spark, sf_dir))
+    return changes.apply_patch(target, batch, changes.TRACKING_POLICY, as_of=AS_OF)
+
+
+@register("tracking_patch_outcomes", f"""
+WITH t AS ({roles.REQUESTS_ERP.sql}), c AS ({_TRACK_NORM_SQL}),
+o AS (SELECT DISTINCT Id, CASE WHEN Id IN (SELECT Id FROM t) THEN 'updated' ELSE 'not_found' END AS outcome FROM c)
+SELECT outcome, COUNT(*) AS Filas FROM o GROUP BY outcome
+""")
+def q_tracking_patch_outcomes(spark, sf_dir):
+    target = roles.REQUESTS_ERP.df(spark, sf_dir)
+    batch = normalise_tracking(TRACKING_CHANGES.df(spark, sf_dir))
+    return changes.outcome_counts(changes.outcomes(target, batch))
+
+
+# ------------------------------------------------------------------ U2: project patch batch
+
+PROJECT_CHANGES = roles.Role("lineitem", (
+    ("Id", "CASE WHEN l_linenumber = 7 THEN l_orderkey + 1000000 ELSE l_orderkey END"),
+    ("seq", roles.TASK_KEY),
+    ("Nombre", "CASE WHEN l_linenumber = 1 THEN 'Proyecto ' || CAST(l_orderkey AS STRING) END"),
+    ("Descripcion", "'Lote ' || CAST(l_linenumber AS STRING)"),
+    ("Responsable", "CASE WHEN l_linestatus = 'O' THEN 'Supplier#' || CAST(l_suppkey AS STRING) END"),
+    ("FechaInicio", "CAST(l_shipdate AS DATE)"),
+    ("FechaFin", "CASE WHEN l_linenumber > 2 THEN CAST(l_shipdate AS DATE) + 30 END"),
+    ("Estado", "CASE WHEN l_returnflag = 'R' THEN 'En pausa' END"),
+), where="l_returnflag <> 'N'")
+
+
+@register("project_patch", _patch_sql(roles.PROJECTS.sql, PROJECT_CHANGES.sql, changes.PROJECT_POLICY,
+                                      roles.PROJECTS.names(), None))
+def q_project_patch(spark, sf_dir):
+    return changes.apply_patch(roles.PROJECTS.df(spark, sf_dir), PROJECT_CHANGES.df(spark, sf_dir),
+                               changes.PROJECT_POLICY, stamp_col=None)
+
+
+# ------------------------------------------------------------------ U3: task patch batch (progress clamped)
+
+_TASK_PATCH_COLS = (
+    ("Nombre", "CASE WHEN l_linestatus = 'F' THEN 'Tarea ' || CAST(l_linenumber AS STRING) END"),
+    ("FechaInicio", "CAST(l_shipdate AS DATE) + 1"),
+    ("FechaFin", "CAST(l_shipdate AS DATE) + 5"),
+    ("progreso_txt", "CAST(CAST(l_quantity * 3 - 20 AS BIGINT) AS STRING)"),
+    ("Responsable", "CAST(NULL AS STRING)"),
+    ("DependenciaId", "CAST(NULL AS BIGINT)"),
+    ("TareaPadreId", "CAST(NULL AS BIGINT)"),
+    ("EsHito", "l_quantity > 45"),
+    ("Orden", "l_linenumber + 10"),
+)
+TASK_CHANGES_A = roles.Role("lineitem", (("Id", roles.TASK_KEY), ("seq", f"2 * ({roles.TASK_KEY})"))
+                            + _TASK_PATCH_COLS, where="l_returnflag = 'N'")
+TASK_CHANGES_B = roles.Role("lineitem", (("Id", roles.TASK_KEY), ("seq", f"2 * ({roles.TASK_KEY}) + 1"))
+                            + tuple((n, "CAST(NULL AS STRING)" if n in ("Nombre", "progreso_txt") else e)
+                                    for n, e in _TASK_PATCH_COLS), where="l_linestatus = 'O' AND l_quantity < 10")
+
+
+def _task_batch(spark, sf_dir):
+    raw = TASK_CHANGES_A.df(spark, sf_dir).unionByName(TASK_CHANGES_B.df(spark, sf_dir))
+    return raw.withColumn("Progreso", coerce.clamp_progress("progreso_txt")).drop("progreso_txt")
+
+
+_TASK_BATCH_SQL = (f"SELECT * EXCLUDE (progreso_txt), CASE WHEN progreso_txt IS NOT NULL THEN "
+                   f"GREATEST(0, LEAST(100, CAST(progreso_txt AS INTEGER))) END AS Progreso FROM "
+                   f"({TASK_CHANGES_A.sql} UNION ALL {TASK_CHANGES_B.sql})")
+
+
+@register("task_patch", _patch_sql(roles.TASKS.sql, _TASK_BATCH_SQL, changes.TASK_POLICY, roles.TASKS.names(),
+                                   "FechaActualizacion"))
+def q_task_patch(spark, sf_dir):
+    return changes.apply_patch(roles.TASKS.df(spark, sf_dir), _task_batch(spark, sf_dir), changes.TASK_POLICY,
+                               as_of=AS_OF)
+
+
+# ------------------------------------------------------------------ U4 J2 S4: release upsert
+
+RELEASE_TARGET = replace(roles.RELEASES, where="o_orderstatus <> 'P'")
+
+RELEASE_CHANGES = roles.Role("lineitem", (
+    ("Tipo", "CASE WHEN l_linenumber = 7 THEN 'otro' WHEN l_linestatus = 'O' THEN 'infra' ELSE 'erp' END"),
+    ("SolicitudId", "l_orderkey"),
+    ("seq", roles.TASK_KEY),
+    ("Titulo", "'Pase ' || CAST(l_orderkey AS STRING) || '/' || CAST(l_linenumber AS STRING)"),
+    ("FechaPlanificada", "CAST(l_shipdate AS DATE)"),
+    ("VentanaInicio", "CAST(l_shipdate AS TIMESTAMP_NTZ) + INTERVAL 22 HOUR"),
+    ("VentanaFin", "CASE WHEN l_tax > 0.04 THEN CAST(l_shipdate AS TIMESTAMP_NTZ) + INTERVAL 26 HOUR END"),
+    ("Responsable", "'Supplier#' || CAST(l_suppkey AS STRING)"),
+    ("Aprobador", "CASE WHEN l_discount > 0.05 THEN 'aprobador' END"),
+    ("estado_txt", "CASE WHEN l_returnflag = 'R' THEN 'Rollback' WHEN l_returnflag = 'A' THEN 'Aprobado' ELSE ' ' END"),
+    ("PlanRollback", "CAST(NULL AS STRING)"),
+    ("DocArquitectura", "l_quantity > 25"),
+    ("DocFuncional", "l_discount > 0.02"),
+    ("DocSoporte", "l_tax > 0.02"),
+    ("Induccion", "l_linenumber < 5"),
+    ("DocArquitecturaFecha", "CASE WHEN l_quantity > 25 THEN CAST(l_shipdate AS DATE) END"),
+    ("DocFuncionalFecha", "CAST(NULL AS DATE)"),
+    ("DocSoporteFecha", "CAST(NULL AS DATE)"),
+    ("InduccionFecha", "CAST(NULL AS DATE)"),
+    ("ReceptorDocumentacion", "CAST(NULL AS STRING)"),
+    ("ReceptorInduccion", "CAST(NULL AS STRING)"),
+    ("ContrapartePlanificacion", "CAST(NULL AS STRING)"),
+))
+
+
+def _release_batch(spark, sf_dir):
+    """Normalise release upsert bodies: kind must be known (P14), blank state defaults to ``Planificado`` (H7)."""
+    raw = RELEASE_CHANGES.df(spark, sf_dir)
+    return (raw.where(search.valid_kind() & (F.col("SolicitudId") != 0))
+            .withColumn("Estado", coerce.default_if_blank("estado_txt", "Planificado", 30)).drop("estado_txt"))
+
+
+def _upsert_sql() -> str:
+    cols = roles.RELEASES.names()
+    fields = changes.RELEASE_FIELDS
+    upd = []
+    for c in cols:
+        if c in ("Tipo", "SolicitudId"):
+            upd.append(f"t.{c}")
+        elif c in fields:
+            upd.append(f"CASE WHEN c.Tipo IS NOT NULL THEN c.{c} ELSE t.{c} END AS {c}")
+        elif c == "FechaActualizacion":
+            upd.append(f"CASE WHEN c.Tipo IS NOT NULL THEN {AS_OF_SQL} ELSE t.{c} END AS {c}")
+        else:
+            upd.append(f"t.{c}")
+    ins = []
+    for c in cols:
+        if c == "Id":
+            ins.append("(SELECT COALESCE(MAX(Id), 0) FROM t) + row_number() OVER (ORDER BY c.Tipo, c.SolicitudId) "
+                       "AS Id")
+        elif c in ("Tipo", "SolicitudId") or c in fields:
+            ins.append(f"c.{c}")
+        elif c == "FechaActualizacion":
+            ins.append(f"{AS_OF_SQL} AS {c}")
+        else:
+            ins.append(f"NULL AS {c}")
+    return (f"WITH t AS ({RELEASE_TARGET.sql}), "
+            f"c0 AS (SELECT * EXCLUDE (estado_txt), COALESCE(NULLIF(trim(estado_txt), ''), 'Planificado') AS Estado "
+            f"FROM ({RELEASE_CHANGES.sql}) WHERE Tipo IN ('infra', 'erp', 'gen') AND SolicitudId <> 0), "
+            f"c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Tipo, SolicitudId ORDER BY seq DESC) "
+            f"AS rn FROM c0) WHERE rn = 1) "
+            f"SELECT {', '.join(upd)} FROM t LEFT JOIN c ON c.Tipo = t.Tipo AND c.SolicitudId = t.SolicitudId "
+            f"UNION ALL SELECT {', '.join(ins)} FROM c WHERE NOT EXISTS "
+            f"(SELECT 1 FROM t WHERE t.Tipo = c.Tipo AND t.SolicitudId = c.SolicitudId)")
+
+
+@register("release_upsert", _upsert_sql())
+def q_release_upsert(spark, sf_dir):
+    return changes.upsert(RELEASE_TARGET.df(spark, sf_dir), _release_batch(spark, sf_dir), as_of=AS_OF)
+
+
+# ------------------------------------------------------------------ X1–X5: deletes
+
+NOTE_DELETES = "SELECT doc_id * 1000 + quality AS Id FROM labels WHERE toxic = 1"
+
+
+@register("delete_rows", f"WITH n AS ({roles.NOTES.sql}) SELECT * FROM n WHERE Id NOT IN ({NOTE_DELETES})")
+def q_delete_rows(spark, sf_dir):
+    keys = roles.read(spark, sf_dir, "labels").where("toxic = 1").selectExpr("doc_id * 1000 + quality AS Id")
+    return changes.delete_keys(roles.NOTES.df(spark, sf_dir), keys)
+
+
+PROJECT_DELETES = "SELECT o_orderkey AS Id FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 100000"
+
+
+def _cascade(spark, sf_dir):
+    ids = roles.read(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_totalprice < 100000") \
+        .selectExpr("o_orderkey AS Id")
+    return changes.cascade_delete(roles.PROJECTS.df(spark, sf_dir), roles.TASKS.df(spark, sf_dir), ids)
+
+
+@register("delete_project_cascade",
+          f"WITH t AS ({roles.TASKS.sql}) SELECT * FROM t WHERE ProyectoId NOT IN ({PROJECT_DELETES})")
+def q_delete_project_cascade(spark, sf_dir):
+    return _cascade(spark, sf_dir)[1]
+
+
+@register("delete_project_cascade_projects",
+          f"WITH p AS ({roles.PROJECTS.sql}) SELECT * FROM p WHERE Id NOT IN ({PROJECT_DELETES})")
+def q_delete_project_cascade_projects(spark, sf_dir):
+    return _cascade(spark, sf_dir)[0]
