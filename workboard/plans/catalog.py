@@ -169,7 +169,7 @@ def q_task_list(spark, sf_dir):
 @register("notes_for_request",
           f"WITH n AS ({roles.NOTES.sql}), f AS ({_FEED_SQL}) "
           f"SELECT {', '.join(search.NOTE_LIST)} FROM n "
-          "WHERE EXISTS (SELECT 1 FROM f WHERE f.Tipo = n.Tipo AND f.Id = n.SolicitudId)")
+          "WHERE EXISTS (SELECT 1 FROM f WHERE f.Tipo = n.Tipo AND f.Id = n.SolicitudId AND f.Id <> 0)")
 def q_notes_for_request(spark, sf_dir):
     keys = _feed(spark, sf_dir).select("Tipo", F.col("Id").alias("SolicitudId"))
     return search.notes_list(roles.NOTES.df(spark, sf_dir), keys)
@@ -465,3 +465,266 @@ def q_delete_project_cascade(spark, sf_dir):
           f"WITH p AS ({roles.PROJECTS.sql}) SELECT * FROM p WHERE Id NOT IN ({PROJECT_DELETES})")
 def q_delete_project_cascade_projects(spark, sf_dir):
     return _cascade(spark, sf_dir)[0]
+
+
+# ------------------------------------------------------------------ tasks with plan links (phase = line 1)
+
+from workboard.operators import activity, attachments, audit, directory, intake  # noqa: E402
+from workboard.sources import tables  # noqa: E402
+
+
+def tasks_plan(spark, sf_dir):
+    """Tasks with a parent link to their order's phase (its first line 1 task) and a dependency for line 2."""
+    t = roles.TASKS.df(spark, sf_dir)
+    ph = t.where(F.col("Nombre") == "Linea 1").groupBy("ProyectoId").agg(F.min("Id").alias("_pid"))
+    return (t.drop("DependenciaId", "TareaPadreId").join(ph, "ProyectoId", "left")
+            .withColumn("DependenciaId", F.when(F.col("Nombre") == "Linea 2", F.col("_pid")))
+            .withColumn("TareaPadreId", F.when(F.col("Id") != F.col("_pid"), F.col("_pid")))
+            .drop("_pid"))
+
+
+TASKS_PLAN_SQL = (f"WITH t0 AS ({roles.TASKS.sql}), "
+                  "ph AS (SELECT ProyectoId, MIN(Id) AS pid FROM t0 WHERE Nombre = 'Linea 1' GROUP BY ProyectoId) "
+                  "SELECT t0.* EXCLUDE (DependenciaId, TareaPadreId), "
+                  "CASE WHEN t0.Nombre = 'Linea 2' THEN ph.pid END AS DependenciaId, "
+                  "CASE WHEN t0.Id <> ph.pid THEN ph.pid END AS TareaPadreId "
+                  "FROM t0 LEFT JOIN ph ON ph.ProyectoId = t0.ProyectoId")
+
+TASK_DELETES = roles.Role("lineitem", (
+    ("Id", f"CASE WHEN l_linenumber = 3 THEN -({roles.TASK_KEY}) ELSE {roles.TASK_KEY} END"),
+), where="l_returnflag = 'R' AND l_linenumber <= 3")
+
+
+@register("delete_task_blocked", f"""
+WITH tp AS ({TASKS_PLAN_SQL}), r AS (SELECT DISTINCT Id FROM ({TASK_DELETES.sql}))
+SELECT r.Id, CASE WHEN NOT EXISTS (SELECT 1 FROM tp WHERE tp.Id = r.Id) THEN 'missing'
+                  WHEN EXISTS (SELECT 1 FROM tp WHERE tp.TareaPadreId = r.Id) THEN 'blocked'
+                  ELSE 'deleted' END AS outcome
+FROM r
+""")
+def q_delete_task_blocked(spark, sf_dir):
+    return changes.delete_tasks_checked(tasks_plan(spark, sf_dir), TASK_DELETES.df(spark, sf_dir))[1]
+
+
+# ------------------------------------------------------------------ R2 J7: referential audit
+
+_AUDIT_PROJECTS_WHERE = "NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"
+_AUDIT_TASKS_WHERE = "NOT (Nombre = 'Linea 1' AND EsHito)"
+
+
+@register("referential_audit", f"""
+WITH p AS ({replace(roles.PROJECTS, where=_AUDIT_PROJECTS_WHERE).sql}),
+tp AS (SELECT * FROM ({TASKS_PLAN_SQL}) WHERE {_AUDIT_TASKS_WHERE}),
+f AS ({_FEED_SQL}), n AS ({roles.NOTES.sql}), a AS ({roles.ATTACHMENTS.sql}), r AS ({roles.RELEASES.sql})
+SELECT 'tarea_sin_proyecto' AS Regla, 'tareas' AS Tabla, Id, ProyectoId AS Ref FROM tp
+  WHERE ProyectoId NOT IN (SELECT Id FROM p)
+UNION ALL SELECT 'tarea_sin_padre', 'tareas', Id, TareaPadreId FROM tp
+  WHERE TareaPadreId IS NOT NULL AND TareaPadreId NOT IN (SELECT Id FROM tp)
+UNION ALL SELECT 'solicitud_sin_proyecto', 'solicitudes', Id, ProyectoId FROM f
+  WHERE ProyectoId IS NOT NULL AND ProyectoId NOT IN (SELECT Id FROM p)
+UNION ALL SELECT 'nota_sin_solicitud', 'notas', Id, SolicitudId FROM n
+  WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.Tipo = n.Tipo AND f.Id = n.SolicitudId)
+UNION ALL SELECT 'documento_sin_solicitud', 'documentos', Id, SolicitudId FROM a
+  WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.Tipo = a.Tipo AND f.Id = a.SolicitudId)
+UNION ALL SELECT 'pase_sin_solicitud', 'pases', Id, SolicitudId FROM r
+  WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.Tipo = r.Tipo AND f.Id = r.SolicitudId)
+""")
+def q_referential_audit(spark, sf_dir):
+    return audit.referential_audit(
+        replace(roles.PROJECTS, where=_AUDIT_PROJECTS_WHERE).df(spark, sf_dir),
+        tasks_plan(spark, sf_dir).where(_AUDIT_TASKS_WHERE),
+        _feed(spark, sf_dir), roles.NOTES.df(spark, sf_dir), roles.ATTACHMENTS.df(spark, sf_dir),
+        roles.RELEASES.df(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ R6: plan audit
+
+@register("plan_audit", f"""
+WITH tp AS ({TASKS_PLAN_SQL}),
+k AS (SELECT TareaPadreId, MIN(FechaInicio) AS HijoMin, MAX(FechaFin) AS HijoMax FROM tp
+      WHERE TareaPadreId IS NOT NULL GROUP BY TareaPadreId),
+ph AS (SELECT tp.Id, tp.FechaInicio, tp.FechaFin, k.HijoMin, k.HijoMax FROM tp JOIN k ON k.TareaPadreId = tp.Id)
+SELECT Id AS TareaId, 'fase_inicio' AS Regla FROM ph WHERE FechaInicio IS DISTINCT FROM HijoMin
+UNION ALL SELECT Id, 'fase_fin' FROM ph WHERE FechaFin IS DISTINCT FROM HijoMax
+UNION ALL SELECT t.Id, 'dependencia' FROM tp t JOIN tp d ON d.Id = t.DependenciaId WHERE d.FechaFin >= t.FechaInicio
+UNION ALL SELECT Id, 'fin_de_semana' FROM tp
+  WHERE COALESCE(dayofweek(FechaInicio) IN (0, 6), FALSE) OR COALESCE(dayofweek(FechaFin) IN (0, 6), FALSE)
+""")
+def q_plan_audit(spark, sf_dir):
+    return audit.plan_audit(tasks_plan(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ R5: activity summary
+
+@register("activity_summary", f"""
+WITH n AS (SELECT Tipo, SolicitudId, COUNT(*) AS Notas, MAX(Fecha) AS UltimaNota FROM ({roles.NOTES.sql})
+           GROUP BY ALL),
+a AS (SELECT Tipo, SolicitudId, COUNT(*) AS Documentos, CAST(SUM(Tamano) AS BIGINT) AS Bytes
+      FROM ({roles.ATTACHMENTS.sql}) GROUP BY ALL)
+SELECT COALESCE(n.Tipo, a.Tipo) AS Tipo, COALESCE(n.SolicitudId, a.SolicitudId) AS SolicitudId,
+       COALESCE(n.Notas, 0) AS Notas, n.UltimaNota, COALESCE(a.Documentos, 0) AS Documentos,
+       COALESCE(a.Bytes, 0) AS Bytes
+FROM n FULL OUTER JOIN a ON n.Tipo = a.Tipo AND n.SolicitudId = a.SolicitudId
+""")
+def q_activity_summary(spark, sf_dir):
+    return activity.activity_summary(roles.NOTES.df(spark, sf_dir), roles.ATTACHMENTS.df(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ P6 P11: attachment metadata of requests
+
+@register("attachment_metadata", f"""
+WITH a AS ({roles.ATTACHMENTS.sql}), f AS ({_FEED_SQL})
+SELECT {', '.join(search.ATTACHMENT_LIST)} FROM a
+WHERE EXISTS (SELECT 1 FROM f WHERE f.Tipo = a.Tipo AND f.Id = a.SolicitudId AND f.Id <> 0)
+""")
+def q_attachment_metadata(spark, sf_dir):
+    keys = _feed(spark, sf_dir).select("Tipo", F.col("Id").alias("SolicitudId"))
+    return search.attachments_list(roles.ATTACHMENTS.df(spark, sf_dir), keys)
+
+
+# ------------------------------------------------------------------ S7 H13 H14 P15: attachment uploads
+
+UPLOADS = roles.Role("documents", (
+    ("Ref", "doc_id"),
+    ("tipo", "CASE lang WHEN 'en' THEN 'infra' WHEN 'es' THEN 'erp' WHEN 'fr' THEN 'gen' ELSE 'otro' END"),
+    ("solicitudId", "substr(source, 4)"),
+    ("nombre", "CASE WHEN doc_id % 17 = 0 THEN '  ' ELSE 'doc \"' || CAST(doc_id AS STRING) || '\"' || "
+               "CHR(10) || '.txt' END"),
+    ("contentType", "CASE WHEN lang = 'es' THEN CAST(NULL AS STRING) ELSE 'text/plain' END"),
+    ("base64", ("CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 5 = 0 THEN ' ' || base64(CAST(text AS BINARY)) "
+                "|| CHR(10) ELSE base64(CAST(text AS BINARY)) END",
+                "CASE WHEN doc_id % 13 = 0 THEN '' ELSE to_base64(encode(text)) END")),
+    ("autor", "source"),
+))
+
+
+@register("attachment_decode", f"""
+WITH u AS ({UPLOADS.sql}),
+d AS (SELECT *, CAST(octet_length(from_base64(base64)) AS INTEGER) AS sz FROM u)
+SELECT Ref, NULLIF(trim(tipo), '') AS Tipo, TRY_CAST(solicitudId AS BIGINT) AS SolicitudId,
+       NULLIF(trim(nombre), '') AS Nombre,
+       regexp_replace(COALESCE(NULLIF(NULLIF(trim(nombre), ''), ''), 'documento'), '[\\r\\n"]', '_', 'g') AS Archivo,
+       COALESCE(contentType, 'application/octet-stream') AS ContentType, sz AS Tamano,
+       CASE WHEN tipo NOT IN ('infra', 'erp', 'gen') OR COALESCE(TRY_CAST(solicitudId AS BIGINT), 0) = 0
+            THEN 'tipo_o_solicitud'
+            WHEN NULLIF(trim(nombre), '') IS NULL THEN 'sin_nombre'
+            WHEN base64 = '' THEN 'sin_contenido' WHEN sz = 0 THEN 'vacio'
+            WHEN sz > {attachments.MAX_BYTES} THEN 'excede_limite' END AS Motivo,
+       from_base64(base64) = encode(text) AS Igual
+FROM d JOIN (SELECT doc_id, text FROM documents) x ON x.doc_id = d.Ref
+""")
+def q_attachment_decode(spark, sf_dir):
+    up = attachments.intake(UPLOADS.df(spark, sf_dir))
+    docs = roles.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("Ref"), "text")
+    return up.join(docs, "Ref").select(
+        "Ref", "Tipo", "SolicitudId", "Nombre", attachments.download_name("Nombre").alias("Archivo"),
+        "ContentType", "Tamano", "Motivo", (F.col("Contenido") == F.col("text").cast("binary")).alias("Igual"))
+
+
+# ------------------------------------------------------------------ J4: project name → id, create when missing
+
+NAME_DIM_SQL = """
+SELECT n_nationkey + 1 AS Id, CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) ELSE n_name END AS Nombre
+FROM nation
+UNION ALL SELECT n_nationkey + 50, lower(n_name) FROM nation WHERE n_regionkey = 0
+"""
+
+NAME_ROWS = roles.Role("supplier", (
+    ("s_suppkey", "s_suppkey"),
+    ("nombre", "CASE WHEN s_suppkey % 5 = 0 THEN '  ' || lower(n_name) || ' ' WHEN s_suppkey % 5 = 1 THEN n_name "
+               "WHEN s_suppkey % 5 = 2 THEN 'Nuevo ' || CAST(s_nationkey % 4 AS STRING) "
+               "WHEN s_suppkey % 5 = 3 THEN upper(n_name) ELSE ' ' END"),
+))
+
+
+def _name_rows(spark, sf_dir):
+    s = roles.read(spark, sf_dir, "supplier")
+    n = roles.read(spark, sf_dir, "nation")
+    joined = s.join(n, s["s_nationkey"] == n["n_nationkey"], "left")
+    return joined.selectExpr(*[f"{roles.spark_expr(e)} AS {c}" for c, e in NAME_ROWS.cols])
+
+
+def _name_dim(spark, sf_dir):
+    n = roles.read(spark, sf_dir, "nation")
+    a = n.selectExpr("n_nationkey + 1 AS Id",
+                     "CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) ELSE n_name END AS Nombre")
+    b = n.where("n_regionkey = 0").selectExpr("n_nationkey + 50 AS Id", "lower(n_name) AS Nombre")
+    return a.unionByName(b).withColumn("Id", F.col("Id").cast("bigint"))
+
+
+@register("resolve_project_key", f"""
+WITH d AS ({NAME_DIM_SQL}),
+dk AS (SELECT lower(trim(Nombre)) AS k, MAX(Id) AS pid FROM d GROUP BY 1),
+r AS (SELECT {', '.join(f'{roles.duck(e)} AS {c}' for c, e in NAME_ROWS.cols)}
+      FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
+rk AS (SELECT *, NULLIF(lower(trim(nombre)), '') AS k FROM r),
+miss AS (SELECT k, (SELECT MAX(Id) FROM d) + row_number() OVER (ORDER BY k) AS nid
+         FROM (SELECT DISTINCT rk.k FROM rk LEFT JOIN dk ON dk.k = rk.k WHERE rk.k IS NOT NULL AND dk.k IS NULL))
+SELECT rk.s_suppkey, rk.nombre, CAST(COALESCE(dk.pid, miss.nid) AS BIGINT) AS ProyectoId,
+       dk.pid IS NULL AND miss.nid IS NOT NULL AS Creado
+FROM rk LEFT JOIN dk ON dk.k = rk.k LEFT JOIN miss ON miss.k = rk.k
+""")
+def q_resolve_project_key(spark, sf_dir):
+    out, _ = intake.resolve_project_names(_name_rows(spark, sf_dir), "nombre", _name_dim(spark, sf_dir), AS_OF)
+    return out
+
+
+# ------------------------------------------------------------------ P12 T6: directory members
+
+DIRECTORY_DOMAIN = "example.com"
+
+DIRECTORY_USERS = roles.Role("customer", (
+    ("displayName", "CASE WHEN c_custkey % 17 = 0 THEN CAST(NULL AS STRING) "
+                    "WHEN c_custkey % 19 = 0 THEN '' ELSE c_name END"),
+    ("mail", "CASE WHEN c_custkey % 5 = 0 THEN CAST(NULL AS STRING) ELSE "
+             "lower(replace(c_name, '#', '.')) || '@' || CASE c_mktsegment WHEN 'BUILDING' THEN 'other.org' "
+             "WHEN 'MACHINERY' THEN 'EXAMPLE.COM' ELSE 'example.com' END END"),
+    ("userPrincipalName", "CASE WHEN c_custkey % 7 = 0 THEN lower(replace(c_name, '#', '_')) || '#EXT#@example.com' "
+                          "ELSE lower(replace(c_name, '#', '_')) || '@example.com' END"),
+    ("jobTitle", "CASE WHEN c_acctbal > 0 THEN c_mktsegment END"),
+))
+
+
+@register("directory_members", f"""
+WITH u AS ({DIRECTORY_USERS.sql}),
+e AS (SELECT *, COALESCE(NULLIF(mail, ''), NULLIF(userPrincipalName, ''), '') AS email FROM u)
+SELECT displayName AS name, email, COALESCE(NULLIF(jobTitle, ''), '') AS jobTitle FROM e
+WHERE COALESCE(displayName <> '', FALSE) AND NOT contains(lower(email), '#ext#')
+  AND ends_with(lower(email), '@{DIRECTORY_DOMAIN}')
+""")
+def q_directory_members(spark, sf_dir):
+    return directory.sorted_members(DIRECTORY_USERS.df(spark, sf_dir), DIRECTORY_DOMAIN)
+
+
+# ------------------------------------------------------------------ S8: conform an old-shape table
+
+_OLD_GENERAL_COLS = [c for c in roles.REQUESTS_GENERAL.names()
+                     if c not in ("Responsable", "FechaEntrega", "FechaActualizacion", "ProyectoId")]
+
+
+@register("conform_schema", f"""
+WITH g AS ({roles.REQUESTS_GENERAL.sql})
+SELECT {', '.join(_OLD_GENERAL_COLS)}, 'sin asignar' AS Responsable, CAST(NULL AS DATE) AS FechaEntrega,
+       CAST(NULL AS TIMESTAMP) AS FechaActualizacion, CAST(NULL AS BIGINT) AS ProyectoId
+FROM g
+""")
+def q_conform_schema(spark, sf_dir):
+    from workboard import schemas
+    old = roles.REQUESTS_GENERAL.df(spark, sf_dir).select(*_OLD_GENERAL_COLS)
+    return tables.conform(old, schemas.REQUESTS_GENERAL, defaults={"Responsable": "sin asignar"})
+
+
+# ------------------------------------------------------------------ S6 S4: seed load with parent links
+
+@register("seed_load", f"""
+WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS Id FROM orders WHERE o_orderstatus = 'O'),
+t AS ({roles.TASKS.sql})
+SELECT t.* EXCLUDE (ProyectoId), CAST(p.Id AS BIGINT) AS ProyectoId
+FROM t JOIN p ON p.o_orderkey = t.ProyectoId
+""")
+def q_seed_load(spark, sf_dir):
+    parents = tables.with_ids(roles.read(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+                              .select("o_orderkey"), [F.col("o_orderkey")], base=0)
+    kids = roles.TASKS.df(spark, sf_dir).withColumnRenamed("ProyectoId", "o_orderkey")
+    linked = tables.link_children(kids, parents, "o_orderkey", "ProyectoId")
+    return linked.where(F.col("ProyectoId").isNotNull()).drop("o_orderkey")

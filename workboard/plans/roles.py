@@ -22,10 +22,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def duck(expr: str) -> str:
+def duck(expr) -> str:
+    if isinstance(expr, tuple):  # (Spark expression, DuckDB expression) where the dialects differ
+        return expr[1]
     return expr.replace("TIMESTAMP_NTZ", "TIMESTAMP")
 
 
+def spark_expr(expr) -> str:
+    return expr[0] if isinstance(expr, tuple) else expr
+
+
 @dataclass(frozen=True)
 class Role:
     table: str
@@ -37,7 +43,7 @@ class Role:
         d = read(spark, sf_dir, self.table)
         if self.where:
             d = d.where(self.where)
-        return d.selectExpr(*[f"{e} AS {n}" for n, e in self.cols])
+        return d.selectExpr(*[f"{spark_expr(e)} AS {n}" for n, e in self.cols])
 
     @property
     def sql(self) -> str:
@@ -223,3 +229,7 @@ ATTACHMENT_META = (
     ("Autor", "source"),
     ("Fecha", "TIMESTAMP_NTZ '2024-02-01 00:00:00' + (doc_id % 11) * INTERVAL 1 DAY"),
 )
+
+ATTACHMENTS = Role("documents", ATTACHMENT_META + (
+    ("Tamano", ("octet_length(text)", "CAST(strlen(text) AS INTEGER)")),
+))
