@@ -728,3 +728,245 @@ def q_seed_load(spark, sf_dir):
     kids = roles.TASKS.df(spark, sf_dir).withColumnRenamed("ProyectoId", "o_orderkey")
     linked = tables.link_children(kids, parents, "o_orderkey", "ProyectoId")
     return linked.where(F.col("ProyectoId").isNotNull()).drop("o_orderkey")
+
+
+# ------------------------------------------------------------------ H1: clean text
+
+NBSP, BOM, IDEO_SPACE, EMOJI = " ", "﻿", "　", "\U0001f600"
+
+DIRTY_TEXT = roles.Role("part", (
+    ("p_partkey", "p_partkey"),
+    ("raw", f"CASE p_partkey % 7 WHEN 0 THEN '{NBSP}' || p_name || '{BOM}' WHEN 1 THEN '   ' WHEN 2 THEN '' "
+            f"WHEN 3 THEN p_name || repeat('x', 300) WHEN 4 THEN CAST(NULL AS STRING) "
+            f"WHEN 5 THEN '{IDEO_SPACE}' || p_name || ' {EMOJI}' "
+            f"ELSE p_name || repeat('é', 199 - length(p_name)) || '{EMOJI}' || 'zz' END"),
+))
+
+# RE2 / Java class for the JavaScript whitespace set (same code points as coerce.JS_WS).
+_WS_SQL = coerce.JS_WS
+
+
+def _trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS_SQL}+|{_WS_SQL}+$', '', 'g')"
+
+
+@register("clean_text", f"""
+WITH d AS ({DIRTY_TEXT.sql})
+SELECT p_partkey, raw, substring(NULLIF({_trim_sql('raw')}, ''), 1, 200) AS Limpio,
+       NULLIF({_trim_sql('raw')}, '') AS LimpioSinLimite
+FROM d
+""")
+def q_clean_text(spark, sf_dir):
+    d = DIRTY_TEXT.df(spark, sf_dir)
+    return d.select("p_partkey", "raw", coerce.clean_text("raw", 200).alias("Limpio"),
+                    coerce.clean_text("raw").alias("LimpioSinLimite"))
+
+
+# ------------------------------------------------------------------ H2 H3 H4 H6: numbers
+
+DIRTY_NUMBERS = roles.Role("events", (
+    ("event_id", "event_id"),
+    ("raw", "CASE event_id % 12 WHEN 0 THEN CAST(user_id AS STRING) WHEN 1 THEN CAST(user_id AS STRING) || '.7' "
+            "WHEN 2 THEN CAST(user_id AS STRING) || 'abc' WHEN 3 THEN 'abc' WHEN 4 THEN '' WHEN 5 THEN '   ' "
+            "WHEN 6 THEN '1e' || CAST(user_id % 5 AS STRING) WHEN 7 THEN '0x' || CAST(user_id AS STRING) "
+            "WHEN 8 THEN CAST(user_id AS STRING) || 'd' WHEN 9 THEN '-' || CAST(user_id AS STRING) "
+            "WHEN 10 THEN CAST(user_id AS STRING) || '0000000000' "
+            "ELSE ' +' || CAST(user_id AS STRING) || '.25 ' END"),
+))
+
+_DEC_RE_SQL = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+_NUM_SQL = (f"CASE WHEN raw IS NULL OR raw = '' THEN NULL WHEN {_trim_sql('raw')} = '' THEN 0.0 "
+            f"WHEN regexp_matches({_trim_sql('raw')}, '{_DEC_RE_SQL}') THEN TRY_CAST({_trim_sql('raw')} AS DOUBLE) "
+            f"WHEN regexp_matches({_trim_sql('raw')}, '^0[xX][0-9a-fA-F]+$') "
+            f"THEN CAST(TRY_CAST({_trim_sql('raw')} AS BIGINT) AS DOUBLE) END")
+_PREFIX_SQL = (f"CASE WHEN raw <> '' THEN TRY_CAST(regexp_extract(regexp_replace(raw, '^{_WS_SQL}+', ''), "
+               f"'^([+-]?[0-9]+)', 1) AS INTEGER) END")
+
+
+@register("clean_numbers", f"""
+WITH d AS ({DIRTY_NUMBERS.sql}), n AS (SELECT *, {_NUM_SQL} AS Numero, {_PREFIX_SQL} AS EnteroPrefijo FROM d)
+SELECT event_id, raw, Numero,
+       CASE WHEN Numero > -2147483649 AND Numero < 2147483648 THEN CAST(trunc(Numero) AS INTEGER) END AS EnteroTrunc,
+       EnteroPrefijo,
+       CASE WHEN EnteroPrefijo IS NOT NULL THEN GREATEST(0, LEAST(100, EnteroPrefijo)) END AS Progreso,
+       CASE WHEN Numero IS NOT NULL AND abs(Numero) < 10000000 THEN TRY_CAST(Numero AS DECIMAL(9,2)) END AS Decimal92
+FROM n
+""")
+def q_clean_numbers(spark, sf_dir):
+    d = DIRTY_NUMBERS.df(spark, sf_dir)
+    return d.select("event_id", "raw", coerce.to_num("raw").alias("Numero"),
+                    coerce.to_int_trunc("raw").alias("EnteroTrunc"), coerce.to_int_prefix("raw").alias("EnteroPrefijo"),
+                    coerce.clamp_progress("raw").alias("Progreso"), coerce.to_decimal("raw", 9, 2).alias("Decimal92"))
+
+
+# ------------------------------------------------------------------ H5 H25: dates
+
+DIRTY_DATES = roles.Role("events", (
+    ("event_id", "event_id"),
+    ("raw", "CASE event_id % 7 WHEN 0 THEN CAST(CAST(ts AS DATE) AS STRING) "
+            "WHEN 1 THEN CAST(CAST(ts AS DATE) AS STRING) || 'T10:30:00Z' "
+            "WHEN 2 THEN CAST(CAST(ts AS DATE) AS STRING) || 'T23:30:15.5-05:00' "
+            "WHEN 3 THEN '2024-02-31' "
+            "WHEN 4 THEN substr(CAST(CAST(ts AS DATE) AS STRING), 9, 2) || '/' || "
+            "substr(CAST(CAST(ts AS DATE) AS STRING), 6, 2) || '/' || substr(CAST(CAST(ts AS DATE) AS STRING), 1, 4) "
+            "WHEN 5 THEN '' ELSE ' ' || CAST(CAST(ts AS DATE) AS STRING) || ' 08:15 ' END"),
+))
+
+_ISO_SQL = ("^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.]([0-9]{1,9}))?)?"
+            "(Z|[+-][0-9]{2}:[0-9]{2})?)?$")
+
+
+def _g(i):
+    return f"regexp_extract(t, '{_ISO_SQL}', {i})"
+
+
+_TS_SQL = (f"CASE WHEN regexp_matches(t, '{_ISO_SQL}') THEN "
+           f"try_strptime({_g(1)} || '-' || {_g(2)} || '-' || {_g(3)} || ' ' || COALESCE(NULLIF({_g(4)}, ''), '00') "
+           f"|| ':' || COALESCE(NULLIF({_g(5)}, ''), '00') || ':' || COALESCE(NULLIF({_g(6)}, ''), '00'), "
+           f"'%Y-%m-%d %H:%M:%S') "
+           f"+ CAST(substr(rpad(COALESCE(NULLIF({_g(7)}, ''), '0'), 3, '0'), 1, 3) AS INTEGER) * INTERVAL 1 MILLISECOND "
+           f"- (CASE WHEN {_g(8)} IN ('', 'Z') THEN 0 ELSE (CAST(substr({_g(8)}, 2, 2) AS INTEGER) * 60 + "
+           f"CAST(substr({_g(8)}, 5, 2) AS INTEGER)) * (CASE WHEN substr({_g(8)}, 1, 1) = '-' THEN -1 ELSE 1 END) END)"
+           f" * INTERVAL 1 MINUTE END")
+
+
+@register("clean_dates", f"""
+WITH d AS ({DIRTY_DATES.sql}), p AS (SELECT *, NULLIF({_trim_sql('raw')}, '') AS t FROM d),
+s AS (SELECT event_id, raw, {_TS_SQL} AS Marca FROM p)
+SELECT event_id, raw, Marca, CAST(Marca AS DATE) AS Fecha, COALESCE(Marca, {AS_OF_SQL}) AS FechaNota FROM s
+""")
+def q_clean_dates(spark, sf_dir):
+    d = DIRTY_DATES.df(spark, sf_dir)
+    return d.select("event_id", "raw", coerce.to_timestamp_utc("raw").alias("Marca"),
+                    coerce.to_date_utc("raw").alias("Fecha"), coerce.date_or_now("raw", AS_OF).alias("FechaNota"))
+
+
+# ------------------------------------------------------------------ S2 I2: ERP JSON intake
+
+_ERP_MODEL = ("'{\"solicitante\":' || (CASE WHEN c_acctbal < 0 THEN 'null' ELSE '\"' || c_name || '\"' END) || "
+              "',\"area\":\"' || c_mktsegment || '\",\"descripcion\":\"  Cuenta ' || CAST(c_custkey AS STRING) || "
+              "' de ' || c_mktsegment || '  \",\"modulos\":' || "
+              "(CASE c_custkey % 3 WHEN 0 THEN '[\"Finanzas\",\"\",null,\"Compras\"]' WHEN 1 THEN '\"Ventas\"' "
+              "ELSE '[]' END) || ',\"procesos\":[\"Cierre mensual\",\"Inventario\"],\"transformar_fabric\":' || "
+              "(CASE c_custkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN '\"Sí\"' WHEN 2 THEN '\"true\"' ELSE 'false' END) || "
+              "',\"prioridad\":\"Media\",\"estado\":\"\",\"proyecto_id\":\"' || CAST(c_nationkey AS STRING) || "
+              "'abc\",\"extra\":{\"k\":1}}'")
+
+ERP_BODIES = roles.Role("customer", (
+    ("Ref", "c_custkey"),
+    ("body", f"CASE WHEN c_custkey % 50 = 7 THEN '{{\"model\": {{\"solicitante\": \"x\"' "
+             f"WHEN c_custkey % 2 = 0 THEN '{{\"model\":' || {_ERP_MODEL} || '}}' ELSE {_ERP_MODEL} END"),
+))
+
+
+def _jstr(path):
+    return f"json_extract_string(m, '{path}')"
+
+
+def _jlist(path, sep):
+    return (f"CASE json_type(m, '{path}') WHEN 'ARRAY' THEN array_to_string(list_filter("
+            f"CAST(json_extract_string(m, '{path}[*]') AS VARCHAR[]), lambda x: x IS NOT NULL AND x <> ''), '{sep}') "
+            f"ELSE NULLIF(trim({_jstr(path)}), '') END")
+
+
+_ENVELOPE_SQL = ("v AS (SELECT *, CASE WHEN json_valid(body) THEN body END AS vb FROM b), "
+                 "e AS (SELECT *, CASE WHEN json_type(vb, '$.model') = 'OBJECT' THEN json_extract(vb, '$.model') "
+                 "ELSE json(vb) END AS m, CASE WHEN json_type(vb, '$.model') = 'OBJECT' "
+                 "THEN json_extract(vb, '$.model')::VARCHAR ELSE json(vb)::VARCHAR END AS PayloadJson FROM v)")
+
+
+@register("json_intake_erp", f"""
+WITH b AS ({ERP_BODIES.sql}), {_ENVELOPE_SQL},
+f AS (SELECT Ref, PayloadJson, vb, m, NULLIF(trim({_jstr('$.solicitante')}), '') AS Solicitante,
+             NULLIF(trim({_jstr('$.area')}), '') AS Area, NULLIF(trim({_jstr('$.descripcion')}), '') AS Descripcion,
+             {_jlist('$.modulos', ', ')} AS Modulos, {_jlist('$.procesos', ' | ')} AS Procesos FROM e)
+SELECT Ref, substr(NULLIF(trim(Area || ' – ' || COALESCE(NULLIF(Modulos, ''), substr(Descripcion, 1, 60),
+                                                       'Solicitud ERP')), ''), 1, 300) AS Titulo,
+  Solicitante, Area, Descripcion, Modulos, Procesos,
+  CASE WHEN (json_type(m, '$.transformar_fabric') = 'BOOLEAN' AND {_jstr('$.transformar_fabric')} = 'true')
+         OR (json_type(m, '$.transformar_fabric') = 'VARCHAR' AND {_jstr('$.transformar_fabric')} IN ('Sí', 'si'))
+       THEN 'Sí' ELSE 'No' END AS TransformarFabric,
+  NULLIF(trim({_jstr('$.fabric_detalle')}), '') AS FabricDetalle,
+  substr(NULLIF(trim({_jstr('$.prioridad')}), ''), 1, 20) AS Prioridad,
+  COALESCE(NULLIF(trim({_jstr('$.estado')}), ''), 'Nuevo') AS Estado,
+  TRY_CAST(regexp_extract({_jstr('$.proyecto_id')}, '^([+-]?[0-9]+)', 1) AS BIGINT) AS ProyectoId,
+  PayloadJson,
+  CASE WHEN vb IS NULL THEN 'json_invalido' WHEN json_type(m) <> 'OBJECT' THEN 'cuerpo_invalido'
+       WHEN Solicitante IS NULL OR Area IS NULL THEN 'faltan_obligatorios' END AS Motivo
+FROM f
+""")
+def q_json_intake_erp(spark, sf_dir):
+    return intake.erp_requests(ERP_BODIES.df(spark, sf_dir)).drop("body")
+
+
+# ------------------------------------------------------------------ S2 I3: general JSON intake
+
+_GEN_MODEL = ("'{\"solicitante\":\"' || c_name || '\",\"area\":' || (CASE WHEN c_custkey % 5 = 0 THEN 'null' "
+              "ELSE '\" ' || c_mktsegment || ' \"' END) || ',\"asunto\":' || "
+              "(CASE WHEN c_acctbal < 100 THEN '\"   \"' ELSE '\"Asunto ' || CAST(c_custkey AS STRING) || '\"' END) || "
+              "',\"ambito\":' || (CASE c_custkey % 3 WHEN 0 THEN '[\"Reportes\",\"Accesos\"]' WHEN 1 THEN "
+              "'\"Soporte\"' ELSE '[\"\"]' END) || ',\"descripcion\":\"Detalle ' || CAST(c_nationkey AS STRING) || "
+              "'\",\"estado\":' || (CASE WHEN c_custkey % 4 = 0 THEN '\"Abierto\"' ELSE 'null' END) || "
+              "',\"proyecto_id\":' || CAST(c_nationkey AS STRING) || '}'")
+
+GEN_BODIES = roles.Role("customer", (
+    ("Ref", "c_custkey"),
+    ("body", f"CASE WHEN c_custkey % 45 = 11 THEN '[1, 2]' WHEN c_custkey % 2 = 1 "
+             f"THEN '{{\"model\":' || {_GEN_MODEL} || '}}' ELSE {_GEN_MODEL} END"),
+))
+
+
+@register("json_intake_general", f"""
+WITH b AS ({GEN_BODIES.sql}), {_ENVELOPE_SQL},
+f AS (SELECT Ref, PayloadJson, vb, m, NULLIF(trim({_jstr('$.solicitante')}), '') AS Solicitante,
+             NULLIF(trim({_jstr('$.asunto')}), '') AS Titulo, NULLIF(trim({_jstr('$.descripcion')}), '') AS Descripcion
+      FROM e)
+SELECT Ref, Titulo, Solicitante, NULLIF(trim({_jstr('$.area')}), '') AS Area, {_jlist('$.ambito', ', ')} AS Ambito,
+  Descripcion, NULLIF(trim({_jstr('$.justificacion')}), '') AS Justificacion,
+  substr(NULLIF(trim({_jstr('$.prioridad')}), ''), 1, 20) AS Prioridad,
+  COALESCE(NULLIF(trim({_jstr('$.estado')}), ''), 'Nuevo') AS Estado,
+  TRY_CAST(regexp_extract({_jstr('$.proyecto_id')}, '^([+-]?[0-9]+)', 1) AS BIGINT) AS ProyectoId,
+  PayloadJson,
+  CASE WHEN vb IS NULL THEN 'json_invalido' WHEN json_type(m) <> 'OBJECT' THEN 'cuerpo_invalido'
+       WHEN Solicitante IS NULL OR Titulo IS NULL OR Descripcion IS NULL THEN 'faltan_obligatorios' END AS Motivo
+FROM f
+""")
+def q_json_intake_general(spark, sf_dir):
+    return intake.general_requests(GEN_BODIES.df(spark, sf_dir)).drop("body")
+
+
+# ------------------------------------------------------------------ I6 P14 P15: note intake and validation
+
+NOTE_BODIES = roles.Role("events", (
+    ("event_id", "event_id"),
+    ("tipo", "CASE event_type WHEN 'view' THEN 'infra' WHEN 'click' THEN 'erp' WHEN 'signup' THEN 'gen' "
+             "WHEN 'purchase' THEN 'toString' ELSE ' gen ' END"),
+    ("solicitudId", "CASE WHEN value < 5 THEN '0' WHEN value < 10 THEN 'abc' "
+                    "ELSE CAST(user_id + 1 AS STRING) || 'x' END"),
+    ("nota", "CASE WHEN value < 50 THEN '  ' ELSE props END"),
+    ("autor", "CASE WHEN value > 100 THEN 'user' || CAST(user_id AS STRING) END"),
+    ("fecha", "CASE WHEN value > 200 THEN CAST(CAST(ts AS DATE) AS STRING) ELSE 'ayer' END"),
+))
+
+_NOTE_INTAKE_SQL = f"""
+WITH d AS ({NOTE_BODIES.sql}),
+x AS (SELECT event_id, NULLIF(trim(tipo), '') AS Tipo,
+             TRY_CAST(regexp_extract(solicitudId, '^([+-]?[0-9]+)', 1) AS BIGINT) AS SolicitudId,
+             NULLIF(trim(nota), '') AS Nota, NULLIF(trim(autor), '') AS Autor,
+             COALESCE(CAST(TRY_CAST(fecha AS DATE) AS TIMESTAMP), {AS_OF_SQL}) AS Fecha FROM d)
+SELECT *, CASE WHEN NOT COALESCE(Tipo IN ('infra', 'erp', 'gen'), FALSE) OR COALESCE(SolicitudId, 0) = 0
+               THEN 'tipo_o_solicitud' WHEN Nota IS NULL THEN 'nota_vacia' END AS Motivo
+FROM x
+"""
+
+
+@register("note_intake", _NOTE_INTAKE_SQL)
+def q_note_intake(spark, sf_dir):
+    return intake.notes(NOTE_BODIES.df(spark, sf_dir), AS_OF).select(
+        "event_id", "Tipo", "SolicitudId", "Nota", "Autor", "Fecha", "Motivo")
+
+
+@register("validation_split",
+          f"SELECT COALESCE(Motivo, 'ok') AS Motivo, COUNT(*) AS Filas FROM ({_NOTE_INTAKE_SQL}) GROUP BY 1")
+def q_validation_split(spark, sf_dir):
+    return intake.reason_counts(intake.notes(NOTE_BODIES.df(spark, sf_dir), AS_OF))
