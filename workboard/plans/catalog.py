@@ -970,3 +970,30 @@ def q_note_intake(spark, sf_dir):
           f"SELECT COALESCE(Motivo, 'ok') AS Motivo, COUNT(*) AS Filas FROM ({_NOTE_INTAKE_SQL}) GROUP BY 1")
 def q_validation_split(spark, sf_dir):
     return intake.reason_counts(intake.notes(NOTE_BODIES.df(spark, sf_dir), AS_OF))
+
+
+# ------------------------------------------------------------------ R4: stream change application (final state)
+
+from workboard.session import scratch_path  # noqa: E402
+from workboard.streaming import apply as stream_apply  # noqa: E402
+
+
+def _change_stream(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # A one-file glob: the file source treats a plain file path as its base directory and fails.
+    src = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    if TRACKING_CHANGES.where:
+        src = src.where(TRACKING_CHANGES.where)
+    return src.selectExpr(*[f"{roles.spark_expr(e)} AS {n}" for n, e in TRACKING_CHANGES.cols])
+
+
+@register("stream_apply", ORACLES["tracking_patch"])
+def q_stream_apply(spark, sf_dir):
+    root = scratch_path(spark, "stream-apply")
+    q = stream_apply.apply_change_stream(
+        _change_stream(spark, sf_dir), roles.REQUESTS_ERP.df(spark, sf_dir), f"{root}/table", f"{root}/checkpoint",
+        lambda cur, batch, _bid: changes.apply_patch(cur, normalise_tracking(batch), changes.TRACKING_POLICY,
+                                                     as_of=AS_OF))
+    q.awaitTermination()
+    return stream_apply.SnapshotStore(spark, f"{root}/table").read_latest()
