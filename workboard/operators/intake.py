@@ -26,131 +26,148 @@ def field(v: Column, *path: str) -> Column:
     return F.try_variant_get(v, p, "variant")
 
 
-def parse_envelope(raw: Column) -> dict:
-    """``body.model || body``. Returns the parsed body, the chosen model, whether it is an object, and the
-    model's JSON text (H16, kept verbatim — unknown members survive)."""
-    body = F.try_parse_json(raw)
-    m = field(body, "model")
-    use_m = truthy(m)
-    model = F.when(use_m, m).otherwise(body)
-    payload = F.when(use_m, F.get_json_object(raw, "$.model")).otherwise(F.get_json_object(raw, "$"))
-    return {
-        "body": body,
-        "model": model,
-        "is_object": F.coalesce(jtype(model).startswith("OBJECT"), F.lit(False)),
-        "valid_json": body.isNotNull(),
-        "payload": payload,
-    }
+def staged_body(raw: DataFrame, text_col: str, fields: dict) -> DataFrame:
+    """S2 + H15 + H16: parse ``body.model || body`` and extract members, one projection per stage.
+
+    Adds ``_b`` (parsed body, null when malformed), ``_m`` (the model), ``_is_obj``, ``_payload`` (the model's JSON
+    text, unknown members kept) and, for every ``name: (root, path…)`` in ``fields`` (root ``'m'`` = model,
+    ``'b'`` = body), ``_v_<name>`` (VARIANT) and ``_t_<name>`` (JavaScript ``String(v)``). Each stage is its own
+    projection, so the parsed VARIANT is computed once per row instead of being inlined into every field.
+    """
+    d = raw.withColumn("_b", F.try_parse_json(F.col(text_col)))
+    d = d.withColumn("_m0", field(F.col("_b"), "model"))
+    d = d.withColumn("_use_m", truthy(F.col("_m0")))
+    d = d.withColumn("_m", F.when(F.col("_use_m"), F.col("_m0")).otherwise(F.col("_b")))
+    roots = {"m": F.col("_m"), "b": F.col("_b")}
+    d = d.withColumns({
+        "_is_obj": F.coalesce(jtype(F.col("_m")).startswith("OBJECT"), F.lit(False)),
+        "_payload": F.when(F.col("_use_m"), F.get_json_object(F.col(text_col), "$.model"))
+                     .otherwise(F.get_json_object(F.col(text_col), "$")),
+        **{f"_v_{k}": field(roots[spec[0]], *spec[1:]) for k, spec in fields.items()},
+    })
+    return d.withColumns({f"_t_{k}": jstr(F.col(f"_v_{k}")) for k in fields})
+
+
+def _v(k: str) -> Column:
+    return F.col(f"_v_{k}")
 
 
-def _s(v: Column, max_len: int | None = None) -> Column:
-    return clean_text(jstr(v), max_len)
+def _t(k: str) -> Column:
+    return F.col(f"_t_{k}")
 
 
-def _envelope_reason(env: dict) -> Column:
-    return F.when(~env["valid_json"], "json_invalido").when(~env["is_object"], "cuerpo_invalido")
+def _envelope_reason() -> Column:
+    return F.when(F.col("_b").isNull(), "json_invalido").when(~F.col("_is_obj"), "cuerpo_invalido")
+
+
+def _finish(d: DataFrame, stage1: dict, stage2: dict) -> DataFrame:
+    """Two final projections (cleaned fields, then derived ones), dropping the staging columns."""
+    d = d.withColumns(stage1).withColumns(stage2)
+    return d.drop(*[c for c in d.columns if c.startswith("_")])
 
 
 # ---------------------------------------------------------------------------------------------- I2 ERP requests
 
+_ERP_FIELDS = {k: ("m", k) for k in ("solicitante", "area", "descripcion", "modulos", "procesos",
+                                      "transformar_fabric", "fabric_detalle", "prioridad", "estado", "proyecto_id")}
+
+
 def erp_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     """ERP request bodies → ``requests_erp`` columns (without Id/registration time) + ``Motivo``."""
-    env = parse_envelope(F.col(text_col))
-    m = env["model"]
-    solicitante, area, descripcion = _s(field(m, "solicitante"), 200), _s(field(m, "area"), 200), \
-        _s(field(m, "descripcion"))
-    modulos = join_list(field(m, "modulos"), ", ")
-    titulo = clean_text(F.concat(area, F.lit(" – "), F.coalesce(F.nullif(modulos, F.lit("")),
-                                                                 F.substring(descripcion, 1, 60),
-                                                                 F.lit("Solicitud ERP"))), 300)
-    motivo = _envelope_reason(env).when(solicitante.isNull() | area.isNull(), "faltan_obligatorios")
-    return raw.select(
-        "*",
-        titulo.alias("Titulo"), solicitante.alias("Solicitante"), area.alias("Area"),
-        descripcion.alias("Descripcion"), modulos.alias("Modulos"),
-        join_list(field(m, "procesos"), " | ").alias("Procesos"),
-        yes_no(field(m, "transformar_fabric")).alias("TransformarFabric"),
-        _s(field(m, "fabric_detalle")).alias("FabricDetalle"),
-        _s(field(m, "prioridad"), 20).alias("Prioridad"),
-        default_if_blank(jstr(field(m, "estado")), "Nuevo", 50).alias("Estado"),
-        to_int_prefix(jstr(field(m, "proyecto_id"))).cast("bigint").alias("ProyectoId"),
-        env["payload"].alias("PayloadJson"),
-        motivo.alias("Motivo"),
-    )
+    d = staged_body(raw, text_col, _ERP_FIELDS)
+    clean = {
+        "Solicitante": clean_text(_t("solicitante"), 200), "Area": clean_text(_t("area"), 200),
+        "Descripcion": clean_text(_t("descripcion")), "Modulos": join_list(_v("modulos"), ", "),
+        "Procesos": join_list(_v("procesos"), " | "), "TransformarFabric": yes_no(_v("transformar_fabric")),
+        "FabricDetalle": clean_text(_t("fabric_detalle")), "Prioridad": clean_text(_t("prioridad"), 20),
+        "Estado": default_if_blank(_t("estado"), "Nuevo", 50),
+        "ProyectoId": to_int_prefix(_t("proyecto_id")).cast("bigint"), "PayloadJson": F.col("_payload"),
+    }
+    derived = {
+        "Titulo": clean_text(F.concat(F.col("Area"), F.lit(" – "), F.coalesce(
+            F.nullif(F.col("Modulos"), F.lit("")), F.substring(F.col("Descripcion"), 1, 60),
+            F.lit("Solicitud ERP"))), 300),
+        "Motivo": _envelope_reason().when(F.col("Solicitante").isNull() | F.col("Area").isNull(),
+                                          "faltan_obligatorios"),
+    }
+    return _finish(d, clean, derived)
 
 
 # ---------------------------------------------------------------------------------------------- I3 general
 
+_GENERAL_FIELDS = {k: ("m", k) for k in ("solicitante", "area", "asunto", "ambito", "descripcion", "justificacion",
+                                          "prioridad", "estado", "proyecto_id")}
+
+
 def general_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     """General request bodies → ``requests_general`` columns + ``Motivo``."""
-    env = parse_envelope(F.col(text_col))
-    m = env["model"]
-    solicitante, asunto, descripcion = _s(field(m, "solicitante"), 200), _s(field(m, "asunto"), 300), \
-        _s(field(m, "descripcion"))
-    motivo = _envelope_reason(env).when(solicitante.isNull() | asunto.isNull() | descripcion.isNull(),
-                                        "faltan_obligatorios")
-    return raw.select(
-        "*",
-        asunto.alias("Titulo"), solicitante.alias("Solicitante"), _s(field(m, "area"), 200).alias("Area"),
-        join_list(field(m, "ambito"), ", ").alias("Ambito"), descripcion.alias("Descripcion"),
-        _s(field(m, "justificacion")).alias("Justificacion"), _s(field(m, "prioridad"), 20).alias("Prioridad"),
-        default_if_blank(jstr(field(m, "estado")), "Nuevo", 50).alias("Estado"),
-        to_int_prefix(jstr(field(m, "proyecto_id"))).cast("bigint").alias("ProyectoId"),
-        env["payload"].alias("PayloadJson"),
-        motivo.alias("Motivo"),
-    )
+    d = staged_body(raw, text_col, _GENERAL_FIELDS)
+    clean = {
+        "Titulo": clean_text(_t("asunto"), 300), "Solicitante": clean_text(_t("solicitante"), 200),
+        "Area": clean_text(_t("area"), 200), "Ambito": join_list(_v("ambito"), ", "),
+        "Descripcion": clean_text(_t("descripcion")), "Justificacion": clean_text(_t("justificacion")),
+        "Prioridad": clean_text(_t("prioridad"), 20), "Estado": default_if_blank(_t("estado"), "Nuevo", 50),
+        "ProyectoId": to_int_prefix(_t("proyecto_id")).cast("bigint"), "PayloadJson": F.col("_payload"),
+    }
+    derived = {"Motivo": _envelope_reason().when(
+        F.col("Solicitante").isNull() | F.col("Titulo").isNull() | F.col("Descripcion").isNull(),
+        "faltan_obligatorios")}
+    return _finish(d, clean, derived)
 
 
 # ---------------------------------------------------------------------------------------------- I1 infrastructure
 
+_IG, _CC, _BD, _RA, _SM, _CR = ("informacion_general", "computo_y_contenedores", "base_de_datos", "redes_y_apis",
+                                "seguridad_y_monitoreo", "clasificacion_registro")
+_INFRA_FIELDS = {
+    "nombre": ("m", _IG, "nombre_aplicacion"), "ident": ("m", _IG, "identificador"),
+    "proyecto": ("m", _IG, "proyecto"), "lider": ("m", _IG, "lider_tecnico"),
+    "fprod": ("m", _IG, "fecha_produccion"), "desc": ("m", _IG, "descripcion"),
+    "arq": ("m", _CC, "arquitectura_despliegue"), "cpu": ("m", _CC, "cpu_total_vcpu"), "ram": ("m", _CC, "ram_total_gb"),
+    "motor": ("m", _BD, "motor_bd"), "modelo_bd": ("m", _BD, "modelo_despliegue"),
+    "storage": ("m", _BD, "almacenamiento_inicial_gb"), "crec": ("m", _BD, "crecimiento_mensual_gb"),
+    "dominio": ("m", _RA, "dominio_publico"), "acceso": ("m", _RA, "tipo_acceso"),
+    "auth": ("m", _SM, "metodo_autenticacion_usuarios"), "sens": ("m", _SM, "nivel_sensibilidad_datos"),
+    "amb": ("m", _CR, "ambiente"), "usuarios": ("m", _CR, "usuarios_concurrentes"), "crit": ("m", _CR, "criticidad"),
+    "ha": ("m", _CR, "requiere_ha"), "dr": ("m", _CR, "requiere_dr"), "estado": ("m", _CR, "estado"),
+    "pid": ("m", "proyecto_id"),
+    "row_titulo": ("b", "sharepoint_row", "Título"), "row_front": ("b", "sharepoint_row", "FrontEnd"),
+    "row_back": ("b", "sharepoint_row", "BackendAPI"),
+}
+
+
 def infra_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     """Infrastructure bodies ``{model: {six groups}, sharepoint_row}`` → ``requests_infra`` columns + ``Motivo``.
 
     Numbers use ``Number()`` (decimals, out-of-range → null) and the truncating integer rule (H3); the title is the
     supplied list title, else ``identificador – nombre`` (raw text, not cut), else the name (H12a). No default state.
     """
-    env = parse_envelope(F.col(text_col))
-    m, body = env["model"], env["body"]
-    row = field(body, "sharepoint_row")
-
-    def g(group, name):
-        return field(m, group, name)
-
-    ig = "informacion_general"
-    name_raw, ident_raw = g(ig, "nombre_aplicacion"), g(ig, "identificador")
-    titulo = F.coalesce(
-        _s(field(row, "Título"), 300),
-        F.when(truthy(ident_raw), F.concat(jstr(ident_raw), F.lit(" – "),
-                                           F.when(truthy(name_raw), jstr(name_raw)).otherwise(F.lit("")))),
-        _s(name_raw, 300),
-    )
-    motivo = _envelope_reason(env).when(_s(name_raw).isNull(), "faltan_obligatorios")
-    cc, bd, ra, sm, cr = ("computo_y_contenedores", "base_de_datos", "redes_y_apis", "seguridad_y_monitoreo",
-                          "clasificacion_registro")
-    return raw.select(
-        "*",
-        titulo.alias("Titulo"), _s(name_raw, 200).alias("Aplicacion"), _s(ident_raw, 100).alias("Identificador"),
-        _s(g(ig, "proyecto"), 200).alias("Proyecto"), _s(g(ig, "lider_tecnico"), 200).alias("LiderProyecto"),
-        to_date_utc(jstr(g(ig, "fecha_produccion"))).alias("FechaProduccion"),
-        _s(g(ig, "descripcion")).alias("Funcionalidad"),
-        _s(g(cc, "arquitectura_despliegue"), 100).alias("ArquitecturaDespliegue"),
-        _s(field(row, "FrontEnd"), 500).alias("FrontEnd"), _s(field(row, "BackendAPI"), 500).alias("BackendAPI"),
-        to_decimal(jstr(g(cc, "cpu_total_vcpu")), 9, 2).alias("CPURequerida"),
-        to_decimal(jstr(g(cc, "ram_total_gb")), 9, 2).alias("RAMRequeridaGB"),
-        _s(g(bd, "motor_bd"), 100).alias("BaseDatos"), _s(g(bd, "modelo_despliegue"), 100).alias("ModeloDespliegueBD"),
-        to_decimal(jstr(g(bd, "almacenamiento_inicial_gb")), 12, 2).alias("StorageGB"),
-        to_decimal(jstr(g(bd, "crecimiento_mensual_gb")), 12, 2).alias("CrecimientoMensualGB"),
-        _s(g(ra, "dominio_publico"), 200).alias("DominioPublico"), _s(g(ra, "tipo_acceso"), 100).alias("TipoAcceso"),
-        _s(g(sm, "metodo_autenticacion_usuarios"), 100).alias("MetodoAutenticacion"),
-        _s(g(sm, "nivel_sensibilidad_datos"), 100).alias("NivelSensibilidad"),
-        _s(g(cr, "ambiente"), 50).alias("Ambiente"),
-        to_int_trunc(jstr(g(cr, "usuarios_concurrentes"))).alias("UsuariosConcurrentes"),
-        _s(g(cr, "criticidad"), 20).alias("Criticidad"), _s(g(cr, "requiere_ha"), 5).alias("RequiereHA"),
-        _s(g(cr, "requiere_dr"), 5).alias("RequiereDR"), _s(g(cr, "estado"), 50).alias("Estado"),
-        to_int_trunc(jstr(field(m, "proyecto_id"))).cast("bigint").alias("ProyectoId"),
-        env["payload"].alias("PayloadJson"),
-        motivo.alias("Motivo"),
-    )
+    d = staged_body(raw, text_col, _INFRA_FIELDS)
+    clean = {
+        "Aplicacion": clean_text(_t("nombre"), 200), "Identificador": clean_text(_t("ident"), 100),
+        "Proyecto": clean_text(_t("proyecto"), 200), "LiderProyecto": clean_text(_t("lider"), 200),
+        "FechaProduccion": to_date_utc(_t("fprod")), "Funcionalidad": clean_text(_t("desc")),
+        "ArquitecturaDespliegue": clean_text(_t("arq"), 100), "FrontEnd": clean_text(_t("row_front"), 500),
+        "BackendAPI": clean_text(_t("row_back"), 500), "CPURequerida": to_decimal(_t("cpu"), 9, 2),
+        "RAMRequeridaGB": to_decimal(_t("ram"), 9, 2), "BaseDatos": clean_text(_t("motor"), 100),
+        "ModeloDespliegueBD": clean_text(_t("modelo_bd"), 100), "StorageGB": to_decimal(_t("storage"), 12, 2),
+        "CrecimientoMensualGB": to_decimal(_t("crec"), 12, 2), "DominioPublico": clean_text(_t("dominio"), 200),
+        "TipoAcceso": clean_text(_t("acceso"), 100), "MetodoAutenticacion": clean_text(_t("auth"), 100),
+        "NivelSensibilidad": clean_text(_t("sens"), 100), "Ambiente": clean_text(_t("amb"), 50),
+        "UsuariosConcurrentes": to_int_trunc(_t("usuarios")), "Criticidad": clean_text(_t("crit"), 20),
+        "RequiereHA": clean_text(_t("ha"), 5), "RequiereDR": clean_text(_t("dr"), 5),
+        "Estado": clean_text(_t("estado"), 50), "ProyectoId": to_int_trunc(_t("pid")).cast("bigint"),
+        "PayloadJson": F.col("_payload"),
+    }
+    derived = {
+        "Titulo": F.coalesce(
+            clean_text(_t("row_titulo"), 300),
+            F.when(truthy(_v("ident")), F.concat(_t("ident"), F.lit(" – "),
+                                                  F.when(truthy(_v("nombre")), _t("nombre")).otherwise(F.lit("")))),
+            clean_text(_t("nombre"), 300)),
+        "Motivo": _envelope_reason().when(F.col("Aplicacion").isNull(), "faltan_obligatorios"),
+    }
+    return _finish(d, clean, derived)
 
 
 # ---------------------------------------------------------------------------------------------- I4–I6 form bodies

@@ -997,3 +997,169 @@ def q_stream_apply(spark, sf_dir):
                                                      as_of=AS_OF))
     q.awaitTermination()
     return stream_apply.SnapshotStore(spark, f"{root}/table").read_latest()
+
+
+# ------------------------------------------------------------------ S2 I1: infrastructure JSON intake
+
+_INFRA_MODEL = (
+    "'{\"informacion_general\":{\"nombre_aplicacion\":' || (CASE WHEN p_size % 11 = 0 THEN 'null' "
+    "ELSE '\" ' || p_name || '\"' END) || (CASE WHEN p_size % 3 = 0 THEN '' ELSE ',\"identificador\":\"APP-' || "
+    "CAST(p_partkey AS STRING) || '\"' END) || ',\"proyecto\":\"' || p_brand || '\",\"lider_tecnico\":null,"
+    "\"fecha_produccion\":' || (CASE p_partkey % 3 WHEN 0 THEN '\"2024-05-0' || CAST(p_partkey % 9 + 1 AS STRING) || "
+    "'\"' WHEN 1 THEN '\"mañana\"' ELSE '\"2024-13-01\"' END) || ',\"descripcion\":\"' || p_type || '\"},"
+    "\"computo_y_contenedores\":{\"arquitectura_despliegue\":\"Contenedores\",\"cpu_total_vcpu\":' || "
+    "(CASE WHEN p_size % 4 = 0 THEN '\"12.5abc\"' ELSE CAST(p_size AS STRING) END) || ',\"ram_total_gb\":\"  16 \"},"
+    "\"base_de_datos\":{\"motor_bd\":\"PostgreSQL\",\"almacenamiento_inicial_gb\":' || CAST(p_retailprice AS STRING) "
+    "|| ',\"crecimiento_mensual_gb\":' || (CASE WHEN p_size % 5 = 0 THEN '\"1e12\"' ELSE '\"2.5\"' END) || '},"
+    "\"clasificacion_registro\":{\"ambiente\":\"QA\",\"usuarios_concurrentes\":' || "
+    "(CASE WHEN p_size % 2 = 0 THEN '\"12.7\"' ELSE CAST(p_size AS STRING) END) || ',\"criticidad\":\"Alta\","
+    "\"requiere_ha\":\"Sí\",\"requiere_dr\":\"No\",\"estado\":null},\"proyecto_id\":\"' || CAST(p_size AS STRING) || "
+    "'.9\"}'")
+
+INFRA_BODIES = roles.Role("part", (
+    ("Ref", "p_partkey"),
+    ("body", f"'{{\"model\":' || {_INFRA_MODEL} || ',\"sharepoint_row\":{{' || (CASE WHEN p_partkey % 7 = 0 "
+             f"THEN '\"Título\":\"  Lista ' || CAST(p_partkey AS STRING) || '\",' ELSE '' END) || "
+             f"'\"FrontEnd\":\"React\"}}}}'"),
+))
+
+INFRA_OUT = ["Ref", "Titulo", "Aplicacion", "Identificador", "Proyecto", "FechaProduccion", "CPURequerida",
+             "RAMRequeridaGB", "StorageGB", "CrecimientoMensualGB", "UsuariosConcurrentes", "RequiereHA", "FrontEnd",
+             "Estado", "ProyectoId", "Motivo"]
+
+
+def _num_sql(x: str) -> str:
+    t = _trim_sql(x)
+    return (f"(CASE WHEN {x} IS NULL OR {x} = '' THEN NULL WHEN {t} = '' THEN 0.0 "
+            f"WHEN regexp_matches({t}, '{_DEC_RE_SQL}') THEN TRY_CAST({t} AS DOUBLE) END)")
+
+
+def _dec_sql(x: str, p: int, s: int) -> str:
+    n = _num_sql(x)
+    return f"(CASE WHEN abs({n}) < {10 ** (p - s)} THEN TRY_CAST({n} AS DECIMAL({p},{s})) END)"
+
+
+def _trunc_sql(x: str) -> str:
+    n = _num_sql(x)
+    return f"(CASE WHEN {n} > -2147483649 AND {n} < 2147483648 THEN CAST(trunc({n}) AS INTEGER) END)"
+
+
+@register("json_intake_infra", f"""
+WITH b AS ({INFRA_BODIES.sql}), v AS (SELECT *, CASE WHEN json_valid(body) THEN body END AS vb FROM b),
+e AS (SELECT Ref, vb, json_extract(vb, '$.model') AS m FROM v),
+f AS (SELECT Ref, vb, m,
+        json_extract_string(m, '$.informacion_general.nombre_aplicacion') AS nom,
+        json_extract_string(m, '$.informacion_general.identificador') AS ident FROM e)
+SELECT Ref,
+  COALESCE(substr(NULLIF(trim(vb->'sharepoint_row'->>'Título'), ''), 1, 300),
+           CASE WHEN COALESCE(ident, '') <> '' THEN ident || ' – ' || COALESCE(nom, '') END,
+           substr(NULLIF(trim(nom), ''), 1, 300)) AS Titulo,
+  substr(NULLIF(trim(nom), ''), 1, 200) AS Aplicacion, substr(NULLIF(trim(ident), ''), 1, 100) AS Identificador,
+  NULLIF(trim(json_extract_string(m, '$.informacion_general.proyecto')), '') AS Proyecto,
+  TRY_CAST(json_extract_string(m, '$.informacion_general.fecha_produccion') AS DATE) AS FechaProduccion,
+  {_dec_sql("json_extract_string(m, '$.computo_y_contenedores.cpu_total_vcpu')", 9, 2)} AS CPURequerida,
+  {_dec_sql("json_extract_string(m, '$.computo_y_contenedores.ram_total_gb')", 9, 2)} AS RAMRequeridaGB,
+  {_dec_sql("json_extract_string(m, '$.base_de_datos.almacenamiento_inicial_gb')", 12, 2)} AS StorageGB,
+  {_dec_sql("json_extract_string(m, '$.base_de_datos.crecimiento_mensual_gb')", 12, 2)} AS CrecimientoMensualGB,
+  {_trunc_sql("json_extract_string(m, '$.clasificacion_registro.usuarios_concurrentes')")} AS UsuariosConcurrentes,
+  NULLIF(trim(json_extract_string(m, '$.clasificacion_registro.requiere_ha')), '') AS RequiereHA,
+  NULLIF(trim(vb->'sharepoint_row'->>'FrontEnd'), '') AS FrontEnd,
+  NULLIF(trim(json_extract_string(m, '$.clasificacion_registro.estado')), '') AS Estado,
+  CAST({_trunc_sql("json_extract_string(m, '$.proyecto_id')")} AS BIGINT) AS ProyectoId,
+  CASE WHEN vb IS NULL THEN 'json_invalido' WHEN NULLIF(trim(nom), '') IS NULL THEN 'faltan_obligatorios' END
+    AS Motivo
+FROM f
+""")
+def q_json_intake_infra(spark, sf_dir):
+    return intake.infra_requests(INFRA_BODIES.df(spark, sf_dir)).select(*INFRA_OUT)
+
+
+# ------------------------------------------------------------------ I4 I5: project and task form bodies
+
+PROJECT_BODIES = roles.Role("orders", (
+    ("o_orderkey", "o_orderkey"),
+    ("nombre", "CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' THEN '  ' "
+               "ELSE ' Proyecto ' || CAST(o_orderkey AS STRING) END"),
+    ("descripcion", "o_orderpriority"),
+    ("responsable", "CASE WHEN o_orderstatus = 'O' THEN 'Customer#' || CAST(o_custkey AS STRING) END"),
+    ("fechaInicio", "CAST(CAST(o_orderdate AS DATE) AS STRING)"),
+    ("fechaFin", "CASE WHEN o_totalprice > 200000 THEN CAST(CAST(o_orderdate AS DATE) + 60 AS STRING) ELSE 'pronto' END"),
+    ("estado", "CASE WHEN o_orderstatus = 'F' THEN 'Completado' ELSE ' ' END"),
+))
+
+
+@register("project_intake", f"""
+WITH d AS ({PROJECT_BODIES.sql})
+SELECT o_orderkey, NULLIF(trim(nombre), '') AS Nombre, NULLIF(trim(descripcion), '') AS Descripcion,
+       NULLIF(trim(responsable), '') AS Responsable, TRY_CAST(fechaInicio AS DATE) AS FechaInicio,
+       TRY_CAST(fechaFin AS DATE) AS FechaFin, COALESCE(NULLIF(trim(estado), ''), 'Activo') AS Estado,
+       {AS_OF_SQL} AS FechaRegistro, CASE WHEN NULLIF(trim(nombre), '') IS NULL THEN 'sin_nombre' END AS Motivo
+FROM d
+""")
+def q_project_intake(spark, sf_dir):
+    return intake.projects(PROJECT_BODIES.df(spark, sf_dir), AS_OF).select(
+        "o_orderkey", "Nombre", "Descripcion", "Responsable", "FechaInicio", "FechaFin", "Estado", "FechaRegistro",
+        "Motivo")
+
+
+TASK_BODIES = roles.Role("lineitem", (
+    ("Ref", roles.TASK_KEY),
+    ("proyectoId", "CAST(l_orderkey AS STRING)"),
+    ("nombre", "CASE WHEN l_linenumber = 6 THEN '' ELSE 'Tarea ' || CAST(l_linenumber AS STRING) END"),
+    ("fechaInicio", "CAST(CAST(l_shipdate AS DATE) AS STRING)"),
+    ("fechaFin", "CAST(CAST(l_shipdate AS DATE) + 3 AS STRING)"),
+    ("progreso", "CASE WHEN l_linenumber = 5 THEN CAST(NULL AS STRING) "
+                 "ELSE CAST(CAST(l_quantity * 3 - 20 AS BIGINT) AS STRING) || '%' END"),
+    ("responsable", "CAST(NULL AS STRING)"),
+    ("dependenciaId", "CASE WHEN l_linenumber > 1 THEN CAST(l_linenumber - 1 AS STRING) END"),
+    ("tareaPadreId", "CAST(NULL AS STRING)"),
+    ("esHito", "CASE l_returnflag WHEN 'R' THEN 'true' WHEN 'A' THEN '\"1\"' ELSE '\"true\"' END"),
+    ("orden", "CAST(l_linenumber AS STRING)"),
+))
+
+
+@register("task_intake", f"""
+WITH d AS ({TASK_BODIES.sql}),
+x AS (SELECT Ref, TRY_CAST(regexp_extract(proyectoId, '^([+-]?[0-9]+)', 1) AS BIGINT) AS ProyectoId,
+             NULLIF(trim(nombre), '') AS Nombre, TRY_CAST(fechaInicio AS DATE) AS FechaInicio,
+             TRY_CAST(fechaFin AS DATE) AS FechaFin,
+             COALESCE(CASE WHEN TRY_CAST(regexp_extract(progreso, '^([+-]?[0-9]+)', 1) AS INTEGER) IS NOT NULL
+                      THEN GREATEST(0, LEAST(100, TRY_CAST(regexp_extract(progreso, '^([+-]?[0-9]+)', 1) AS INTEGER)))
+                      END, 0) AS Progreso,
+             CAST(NULL AS VARCHAR) AS Responsable,
+             TRY_CAST(regexp_extract(dependenciaId, '^([+-]?[0-9]+)', 1) AS BIGINT) AS DependenciaId,
+             CAST(NULL AS BIGINT) AS TareaPadreId, esHito IN ('true', '1', '"1"') AS EsHito,
+             TRY_CAST(orden AS INTEGER) AS Orden FROM d)
+SELECT *, CASE WHEN COALESCE(ProyectoId, 0) = 0 THEN 'sin_proyecto' WHEN Nombre IS NULL THEN 'sin_nombre' END
+  AS Motivo
+FROM x
+""")
+def q_task_intake(spark, sf_dir):
+    return intake.tasks(TASK_BODIES.df(spark, sf_dir)).select(
+        "Ref", "ProyectoId", "Nombre", "FechaInicio", "FechaFin", "Progreso", "Responsable", "DependenciaId",
+        "TareaPadreId", "EsHito", "Orden", "Motivo")
+
+
+# ------------------------------------------------------------------ P8 H14: attachment content by id
+
+ATTACHMENT_CONTENT = roles.Role("documents", roles.ATTACHMENT_META + (
+    ("Contenido", ("CAST(text AS BINARY)", "encode(text)")),
+))
+
+
+@register("attachment_content", f"""
+WITH a AS ({ATTACHMENT_CONTENT.sql})
+SELECT Id, regexp_replace(COALESCE(NULLIF(Nombre, ''), 'documento'), '[\\r\\n"]', '_', 'g') AS Archivo,
+       COALESCE(ContentType, 'application/octet-stream') AS ContentType, Contenido
+FROM a WHERE Id IN (SELECT doc_id FROM labels WHERE quality = 1)
+""")
+def q_attachment_content(spark, sf_dir):
+    ids = roles.read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("Id"))
+    return attachments.content_by_ids(ATTACHMENT_CONTENT.df(spark, sf_dir), ids)
+
+
+# ------------------------------------------------------------------ P5 T5: project list
+
+@register("project_list", f"WITH p AS ({roles.PROJECTS.sql}) SELECT * FROM p")
+def q_project_list(spark, sf_dir):
+    return portfolio.project_list(roles.PROJECTS.df(spark, sf_dir))
