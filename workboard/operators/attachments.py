@@ -14,6 +14,14 @@ def passthrough(raw: DataFrame, outputs: list[str]) -> list[str]:
     taken = {o.lower() for o in outputs}
     return [c for c in raw.columns if c.lower() not in taken]
 
+
+
+def with_fields(raw: DataFrame, names: list[str]) -> DataFrame:
+    """Body fields that were not sent are null (JavaScript ``undefined``)."""
+    missing = [n for n in names if n.lower() not in {c.lower() for c in raw.columns}]
+    return raw.withColumns({n: F.lit(None).cast("string") for n in missing}) if missing else raw
+
+
 # Attachment size limit (10 MiB, checked after decoding) and the default content type.
 MAX_BYTES = 10 * 1024 * 1024
 DEFAULT_CONTENT_TYPE = "application/octet-stream"
@@ -45,6 +53,7 @@ def intake(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     Adds ``Motivo`` (null when accepted; else the first failing rule, in the reference's order) next to the typed
     row: ``Tipo``, ``SolicitudId``, ``Nombre``, ``ContentType``, ``Tamano``, ``Contenido``, ``Autor``.
     """
+    raw = with_fields(raw, ["tipo", "solicitudId", "nombre", "contentType", "base64", "autor"])
     tipo = clean_text("tipo", 10)
     sid = to_int_prefix("solicitudId")
     nombre = clean_text("nombre", 300)

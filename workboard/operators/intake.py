@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from workboard.functions.coerce import (clamp_progress, clean_text, date_or_now, default_if_blank, join_list, jstr,
                                         jtype, strict_bit, to_date_utc, to_decimal, to_int_prefix, to_int_trunc,
                                         truthy, yes_no)
-from workboard.operators.attachments import passthrough
+from workboard.operators.attachments import passthrough, with_fields
 from workboard.sources.tables import max_id, with_ids
 
 # ---------------------------------------------------------------------------------------------- JSON envelope
@@ -184,6 +184,7 @@ def notes(raw: DataFrame, as_of) -> DataFrame:
 
     A supplied, parseable ``fecha`` back-dates the note; otherwise it is stamped ``as_of`` (H25).
     """
+    raw = with_fields(raw, ["tipo", "solicitudId", "nota", "autor", "fecha"])
     tipo, sid, nota = clean_text("tipo", 10), to_int_prefix("solicitudId"), clean_text("nota")
     motivo = F.when(~_kind_ok(tipo, sid), "tipo_o_solicitud").when(nota.isNull(), "nota_vacia")
     return raw.select(*passthrough(raw, ["Tipo", "SolicitudId", "Nota", "Autor", "Fecha", "Motivo"]),
@@ -194,6 +195,7 @@ def notes(raw: DataFrame, as_of) -> DataFrame:
 
 def projects(raw: DataFrame, as_of) -> DataFrame:
     """I4: project bodies → typed project rows (state defaults to ``Activo``) + ``Motivo``."""
+    raw = with_fields(raw, ["nombre", "descripcion", "responsable", "fechaInicio", "fechaFin", "estado"])
     nombre = clean_text("nombre", 200)
     return raw.select(*passthrough(raw, ["Nombre", "Descripcion", "Responsable", "FechaInicio", "FechaFin", "Estado",
                                          "FechaRegistro", "Motivo"]),
@@ -210,8 +212,10 @@ def tasks(raw: DataFrame) -> DataFrame:
 
     ``esHito`` is read as VARIANT text so ``true``/``1``/``'1'`` are told apart from other values (H11).
     """
+    raw = with_fields(raw, ["proyectoId", "nombre", "fechaInicio", "fechaFin", "progreso", "responsable",
+                            "dependenciaId", "tareaPadreId", "esHito", "orden"])
     pid, nombre = to_int_prefix("proyectoId"), clean_text("nombre", 300)
-    hito = strict_bit(F.try_parse_json(F.col("esHito"))) if "esHito" in raw.columns else F.lit(False)
+    hito = strict_bit(F.try_parse_json(F.col("esHito")))
     motivo = F.when(F.coalesce(pid == 0, F.lit(True)), "sin_proyecto").when(nombre.isNull(), "sin_nombre")
     return raw.select(*passthrough(raw, ["ProyectoId", "Nombre", "FechaInicio", "FechaFin", "Progreso", "Responsable",
                                          "DependenciaId", "TareaPadreId", "EsHito", "Orden", "Motivo"]),

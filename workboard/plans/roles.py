@@ -71,8 +71,10 @@ PROJECTS = Role("orders", (
 
 # ---------------------------------------------------------------- tasks (lineitem)
 
-# A unique BIGINT task id packed from the lineitem natural key (order, line, part, supplier).
-TASK_KEY = "((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 2048 + l_suppkey"
+# A unique BIGINT task id packed from the lineitem natural key (order, line, part, supplier, ship day). Field widths:
+# order*8+line < 2^21, part < 2^15, supplier < 2^10, day number < 2^14 — enough for every provided scale (sf ≤ 0.1).
+TASK_KEY = ("((((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey) * 1024 + l_suppkey) * 16384 + "
+            "((year(l_shipdate) - 1990) * 372 + month(l_shipdate) * 31 + day(l_shipdate)))")
 
 TASKS = Role("lineitem", (
     ("Id", TASK_KEY),
