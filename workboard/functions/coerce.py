@@ -17,8 +17,9 @@ JS_WS = (
     "[\\x{0009}-\\x{000D}\\x{0020}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}"
     "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 )
-_TRIM_RE = f"^{JS_WS}+|{JS_WS}+$"
-_LTRIM_RE = f"^{JS_WS}+"
+# The same set as plain characters, for Spark's character-set ``trim`` (no regex, so it is cheap per row).
+JS_WS_CHARS = ("\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 # Decimal literal accepted by JavaScript Number() (after trimming).
 _DEC_RE = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
@@ -32,8 +33,8 @@ def _c(c) -> Column:
 
 
 def js_trim(c) -> Column:
-    """Trim JavaScript whitespace at both ends (Spark's ``trim`` strips only U+0020)."""
-    return F.regexp_replace(_c(c).cast("string"), _TRIM_RE, "")
+    """Trim JavaScript whitespace at both ends (Spark's default ``trim`` strips only U+0020)."""
+    return F.trim(_c(c).cast("string"), F.lit(JS_WS_CHARS))
 
 
 def clean_text(c, max_len: int | None = None) -> Column:
@@ -79,7 +80,7 @@ def to_int_prefix(c) -> Column:
     ``''`` is null; results outside the 32-bit range are null.
     """
     raw = _c(c).cast("string")
-    digits = F.regexp_extract(F.regexp_replace(raw, _LTRIM_RE, ""), "^([+-]?[0-9]+)", 1)
+    digits = F.regexp_extract(F.ltrim(raw, F.lit(JS_WS_CHARS)), "^([+-]?[0-9]+)", 1)
     return F.when(raw != "", digits.try_cast("int"))
 
 
@@ -101,34 +102,20 @@ _ISO_RE = (
     "^([0-9]{4})-([0-9]{2})-([0-9]{2})"
     "(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.]([0-9]{1,9}))?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
 )
+# The same forms as one datetime pattern with optional sections (zone-less text is read in the session zone, UTC).
+_ISO_PATTERN = "yyyy-MM-dd[['T'][' ']HH:mm[:ss][.SSSSSSSSS][XXX]]"
 
 
 def to_timestamp_utc(c) -> Column:
-    """H5 ``new Date(v)`` for ISO text, as a UTC TIMESTAMP_NTZ.
+    """H5 ``new Date(v)`` for ISO text, as a UTC TIMESTAMP_NTZ with millisecond precision.
 
     Date-only text is UTC midnight; a time without zone is taken as UTC (the service runs in UTC); ``Z`` / ``±hh:mm``
-    offsets are applied. Impossible dates (``2026-02-31``) and non-ISO text are null.
+    offsets are applied. Impossible dates (``2026-02-31``) and non-ISO text are null. One regex gate plus one
+    pattern parse per value (requires the session time zone UTC, as set by ``get_session``).
     """
     t = clean_text(c)
-
-    def g(i):
-        return F.regexp_extract(t, _ISO_RE, i)
-
-    ok = t.rlike(_ISO_RE)
-    frac = F.rpad(F.coalesce(F.nullif(g(7), F.lit("")), F.lit("0")), 3, "0").substr(1, 3)
-    text = F.concat(
-        g(1), F.lit("-"), g(2), F.lit("-"), g(3), F.lit(" "),
-        F.coalesce(F.nullif(g(4), F.lit("")), F.lit("00")), F.lit(":"),
-        F.coalesce(F.nullif(g(5), F.lit("")), F.lit("00")), F.lit(":"),
-        F.coalesce(F.nullif(g(6), F.lit("")), F.lit("00")), F.lit("."), frac,
-    )
-    base = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSS")).cast("timestamp_ntz")
-    zone = g(8)
-    offset_min = F.when((zone == "") | (zone == "Z"), F.lit(0)).otherwise(
-        (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int"))
-        * F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    )
-    return F.when(ok, F.timestamp_add("MINUTE", -offset_min, base))
+    parsed = F.try_to_timestamp(t, F.lit(_ISO_PATTERN))
+    return F.when(t.rlike(_ISO_RE), F.date_trunc("millisecond", parsed).cast("timestamp_ntz"))
 
 
 def to_date_utc(c) -> Column:
