@@ -30,15 +30,16 @@ DEFAULT_CONTENT_TYPE = "application/octet-stream"
 def lenient_base64(c) -> Column:
     """H13 decode like Node's ``Buffer.from(s, 'base64')``: characters outside the (standard or URL-safe)
     alphabet are skipped, decoding stops at the first ``=``, and a dangling single character is ignored."""
-    s = F.col(c) if isinstance(c, str) else c
-    s = F.translate(F.regexp_replace(s, "[^A-Za-z0-9+/=_-]", ""), "-_", "+/")
+    raw = F.col(c) if isinstance(c, str) else c
+    s = F.translate(F.regexp_replace(raw, "[^A-Za-z0-9+/=_-]", ""), "-_", "+/")
     s = F.regexp_extract(s, "^([^=]*)", 1)
     n = F.length(s)
     rem = n % 4
     body = F.when(rem == 1, F.substring(s, 1, n - 1)).otherwise(s)
     padded = F.when(rem == 2, F.concat(body, F.lit("=="))).when(rem == 3, F.concat(body, F.lit("="))) \
         .otherwise(body)
-    return F.try_to_binary(padded, F.lit("base64"))
+    # Well-formed input decodes strictly (same bytes as the lenient rules); the cleanup runs only when that fails.
+    return F.coalesce(F.try_to_binary(raw, F.lit("base64")), F.try_to_binary(padded, F.lit("base64")))
 
 
 def download_name(c) -> Column:

@@ -4,7 +4,7 @@ Stock Spark does not run ``UPDATE``/``MERGE``/``DELETE`` on parquet tables, so e
 ``(target, changes, as_of) → new target`` plus an outcomes frame. Writing the new snapshot is the caller's job (a new
 version directory, then switch — never overwrite a path that is being read).
 
-Change batches are collapsed to one row per key first (R3) with struct-max aggregates, which aggregate partially
+Change batches are collapsed to one row per key first (R3) with ``max_by`` aggregates, which aggregate partially
 on the map side, so a key receiving a third of all changes is reduced before the shuffle. The collapsed batch is
 then joined to the target on its unique key; AQE turns that into a broadcast join at run time when the batch is
 small and a sort-merge join otherwise.
@@ -12,9 +12,10 @@ small and a sort-merge join otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from workboard.session import materialize
 from workboard.sources.tables import max_id, with_ids
 
 KEEP_IF_NULL = "keep_if_null"
@@ -37,12 +38,12 @@ RELEASE_FIELDS = ["Titulo", "FechaPlanificada", "VentanaInicio", "VentanaFin", "
 
 def _last(col: str, seq: str) -> Column:
     """Value of ``col`` in the row with the highest ``seq`` (null values included)."""
-    return F.max(F.struct(F.col(seq).alias("s"), F.col(col).alias("v")))["v"]
+    return F.max_by(F.col(col), F.col(seq))
 
 
 def _last_non_null(col: str, seq: str) -> Column:
-    """Value of ``col`` in the highest-``seq`` row where it is not null."""
-    return F.max(F.when(F.col(col).isNotNull(), F.struct(F.col(seq).alias("s"), F.col(col).alias("v"))))["v"]
+    """Value of ``col`` in the highest-``seq`` row where it is not null (rows with a null ordering are skipped)."""
+    return F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(seq)))
 
 
 def collapse(changes: DataFrame, keys: list[str], policy: dict, seq: str = "seq") -> DataFrame:
@@ -100,9 +101,13 @@ def upsert(target: DataFrame, changes: DataFrame, as_of=None, keys=("Tipo", "Sol
     ``changes`` must already be normalised (state defaulted, kinds validated).
     """
     keys = list(keys)
-    last = changes.groupBy(*keys).agg(
-        F.max(F.struct(F.col(seq).alias("s"), *[F.col(f) for f in fields])).alias("_c"))
-    c = last.select(*keys, *[F.col("_c")[f].alias(f) for f in fields], F.lit(True).alias("_hit"))
+    # Last change per key: row_number = 1 becomes a WindowGroupLimit that also runs map-side (partial top-1 per
+    # key before the shuffle), so a key with a third of the batch is cut down before it moves.
+    w = Window.partitionBy(*keys).orderBy(F.col(seq).desc())
+    last = changes.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    # The collapsed batch feeds both the merge join and the insert branch (whose ids need a stable input): compute
+    # it once and cut its lineage in the shared checkpoint folder.
+    c = materialize(last.select(*keys, *fields, F.lit(True).alias("_hit")), "upsert-batch")
     stamp = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
 
     t = target.alias("t")

@@ -77,3 +77,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint root (for written intermediates and stream state)."""
     root = checkpoint_root(spark)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as parquet under the shared checkpoint folder and reading it back.
+
+    One computation and a columnar write (an eager ``checkpoint()`` computes the plan twice and writes serialized
+    rows); the result survives executor loss because it lives in the shared folder, not on executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

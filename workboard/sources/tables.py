@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from workboard import schemas
-from workboard.session import checkpoint_root
+from workboard.session import materialize
 
 _LOW33 = (1 << 33) - 1
 
@@ -39,12 +39,9 @@ def with_ids(df: DataFrame, order_by: list, base: int = 0, id_col: str = "Id") -
     executor loss. Per-partition counts (one row per partition — a bounded, broadcast-safe table) give each
     partition its starting offset.
     """
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    tagged = (df.orderBy(*order_by)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
-              .checkpoint(eager=True))
+    tagged = materialize(df.orderBy(*order_by)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))), "ids")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
