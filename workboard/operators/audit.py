@@ -18,6 +18,18 @@ def _finding(df: DataFrame, rule: str, table: str, id_col: str, ref_col: str) ->
                      F.col(id_col).cast("bigint").alias("Id"), F.col(ref_col).cast("bigint").alias("Ref"))
 
 
+def orphans(child: DataFrame, fk: list[str], parent_keys: DataFrame) -> DataFrame:
+    """Child rows whose foreign key matches no parent key.
+
+    Distinct keys first (partial aggregation, so a hot key collapses map-side), anti join them with the parent
+    keys, then semi join the — usually tiny — missing-key set back to the children: AQE broadcasts it from its
+    measured size, so the child table is scanned but not shuffled.
+    """
+    keys = child.select(*fk).where(" AND ".join(f"{c} IS NOT NULL" for c in fk)).distinct()
+    missing = keys.join(parent_keys.select(*fk).distinct(), fk, "left_anti")
+    return child.join(missing, fk, "left_semi")
+
+
 def referential_audit(projects: DataFrame, tasks: DataFrame, feed: DataFrame, notes: DataFrame,
                       attachments: DataFrame, releases: DataFrame) -> DataFrame:
     """R2: orphan tasks, orphan parent links, dangling request ``ProyectoId``, and notes / attachments / releases
@@ -26,16 +38,13 @@ def referential_audit(projects: DataFrame, tasks: DataFrame, feed: DataFrame, no
     tids = tasks.select(F.col("Id").alias("TareaPadreId"))
     req = feed.select("Tipo", F.col("Id").alias("SolicitudId"))
     parts = [
-        _finding(tasks.join(pids, "ProyectoId", "left_anti"), "tarea_sin_proyecto", "tareas", "Id", "ProyectoId"),
-        _finding(tasks.where(F.col("TareaPadreId").isNotNull()).join(tids, "TareaPadreId", "left_anti"),
-                 "tarea_sin_padre", "tareas", "Id", "TareaPadreId"),
-        _finding(feed.where(F.col("ProyectoId").isNotNull()).join(pids, "ProyectoId", "left_anti"),
-                 "solicitud_sin_proyecto", "solicitudes", "Id", "ProyectoId"),
-        _finding(notes.join(req, ["Tipo", "SolicitudId"], "left_anti"), "nota_sin_solicitud", "notas", "Id",
+        _finding(orphans(tasks, ["ProyectoId"], pids), "tarea_sin_proyecto", "tareas", "Id", "ProyectoId"),
+        _finding(orphans(tasks, ["TareaPadreId"], tids), "tarea_sin_padre", "tareas", "Id", "TareaPadreId"),
+        _finding(orphans(feed, ["ProyectoId"], pids), "solicitud_sin_proyecto", "solicitudes", "Id", "ProyectoId"),
+        _finding(orphans(notes, ["Tipo", "SolicitudId"], req), "nota_sin_solicitud", "notas", "Id", "SolicitudId"),
+        _finding(orphans(attachments, ["Tipo", "SolicitudId"], req), "documento_sin_solicitud", "documentos", "Id",
                  "SolicitudId"),
-        _finding(attachments.join(req, ["Tipo", "SolicitudId"], "left_anti"), "documento_sin_solicitud",
-                 "documentos", "Id", "SolicitudId"),
-        _finding(releases.join(req, ["Tipo", "SolicitudId"], "left_anti"), "pase_sin_solicitud", "pases", "Id",
+        _finding(orphans(releases, ["Tipo", "SolicitudId"], req), "pase_sin_solicitud", "pases", "Id",
                  "SolicitudId"),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
