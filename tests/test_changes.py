@@ -86,3 +86,9 @@ def test_deletes(spark):
     assert left.count() == 37
     kept = changes.delete_keys(tasks, spark.createDataFrame([(leaf,), (999,)], "Id bigint"))
     assert kept.count() == 37
+
+
+def test_orphans_by_distinct_keys(spark):
+    child = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (4, None)], "Id bigint, ProyectoId bigint")
+    parents = spark.createDataFrame([(10,)], "ProyectoId bigint")
+    assert [r["Id"] for r in audit.orphans(child, ["ProyectoId"], parents).collect()] == [3]

@@ -77,3 +77,16 @@ def test_display(spark):
                               "a timestamp_ntz, b timestamp_ntz")
     assert [r[0] for r in w.select(display.window_text("a", "b")).collect()] == \
         ["2026-01-01 22:00", " → 2026-01-02 02:00", "—"]
+
+
+def test_strict_bit_text_matches_variant_rule(spark):
+    texts = ["true", "1", '"1"', "1.0", "0", '"true"', "false", "", None, " true "]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    a = [r[0] for r in df.select(coerce.strict_bit_text("v")).collect()]
+    b = [r[0] for r in df.select(coerce.strict_bit(F.try_parse_json(coerce.js_trim("v")))).collect()]
+    assert a == b == [True, True, True, True, False, False, False, False, False, True]
+
+
+def test_trim_list(spark):
+    df = spark.createDataFrame([([" a ", "", "  ", "b"],)], "v array<string>")
+    assert df.select(coerce.trim_list(F.col("v"))).first()[0] == ["a", "b"]

@@ -102,20 +102,17 @@ _ISO_RE = (
     "^([0-9]{4})-([0-9]{2})-([0-9]{2})"
     "(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.]([0-9]{1,9}))?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
 )
-# The same forms as one datetime pattern with optional sections (zone-less text is read in the session zone, UTC).
-_ISO_PATTERN = "yyyy-MM-dd[['T'][' ']HH:mm[:ss][.SSSSSSSSS][XXX]]"
 
 
 def to_timestamp_utc(c) -> Column:
     """H5 ``new Date(v)`` for ISO text, as a UTC TIMESTAMP_NTZ with millisecond precision.
 
     Date-only text is UTC midnight; a time without zone is taken as UTC (the service runs in UTC); ``Z`` / ``±hh:mm``
-    offsets are applied. Impossible dates (``2026-02-31``) and non-ISO text are null. One regex gate plus one
-    pattern parse per value (requires the session time zone UTC, as set by ``get_session``).
+    offsets are applied. Impossible dates (``2026-02-31``) and non-ISO text are null. One regex gate, then Spark's
+    own ISO timestamp cast (requires the session time zone UTC, as set by ``get_session``).
     """
     t = clean_text(c)
-    parsed = F.try_to_timestamp(t, F.lit(_ISO_PATTERN))
-    return F.when(t.rlike(_ISO_RE), F.date_trunc("millisecond", parsed).cast("timestamp_ntz"))
+    return F.when(t.rlike(_ISO_RE), F.date_trunc("millisecond", t.try_cast("timestamp")).cast("timestamp_ntz"))
 
 
 def to_date_utc(c) -> Column:
@@ -131,65 +128,88 @@ def date_or_now(c, as_of) -> Column:
 # --- JSON-typed flags and lists (the value type matters, so these take a VARIANT field) ---------------------------
 
 def jtype(v: Column) -> Column:
-    """Type name of a VARIANT value: STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, OBJECT<..>, ARRAY<..>, VOID."""
-    return F.when(v.isNotNull(), F.schema_of_variant(v))
+    """Type name of a VARIANT value: OBJECT, ARRAY, VOID (JSON null), or the scalar type (STRING, BIGINT, DECIMAL(..),
+    DOUBLE, BOOLEAN); SQL null when the member is missing.
+
+    Containers are recognised by cheap casts (to an empty struct / an array of variants) so ``schema_of_variant``,
+    which walks the whole value, only ever runs on scalars.
+    """
+    return (F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(F.is_variant_null(v), F.lit("VOID"))
+            .when(F.try_variant_get(v, "$", "struct<>").isNotNull(), F.lit("OBJECT"))
+            .when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), F.lit("ARRAY"))
+            .otherwise(F.schema_of_variant(v)))
 
 
-def jstr(v: Column) -> Column:
+def jstr(v: Column, t: Column | None = None) -> Column:
     """JavaScript ``String(v)`` of a scalar JSON value (null/missing → null)."""
-    return F.when(~jtype(v).startswith("VOID"), F.try_variant_get(v, "$", "string"))
+    t = jtype(v) if t is None else t
+    return F.when(t != "VOID", F.try_variant_get(v, "$", "string"))
 
 
-def _is_number(v: Column) -> Column:
-    t = jtype(v)
+def _is_number(t: Column) -> Column:
     return t.startswith("BIGINT") | t.startswith("INT") | t.startswith("DECIMAL") | t.startswith("DOUBLE") \
         | t.startswith("FLOAT") | t.startswith("SMALLINT") | t.startswith("TINYINT")
 
 
-def yes_no(v: Column) -> Column:
+def yes_no(v: Column, t: Column | None = None) -> Column:
     """H9: JSON ``true``, text ``'Sí'`` or ``'si'`` → ``'Sí'``; anything else → ``'No'``."""
-    t = jtype(v)
+    t = jtype(v) if t is None else t
     s = F.try_variant_get(v, "$", "string")
     yes = ((t == "BOOLEAN") & (s == "true")) | ((t == "STRING") & s.isin("Sí", "si"))
     return F.when(F.coalesce(yes, F.lit(False)), F.lit("Sí")).otherwise(F.lit("No"))
 
 
-def truthy(v: Column) -> Column:
+def truthy(v: Column, t: Column | None = None) -> Column:
     """JavaScript truthiness of a JSON value (``"0"`` and ``"false"`` are truthy; 0, '', null are not)."""
-    t = jtype(v)
-    s = F.try_variant_get(v, "$", "string")
-    num = F.try_variant_get(v, "$", "double")
+    t = jtype(v) if t is None else t
     return F.coalesce(
-        F.when(t.isNull() | t.startswith("VOID"), F.lit(False))
-        .when(t == "BOOLEAN", s == "true")
-        .when(t == "STRING", s != "")
-        .when(_is_number(v), (num != 0) & ~F.isnan(num))
+        F.when(t.isNull() | (t == "VOID"), F.lit(False))
+        .when(t.isin("OBJECT", "ARRAY"), F.lit(True))
+        .when(t == "BOOLEAN", F.try_variant_get(v, "$", "string") == "true")
+        .when(t == "STRING", F.try_variant_get(v, "$", "string") != "")
+        .when(_is_number(t), (F.try_variant_get(v, "$", "double") != 0)
+              & ~F.isnan(F.try_variant_get(v, "$", "double")))
         .otherwise(F.lit(True)),
         F.lit(False),
     )
 
 
-def strict_bit(v: Column) -> Column:
+def strict_bit(v: Column, t: Column | None = None) -> Column:
     """``true``, ``1`` or ``'1'`` → true; anything else → false."""
-    t = jtype(v)
+    t = jtype(v) if t is None else t
     s = F.try_variant_get(v, "$", "string")
     num = F.try_variant_get(v, "$", "double")
-    hit = ((t == "BOOLEAN") & (s == "true")) | ((t == "STRING") & (s == "1")) | (_is_number(v) & (num == 1))
+    hit = ((t == "BOOLEAN") & (s == "true")) | ((t == "STRING") & (s == "1")) | (_is_number(t) & (num == 1))
     return F.coalesce(hit, F.lit(False))
 
 
-def join_list(v: Column, sep: str, max_len: int | None = None) -> Column:
+def join_list(v: Column, sep: str, max_len: int | None = None, t: Column | None = None) -> Column:
     """H8 ``joinList``: an array drops falsy items and joins (may give ``''``); any other value → :func:`clean_text`.
 
     Items are not trimmed. Falsy array items are null, ``''``, ``false`` and numeric 0.
     """
+    t = jtype(v) if t is None else t
     arr = F.try_variant_get(v, "$", "array<variant>")
     items = F.transform(arr, lambda x: F.when(truthy(x), F.try_variant_get(x, "$", "string")))
-    joined = F.array_join(F.filter(items, lambda x: x.isNotNull()), sep)
-    out = F.when(jtype(v).startswith("ARRAY"), joined).otherwise(clean_text(jstr(v)))
+    joined = F.array_join(items, sep)  # array_join skips the nulls left by falsy items
+    out = F.when(t == "ARRAY", joined).otherwise(clean_text(jstr(v, t)))
     return F.substring(out, 1, max_len) if max_len else out
 
 
+_NUM_TEXT_RE = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def strict_bit_text(c) -> Column:
+    """H11 for a field that arrives as JSON text (form bodies): ``true``, a number equal to 1, or ``"1"`` → true.
+
+    Same result as :func:`strict_bit` on the parsed value, without building a VARIANT per row.
+    """
+    t = js_trim(c)
+    num = F.when(t.rlike(_NUM_TEXT_RE), t.try_cast("double"))
+    return F.coalesce((t == "true") | (t == '"1"') | (num == 1), F.lit(False))
+
+
 def trim_list(arr: Column) -> Column:
     """Form-side list collection — trim every entry and drop the empty ones."""
     return F.filter(F.transform(arr, lambda x: js_trim(x)), lambda x: x != "")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workboard.functions.coerce import (clamp_progress, clean_text, date_or_now, default_if_blank, join_list, jstr,
-                                        jtype, strict_bit, to_date_utc, to_decimal, to_int_prefix, to_int_trunc,
+                                        jtype, strict_bit_text, to_date_utc, to_decimal, to_int_prefix, to_int_trunc,
                                         truthy, yes_no)
 from workboard.operators.attachments import passthrough, with_fields
 from workboard.sources.tables import max_id, with_ids
@@ -36,22 +36,29 @@ def staged_body(raw: DataFrame, text_col: str, fields: dict) -> DataFrame:
     """
     d = raw.withColumn("_b", F.try_parse_json(F.col(text_col)))
     d = d.withColumn("_m0", field(F.col("_b"), "model"))
-    d = d.withColumn("_use_m", truthy(F.col("_m0")))
-    d = d.withColumn("_m", F.when(F.col("_use_m"), F.col("_m0")).otherwise(F.col("_b")))
+    d = d.withColumn("_m0_t", jtype(F.col("_m0")))
+    d = d.withColumn("_use_m", truthy(F.col("_m0"), F.col("_m0_t")))
+    d = d.withColumns({"_m": F.when(F.col("_use_m"), F.col("_m0")).otherwise(F.col("_b")),
+                       "_m_t": F.when(F.col("_use_m"), F.col("_m0_t")).otherwise(jtype(F.col("_b")))})
     roots = {"m": F.col("_m"), "b": F.col("_b")}
     d = d.withColumns({
-        "_is_obj": F.coalesce(jtype(F.col("_m")).startswith("OBJECT"), F.lit(False)),
+        "_is_obj": F.coalesce(F.col("_m_t") == "OBJECT", F.lit(False)),
         "_payload": F.when(F.col("_use_m"), F.get_json_object(F.col(text_col), "$.model"))
                      .otherwise(F.get_json_object(F.col(text_col), "$")),
         **{f"_v_{k}": field(roots[spec[0]], *spec[1:]) for k, spec in fields.items()},
     })
-    return d.withColumns({f"_t_{k}": jstr(F.col(f"_v_{k}")) for k in fields})
+    d = d.withColumns({f"_y_{k}": jtype(F.col(f"_v_{k}")) for k in fields})
+    return d.withColumns({f"_t_{k}": jstr(F.col(f"_v_{k}"), F.col(f"_y_{k}")) for k in fields})
 
 
 def _v(k: str) -> Column:
     return F.col(f"_v_{k}")
 
 
+def _y(k: str) -> Column:
+    return F.col(f"_y_{k}")
+
+
 def _t(k: str) -> Column:
     return F.col(f"_t_{k}")
 
@@ -77,8 +84,8 @@ def erp_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     d = staged_body(raw, text_col, _ERP_FIELDS)
     clean = {
         "Solicitante": clean_text(_t("solicitante"), 200), "Area": clean_text(_t("area"), 200),
-        "Descripcion": clean_text(_t("descripcion")), "Modulos": join_list(_v("modulos"), ", "),
-        "Procesos": join_list(_v("procesos"), " | "), "TransformarFabric": yes_no(_v("transformar_fabric")),
+        "Descripcion": clean_text(_t("descripcion")), "Modulos": join_list(_v("modulos"), ", ", t=_y("modulos")),
+        "Procesos": join_list(_v("procesos"), " | ", t=_y("procesos")), "TransformarFabric": yes_no(_v("transformar_fabric"), _y("transformar_fabric")),
         "FabricDetalle": clean_text(_t("fabric_detalle")), "Prioridad": clean_text(_t("prioridad"), 20),
         "Estado": default_if_blank(_t("estado"), "Nuevo", 50),
         "ProyectoId": to_int_prefix(_t("proyecto_id")).cast("bigint"), "PayloadJson": F.col("_payload"),
@@ -104,7 +111,7 @@ def general_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     d = staged_body(raw, text_col, _GENERAL_FIELDS)
     clean = {
         "Titulo": clean_text(_t("asunto"), 300), "Solicitante": clean_text(_t("solicitante"), 200),
-        "Area": clean_text(_t("area"), 200), "Ambito": join_list(_v("ambito"), ", "),
+        "Area": clean_text(_t("area"), 200), "Ambito": join_list(_v("ambito"), ", ", t=_y("ambito")),
         "Descripcion": clean_text(_t("descripcion")), "Justificacion": clean_text(_t("justificacion")),
         "Prioridad": clean_text(_t("prioridad"), 20), "Estado": default_if_blank(_t("estado"), "Nuevo", 50),
         "ProyectoId": to_int_prefix(_t("proyecto_id")).cast("bigint"), "PayloadJson": F.col("_payload"),
@@ -162,8 +169,8 @@ def infra_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     derived = {
         "Titulo": F.coalesce(
             clean_text(_t("row_titulo"), 300),
-            F.when(truthy(_v("ident")), F.concat(_t("ident"), F.lit(" – "),
-                                                  F.when(truthy(_v("nombre")), _t("nombre")).otherwise(F.lit("")))),
+            F.when(truthy(_v("ident"), _y("ident")), F.concat(_t("ident"), F.lit(" – "), F.when(
+                truthy(_v("nombre"), _y("nombre")), _t("nombre")).otherwise(F.lit("")))),
             clean_text(_t("nombre"), 300)),
         "Motivo": _envelope_reason().when(F.col("Aplicacion").isNull(), "faltan_obligatorios"),
     }
@@ -215,7 +222,7 @@ def tasks(raw: DataFrame) -> DataFrame:
     raw = with_fields(raw, ["proyectoId", "nombre", "fechaInicio", "fechaFin", "progreso", "responsable",
                             "dependenciaId", "tareaPadreId", "esHito", "orden"])
     pid, nombre = to_int_prefix("proyectoId"), clean_text("nombre", 300)
-    hito = strict_bit(F.try_parse_json(F.col("esHito")))
+    hito = strict_bit_text("esHito")
     motivo = F.when(F.coalesce(pid == 0, F.lit(True)), "sin_proyecto").when(nombre.isNull(), "sin_nombre")
     return raw.select(*passthrough(raw, ["ProyectoId", "Nombre", "FechaInicio", "FechaFin", "Progreso", "Responsable",
                                          "DependenciaId", "TareaPadreId", "EsHito", "Orden", "Motivo"]),
