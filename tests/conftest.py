@@ -11,7 +11,7 @@ from workboard.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("local[4]", 4, app="workboard-tests")
+    s = get_session("local[4]", 4, app="workboard-tests", extra={"spark.driver.memory": "4g"})
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wb-test-ckpt-"))
     yield s

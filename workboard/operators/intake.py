@@ -15,7 +15,8 @@ from workboard.functions.coerce import (clamp_progress, clean_text, date_or_now,
                                         jtype, strict_bit_text, to_date_utc, to_decimal, to_int_prefix, to_int_trunc,
                                         truthy, yes_no)
 from workboard.operators.attachments import passthrough, with_fields
-from workboard.sources.tables import max_id, with_ids
+from workboard.session import materialize
+from workboard.sources.tables import conform, max_id, with_ids
 
 # ---------------------------------------------------------------------------------------------- JSON envelope
 
@@ -237,8 +238,14 @@ def tasks(raw: DataFrame) -> DataFrame:
 
 
 def split_valid(df: DataFrame, reason_col: str = "Motivo") -> tuple[DataFrame, DataFrame]:
-    """``(accepted, rejects)``; together they are the whole input."""
-    return df.where(F.col(reason_col).isNull()), df.where(F.col(reason_col).isNotNull())
+    """``(accepted, rejects)``; together they are the whole input.
+
+    The typed rows are written once to the shared checkpoint folder and both outputs read that table. One intake
+    computation feeds both outputs, and the filter cannot be pushed back through the parsing stages, where Catalyst
+    would otherwise inline the JSON parse into the predicate once per reference.
+    """
+    typed = materialize(df, "intake")
+    return typed.where(F.col(reason_col).isNull()), typed.where(F.col(reason_col).isNotNull())
 
 
 def reason_counts(df: DataFrame, reason_col: str = "Motivo") -> DataFrame:
@@ -276,3 +283,21 @@ def resolve_project_names(rows: DataFrame, name_col: str, projects_df: DataFrame
                                   (F.lit(as_of).cast("timestamp_ntz") if as_of is not None
                                    else F.current_timestamp().cast("timestamp_ntz")).alias("FechaRegistro"))
     return out, new_projects
+
+
+def create(target: DataFrame, typed: DataFrame, ddl: str, order_by: list, as_of=None,
+           stamp_col: str | None = "FechaRegistro", keep: list[str] | None = None):
+    """I1–I7 + S4 end to end (``INSERT … OUTPUT INSERTED.Id``): accepted rows get ids continuing after the target's
+    largest id (in ``order_by`` order), the registration stamp, and the target's schema; rejects keep their reason.
+
+    Returns ``(new_rows, rejects)``; append ``new_rows`` with ``write.mode('append')``. ``keep`` lists extra input
+    columns (e.g. a source reference) to carry next to the schema columns.
+    """
+    valid, rejects = split_valid(typed)
+    if stamp_col:
+        stamp = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else \
+            F.current_timestamp().cast("timestamp_ntz")
+        valid = valid.withColumn(stamp_col, stamp)
+    with_id = with_ids(valid.drop("Motivo"), order_by, base=max_id(target))
+    extra = "".join(f", {k} {with_id.schema[k].dataType.simpleString()}" for k in (keep or []))
+    return conform(with_id, ddl + extra), rejects

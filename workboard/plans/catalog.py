@@ -1163,3 +1163,39 @@ def q_attachment_content(spark, sf_dir):
 @register("project_list", f"WITH p AS ({roles.PROJECTS.sql}) SELECT * FROM p")
 def q_project_list(spark, sf_dir):
     return portfolio.project_list(roles.PROJECTS.df(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ E2 / I2 + S4: create ERP requests end to end
+
+from workboard import schemas  # noqa: E402
+
+_ERP_COLS = roles.REQUESTS_ERP.names()
+
+
+@register("erp_create", f"""
+WITH x AS ({ORACLES["json_intake_erp"]}),
+t AS ({roles.REQUESTS_ERP.sql})
+SELECT (SELECT MAX(Id) FROM t) + row_number() OVER (ORDER BY Ref) AS Id, {AS_OF_SQL} AS FechaRegistro,
+       Titulo, Solicitante, Area, Descripcion, Modulos, Procesos, TransformarFabric, FabricDetalle, Prioridad, Estado,
+       CAST(NULL AS VARCHAR) AS Responsable, CAST(NULL AS DATE) AS FechaEntrega,
+       CAST(NULL AS TIMESTAMP) AS FechaActualizacion, PayloadJson, ProyectoId, Ref
+FROM x WHERE Motivo IS NULL
+""")
+def q_erp_create(spark, sf_dir):
+    typed = intake.erp_requests(ERP_BODIES.df(spark, sf_dir)).drop("body")
+    new, _ = intake.create(roles.REQUESTS_ERP.df(spark, sf_dir), typed, schemas.REQUESTS_ERP, [F.col("Ref")],
+                           as_of=AS_OF, keep=["Ref"])
+    return new
+
+
+@register("project_create", f"""
+WITH x AS ({ORACLES["project_intake"]}), p AS ({roles.PROJECTS.sql})
+SELECT (SELECT MAX(Id) FROM p) + row_number() OVER (ORDER BY o_orderkey) AS Id, Nombre, Descripcion, Responsable,
+       FechaInicio, FechaFin, Estado, FechaRegistro, o_orderkey
+FROM x WHERE Motivo IS NULL
+""")
+def q_project_create(spark, sf_dir):
+    typed = intake.projects(PROJECT_BODIES.df(spark, sf_dir), AS_OF)
+    new, _ = intake.create(roles.PROJECTS.df(spark, sf_dir), typed, schemas.PROJECTS, [F.col("o_orderkey")],
+                           as_of=AS_OF, keep=["o_orderkey"])
+    return new
