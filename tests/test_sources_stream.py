@@ -50,11 +50,13 @@ def test_stream_equals_batch_and_replay_is_skipped(spark, tmp_dir):
         return changes.apply_patch(cur, batch, changes.TRACKING_POLICY, as_of=now)
 
     root = os.path.join(tmp_dir, "table")
-    q = apply_change_stream(stream, target, root, os.path.join(tmp_dir, "ckpt"), apply)
+    q = apply_change_stream(stream, target, root, os.path.join(tmp_dir, "ckpt"), apply, keys=["Id"], buckets=4)
     q.awaitTermination()
-    store = SnapshotStore(spark, root)
+    store = SnapshotStore(spark, root, ["Id"], 4)
     final = sorted(map(tuple, store.read_latest().collect()))
     batch = sorted(map(tuple, apply(target, b1.unionByName(b2), 0).collect()))
     assert final == batch
-    latest = store.latest()
-    assert store.has(latest[0])
+    assert store.has(store.latest_batch())
+    # each batch rewrote only the buckets it touched
+    m = spark.read.parquet(os.path.join(root, "_manifest"))
+    assert m.where("batch_id >= 0").count() < 2 * 4

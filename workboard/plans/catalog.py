@@ -994,9 +994,10 @@ def q_stream_apply(spark, sf_dir):
     q = stream_apply.apply_change_stream(
         _change_stream(spark, sf_dir), roles.REQUESTS_ERP.df(spark, sf_dir), f"{root}/table", f"{root}/checkpoint",
         lambda cur, batch, _bid: changes.apply_patch(cur, normalise_tracking(batch), changes.TRACKING_POLICY,
-                                                     as_of=AS_OF))
+                                                     as_of=AS_OF),
+        keys=["Id"], change_keys=["id"], buckets=16)
     q.awaitTermination()
-    return stream_apply.SnapshotStore(spark, f"{root}/table").read_latest()
+    return stream_apply.SnapshotStore(spark, f"{root}/table", ["Id"], 16).read_latest()
 
 
 # ------------------------------------------------------------------ S2 I1: infrastructure JSON intake

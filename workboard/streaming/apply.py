@@ -1,17 +1,18 @@
 """Stream forms of intake and change application.
 
 The portal receives one event per HTTP call; here those events arrive as files (JSON bodies or parquet change rows)
-and a Structured Streaming query applies each micro-batch with ``foreachBatch``. State lives in versioned parquet
-snapshots under a shared folder:
-
-* every batch writes a **new** version directory (the one being read is never overwritten), then appends one row
-  ``(batch_id, path)`` to a small commit log table — the log is the only pointer, so a crash between the two steps
-  leaves the old version current;
-* a batch id already in the log is skipped, so a replay after a failure (``foreachBatch`` is at-least-once) does not
-  apply the same changes twice;
-* the stream checkpoint tracks which files were consumed.
-
-Everything is DataFrame I/O, so the same code runs on any file system the cluster uses.
+and a Structured Streaming query applies each micro-batch with ``foreachBatch``. State lives in a bucketed,
+copy-on-write parquet table under a shared folder:
+
+* rows are hashed on the table key into ``buckets`` buckets; a micro-batch reads and rewrites **only the buckets its
+  keys touch**, into a new version directory (a path that is being read is never overwritten);
+* a manifest table ``(batch_id, bucket, path)`` records where each bucket's latest copy lives; it is appended after
+  the data is written, so a crash in between leaves the previous copy current;
+* a batch id already in the manifest is skipped, so a replay after a failure (``foreachBatch`` is at-least-once)
+  does not apply the same changes twice; the stream checkpoint tracks which files were consumed.
+
+The driver only handles bucket ids (at most ``buckets`` values) — never rows. Everything is DataFrame I/O, so the
+same code runs on any file system the cluster uses.
 """
 
 from __future__ import annotations
@@ -22,65 +23,121 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-LOG_SCHEMA = "batch_id BIGINT, path STRING"
+MANIFEST_SCHEMA = "batch_id BIGINT, bucket INT, path STRING"
+BUCKET_COL = "wb_bucket"
+
+
+def bucket_of(keys: list[str], buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
 
 
 class SnapshotStore:
-    """Versioned parquet snapshots of one table plus a commit log."""
+    """Bucketed copy-on-write snapshots of one table plus a manifest.
 
-    def __init__(self, spark: SparkSession, root: str):
+    Size ``buckets`` so one bucket is about 1 GiB (e.g. ~100k buckets for 100 TB): a batch then rewrites roughly
+    ``touched buckets × 1 GiB``, and each bucket is written by one task.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 64):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.log_path = f"{self.root}/_log"
+        self.keys = list(keys)
+        self.buckets = buckets
+        self.manifest_path = f"{self.root}/_manifest"
 
-    def _log(self) -> DataFrame | None:
+    def _manifest(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
+            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
         except AnalysisException:
             return None
 
-    def latest(self) -> tuple[int, str] | None:
-        log = self._log()
-        if log is None:
-            return None
-        row = log.orderBy(F.col("batch_id").desc()).limit(1).collect()
-        return (row[0]["batch_id"], row[0]["path"]) if row else None
-
     def has(self, batch_id: int) -> bool:
-        log = self._log()
-        return log is not None and log.where(F.col("batch_id") == batch_id).limit(1).count() > 0
+        m = self._manifest()
+        return m is not None and m.where(F.col("batch_id") == batch_id).limit(1).count() > 0
 
-    def read_latest(self) -> DataFrame:
-        cur = self.latest()
-        if cur is None:
-            raise ValueError(f"no snapshot committed under {self.root}")
-        return self.spark.read.parquet(cur[1])
+    def latest_batch(self) -> int | None:
+        m = self._manifest()
+        if m is None:
+            return None
+        return m.agg(F.max("batch_id")).first()[0]
+
+    def current_paths(self, buckets: list[int] | None = None) -> list[str]:
+        """Paths of the latest copy of each bucket (optionally only ``buckets``): at most one per bucket."""
+        m = self._manifest()
+        if m is None:
+            return []
+        if buckets is not None:
+            m = m.where(F.col("bucket").isin(buckets))
+        latest = m.groupBy("bucket").agg(F.max_by("path", "batch_id").alias("path"))
+        return [r["path"] for r in latest.collect()]
+
+    def _write(self, rows: DataFrame, version: str) -> None:
+        """One writer per bucket (rows are hash-partitioned on the bucket first), so each bucket is one file set."""
+        b = rows.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
+        b.repartition(BUCKET_COL).write.mode("overwrite").partitionBy(BUCKET_COL).parquet(version)
+
+    def _buckets_in(self, version: str) -> list[int]:
+        """Bucket ids written under a version directory (at most ``buckets`` values)."""
+        try:
+            return [r[0] for r in self.spark.read.parquet(version).select(BUCKET_COL).distinct().collect()]
+        except AnalysisException:  # nothing written
+            return []
+
+    def read(self, buckets: list[int] | None = None, schema=None) -> DataFrame:
+        paths = [p for p in self.current_paths(buckets) if p]
+        if not paths:
+            if schema is None:
+                raise ValueError(f"no snapshot committed under {self.root}")
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.parquet(*paths)
 
-    def commit(self, batch_id: int, df: DataFrame) -> str:
-        path = f"{self.root}/v{batch_id + 1:012d}"
-        df.write.mode("overwrite").parquet(path)
-        self.spark.createDataFrame([(batch_id, path)], LOG_SCHEMA).coalesce(1) \
-            .write.mode("append").parquet(self.log_path)
-        return path
+    def read_latest(self) -> DataFrame:
+        return self.read()
+
+    def commit(self, batch_id: int, rows: DataFrame, buckets: list[int]) -> None:
+        """Write the new copy of ``buckets`` (``rows`` must hold every row of those buckets), then record it."""
+        version = f"{self.root}/v{batch_id + 1:012d}"
+        self._write(rows, version)
+        written = set(self._buckets_in(version))
+        # a touched bucket left without rows is recorded with an empty path (reads as no rows)
+        entries = [(batch_id, b, f"{version}/{BUCKET_COL}={b}" if b in written else "") for b in buckets]
+        self.spark.createDataFrame(entries, MANIFEST_SCHEMA).coalesce(1).write.mode("append") \
+            .parquet(self.manifest_path)
+
+    def initialise(self, initial: DataFrame) -> None:
+        """Version 0: the whole initial table. Buckets without rows get no entry (they read as empty)."""
+        version = f"{self.root}/v{0:012d}"
+        self._write(initial, version)
+        entries = [(-1, b, f"{version}/{BUCKET_COL}={b}") for b in self._buckets_in(version)]
+        self.spark.createDataFrame(entries, MANIFEST_SCHEMA).coalesce(1).write.mode("append") \
+            .parquet(self.manifest_path)
 
 
 def apply_change_stream(changes: DataFrame, initial: DataFrame, root: str, checkpoint: str,
-                        apply: Callable[[DataFrame, DataFrame, int], DataFrame], available_now: bool = True):
+                        apply: Callable[[DataFrame, DataFrame, int], DataFrame], keys: list[str],
+                        change_keys: list[str] | None = None, buckets: int = 64, available_now: bool = True):
     """Apply a streaming change feed to a snapshot table, one micro-batch at a time.
 
-    ``apply(current, batch, batch_id) -> new`` is any batch change operator (``changes.apply_patch``,
-    ``changes.upsert``, …). Returns the started ``StreamingQuery``; with ``available_now`` it stops after consuming
-    what is present.
+    ``apply(current_rows, batch, batch_id) -> new_rows`` is any batch change operator (``changes.apply_patch``,
+    ``changes.upsert``, …); it receives only the rows of the buckets the batch touches and must return all of
+    them (updated or not) plus any inserts. ``keys`` is the table key, ``change_keys`` the same key's columns in
+    the change rows (defaults to ``keys``). Returns the started ``StreamingQuery``.
     """
     spark = initial.sparkSession
-    store = SnapshotStore(spark, root)
-    if store.latest() is None:
-        store.commit(-1, initial)
+    store = SnapshotStore(spark, root, keys, buckets)
+    if store.latest_batch() is None:
+        store.initialise(initial)
+    ckeys = change_keys or keys
+    schema = initial.schema
 
     def on_batch(batch: DataFrame, batch_id: int):
         if store.has(batch_id):  # replayed batch: already applied
             return
-        store.commit(batch_id, apply(store.read_latest(), batch, batch_id))
+        touched = [r[0] for r in batch.select(bucket_of(ckeys, buckets).alias("b")).distinct().collect()]
+        if not touched:
+            return
+        current = store.read(touched, schema)
+        store.commit(batch_id, apply(current, batch, batch_id), touched)
 
     w = changes.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
