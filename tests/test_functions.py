@@ -90,3 +90,23 @@ def test_strict_bit_text_matches_variant_rule(spark):
 def test_trim_list(spark):
     df = spark.createDataFrame([([" a ", "", "  ", "b"],)], "v array<string>")
     assert df.select(coerce.trim_list(F.col("v"))).first()[0] == ["a", "b"]
+
+
+def test_dates_do_not_depend_on_session_zone(spark):
+    vals = ["2026-08-13", "2026-08-13T10:30:00Z", "2026-08-13T23:30:00-05:00", "2026-08-13 08:15"]
+    expected = [dt.datetime(2026, 8, 13), dt.datetime(2026, 8, 13, 10, 30), dt.datetime(2026, 8, 14, 4, 30),
+                dt.datetime(2026, 8, 13, 8, 15)]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("America/Bogota", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            assert _one(spark, vals, coerce.to_timestamp_utc) == expected
+            assert _one(spark, ["x"], lambda c: coerce.date_or_now(c, dt.datetime(2026, 1, 1, 5))) == \
+                [dt.datetime(2026, 1, 1, 5)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_minute_precision_with_zone(spark):
+    assert _one(spark, ["2026-08-13T10:30+01:00", "2026-08-13T10:30Z"], coerce.to_timestamp_utc) == \
+        [dt.datetime(2026, 8, 13, 9, 30), dt.datetime(2026, 8, 13, 10, 30)]

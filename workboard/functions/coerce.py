@@ -104,15 +104,33 @@ _ISO_RE = (
 )
 
 
+def as_of_lit(as_of) -> Column:
+    """A fixed "now" (``datetime``/``date``/ISO text) as a TIMESTAMP_NTZ literal, independent of any time zone."""
+    text = as_of.isoformat(sep=" ") if hasattr(as_of, "isoformat") and not isinstance(as_of, str) else str(as_of)
+    return F.lit(text).cast("timestamp_ntz")
+
+
+def now_utc() -> Column:
+    """The current instant as a UTC wall-clock TIMESTAMP_NTZ (``SYSUTCDATETIME()``)."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+
+
 def to_timestamp_utc(c) -> Column:
     """H5 ``new Date(v)`` for ISO text, as a UTC TIMESTAMP_NTZ with millisecond precision.
 
     Date-only text is UTC midnight; a time without zone is taken as UTC (the service runs in UTC); ``Z`` / ``±hh:mm``
     offsets are applied. Impossible dates (``2026-02-31``) and non-ISO text are null. One regex gate, then Spark's
-    own ISO timestamp cast (requires the session time zone UTC, as set by ``get_session``).
+    own ISO timestamp cast; zone-less text gets an explicit ``Z`` first and the instant is turned into a UTC wall
+    clock, so the result does not depend on the session time zone.
     """
     t = clean_text(c)
-    return F.when(t.rlike(_ISO_RE), F.date_trunc("millisecond", t.try_cast("timestamp")).cast("timestamp_ntz"))
+    # complete the text to date + time with seconds (the cast needs seconds when a zone follows), then a zone
+    full = F.regexp_replace(F.regexp_replace(t, "^([0-9]{4}-[0-9]{2}-[0-9]{2})$", "$1T00:00:00"),
+                            "^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2})(Z|[+-][0-9]{2}:[0-9]{2})?$", "$1:00$2")
+    zoned = F.when(full.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$"), full).otherwise(F.concat(full, F.lit("Z")))
+    instant = F.date_trunc("millisecond", zoned.try_cast("timestamp"))
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    return F.when(t.rlike(_ISO_RE), utc)
 
 
 def to_date_utc(c) -> Column:
@@ -122,7 +140,7 @@ def to_date_utc(c) -> Column:
 
 def date_or_now(c, as_of) -> Column:
     """The supplied timestamp when it parses, else ``as_of`` (the batch's "now")."""
-    return F.coalesce(to_timestamp_utc(c), F.lit(as_of).cast("timestamp_ntz"))
+    return F.coalesce(to_timestamp_utc(c), as_of_lit(as_of))
 
 
 # --- JSON-typed flags and lists (the value type matters, so these take a VARIANT field) ---------------------------

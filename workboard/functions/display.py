@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from workboard.functions.coerce import as_of_lit
+
 # Request-kind labels shown on the release board (any other kind shows its raw value).
 KIND_LABELS = {"infra": "Infraestructura", "erp": "ERP", "gen": "General"}
 
@@ -47,7 +49,7 @@ def window_text(start, end) -> Column:
 
 def days_until(c, as_of) -> Column:
     """H21 whole days from ``as_of`` to a date (UTC midnight dates, so the ceiling equals the day difference)."""
-    return F.datediff(_c(c), F.lit(as_of).cast("date"))
+    return F.datediff(_c(c), as_of_lit(as_of).cast("date"))
 
 
 def title_or_ref(title, ref_id) -> Column:

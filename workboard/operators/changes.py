@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from workboard.functions.coerce import as_of_lit, now_utc
 from workboard.session import materialize
 from workboard.sources.tables import max_id, with_ids
 
@@ -74,7 +75,7 @@ def apply_patch(target: DataFrame, changes: DataFrame, policy: dict, as_of=None,
             val = F.coalesce(new, old) if policy[name] == KEEP_IF_NULL else new
             cols.append(F.when(hit, val).otherwise(old).alias(name))
         elif stamp_col and name == stamp_col and as_of is not None:
-            cols.append(F.when(hit, F.lit(as_of).cast("timestamp_ntz")).otherwise(old).alias(name))
+            cols.append(F.when(hit, as_of_lit(as_of)).otherwise(old).alias(name))
         else:
             cols.append(old.alias(name))
     return j.select(*cols)
@@ -108,7 +109,7 @@ def upsert(target: DataFrame, changes: DataFrame, as_of=None, keys=("Tipo", "Sol
     # The collapsed batch feeds both the merge join and the insert branch (whose ids need a stable input): compute
     # it once and cut its lineage in the shared checkpoint folder.
     c = materialize(last.select(*keys, *fields, F.lit(True).alias("_hit")), "upsert-batch")
-    stamp = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
+    stamp = as_of_lit(as_of) if as_of is not None else now_utc()
 
     t = target.alias("t")
     j = t.join(c.alias("c"), keys, "left")

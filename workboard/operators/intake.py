@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workboard.functions.coerce import (clamp_progress, clean_text, date_or_now, default_if_blank, join_list, jstr,
-                                        jtype, strict_bit_text, to_date_utc, to_decimal, to_int_prefix, to_int_trunc,
-                                        truthy, yes_no)
+from workboard.functions.coerce import (as_of_lit, clamp_progress, clean_text, date_or_now, default_if_blank,
+                                        join_list, jstr, jtype, now_utc, strict_bit_text, to_date_utc, to_decimal,
+                                        to_int_prefix, to_int_trunc, truthy, yes_no)
 from workboard.operators.attachments import passthrough, with_fields
 from workboard.session import materialize
 from workboard.sources.tables import conform, max_id, with_ids
@@ -211,7 +211,7 @@ def projects(raw: DataFrame, as_of) -> DataFrame:
                       clean_text("responsable", 200).alias("Responsable"),
                       to_date_utc("fechaInicio").alias("FechaInicio"), to_date_utc("fechaFin").alias("FechaFin"),
                       default_if_blank("estado", "Activo", 50).alias("Estado"),
-                      F.lit(as_of).cast("timestamp_ntz").alias("FechaRegistro"),
+                      as_of_lit(as_of).alias("FechaRegistro"),
                       F.when(nombre.isNull(), "sin_nombre").alias("Motivo"))
 
 
@@ -280,8 +280,7 @@ def resolve_project_names(rows: DataFrame, name_col: str, projects_df: DataFrame
            .withColumn("Creado", F.col("_pid").isNull() & F.col("_new").isNotNull())
            .drop("_k", "_pid", "_new"))
     new_projects = created.select("Id", "Nombre", F.lit("Activo").alias("Estado"),
-                                  (F.lit(as_of).cast("timestamp_ntz") if as_of is not None
-                                   else F.current_timestamp().cast("timestamp_ntz")).alias("FechaRegistro"))
+                                  (as_of_lit(as_of) if as_of is not None else now_utc()).alias("FechaRegistro"))
     return out, new_projects
 
 
@@ -295,8 +294,7 @@ def create(target: DataFrame, typed: DataFrame, ddl: str, order_by: list, as_of=
     """
     valid, rejects = split_valid(typed)
     if stamp_col:
-        stamp = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else \
-            F.current_timestamp().cast("timestamp_ntz")
+        stamp = as_of_lit(as_of) if as_of is not None else now_utc()
         valid = valid.withColumn(stamp_col, stamp)
     with_id = with_ids(valid.drop("Motivo"), order_by, base=max_id(target))
     extra = "".join(f", {k} {with_id.schema[k].dataType.simpleString()}" for k in (keep or []))
