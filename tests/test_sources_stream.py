@@ -60,3 +60,14 @@ def test_stream_equals_batch_and_replay_is_skipped(spark, tmp_dir):
     # each batch rewrote only the buckets it touched
     m = spark.read.parquet(os.path.join(root, "_manifest"))
     assert m.where("batch_id >= 0").count() < 2 * 4
+
+
+def test_append_and_replace_partitions(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "t")
+    base = spark.createDataFrame([(1, "infra"), (2, "erp")], "Id bigint, Tipo string")
+    tables.append(base, path, ["Tipo"])
+    tables.append(spark.createDataFrame([(3, "erp")], "Id bigint, Tipo string"), path, ["Tipo"])
+    changed = spark.createDataFrame([(20, "erp")], "Id bigint, Tipo string")
+    tables.replace_partitions(changed, path, ["Tipo"])
+    got = sorted((r["Id"], r["Tipo"]) for r in spark.read.parquet(path).collect())
+    assert got == [(1, "infra"), (20, "erp")]

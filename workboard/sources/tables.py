@@ -79,3 +79,21 @@ def conform(df: DataFrame, ddl: str, defaults: dict | None = None) -> DataFrame:
         else:
             out.append(F.lit(defaults.get(f.name)).try_cast(t).alias(f.name))
     return df.select(*out)
+
+
+def append(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> None:
+    """S4 append sink: add new rows (e.g. the output of :func:`append_with_ids`) to a parquet table."""
+    w = df.write.mode("append")
+    if partition_cols:
+        w = w.partitionBy(*partition_cols)
+    w.parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, partition_cols: list[str]) -> None:
+    """Write changed rows back, replacing only the partitions present in ``df`` (dynamic partition overwrite).
+
+    Use for change operators whose output covers whole partitions (e.g. a table partitioned by ``Tipo`` or by
+    registration month): untouched partitions are left as they are. Never target the path being read by ``df``
+    itself — write a new version or materialize first.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(path)
