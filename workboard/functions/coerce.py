@@ -120,17 +120,20 @@ def to_timestamp_utc(c) -> Column:
 
     Date-only text is UTC midnight; a time without zone is taken as UTC (the service runs in UTC); ``Z`` / ``±hh:mm``
     offsets are applied. Impossible dates (``2026-02-31``) and non-ISO text are null. One regex gate, then Spark's
-    own ISO timestamp cast; zone-less text gets an explicit ``Z`` first and the instant is turned into a UTC wall
-    clock, so the result does not depend on the session time zone.
+    own ISO casts: zone-less text straight to TIMESTAMP_NTZ, zoned text to an instant shown in UTC — so the result
+    does not depend on the session time zone.
     """
     t = clean_text(c)
-    # complete the text to date + time with seconds (the cast needs seconds when a zone follows), then a zone
-    full = F.regexp_replace(F.regexp_replace(t, "^([0-9]{4}-[0-9]{2}-[0-9]{2})$", "$1T00:00:00"),
-                            "^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2})(Z|[+-][0-9]{2}:[0-9]{2})?$", "$1:00$2")
-    zoned = F.when(full.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$"), full).otherwise(F.concat(full, F.lit("Z")))
-    instant = F.date_trunc("millisecond", zoned.try_cast("timestamp"))
+    zoned = t.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$")
+    # zone-less text is a UTC wall clock already: a TIMESTAMP_NTZ cast reads it without any session zone
+    local = t.try_cast("timestamp_ntz")
+    # zoned text is an instant (the cast needs seconds before a zone, so a minute-only time gets ':00'),
+    # then shown as its UTC wall clock
+    instant = F.coalesce(t.try_cast("timestamp"),
+                         F.regexp_replace(t, "^(.{16})", "$1:00").try_cast("timestamp"))
     utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
-    return F.when(t.rlike(_ISO_RE), utc)
+    return F.when(t.rlike(_ISO_RE), F.date_trunc("millisecond", F.when(zoned, utc).otherwise(local))
+                  .cast("timestamp_ntz"))
 
 
 def to_date_utc(c) -> Column:
