@@ -115,15 +115,16 @@ def now_utc() -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
 
 
-def to_timestamp_utc(c) -> Column:
+def to_timestamp_utc(c, cleaned: bool = False) -> Column:
     """H5 ``new Date(v)`` for ISO text, as a UTC TIMESTAMP_NTZ with millisecond precision.
 
     Date-only text is UTC midnight; a time without zone is taken as UTC (the service runs in UTC); ``Z`` / ``±hh:mm``
     offsets are applied. Impossible dates (``2026-02-31``) and non-ISO text are null. One regex gate, then Spark's
     own ISO casts: zone-less text straight to TIMESTAMP_NTZ, zoned text to an instant shown in UTC — so the result
-    does not depend on the session time zone.
+    does not depend on the session time zone. ``cleaned=True`` takes text already passed through
+    :func:`clean_text` (stage it as a column first: the text is referenced several times here).
     """
-    t = clean_text(c)
+    t = _c(c) if cleaned else clean_text(c)
     zoned = t.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$")
     # zone-less text is a UTC wall clock already: a TIMESTAMP_NTZ cast reads it without any session zone
     local = t.try_cast("timestamp_ntz")
@@ -136,14 +137,14 @@ def to_timestamp_utc(c) -> Column:
                   .cast("timestamp_ntz"))
 
 
-def to_date_utc(c) -> Column:
+def to_date_utc(c, cleaned: bool = False) -> Column:
     """H5 for DATE columns: the UTC calendar day of :func:`to_timestamp_utc`."""
-    return to_timestamp_utc(c).cast("date")
+    return to_timestamp_utc(c, cleaned).cast("date")
 
 
-def date_or_now(c, as_of) -> Column:
+def date_or_now(c, as_of, cleaned: bool = False) -> Column:
     """The supplied timestamp when it parses, else ``as_of`` (the batch's "now")."""
-    return F.coalesce(to_timestamp_utc(c), as_of_lit(as_of))
+    return F.coalesce(to_timestamp_utc(c, cleaned), as_of_lit(as_of))
 
 
 # --- JSON-typed flags and lists (the value type matters, so these take a VARIANT field) ---------------------------

@@ -183,6 +183,15 @@ def infra_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
 KINDS = ("infra", "erp", "gen")
 
 
+def _stage_clean(raw: DataFrame, cols: list[str]) -> DataFrame:
+    """Clean text fields once, in their own projection (``_c_<name>``), before rules that read them repeatedly."""
+    return raw.withColumns({f"_c_{c}": clean_text(c) for c in cols})
+
+
+def _drop_staged(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_c_")])
+
+
 def _kind_ok(tipo: Column, sid: Column) -> Column:
     return F.coalesce(tipo.isin(*KINDS), F.lit(False)) & F.coalesce(sid != 0, F.lit(False))
 
@@ -192,49 +201,55 @@ def notes(raw: DataFrame, as_of) -> DataFrame:
 
     A supplied, parseable ``fecha`` back-dates the note; otherwise it is stamped ``as_of`` (H25).
     """
-    raw = with_fields(raw, ["tipo", "solicitudId", "nota", "autor", "fecha"])
+    raw = _stage_clean(with_fields(raw, ["tipo", "solicitudId", "nota", "autor", "fecha"]), ["fecha"])
     tipo, sid, nota = clean_text("tipo", 10), to_int_prefix("solicitudId"), clean_text("nota")
     motivo = F.when(~_kind_ok(tipo, sid), "tipo_o_solicitud").when(nota.isNull(), "nota_vacia")
-    return raw.select(*passthrough(raw, ["Tipo", "SolicitudId", "Nota", "Autor", "Fecha", "Motivo"]),
-                      tipo.alias("Tipo"), sid.cast("bigint").alias("SolicitudId"), nota.alias("Nota"),
-                      clean_text("autor", 200).alias("Autor"), date_or_now("fecha", as_of).alias("Fecha"),
-                      motivo.alias("Motivo"))
+    return _drop_staged(raw.select(
+        *passthrough(raw, ["Tipo", "SolicitudId", "Nota", "Autor", "Fecha", "Motivo"]),
+        tipo.alias("Tipo"), sid.cast("bigint").alias("SolicitudId"), nota.alias("Nota"),
+        clean_text("autor", 200).alias("Autor"), date_or_now("_c_fecha", as_of, cleaned=True).alias("Fecha"),
+        motivo.alias("Motivo")))
 
 
 def projects(raw: DataFrame, as_of) -> DataFrame:
     """I4: project bodies → typed project rows (state defaults to ``Activo``) + ``Motivo``."""
-    raw = with_fields(raw, ["nombre", "descripcion", "responsable", "fechaInicio", "fechaFin", "estado"])
+    raw = _stage_clean(with_fields(raw, ["nombre", "descripcion", "responsable", "fechaInicio", "fechaFin", "estado"]),
+                       ["fechaInicio", "fechaFin"])
     nombre = clean_text("nombre", 200)
-    return raw.select(*passthrough(raw, ["Nombre", "Descripcion", "Responsable", "FechaInicio", "FechaFin", "Estado",
-                                         "FechaRegistro", "Motivo"]),
+    return _drop_staged(raw.select(*passthrough(raw, ["Nombre", "Descripcion", "Responsable", "FechaInicio",
+                                                      "FechaFin", "Estado", "FechaRegistro", "Motivo"]),
                       nombre.alias("Nombre"), clean_text("descripcion").alias("Descripcion"),
                       clean_text("responsable", 200).alias("Responsable"),
-                      to_date_utc("fechaInicio").alias("FechaInicio"), to_date_utc("fechaFin").alias("FechaFin"),
+                      to_date_utc("_c_fechaInicio", cleaned=True).alias("FechaInicio"),
+                      to_date_utc("_c_fechaFin", cleaned=True).alias("FechaFin"),
                       default_if_blank("estado", "Activo", 50).alias("Estado"),
                       as_of_lit(as_of).alias("FechaRegistro"),
-                      F.when(nombre.isNull(), "sin_nombre").alias("Motivo"))
+                      F.when(nombre.isNull(), "sin_nombre").alias("Motivo")))
 
 
 def tasks(raw: DataFrame) -> DataFrame:
     """Task bodies → typed task rows (progress clamped, null → 0; milestone strict bit) + ``Motivo``.
 
-    ``esHito`` is read as VARIANT text so ``true``/``1``/``'1'`` are told apart from other values (H11).
+    ``esHito`` arrives as JSON text, so ``true``/``1``/``"1"`` are told apart from other values (H11).
     """
-    raw = with_fields(raw, ["proyectoId", "nombre", "fechaInicio", "fechaFin", "progreso", "responsable",
-                            "dependenciaId", "tareaPadreId", "esHito", "orden"])
+    raw = _stage_clean(with_fields(raw, ["proyectoId", "nombre", "fechaInicio", "fechaFin", "progreso", "responsable",
+                                         "dependenciaId", "tareaPadreId", "esHito", "orden"]),
+                       ["fechaInicio", "fechaFin"])
     pid, nombre = to_int_prefix("proyectoId"), clean_text("nombre", 300)
     hito = strict_bit_text("esHito")
     motivo = F.when(F.coalesce(pid == 0, F.lit(True)), "sin_proyecto").when(nombre.isNull(), "sin_nombre")
-    return raw.select(*passthrough(raw, ["ProyectoId", "Nombre", "FechaInicio", "FechaFin", "Progreso", "Responsable",
-                                         "DependenciaId", "TareaPadreId", "EsHito", "Orden", "Motivo"]),
+    return _drop_staged(raw.select(
+                      *passthrough(raw, ["ProyectoId", "Nombre", "FechaInicio", "FechaFin", "Progreso",
+                                         "Responsable", "DependenciaId", "TareaPadreId", "EsHito", "Orden", "Motivo"]),
                       pid.cast("bigint").alias("ProyectoId"), nombre.alias("Nombre"),
-                      to_date_utc("fechaInicio").alias("FechaInicio"), to_date_utc("fechaFin").alias("FechaFin"),
+                      to_date_utc("_c_fechaInicio", cleaned=True).alias("FechaInicio"),
+                      to_date_utc("_c_fechaFin", cleaned=True).alias("FechaFin"),
                       F.coalesce(clamp_progress("progreso"), F.lit(0)).alias("Progreso"),
                       clean_text("responsable", 200).alias("Responsable"),
                       to_int_prefix("dependenciaId").cast("bigint").alias("DependenciaId"),
                       to_int_prefix("tareaPadreId").cast("bigint").alias("TareaPadreId"),
                       hito.alias("EsHito"), to_int_prefix("orden").alias("Orden"),
-                      motivo.alias("Motivo"))
+                      motivo.alias("Motivo")))
 
 
 def split_valid(df: DataFrame, reason_col: str = "Motivo") -> tuple[DataFrame, DataFrame]:

@@ -836,9 +836,10 @@ s AS (SELECT event_id, raw, {_TS_SQL} AS Marca FROM p)
 SELECT event_id, raw, Marca, CAST(Marca AS DATE) AS Fecha, COALESCE(Marca, {AS_OF_SQL}) AS FechaNota FROM s
 """)
 def q_clean_dates(spark, sf_dir):
-    d = DIRTY_DATES.df(spark, sf_dir)
-    return d.select("event_id", "raw", coerce.to_timestamp_utc("raw").alias("Marca"),
-                    coerce.to_date_utc("raw").alias("Fecha"), coerce.date_or_now("raw", AS_OF).alias("FechaNota"))
+    d = DIRTY_DATES.df(spark, sf_dir).withColumn("_t", coerce.clean_text("raw"))  # cleaned once, read thrice
+    return d.select("event_id", "raw", coerce.to_timestamp_utc("_t", cleaned=True).alias("Marca"),
+                    coerce.to_date_utc("_t", cleaned=True).alias("Fecha"),
+                    coerce.date_or_now("_t", AS_OF, cleaned=True).alias("FechaNota"))
 
 
 # ------------------------------------------------------------------ S2 I2: ERP JSON intake
