@@ -52,25 +52,35 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
             spark.conf.set(k, v)
         except Exception:  # static conf on an already-running session
             pass
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # sessions without a local SparkContext (e.g. Spark Connect)
+        pass
     return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediates.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one. Only when it is unset (local tests) do we create a
-    private folder under the system temp dir and register it, so ``DataFrame.checkpoint()`` works.
+    Uses ``spark.checkpoint.dir`` (or the context's checkpoint dir) when the cluster names one. Only when it is unset
+    (local tests) do we create a private folder under the system temp dir and register it.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no local SparkContext (e.g. Spark Connect): the session conf is all we have
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="workboard-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
