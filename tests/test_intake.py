@@ -2,9 +2,6 @@ import datetime as dt
 import json
 import os
 
-from pyspark.sql import functions as F
-
-from workboard import schemas
 from workboard.operators import attachments, directory, intake
 
 NOW = dt.datetime(2026, 9, 1)
@@ -101,7 +98,8 @@ def test_directory_pages(spark, tmp_dir):
               "@odata.nextLink": "next"},
              {"value": [{"displayName": "álamo", "mail": "alamo@EXAMPLE.COM"},
                         {"displayName": "Otro", "mail": "o@other.org"}, {"displayName": "", "mail": "x@example.com"},
-                        {"displayName": "nz", "mail": "nz@example.com"}, {"displayName": "Ob", "mail": "ob@example.com"}]}]
+                        {"displayName": "nz", "mail": "nz@example.com"},
+                        {"displayName": "Ob", "mail": "ob@example.com"}]}]
     for i, p in enumerate(pages):
         with open(os.path.join(tmp_dir, f"page{i}.json"), "w") as f:
             f.write(json.dumps(p, ensure_ascii=False))

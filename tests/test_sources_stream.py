@@ -18,7 +18,8 @@ def test_with_ids_contiguous_over_partitions(spark):
 
 
 def test_conform_adds_defaults(spark):
-    old = spark.createDataFrame([(1, dt.datetime(2026, 1, 1), "t")], "Id bigint, FechaRegistro timestamp_ntz, Titulo string")
+    old = spark.createDataFrame([(1, dt.datetime(2026, 1, 1), "t")],
+                                "Id bigint, FechaRegistro timestamp_ntz, Titulo string")
     out = tables.conform(old, schemas.REQUESTS_GENERAL, {"Estado": "Nuevo"})
     assert out.columns == schemas.columns(schemas.REQUESTS_GENERAL)
     r = out.first()

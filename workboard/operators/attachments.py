@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workboard.functions.coerce import clean_text, to_int_prefix
-from workboard.operators.search import valid_kind
 
 
 def passthrough(raw: DataFrame, outputs: list[str]) -> list[str]:
@@ -86,4 +85,4 @@ def content_by_ids(attachments: DataFrame, ids: DataFrame) -> DataFrame:
         F.coalesce(F.col("ContentType"), F.lit(DEFAULT_CONTENT_TYPE)).alias("ContentType"), "Contenido")
 
 
-__all__ = ["intake", "lenient_base64", "download_name", "content_by_ids", "valid_kind"]
+__all__ = ["intake", "lenient_base64", "download_name", "content_by_ids", "passthrough", "with_fields"]

@@ -86,7 +86,8 @@ def erp_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     clean = {
         "Solicitante": clean_text(_t("solicitante"), 200), "Area": clean_text(_t("area"), 200),
         "Descripcion": clean_text(_t("descripcion")), "Modulos": join_list(_v("modulos"), ", ", t=_y("modulos")),
-        "Procesos": join_list(_v("procesos"), " | ", t=_y("procesos")), "TransformarFabric": yes_no(_v("transformar_fabric"), _y("transformar_fabric")),
+        "Procesos": join_list(_v("procesos"), " | ", t=_y("procesos")),
+        "TransformarFabric": yes_no(_v("transformar_fabric"), _y("transformar_fabric")),
         "FabricDetalle": clean_text(_t("fabric_detalle")), "Prioridad": clean_text(_t("prioridad"), 20),
         "Estado": default_if_blank(_t("estado"), "Nuevo", 50),
         "ProyectoId": to_int_prefix(_t("proyecto_id")).cast("bigint"), "PayloadJson": F.col("_payload"),
@@ -131,7 +132,8 @@ _INFRA_FIELDS = {
     "nombre": ("m", _IG, "nombre_aplicacion"), "ident": ("m", _IG, "identificador"),
     "proyecto": ("m", _IG, "proyecto"), "lider": ("m", _IG, "lider_tecnico"),
     "fprod": ("m", _IG, "fecha_produccion"), "desc": ("m", _IG, "descripcion"),
-    "arq": ("m", _CC, "arquitectura_despliegue"), "cpu": ("m", _CC, "cpu_total_vcpu"), "ram": ("m", _CC, "ram_total_gb"),
+    "arq": ("m", _CC, "arquitectura_despliegue"), "cpu": ("m", _CC, "cpu_total_vcpu"),
+    "ram": ("m", _CC, "ram_total_gb"),
     "motor": ("m", _BD, "motor_bd"), "modelo_bd": ("m", _BD, "modelo_despliegue"),
     "storage": ("m", _BD, "almacenamiento_inicial_gb"), "crec": ("m", _BD, "crecimiento_mensual_gb"),
     "dominio": ("m", _RA, "dominio_publico"), "acceso": ("m", _RA, "tipo_acceso"),

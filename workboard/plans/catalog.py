@@ -142,7 +142,8 @@ def q_request_by_keys(spark, sf_dir):
 # ------------------------------------------------------------------ R1: unified request feed
 
 _FEED_SQL = " UNION ALL ".join(
-    f"SELECT '{k}' AS Tipo, {', '.join(search.FEED_COLS)} FROM ({roles.REQUESTS[k].sql})" for k in ("infra", "erp", "gen"))
+    f"SELECT '{k}' AS Tipo, {', '.join(search.FEED_COLS)} FROM ({roles.REQUESTS[k].sql})"
+    for k in ("infra", "erp", "gen"))
 
 
 @register("request_feed", _FEED_SQL)
@@ -824,7 +825,8 @@ _TS_SQL = (f"CASE WHEN regexp_matches(t, '{_ISO_SQL}') THEN "
            f"try_strptime({_g(1)} || '-' || {_g(2)} || '-' || {_g(3)} || ' ' || COALESCE(NULLIF({_g(4)}, ''), '00') "
            f"|| ':' || COALESCE(NULLIF({_g(5)}, ''), '00') || ':' || COALESCE(NULLIF({_g(6)}, ''), '00'), "
            f"'%Y-%m-%d %H:%M:%S') "
-           f"+ CAST(substr(rpad(COALESCE(NULLIF({_g(7)}, ''), '0'), 3, '0'), 1, 3) AS INTEGER) * INTERVAL 1 MILLISECOND "
+           f"+ CAST(substr(rpad(COALESCE(NULLIF({_g(7)}, ''), '0'), 3, '0'), 1, 3) AS INTEGER) "
+           f"* INTERVAL 1 MILLISECOND "
            f"- (CASE WHEN {_g(8)} IN ('', 'Z') THEN 0 ELSE (CAST(substr({_g(8)}, 2, 2) AS INTEGER) * 60 + "
            f"CAST(substr({_g(8)}, 5, 2) AS INTEGER)) * (CASE WHEN substr({_g(8)}, 1, 1) = '-' THEN -1 ELSE 1 END) END)"
            f" * INTERVAL 1 MINUTE END")
@@ -849,7 +851,8 @@ _ERP_MODEL = ("'{\"solicitante\":' || (CASE WHEN c_acctbal < 0 THEN 'null' ELSE
               "' de ' || c_mktsegment || '  \",\"modulos\":' || "
               "(CASE c_custkey % 3 WHEN 0 THEN '[\"Finanzas\",\"\",null,\"Compras\"]' WHEN 1 THEN '\"Ventas\"' "
               "ELSE '[]' END) || ',\"procesos\":[\"Cierre mensual\",\"Inventario\"],\"transformar_fabric\":' || "
-              "(CASE c_custkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN '\"Sí\"' WHEN 2 THEN '\"true\"' ELSE 'false' END) || "
+              "(CASE c_custkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN '\"Sí\"' WHEN 2 THEN '\"true\"' "
+              "ELSE 'false' END) || "
               "',\"prioridad\":\"Media\",\"estado\":\"\",\"proyecto_id\":\"' || CAST(c_nationkey AS STRING) || "
               "'abc\",\"extra\":{\"k\":1}}'")
 
@@ -1085,7 +1088,8 @@ PROJECT_BODIES = roles.Role("orders", (
     ("descripcion", "o_orderpriority"),
     ("responsable", "CASE WHEN o_orderstatus = 'O' THEN 'Customer#' || CAST(o_custkey AS STRING) END"),
     ("fechaInicio", "CAST(CAST(o_orderdate AS DATE) AS STRING)"),
-    ("fechaFin", "CASE WHEN o_totalprice > 200000 THEN CAST(CAST(o_orderdate AS DATE) + 60 AS STRING) ELSE 'pronto' END"),
+    ("fechaFin", "CASE WHEN o_totalprice > 200000 THEN CAST(CAST(o_orderdate AS DATE) + 60 AS STRING) "
+                 "ELSE 'pronto' END"),
     ("estado", "CASE WHEN o_orderstatus = 'F' THEN 'Completado' ELSE ' ' END"),
 ))
 
