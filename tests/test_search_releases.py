@@ -86,3 +86,12 @@ def test_feed_union(spark):
         [("erp", 2), ("gen", 1), ("infra", 5)]
     assert feed.count() == 8 and set(feed.columns) == {"Tipo", *search.FEED_COLS}
     assert feed.where(F.col("Tipo") == "infra").count() == 5
+
+
+def test_search_backslash_and_bracket_are_literal(spark):
+    rows = [(1, "C:\\temp\\x", "a[1]"), (2, "other", "b")]
+    df = spark.createDataFrame(rows, "Id bigint, Titulo string, Solicitante string")
+    hits = lambda q: sorted(r["Id"] for r in df.where(search.text_search(q, ["Titulo", "Solicitante"])).collect())
+    assert hits("\\temp") == [1]
+    assert hits("[1]") == [1]
+    assert hits("x\\") == []

@@ -67,10 +67,12 @@ def optional_filters(**eq) -> Column:
 
 
 def text_search(q: str | None, cols: list[str]) -> Column:
-    """P10: one ``%q%`` pattern OR-ed over ``cols``, case-insensitive. ``%``/``_`` in ``q`` stay wildcards."""
+    """P10: one ``%q%`` pattern OR-ed over ``cols``, case-insensitive. ``%``/``_`` in ``q`` stay wildcards; a
+    backslash is literal (the source pattern language has no escape character; Spark's default escape is the
+    backslash, so it is doubled here)."""
     if not q:
         return F.lit(True)
-    pat = f"%{q}%"
+    pat = "%" + q.replace("\\", "\\\\") + "%"
     return reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(pat), F.lit(False)) for c in cols])
 
 
