@@ -77,3 +77,15 @@ def test_intake_stream_splits_accepted_and_rejects(spark, tmp_dir):
     assert [r["Solicitante"] for r in ok.collect()] == ["Ana"]
     assert sorted(r["Motivo"] for r in bad.collect()) == ["faltan_obligatorios", "json_invalido"]
     assert ok.count() + bad.count() == len(bodies)
+
+
+def test_intake_stream_replay_replaces_its_batch(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "bodies")
+    os.makedirs(src)
+    with open(os.path.join(src, "b0.txt"), "w") as f:
+        f.write(json.dumps({"model": {"solicitante": "Ana", "area": "TI"}}))
+    ok, bad = os.path.join(tmp_dir, "ok"), os.path.join(tmp_dir, "bad")
+    for run in range(2):  # second run: fresh checkpoint, same batch id 0 → replaces, no duplicate
+        stream = spark.readStream.text(src).withColumnRenamed("value", "body")
+        intake_stream(stream, intake.erp_requests, ok, bad, os.path.join(tmp_dir, f"ckpt{run}")).awaitTermination()
+    assert spark.read.parquet(ok).count() == 1

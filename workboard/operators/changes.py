@@ -159,9 +159,10 @@ def delete_tasks_checked(tasks: DataFrame, task_ids: DataFrame):
     req = task_ids.select("Id").distinct()
     parents = tasks.where(F.col("TareaPadreId").isNotNull()).select(F.col("TareaPadreId").alias("Id")).distinct()
     exists = tasks.select("Id").withColumn("_e", F.lit(True))
-    out = (req.join(exists, "Id", "left")
-           .join(parents.withColumn("_p", F.lit(True)), "Id", "left")
-           .select("Id", F.when(F.col("_e").isNull(), "missing").when(F.col("_p"), "blocked")
-                   .otherwise("deleted").alias("outcome")))
+    # one row per requested id, used twice below: computed once
+    out = materialize(req.join(exists, "Id", "left")
+                      .join(parents.withColumn("_p", F.lit(True)), "Id", "left")
+                      .select("Id", F.when(F.col("_e").isNull(), "missing").when(F.col("_p"), "blocked")
+                              .otherwise("deleted").alias("outcome")), "delete-outcomes")
     deletable = out.where(F.col("outcome") == "deleted").select("Id")
     return tasks.join(deletable, "Id", "left_anti"), out
