@@ -1205,3 +1205,22 @@ def q_project_create(spark, sf_dir):
     new, _ = intake.create(roles.PROJECTS.df(spark, sf_dir), typed, schemas.PROJECTS, [F.col("o_orderkey")],
                            as_of=AS_OF, keep=["o_orderkey"])
     return new
+
+
+# ------------------------------------------------------------------ R4: stream intake (accepted rows)
+
+_ERP_OUT = ["Ref", "Titulo", "Solicitante", "Area", "Descripcion", "Modulos", "Procesos", "TransformarFabric",
+            "FabricDetalle", "Prioridad", "Estado", "ProyectoId", "PayloadJson"]
+
+
+@register("stream_intake", f"WITH x AS ({ORACLES['json_intake_erp']}) SELECT {', '.join(_ERP_OUT)} FROM x "
+                           "WHERE Motivo IS NULL")
+def q_stream_intake(spark, sf_dir):
+    root = scratch_path(spark, "stream-intake")
+    # the bodies Spark derives from customer rows land as files, as the portal's POST bodies would
+    ERP_BODIES.df(spark, sf_dir).write.parquet(f"{root}/in")
+    src = spark.readStream.schema("Ref BIGINT, body STRING").parquet(f"{root}/in")
+    q = stream_apply.intake_stream(src, lambda b: intake.erp_requests(b).drop("body"), f"{root}/accepted",
+                                   f"{root}/rejects", f"{root}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/accepted").select(*_ERP_OUT)
