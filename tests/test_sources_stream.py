@@ -72,3 +72,13 @@ def test_append_and_replace_partitions(spark, tmp_dir):
     tables.replace_partitions(changed, path, ["Tipo"])
     got = sorted((r["Id"], r["Tipo"]) for r in spark.read.parquet(path).collect())
     assert got == [(1, "infra"), (20, "erp")]
+
+
+def test_write_table_layout_prunes_partitions(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "notes")
+    rows = [(i, ["infra", "erp", "gen"][i % 3], i // 3, f"n{i}", None, dt.datetime(2026, 1, 1)) for i in range(60)]
+    tables.write_table(spark.createDataFrame(rows, schemas.NOTES), path, ["Tipo"], ["SolicitudId", "Id"])
+    df = tables.read_table(spark, path, schemas.NOTES).where((F.col("Tipo") == "erp") & (F.col("SolicitudId") == 4))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Tipo" in plan and "EqualTo(SolicitudId,4)" in plan
+    assert [r["Id"] for r in df.collect()] == [13]
