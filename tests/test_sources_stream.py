@@ -82,3 +82,24 @@ def test_write_table_layout_prunes_partitions(spark, tmp_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(Tipo" in plan and "EqualTo(SolicitudId,4)" in plan
     assert [r["Id"] for r in df.collect()] == [13]
+
+
+def test_batch_copy_on_write_rewrites_touched_buckets_only(spark, tmp_dir):
+    now = dt.datetime(2026, 9, 1)
+    target = spark.createDataFrame(
+        [(i, dt.datetime(2026, 1, 1), "t", "s", "a", None, None, None, "No", None, None, "Nuevo", "ana", None, None,
+          "{}", None) for i in range(1, 41)], schemas.REQUESTS_ERP)
+    store = SnapshotStore(spark, os.path.join(tmp_dir, "t"), ["Id"], 8)
+    store.initialise(target)
+    batch = spark.createDataFrame([(3, 1, "Cerrado", None, None)],
+                                  "Id bigint, seq bigint, Estado string, Responsable string, FechaEntrega date")
+
+    def apply(cur, b, _bid):
+        return changes.apply_patch(cur, b, changes.TRACKING_POLICY, as_of=now)
+
+    assert store.apply_batch(batch, 0, apply, schema=target.schema)
+    assert not store.apply_batch(batch, 0, apply, schema=target.schema)  # replay skipped
+    final = {r["Id"]: r["Estado"] for r in store.read_latest().collect()}
+    assert len(final) == 40 and final[3] == "Cerrado" and final[4] == "Nuevo"
+    m = spark.read.parquet(os.path.join(tmp_dir, "t", "_manifest"))
+    assert m.where("batch_id = 0").count() == 1  # one bucket rewritten
