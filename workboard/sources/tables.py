@@ -35,14 +35,15 @@ def with_ids(df: DataFrame, order_by: list, base: int = 0, id_col: str = "Id") -
     """Assign contiguous ids ``base+1 … base+n`` in ``order_by`` order, without a one-partition window.
 
     The rows are range-sorted (so a hot key spreads over several ranges), tagged with their partition and position,
-    and checkpointed to the shared checkpoint folder so both passes see the same partitioning even after an
-    executor loss. Per-partition counts (one row per partition — a bounded, broadcast-safe table) give each
+    and written to the shared checkpoint folder (the tags become data), so both passes see the same assignment
+    even after an executor loss. Per-partition counts (one row per partition — a bounded, broadcast-safe table) give each
     partition its starting offset.
     """
     tagged = materialize(df.orderBy(*order_by)
                          .withColumn("_pid", F.spark_partition_id())
                          .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))), "ids")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per partition: this unpartitioned running sum sees #partitions rows, never data rows
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     out = tagged.join(F.broadcast(offsets), "_pid").withColumn(
