@@ -596,6 +596,7 @@ UPLOADS = roles.Role("documents", (
                 "|| CHR(10) ELSE base64(CAST(text AS BINARY)) END",
                 "CASE WHEN doc_id % 13 = 0 THEN '' ELSE to_base64(encode(text)) END")),
     ("autor", "source"),
+    ("original", "text"),  # carried along so the decoded bytes can be compared without a second scan
 ))
 
 
@@ -616,10 +617,9 @@ FROM d JOIN (SELECT doc_id, text FROM documents) x ON x.doc_id = d.Ref
 """)
 def q_attachment_decode(spark, sf_dir):
     up = attachments.intake(UPLOADS.df(spark, sf_dir))
-    docs = roles.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("Ref"), "text")
-    return up.join(docs, "Ref").select(
+    return up.select(
         "Ref", "Tipo", "SolicitudId", "Nombre", attachments.download_name("Nombre").alias("Archivo"),
-        "ContentType", "Tamano", "Motivo", (F.col("Contenido") == F.col("text").cast("binary")).alias("Igual"))
+        "ContentType", "Tamano", "Motivo", (F.col("Contenido") == F.col("original").cast("binary")).alias("Igual"))
 
 
 # ------------------------------------------------------------------ J4: project name → id, create when missing
