@@ -164,9 +164,8 @@ def jtype(v: Column) -> Column:
 
 
 def jstr(v: Column, t: Column | None = None) -> Column:
-    """JavaScript ``String(v)`` of a scalar JSON value (null/missing → null)."""
-    t = jtype(v) if t is None else t
-    return F.when(t != "VOID", F.try_variant_get(v, "$", "string"))
+    """JavaScript ``String(v)`` of a scalar JSON value (JSON null and missing → null; ``t`` is not needed)."""
+    return F.try_variant_get(v, "$", "string")
 
 
 def _is_number(t: Column) -> Column:

@@ -27,12 +27,13 @@ def field(v: Column, *path: str) -> Column:
     return F.try_variant_get(v, p, "variant")
 
 
-def staged_body(raw: DataFrame, text_col: str, fields: dict) -> DataFrame:
+def staged_body(raw: DataFrame, text_col: str, fields: dict, typed: tuple = ()) -> DataFrame:
     """S2 + H15 + H16: parse ``body.model || body`` and extract members, one projection per stage.
 
     Adds ``_b`` (parsed body, null when malformed), ``_m`` (the model), ``_is_obj``, ``_payload`` (the model's JSON
     text, unknown members kept) and, for every ``name: (root, path…)`` in ``fields`` (root ``'m'`` = model,
-    ``'b'`` = body), ``_v_<name>`` (VARIANT) and ``_t_<name>`` (JavaScript ``String(v)``). Each stage is its own
+    ``'b'`` = body), ``_v_<name>`` (VARIANT) and ``_t_<name>`` (JavaScript ``String(v)``), plus ``_y_<name>`` (JSON
+    type) for the members listed in ``typed``. Each stage is its own
     projection, so the parsed VARIANT is computed once per row instead of being inlined into every field.
     """
     d = raw.withColumn("_b", F.try_parse_json(F.col(text_col)))
@@ -48,8 +49,9 @@ def staged_body(raw: DataFrame, text_col: str, fields: dict) -> DataFrame:
                      .otherwise(F.get_json_object(F.col(text_col), "$")),
         **{f"_v_{k}": field(roots[spec[0]], *spec[1:]) for k, spec in fields.items()},
     })
-    d = d.withColumns({f"_y_{k}": jtype(F.col(f"_v_{k}")) for k in fields})
-    return d.withColumns({f"_t_{k}": jstr(F.col(f"_v_{k}"), F.col(f"_y_{k}")) for k in fields})
+    if typed:  # JSON value types, only for the members whose rules depend on them (flags, lists, truthiness)
+        d = d.withColumns({f"_y_{k}": jtype(F.col(f"_v_{k}")) for k in typed})
+    return d.withColumns({f"_t_{k}": jstr(F.col(f"_v_{k}")) for k in fields})
 
 
 def _v(k: str) -> Column:
@@ -82,7 +84,7 @@ _ERP_FIELDS = {k: ("m", k) for k in ("solicitante", "area", "descripcion", "modu
 
 def erp_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     """ERP request bodies → ``requests_erp`` columns (without Id/registration time) + ``Motivo``."""
-    d = staged_body(raw, text_col, _ERP_FIELDS)
+    d = staged_body(raw, text_col, _ERP_FIELDS, typed=("modulos", "procesos", "transformar_fabric"))
     clean = {
         "Solicitante": clean_text(_t("solicitante"), 200), "Area": clean_text(_t("area"), 200),
         "Descripcion": clean_text(_t("descripcion")), "Modulos": join_list(_v("modulos"), ", ", t=_y("modulos")),
@@ -110,7 +112,7 @@ _GENERAL_FIELDS = {k: ("m", k) for k in ("solicitante", "area", "asunto", "ambit
 
 def general_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     """General request bodies → ``requests_general`` columns + ``Motivo``."""
-    d = staged_body(raw, text_col, _GENERAL_FIELDS)
+    d = staged_body(raw, text_col, _GENERAL_FIELDS, typed=("ambito",))
     clean = {
         "Titulo": clean_text(_t("asunto"), 300), "Solicitante": clean_text(_t("solicitante"), 200),
         "Area": clean_text(_t("area"), 200), "Ambito": join_list(_v("ambito"), ", ", t=_y("ambito")),
@@ -152,7 +154,7 @@ def infra_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     Numbers use ``Number()`` (decimals, out-of-range → null) and the truncating integer rule (H3); the title is the
     supplied list title, else ``identificador – nombre`` (raw text, not cut), else the name (H12a). No default state.
     """
-    d = staged_body(raw, text_col, _INFRA_FIELDS)
+    d = staged_body(raw, text_col, _INFRA_FIELDS, typed=("ident", "nombre"))
     clean = {
         "Aplicacion": clean_text(_t("nombre"), 200), "Identificador": clean_text(_t("ident"), 100),
         "Proyecto": clean_text(_t("proyecto"), 200), "LiderProyecto": clean_text(_t("lider"), 200),
