@@ -103,3 +103,24 @@ def test_batch_copy_on_write_rewrites_touched_buckets_only(spark, tmp_dir):
     assert len(final) == 40 and final[3] == "Cerrado" and final[4] == "Nuevo"
     m = spark.read.parquet(os.path.join(tmp_dir, "t", "_manifest"))
     assert m.where("batch_id = 0").count() == 1  # one bucket rewritten
+
+
+def test_manifest_compaction_keeps_state(spark, tmp_dir):
+    target = spark.createDataFrame(
+        [(i, dt.datetime(2026, 1, 1), "t", "s", "a", None, None, None, "No", None, None, "Nuevo", "ana", None, None,
+          "{}", None) for i in range(1, 21)], schemas.REQUESTS_ERP)
+    store = SnapshotStore(spark, os.path.join(tmp_dir, "t"), ["Id"], 4, compact_every=2)
+    store.initialise(target)
+    ddl = "Id bigint, seq bigint, Estado string, Responsable string, FechaEntrega date"
+
+    def apply(cur, b, _bid):
+        return changes.apply_patch(cur, b, changes.TRACKING_POLICY, as_of=dt.datetime(2026, 9, 1))
+
+    for bid, (i, estado) in enumerate([(1, "A"), (2, "B"), (1, "C")]):
+        store.apply_batch(spark.createDataFrame([(i, bid, estado, None, None)], ddl), bid, apply,
+                          schema=target.schema)
+    final = {r["Id"]: r["Estado"] for r in store.read_latest().collect()}
+    assert (len(final), final[1], final[2], final[3]) == (20, "C", "B", "Nuevo")
+    assert store.latest_batch() == 2 and store.has(1) and not store.has(3)
+    assert store._generation() == 1  # compacted after batch 1
+    assert store._manifest().count() <= 4 + 1

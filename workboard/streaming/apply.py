@@ -7,7 +7,8 @@ copy-on-write parquet table under a shared folder:
 * rows are hashed on the table key into ``buckets`` buckets; a micro-batch reads and rewrites **only the buckets its
   keys touch**, into a new version directory (a path that is being read is never overwritten);
 * a manifest table ``(batch_id, bucket, path)`` records where each bucket's latest copy lives; it is appended after
-  the data is written, so a crash in between leaves the previous copy current;
+  the data is written, so a crash in between leaves the previous copy current; every ``compact_every`` batches the
+  latest entry per bucket is written as a new manifest generation, so the manifest stays ≤ buckets + recent rows;
 * a batch id already in the manifest is skipped, so a replay after a failure (``foreachBatch`` is at-least-once)
   does not apply the same changes twice; the stream checkpoint tracks which files were consumed.
 
@@ -38,19 +39,50 @@ class SnapshotStore:
     ``touched buckets × 1 GiB``, and each bucket is written by one task.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 64, compact_every: int = 50):
+        self.compact_every = compact_every
         self.spark = spark
         self.root = root.rstrip("/")
         self.keys = list(keys)
         self.buckets = buckets
         self.manifest_path = f"{self.root}/_manifest"
 
-    def _manifest(self) -> DataFrame | None:
+    def _all_generations(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.manifest_path)
+            return self.spark.read.schema(MANIFEST_SCHEMA + ", gen INT").parquet(self.manifest_path)
         except AnalysisException:
             return None
 
+    def _generation(self) -> int | None:
+        m = self._all_generations()
+        return None if m is None else m.agg(F.max("gen")).first()[0]
+
+    def _manifest(self) -> DataFrame | None:
+        """The newest manifest generation (older ones are superseded by compaction and never read)."""
+        m = self._all_generations()
+        if m is None:
+            return None
+        g = m.agg(F.max("gen")).first()[0]
+        return None if g is None else m.where(F.col("gen") == g).select("batch_id", "bucket", "path")
+
+    def _record(self, entries: list, gen: int | None = None) -> None:
+        g = self._generation() if gen is None else gen
+        self.spark.createDataFrame(entries, MANIFEST_SCHEMA).withColumn("gen", F.lit(g or 0)).coalesce(1) \
+            .write.mode("append").partitionBy("gen").parquet(self.manifest_path)
+
+    def compact(self) -> None:
+        """Write the latest entry per bucket (≤ ``buckets`` rows, kept as data — nothing reaches the driver) as a
+        new manifest generation. The newest batch id survives because its entries are the latest for the buckets
+        it touched."""
+        m = self._manifest()
+        if m is None:
+            return
+        g = self._generation()
+        latest = m.groupBy("bucket").agg(F.max("batch_id").alias("batch_id"),
+                                         F.max_by("path", "batch_id").alias("path"))
+        latest.select("batch_id", "bucket", "path").withColumn("gen", F.lit(g + 1)).coalesce(1) \
+            .write.mode("append").partitionBy("gen").parquet(self.manifest_path)
+
     def has(self, batch_id: int) -> bool:
         """Whether ``batch_id`` was already applied. Stream batch ids only grow and a replay re-runs the last one,
         so comparing with the latest committed id is enough (one small aggregate, whatever the manifest size)."""
@@ -103,8 +135,7 @@ class SnapshotStore:
         written = set(self._buckets_in(version))
         # a touched bucket left without rows is recorded with an empty path (reads as no rows)
         entries = [(batch_id, b, f"{version}/{BUCKET_COL}={b}" if b in written else "") for b in buckets]
-        self.spark.createDataFrame(entries, MANIFEST_SCHEMA).coalesce(1).write.mode("append") \
-            .parquet(self.manifest_path)
+        self._record(entries)
 
     def apply_batch(self, batch: DataFrame, batch_id: int,
                     apply: Callable[[DataFrame, DataFrame, int], DataFrame],
@@ -120,6 +151,8 @@ class SnapshotStore:
         touched = [r[0] for r in batch.select(bucket_of(ckeys, self.buckets).alias("b")).distinct().collect()]
         if touched:
             self.commit(batch_id, apply(self.read(touched, schema), batch, batch_id), touched)
+            if self.compact_every and (batch_id + 1) % self.compact_every == 0:
+                self.compact()
         return True
 
     def initialise(self, initial: DataFrame) -> None:
@@ -127,8 +160,7 @@ class SnapshotStore:
         version = f"{self.root}/v{0:012d}"
         self._write(initial, version)
         entries = [(-1, b, f"{version}/{BUCKET_COL}={b}") for b in self._buckets_in(version)]
-        self.spark.createDataFrame(entries, MANIFEST_SCHEMA).coalesce(1).write.mode("append") \
-            .parquet(self.manifest_path)
+        self._record(entries, gen=0)
 
 
 def apply_change_stream(changes: DataFrame, initial: DataFrame, root: str, checkpoint: str,
