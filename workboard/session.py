@@ -29,11 +29,12 @@ SESSION_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "workboard",
-                extra: dict | None = None) -> SparkSession:
+                extra: dict | None = None, max_partition_bytes: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's settings.
 
     ``master`` is only set when given (a cluster submit supplies its own). ``shuffle_partitions`` should follow the
-    data size: ~cores for local tests, and roughly input bytes / 128 MiB on a cluster (AQE coalesces the rest).
+    data size: ~cores for local tests, and roughly shuffled bytes / 128 MiB on a cluster (AQE coalesces the rest).
+    ``max_partition_bytes`` (e.g. ``"256m"``) sizes scan splits so a task's input fits executor memory.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -41,6 +42,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     conf = dict(SESSION_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if max_partition_bytes:
+        conf["spark.sql.files.maxPartitionBytes"] = str(max_partition_bytes)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
