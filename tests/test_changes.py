@@ -92,3 +92,14 @@ def test_orphans_by_distinct_keys(spark):
     child = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (4, None)], "Id bigint, ProyectoId bigint")
     parents = spark.createDataFrame([(10,)], "ProyectoId bigint")
     assert [r["Id"] for r in audit.orphans(child, ["ProyectoId"], parents).collect()] == [3]
+
+
+def test_patch_hot_key_batch(spark):
+    # a third of the batch hits one key: collapse keeps the last value per column
+    target = spark.createDataFrame([_erp(i) for i in range(1, 4)], schemas.REQUESTS_ERP)
+    rows = [(1, s, None if s % 2 else f"E{s}", f"R{s}", None) for s in range(300)] + \
+           [(2 + s % 2, 300 + s, "X", None, None) for s in range(600)]
+    batch = spark.createDataFrame(rows, "Id bigint, seq bigint, Estado string, Responsable string, FechaEntrega date")
+    out = {r["Id"]: r for r in changes.apply_patch(target, batch, changes.TRACKING_POLICY, as_of=NOW).collect()}
+    assert (out[1]["Estado"], out[1]["Responsable"]) == ("E298", "R299")
+    assert (out[2]["Estado"], out[2]["Responsable"]) == ("X", None)

@@ -124,3 +124,13 @@ def test_manifest_compaction_keeps_state(spark, tmp_dir):
     assert store.latest_batch() == 2 and store.has(1) and not store.has(3)
     assert store._generation() == 1  # compacted after batch 1
     assert store._manifest().count() <= 4 + 1
+
+
+def test_with_ids_hot_key_spreads_and_stays_contiguous(spark):
+    # a third of the rows share one sort key; the range sort splits them over partitions, ids stay contiguous
+    df = spark.range(0, 3000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("tie"))
+    out = tables.with_ids(df, [F.col("k"), F.col("tie")])
+    rows = sorted((r["Id"], r["k"], r["tie"]) for r in out.collect())
+    assert [i for i, _, _ in rows] == list(range(1, 3001))
+    assert [(k, t) for _, k, t in rows] == sorted((k, t) for _, k, t in rows)
