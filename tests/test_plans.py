@@ -39,15 +39,13 @@ def test_attachment_list_never_reads_bytes(spark, tmp_dir):
     assert "Contenido" not in read_schema
 
 
-def test_upsert_collapse_limits_groups_map_side(spark):
-    ddl = "Tipo string, SolicitudId bigint, seq bigint, " + ", ".join(
-        f"{f} string" for f in ["Titulo", "Responsable", "Aprobador", "Estado", "PlanRollback",
-                                "ReceptorDocumentacion", "ReceptorInduccion", "ContrapartePlanificacion"])
-    batch = spark.createDataFrame([("infra", 1, 1, "a", None, None, "Planificado", None, None, None, None)], ddl)
-    w = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window
-                            .partitionBy("Tipo", "SolicitudId").orderBy(F.col("seq").desc()))
-    plan = _plan(batch.withColumn("_rn", w).where("_rn = 1"))
-    assert "WindowGroupLimit" in plan
+def test_upsert_collapse_is_narrow_partial_aggregate_and_semi_join(spark):
+    batch = spark.createDataFrame([("infra", 1, 1, "a"), ("infra", 1, 2, "b")],
+                                  "Tipo string, SolicitudId bigint, seq bigint, Titulo string")
+    last = changes.last_per_key(batch, ["Tipo", "SolicitudId"])
+    plan = _plan(last)
+    assert "partial_max(seq" in plan and "LeftSemi" in plan
+    assert [r["Titulo"] for r in last.collect()] == ["b"]
 
 
 def test_patch_collapse_is_partial_aggregate(spark):

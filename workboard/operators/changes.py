@@ -12,7 +12,7 @@ small and a sort-merge join otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workboard.functions.coerce import as_of_lit, now_utc
@@ -94,18 +94,28 @@ def outcome_counts(outcomes_df: DataFrame) -> DataFrame:
     return outcomes_df.groupBy("outcome").agg(F.count(F.lit(1)).alias("Filas"))
 
 
+def last_per_key(changes: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """R3 for whole-row changes: the last change per key.
+
+    The winning ``seq`` comes from a narrow hash aggregate (partial, map-side); the wide rows are then picked by a
+    semi join on ``(key, seq)``. That join's key includes the unique ``seq``, so a key holding a third of the batch
+    still hashes over all partitions, and AQE broadcasts the winners when they are small. ``seq`` must be non-null
+    and unique per key.
+    """
+    winners = changes.groupBy(*keys).agg(F.max(seq).alias(seq))
+    return changes.join(winners, list(keys) + [seq], "left_semi")
+
+
 def upsert(target: DataFrame, changes: DataFrame, as_of=None, keys=("Tipo", "SolicitudId"), seq: str = "seq",
            fields: list[str] = RELEASE_FIELDS, stamp_col: str = "FechaActualizacion") -> DataFrame:
     """U4 ``MERGE`` on a composite key: the last change per key (R3) overwrites every field of a matched row and is
     inserted otherwise, with ids continuing after the target's largest id in key order (S4).
 
-    ``changes`` must already be normalised (state defaulted, kinds validated).
+    ``changes`` must already be normalised (state defaulted, kinds validated); ``seq`` is the batch order, non-null
+    and unique per key.
     """
     keys = list(keys)
-    # Last change per key: row_number = 1 becomes a WindowGroupLimit that also runs map-side (partial top-1 per
-    # key before the shuffle), so a key with a third of the batch is cut down before it moves.
-    w = Window.partitionBy(*keys).orderBy(F.col(seq).desc())
-    last = changes.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    last = last_per_key(changes, keys, seq)
     # The collapsed batch feeds both the merge join and the insert branch (whose ids need a stable input): compute
     # it once and cut its lineage in the shared checkpoint folder.
     c = materialize(last.select(*keys, *fields, F.lit(True).alias("_hit")), "upsert-batch")
