@@ -53,3 +53,14 @@ def test_patch_collapse_is_partial_aggregate(spark):
                                   "Id bigint, seq bigint, Estado string, Responsable string, FechaEntrega date")
     plan = _plan(changes.collapse(batch, ["Id"], changes.TRACKING_POLICY))
     assert "partial_max_by" in plan
+
+
+def test_lowered_search_copy_is_pushed(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "lc")
+    df = spark.createDataFrame([(1, "Caja Norte"), (2, "portal")], "Id bigint, Titulo string")
+    df.withColumn("titulo_lc", F.lower("Titulo")).write.parquet(path)
+    t = spark.read.parquet(path)
+    q = t.where(search.text_search("CAJA", ["titulo_lc"], lowered=True))
+    assert "StringContains(titulo_lc,caja)" in _plan(q)
+    assert [r["Id"] for r in q.collect()] == [1]
+    assert [r["Id"] for r in t.where(search.text_search("c_ja", ["titulo_lc"], lowered=True)).collect()] == [1]

@@ -66,13 +66,24 @@ def optional_filters(**eq) -> Column:
     return reduce(lambda a, b: a & b, preds, F.lit(True))
 
 
-def text_search(q: str | None, cols: list[str]) -> Column:
+def text_search(q: str | None, cols: list[str], lowered: bool = False) -> Column:
     """P10: one ``%q%`` pattern OR-ed over ``cols``, case-insensitive. ``%``/``_`` in ``q`` stay wildcards; a
     backslash is literal (the source pattern language has no escape character; Spark's default escape is the
-    backslash, so it is doubled here)."""
+    backslash, so it is doubled here).
+
+    ``lowered=True`` means ``cols`` are stored lower-case copies of hot search columns (write them with the table):
+    the filter then becomes ``contains``, which parquet receives as a pushed ``StringContains``.
+    """
     if not q:
         return F.lit(True)
+    if lowered and "%" not in q and "_" not in q:
+        # ``cols`` hold stored lower-case copies: a plain substring test reaches parquet as ``StringContains``
+        needle = q.lower()
+        # (no coalesce: inside a filter null already rejects the row, and a bare predicate can be pushed down)
+        return reduce(lambda a, b: a | b, [F.col(c).contains(needle) for c in cols])
     pat = "%" + q.replace("\\", "\\\\") + "%"
+    if lowered:
+        return reduce(lambda a, b: a | b, [F.coalesce(F.col(c).like(pat.lower()), F.lit(False)) for c in cols])
     return reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(pat), F.lit(False)) for c in cols])
 
 
