@@ -7,13 +7,16 @@ meet in a node. A small node is compared exhaustively; a large one branches agai
 ``TREES`` trees start at different coordinates. A pair of similarity s meets in a root node with probability
 1 - (1-s)^TREES (1 - 2e-10 at s = 0.75), and each branch keeps it with probability s.
 
-Work is bounded by working on components instead of pairs. Documents with equal sets are one representative. In each
-node all members are first compared with one pivot, so a group of M near copies costs M comparisons; a node whose
-members are all connected by then is finished. Nodes with several components go on: exhaustively when small, else by
-branching. What is still unresolved at the last level is compared exhaustively however large it is.
+Nodes with equal members are looked at once. In a node, sketches are compared first: documents without a partner that
+agrees in at least ``MIN_AGREE`` coordinates leave (a pair at the threshold agrees less with probability below 1e-7),
+and the rest splits into groups of possible partners. Groups with equal members are again looked at once; there the
+full shingle sets are compared by counting over an inverted index, so a returned link is always exact, and links that
+span the group's components are returned, not all pairs. Trees run in two rounds: after the first, nodes whose members
+are already connected are dropped, so the other trees only work on what is still open.
 
-Candidates pass a sketch filter (agreement in at least ``MIN_AGREE`` coordinates; a pair at the threshold fails it
-with probability below 1e-7) and are then confirmed on their full shingle sets, so a returned link is always exact.
+Documents with equal sets are one representative. A node or group is handled in one task only up to a fixed number of
+members or shingles; a larger one branches, and what stays larger at the last level (very many near copies) is dealt in
+blocks, every pair of blocks to some task, so no task grows with a group and nothing is left out.
 
 Edge cases: null, empty or blank text has the empty set, links with nothing and is its own component. Fewer words
 than a shingle: the whole sequence is one shingle. Rows that repeat an id with the same text get equal results; rows
@@ -39,9 +42,15 @@ from workboard.llm.words import batches, lists, mix, segments, window_hashes, wo
 
 COORDINATES = 64
 TREES = 16
+#: Trees of the first round.
+FIRST_TREES = 3
 BRANCHES = 2
-SMALL_NODE = 32
-MAX_LEVELS = 10
+#: A node of more members branches.
+SMALL_NODE = 2048
+MAX_LEVELS = 6
+#: Rows with sketches, and shingles, that a task takes at a time.
+TASK_ROWS = 8_000
+TASK_SHINGLES = 2_000_000
 #: P(Binomial(64, 0.75) < 28) < 1e-7.
 MIN_AGREE = 28
 
@@ -103,92 +112,168 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                         "doc_id long, n_shingles long, print binary, sig array<int>"))
 
 
-class _Verifier:
-    """Confirms candidate pairs of representatives on their full sets and remembers the links."""
-
-    def __init__(self, texts: DataFrame, reps: DataFrame, words: int, percent: int):
-        self.texts, self.reps, self.words, self.percent = texts, reps, words, percent
-        self.links: DataFrame | None = None
-
-    def add(self, pairs: DataFrame) -> bool:
-        """``pairs`` (a, b), a < b. True if any was confirmed."""
-        p = self.percent
-        r = self.reps
-        x = r.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-        y = r.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-        agree = F.aggregate(F.zip_with("sa", "sb", lambda u, v: (u == v).cast("int")), F.lit(0), lambda s, v: s + v)
-        likely = cut(pairs.distinct().join(x, "a").join(y, "b")
-                     .where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p) & (agree >= MIN_AGREE))
-                     .select("a", "b", "na", "nb"), "pairs")
-        if likely.isEmpty():
-            return False
-        wanted = cut(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
-        sets = cut(self.texts.join(small(wanted), self.texts["doc_id"] == wanted["rep"], "left_semi")
-                   .dropDuplicates(["doc_id"]).select("doc_id", "text")
-                   .mapInArrow(partial(_sets, words=self.words), "rep long, shingles array<long>"), "sets")
-        both = F.size(F.array_intersect("x", "y")).cast("long")
-        links = cut(likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-                    .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-                    .where(both * 100 >= (F.col("na") + F.col("nb") - both) * p).select("a", "b"), "links")
-        if links.isEmpty():
-            return False
-        self.links = links if self.links is None else self.links.unionAll(links)
-        return True
-
-    def labelled(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (path, rep, n) with the component of each rep so far."""
-        if self.links is None:
-            return rows.withColumn("comp", F.col("rep"))
-        c = components(self.links).withColumnRenamed("id", "rep")
-        return rows.join(small(c), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-
-
-def _ordered(a, b) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _unresolved(rows: DataFrame, v: _Verifier) -> DataFrame:
-    """Rows (path, rep, n, comp) of nodes that hold more than one component."""
-    rows = cut(v.labelled(rows), "labelled")
-    open_nodes = cut(rows.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                     .where("x <> y").select("path"), "open")
-    return cut(rows.join(open_nodes, "path", "left_semi"), "unresolved")
-
-
-def links(texts: DataFrame, reps: DataFrame, words: int = 5, percent: int = 75) -> DataFrame | None:
-    """Confirmed links (a, b) that connect the representatives ``reps`` (rep, n_shingles, sig), or None.
-
-    Their components are those of all links found; pairs already connected are not listed again.
+def _connect(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Smallest member of each one's component; ``pairs`` yields (i, its neighbours)."""
+    root = np.arange(n)
+    for i, others in pairs:
+        if len(others):
+            roots = np.unique(root[np.append(others, i)])
+            if len(roots) > 1:
+                root[np.isin(root, roots[1:])] = roots[0]
+    return root
+
+
+def _likely(t: pa.Table, percent: int) -> pa.Table:
+    """Possible partners in nodes: rows (node, rep, comp, n_shingles, sig) -> (grp, rep, n_shingles)."""
+    order = np.argsort(t["node"].to_numpy(), kind="stable")
+    node, rep, comp, n = (t[c].to_numpy()[order] for c in ("node", "rep", "comp", "n_shingles"))
+    sig = t["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)[order]
+    at = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    group, keep = np.zeros(len(node), np.uint64), np.zeros(len(node), bool)
+    for a, b in zip(at, np.append(at[1:], len(node)), strict=True):
+        s, size, c = np.ascontiguousarray(sig[a:b].T), n[a:b], comp[a:b]
+        partner = np.zeros(b - a, bool)
+
+        def rows(s=s, size=size, c=c, partner=partner, m=b - a):
+            for i in range(m - 1):
+                agree = np.zeros(m - i - 1, np.uint8)
+                for j in range(COORDINATES):
+                    agree += s[j, i + 1:] == s[j, i]
+                other = size[i + 1:]
+                good = ((agree >= MIN_AGREE) & (c[i + 1:] != c[i])
+                        & (np.minimum(other, size[i]) * 100 >= np.maximum(other, size[i]) * percent))
+                found = np.flatnonzero(good) + i + 1
+                if len(found):
+                    partner[i] = True
+                    partner[found] = True
+                yield i, found
+
+        root = _connect(b - a, rows())
+        keep[a:b] = partner
+        group[a:b] = mix(node[a:b].view(np.uint64) ^ mix(rep[a:b][root].astype(np.uint64)))
+    return pa.table({"grp": group[keep].view(np.int64), "rep": rep[keep], "n_shingles": n[keep]})
+
+
+def _exact(t: pa.Table, percent: int) -> pa.Table:
+    """Links in groups: rows (part, rep, shingles) -> (a, b), spanning the components of each part."""
+    t = t.sort_by([("part", "ascending"), ("rep", "ascending")])
+    part, rep = t["part"].to_numpy(), t["rep"].to_numpy()
+    sets = t["shingles"].combine_chunks()
+    flat, off = sets.flatten().to_numpy(), segments(np.diff(sets.offsets.to_numpy()))
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    left, right = [], []
+    for a, b in zip(at, np.append(at[1:], len(part)), strict=True):
+        size = np.diff(off[a:b + 1])
+        _, word = np.unique(flat[off[a]:off[b]], return_inverse=True)
+        owner = np.repeat(np.arange(b - a), size)
+        by_word = np.argsort(word, kind="stable")
+        starts = segments(np.bincount(word))
+        posted = owner[by_word]
+
+        def rows(size=size, word=word, starts=starts, posted=posted, lo=off[a], first=a, m=b - a):
+            for i in range(m - 1):
+                mine = word[off[first + i] - lo:off[first + i + 1] - lo]
+                mine = mine[starts[mine + 1] - starts[mine] > 1]
+                if not len(mine):
+                    continue
+                both = np.bincount(np.concatenate([posted[starts[w]:starts[w + 1]] for w in mine]), minlength=m)
+                both[:i + 1] = 0
+                yield i, np.flatnonzero((both > 0) & (both * 100 >= (size + size[i] - both) * percent))
+
+        root = _connect(b - a, rows())
+        linked = np.flatnonzero(root != np.arange(b - a))
+        left.append(rep[a:b][root[linked]])
+        right.append(rep[a:b][linked])
+    none = np.empty(0, np.int64)
+    return pa.table({"a": np.concatenate(left or [none]), "b": np.concatenate(right or [none])})
+
+
+def _blocks(df: DataFrame, key: str, out: str, weight, most: int) -> DataFrame:
+    """``df`` with ``out``: the task groups of each row of group ``key``, whose members weigh ``weight`` in all.
+
+    Up to ``most`` a group is one task group. Beyond, its rows are dealt into blocks of about half of that by a hash,
+    and a row goes to the pairs of its block with every block.
     """
-    v = _Verifier(texts, reps, words, percent)
-    rows = reps.select("rep", F.posexplode(F.slice("sig", 1, TREES)).alias("tree", "token")).select(
-        F.xxhash64("tree", "token").alias("path"), "rep")
+    n = F.when(weight > most, F.ceil(weight * 2 / most)).otherwise(1).cast("int")
+    mine = F.pmod(F.xxhash64("rep", F.lit(5)), n).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.when(n == 1, F.col(key)).otherwise(
+        F.xxhash64(F.col(key), F.least(x, mine), F.greatest(x, mine))))
+    return df.withColumn(out, F.explode(pairs))
+
+
+def _distinct_groups(rows: DataFrame, key: str, weight: str) -> DataFrame:
+    """One of the groups with equal members: (key, weight), of groups of two and more in rows (key, rep)."""
+    h = F.xxhash64("rep")
+    seen = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(weight).alias("weight"), F.bit_xor(h).alias("x"),
+                                 F.sum(F.shiftright(h, 16)).alias("y"))
+    return cut(seen.where("n > 1").groupBy("n", "x", "y", "weight").agg(F.min(key).alias(key)).select(key, "weight"),
+               "groups")
+
+
+def _tree_nodes(reps: DataFrame, first: int, last: int) -> DataFrame:
+    """(path, rep) in the leaves of trees first..last-1: nodes that are small, or at the last level."""
+    rows = reps.select("rep", F.posexplode(F.slice("sig", first + 1, last - first)).alias("tree", "token")).select(
+        F.xxhash64(F.col("tree") + first, "token").alias("path"), "rep")
+    leaves = None
     for level in range(MAX_LEVELS + 1):
-        nodes = cut(rows.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-                    .where("n > 1"), "nodes")
-        if nodes.isEmpty():
-            break
-        live = cut(rows.join(nodes, "path"), "live")
-        pivot = F.when(F.col("path") % 2 == 0, F.col("lo")).otherwise(F.col("hi"))
-        v.add(live.withColumn("p", pivot).where("p <> rep").select(*_ordered("p", "rep")))
-        live = _unresolved(live.select("path", "rep", "n"), v)
-        if live.isEmpty():
-            break
-        last = level == MAX_LEVELS
-        node = live if last else live.where(F.col("n") <= SMALL_NODE)
-        other = node.select("path", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
-        v.add(node.join(other, "path").where("rep < rep2 and comp <> comp2").select(*_ordered("rep", "rep2")))
-        if last:
-            break
+        sizes = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        live = cut(rows.join(sizes, "path"), "nodes")
+        leaf = live if level == MAX_LEVELS else live.where(F.col("n") <= SMALL_NODE)
+        leaf = leaf.select("path", "rep")
+        leaves = leaf if leaves is None else leaves.unionAll(leaf)
         large = live.where(F.col("n") > SMALL_NODE)
-        if large.isEmpty():
-            break
+        if level == MAX_LEVELS or sizes.where(F.col("n") > SMALL_NODE).isEmpty():
+            return leaves
         pick = [F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).cast("int") for b in range(BRANCHES)]
-        rows = cut(large.join(reps.select("rep", "sig"), "rep")
-                   .select("rep", "path", F.explode(F.array(*[F.struct(p.alias("j"), F.element_at("sig", p + 1).alias("t"))
-                                                              for p in pick])).alias("c"))
-                   .select(F.xxhash64("path", "c.j", "c.t").alias("path"), "rep").distinct(), "rows")
-    return v.links
+        step = F.array(*[F.struct(p.alias("j"), F.element_at("sig", p + 1).alias("t")) for p in pick])
+        rows = (large.join(reps.select("rep", "sig"), "rep").select("rep", "path", F.explode(step).alias("c"))
+                .select(F.xxhash64("path", "c.j", "c.t").alias("path"), "rep").distinct())
+    return leaves
+
+
+def _search(texts: DataFrame, reps: DataFrame, comp: DataFrame | None, first: int, last: int, words: int,
+            percent: int) -> DataFrame:
+    """Links found by trees first..last-1 between representatives that ``comp`` (id, component) does not connect."""
+    leaves = _tree_nodes(reps, first, last)
+    if comp is None:
+        leaves = leaves.withColumn("comp", F.col("rep"))
+    else:
+        leaves = cut(leaves.join(small(comp), F.col("rep") == F.col("id"), "left")
+                     .select("path", "rep", F.coalesce("component", "rep").alias("comp")), "leaves")
+        mixed = cut(leaves.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+                    .select("path"), "mixed")
+        leaves = cut(leaves.join(mixed, "path", "left_semi"), "open")
+    nodes = _distinct_groups(leaves.withColumn("one", F.lit(1)), "path", "one")
+    dealt = _blocks(leaves.join(nodes, "path"), "path", "node", F.col("weight"), SMALL_NODE)
+    dealt = cut(dealt.join(reps, "rep").select("node", "rep", "comp", "n_shingles", "sig"), "dealt")
+
+    def likely(t: pa.Table) -> pa.Table:
+        return _likely(t, percent)
+
+    def exact(t: pa.Table) -> pa.Table:
+        return _exact(t, percent)
+
+    n = -(-dealt.count() // TASK_ROWS) or 1
+    groups = cut(dealt.groupBy(F.pmod(F.xxhash64("node"), F.lit(n)).alias("task"))
+                 .applyInArrow(likely, "grp long, rep long, n_shingles long"), "likely")
+    chosen = _distinct_groups(groups, "grp", "n_shingles")
+    wanted = cut(groups.join(chosen, "grp"), "wanted")
+    ids = cut(wanted.select(F.col("rep").alias("id")).distinct(), "ids")
+    sets = cut(texts.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
+               .mapInArrow(partial(_sets, words=words), "rep long, shingles array<long>"), "sets")
+    parts = _blocks(wanted, "grp", "part", F.col("weight"), TASK_SHINGLES).select("part", "rep", "n_shingles")
+    total = parts.agg(F.sum("n_shingles")).first()[0] or 0
+    n = -(-total // TASK_SHINGLES) or 1
+    return cut(parts.join(sets, "rep").select("part", "rep", "shingles")
+               .groupBy(F.pmod(F.xxhash64("part"), F.lit(n)).alias("task")).applyInArrow(exact, "a long, b long"),
+               "links")
+
+
+def links(texts: DataFrame, reps: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """Confirmed links (a, b) whose components are those of all links between ``reps`` (rep, n_shingles, sig)."""
+    found = _search(texts, reps, None, 0, FIRST_TREES, words, percent)
+    more = _search(texts, reps, components(found), FIRST_TREES, TREES, words, percent)
+    return found.unionAll(more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -203,13 +288,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rep_of = cut(sk.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     classed = cut(sk.select("doc_id", "n_shingles", "print").join(rep_of, "print", "left").drop("print"), "classed")
     reps = cut(sk.join(rep_of, (sk["doc_id"] == rep_of["rep"]) & (sk["print"] == rep_of["print"]))
-               .select("rep", "n_shingles", "sig").dropDuplicates(["rep", "sig"]), "reps")
-    found = links(texts, reps.dropDuplicates(["rep"]), words, percent)
+               .select("rep", "n_shingles", "sig").dropDuplicates(["rep"]), "reps")
+    found = links(texts, reps, words, percent)
     # an id with several texts belongs to several classes
     split_ids = (classed.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
                  .where("a <> z").select("doc_id"))
     across = classed.join(split_ids, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = components(across if found is None else found.unionAll(across))
+    comp = components(found.unionAll(across))
     return (classed.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
