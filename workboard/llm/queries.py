@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from workboard.llm import minhash_dedup
+from workboard.llm import minhash_dedup, mixing, packing, pii, quality
 from workboard.llm.store import table
 
 
@@ -15,8 +16,37 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of the permitted lengths (operator 2)."""
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+#: Domains of labelled documents, and the wanted share of tokens of each.
+DOMAIN = (F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean"))
+TARGETS = {"clean": 0.95, "low": 0.03, "toxic": 0.02}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain and rate of every document (operator 4)."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DOMAIN, TARGETS)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of base spans, and all spans, of every document (operator 6)."""
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document (operator 8)."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_mixing": op4_mixing,
+    "op6_pii": op6_pii,
+    "op8_quality": op8_quality,
 }
 
 ORACLES: dict[str, str] = {}
