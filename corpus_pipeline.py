@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from workboard.llm import minhash_dedup, mixing, packing, pii, quality
-from workboard.llm.queries import DOMAIN, TARGETS
+from workboard.llm.queries import TARGETS, domain
 from workboard.llm.store import cut, table
 
 
@@ -26,7 +26,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are thinned by the rates that bring domain totals to the targets; rates of 1 and more always stay."""
-    return mixing.resample(docs, table(spark, sf_dir, "labels"), DOMAIN, TARGETS)
+    return mixing.resample(docs, table(spark, sf_dir, "labels"), domain(), TARGETS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

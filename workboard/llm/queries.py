@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workboard.llm import minhash_dedup, mixing, packing, pii, quality
@@ -21,14 +21,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
-#: Domains of labelled documents, and the wanted share of tokens of each.
-DOMAIN = (F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean"))
+#: Wanted share of tokens of each domain.
 TARGETS = {"clean": 0.95, "low": 0.03, "toxic": 0.02}
 
 
+def domain() -> Column:
+    """The domain of a labelled document, over the columns of labels."""
+    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain and rate of every document (operator 4)."""
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DOMAIN, TARGETS)
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain(), TARGETS)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
