@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workboard.llm import minhash_dedup, mixing, packing, pii, quality
+from workboard.llm import (embedding_dedup, exact_topk, license_scan, minhash_dedup, mixing, packing, pii, quality,
+                           substring_dedup, url_filter)
 from workboard.llm.store import table
 
 
@@ -21,6 +22,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes and link counts of all vectors (operator 3)."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 #: Wanted share of tokens of each domain.
 TARGETS = {"clean": 0.95, "low": 0.03, "toxic": 0.02}
 
@@ -35,22 +41,61 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain(), TARGETS)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeated passages cover (operator 5)."""
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of base spans, and all spans, of every document (operator 6)."""
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+#: (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url (operator 7).
+
+    A page is labelled through the document whose id is the number in its path: bad is low quality or toxic.
+    """
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("__doc")).agg(
+        F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("__bad"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    doc = F.regexp_extract(url_filter.host_and_path(F.col("url"))[1], "/([0-9]{1,18})(?:[./]|$)", 1).try_cast("long")
+    labelled = pages.withColumn("__key", doc).join(labels, F.col("__key") == F.col("__doc"), "left")
+    return url_filter.judge(labelled, F.col("__bad") == 1, URL_RULES)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document (operator 8)."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, own or inherited (operator 9).
+
+    Documents are the files of a tree by source, language and 64 neighbouring ids; the first id of each such
+    directory is its licence file.
+    """
+    leaf = F.when(F.col("doc_id") % 64 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("-")), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit("/"),
+                    F.floor(F.col("doc_id") / 64).cast("string"), F.lit("/"), leaf)
+    return license_scan.scan(table(spark, sf_dir, "documents"), path, F.col("text"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best matches of every vector whose id is divisible by 50, among all others (operator 10)."""
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
-    "op2_best_fit_packing": op2_best_fit_packing,
-    "op4_mixing": op4_mixing,
-    "op6_pii": op6_pii,
-    "op8_quality": op8_quality,
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_mixing,
+                            op5_substring_dedup, op6_pii, op7_url_filter, op8_quality, op9_license_scan,
+                            op10_exact_topk)
 }
 
 ORACLES: dict[str, str] = {}
