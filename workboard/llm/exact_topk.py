@@ -107,22 +107,25 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5,
 
     cell = ["dim", "qb", "cb"]
     candidates = rows.withColumn("cb", block(1, c_blocks)).withColumn("qb", all_of(q_blocks)).groupBy(*cell)
-    state = rows.where(is_query(F.col("vec_id"))).select(
+    queries = cut(rows.where(is_query(F.col("vec_id"))), "queries")
+    state = queries.select(
         F.col("vec_id").alias("query_id"), F.lit(-most).cast("long").alias("low"), F.lit(k).alias("need"))
 
     def against(state: DataFrame):
-        q = rows.join(state, rows["vec_id"] == state["query_id"]).select("vec_id", "v", "dim", "low")
+        q = queries.join(state, F.col("vec_id") == F.col("query_id")).select("vec_id", "v", "dim", "low")
         return q.withColumn("qb", block(2, q_blocks)).withColumn("cb", all_of(c_blocks)).groupBy(*cell)
 
-    for r in range(rounds):
-        width = BINS ** (rounds - 1 - r)
-
-        def count(key: tuple, q: pa.Table, c: pa.Table, width: int = width) -> pa.Table:
+    def counter(width: int) -> Callable:
+        def count(key: tuple, q: pa.Table, c: pa.Table) -> pa.Table:
             if not q.num_rows or not c.num_rows:
                 return pa.table({x: np.empty(0, np.int64) for x in ("query_id", "bin", "n")})
             return _count(q, c, key[0].as_py(), width, k)
+        return count
+
+    for r in range(rounds):
+        width = BINS ** (rounds - 1 - r)
 
-        counts = against(state).cogroup(candidates).applyInArrow(count, "query_id long, bin long, n long")
+        counts = against(state).cogroup(candidates).applyInArrow(counter(width), "query_id long, bin long, n long")
         falling = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
         bins = (counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n")).join(state, "query_id")
                 .withColumn("above", F.sum("n").over(falling) - F.col("n")))

@@ -50,6 +50,7 @@ assert LAST - FIRST + 1 == 15 and LAST + CONTEXT <= WINDOW
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
+_SIDES = mix(np.arange(1, len(PAIR_ROUNDS) + 1, dtype=np.uint64) * _PAIR)
 
 
 def symbol_starts(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -72,7 +73,7 @@ def symbol_starts(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     length[begins[short]] = run[short]
     name, length, head, at = name[keep], length[keep], head[keep], at[keep]
     for r, most in enumerate(PAIR_ROUNDS):
-        right = (mix(name + np.uint64(r + 1) * _PAIR) & np.uint64(1)).astype(bool)
+        right = (mix(name ^ _SIDES[r]) & np.uint64(1)).astype(bool)
         active = length <= most
         joins = np.flatnonzero(active[:-1] & active[1:] & ~right[:-1] & right[1:] & ~head[1:])
         name[joins] = mix(name[joins] * _PAIR + mix(name[joins + 1]))
