@@ -76,6 +76,7 @@ def grow(shapes: DataFrame) -> DataFrame:
         here = F.get("shape", F.lit(d))
         branches = rows.where(F.size("shape") > d).groupBy("host", "template", here.alias("seg")).agg(
             F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
+        branches = cut(branches, "branches")
         whole = branches.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
         rest_n, rest_b = F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b")
         p = F.col("all_b") / F.greatest(F.col("all_n"), F.lit(1))
@@ -84,11 +85,10 @@ def grow(shapes: DataFrame) -> DataFrame:
                    & (F.abs(F.col("b") / F.greatest("n", F.lit(1)) - rest_b / F.greatest(rest_n, F.lit(1))) > Z * error))
         token = (branches.join(whole, ["host", "template"])
                  .select("host", "template", "seg", F.when(differs, F.col("seg")).otherwise("*").alias("token")))
-        rows = cut(rows.join(token, (rows["host"] == token["host"]) & (rows["template"] == token["template"])
-                             & (here == token["seg"]), "left")
-                   .select(rows["host"], "shape", "pages", "labelled", "bad",
-                           F.when(F.size("shape") > d, F.concat(rows["template"], F.lit("/"), F.coalesce("token", F.lit("*"))))
-                           .otherwise(rows["template"]).alias("template")), "tree")
+        longer = F.concat("template", F.lit("/"), F.coalesce("token", F.lit("*")))
+        rows = cut(rows.withColumn("seg", here).join(cut(token, "tokens"), ["host", "template", "seg"], "left")
+                   .select("host", "shape", "pages", "labelled", "bad",
+                           F.when(F.size("shape") > d, longer).otherwise(F.col("template")).alias("template")), "tree")
     return rows
 
 
