@@ -5,7 +5,7 @@ coordinate the token with the smallest hash). A tree starts at one coordinate: d
 meet in a node. A small node is compared exhaustively; a large one branches again: each document follows
 ``BRANCHES`` further coordinates, chosen by the node's path, and so goes to child nodes named by path and token.
 ``TREES`` trees start at different coordinates. A pair of similarity s meets in a root node with probability
-1 - (1-s)^TREES (1 - 2e-10 at s = 0.75), and each branch keeps it with probability s.
+1 - (1-s)^TREES (1 - 6e-8 at s = 0.75), and each branch keeps it with probability s.
 
 Nodes with equal members are looked at once. In a node, sketches are compared first: documents without a partner that
 agrees in at least ``MIN_AGREE`` coordinates leave (a pair at the threshold agrees less with probability below 1e-7),
@@ -41,7 +41,7 @@ from workboard.llm.store import cut, small
 from workboard.llm.words import batches, lists, mix, segments, window_hashes, word_hashes
 
 COORDINATES = 64
-TREES = 16
+TREES = 12
 #: Trees of the first round.
 FIRST_TREES = 3
 BRANCHES = 2
@@ -85,17 +85,20 @@ def _sketch(it: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch
         flat, off = _shingle_sets(_binary(batch, 1), words)
         n = np.diff(off)
         full = np.flatnonzero(n)
-        sig = np.zeros((len(n), COORDINATES), np.int32)
+        sig, roots = np.zeros((len(n), COORDINATES), np.int16), np.zeros((len(n), TREES), np.int64)
         if len(full):
             for j in range(COORDINATES):
                 low = np.minimum.reduceat((flat ^ s[j]) * a[j], off[full])
-                sig[full, j] = (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                sig[full, j] = (mix(low) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                if j < TREES:
+                    roots[full, j] = low.view(np.int64)
         prints = [xxhash.xxh3_128_digest(flat[x:y].tobytes()) if y > x else None
                   for x, y in zip(off[:-1], off[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
-             lists(sig.ravel(), np.arange(len(n) + 1) * COORDINATES, pa.int32())],
-            names=["doc_id", "n_shingles", "print", "sig"])
+             lists(sig.ravel(), np.arange(len(n) + 1) * COORDINATES, pa.int16()),
+             lists(roots.ravel(), np.arange(len(n) + 1) * TREES, pa.int64())],
+            names=["doc_id", "n_shingles", "print", "sig", "roots"])
 
 
 def _sets(it: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -106,10 +109,11 @@ def _sets(it: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, print, sig): size, 128-bit fingerprint and minwise tokens of each document's set."""
+    """(doc_id, n_shingles, print, sig, roots): size and 128-bit fingerprint of each document's set, its minwise tokens
+    (16 bits of each), and the whole tokens of the coordinates at which trees start."""
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
             .mapInArrow(partial(_sketch, words=words),
-                        "doc_id long, n_shingles long, print binary, sig array<int>"))
+                        "doc_id long, n_shingles long, print binary, sig array<short>, roots array<long>"))
 
 
 def _connect(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> np.ndarray:
@@ -212,7 +216,7 @@ def _distinct_groups(rows: DataFrame, key: str, weight: str) -> DataFrame:
 
 def _tree_nodes(reps: DataFrame, first: int, last: int) -> DataFrame:
     """(path, rep) in the leaves of trees first..last-1: nodes that are small, or at the last level."""
-    rows = reps.select("rep", F.posexplode(F.slice("sig", first + 1, last - first)).alias("tree", "token")).select(
+    rows = reps.select("rep", F.posexplode(F.slice("roots", first + 1, last - first)).alias("tree", "token")).select(
         F.xxhash64(F.col("tree") + first, "token").alias("path"), "rep")
     leaves = None
     for level in range(MAX_LEVELS + 1):
@@ -245,7 +249,7 @@ def _search(texts: DataFrame, reps: DataFrame, comp: DataFrame | None, first: in
         leaves = cut(leaves.join(mixed, "path", "left_semi"), "open")
     nodes = _distinct_groups(leaves.withColumn("one", F.lit(1)), "path", "one")
     dealt = _blocks(leaves.join(nodes, "path"), "path", "node", F.col("weight"), SMALL_NODE)
-    dealt = cut(dealt.join(reps, "rep").select("node", "rep", "comp", "n_shingles", "sig"), "dealt")
+    dealt = cut(dealt.join(reps.drop("roots"), "rep").select("node", "rep", "comp", "n_shingles", "sig"), "dealt")
 
     def likely(t: pa.Table) -> pa.Table:
         return _likely(t, percent)
@@ -287,8 +291,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sk = cut(sketches(texts, words=words), "sketches")
     rep_of = cut(sk.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     classed = cut(sk.select("doc_id", "n_shingles", "print").join(rep_of, "print", "left").drop("print"), "classed")
-    reps = cut(sk.join(rep_of, (sk["doc_id"] == rep_of["rep"]) & (sk["print"] == rep_of["print"]))
-               .select("rep", "n_shingles", "sig").dropDuplicates(["rep"]), "reps")
+    reps = cut(sk.where("print is not null and doc_id is not null").groupBy("print")
+               .agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "roots")])
+               .drop("print"), "reps")
     found = links(texts, reps, words, percent)
     # an id with several texts belongs to several classes
     split_ids = (classed.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
