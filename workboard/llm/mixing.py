@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from workboard.llm.packing import word_count
 from workboard.llm.store import cut
-from workboard.llm.textstats import _PUNCTUATION, STATS, stat_columns, with_stats
+from workboard.llm.textstats import _PUNCTUATION, STATS, with_stats
 
 #: Bound of the labelled sample whose texts reach the driver one after another, and of its bytes in all.
 MAX_LABELLED = 6_000
@@ -49,22 +49,13 @@ class Domains:
     scale: np.ndarray
     weights: np.ndarray
 
-    def posterior(self) -> list[Column]:
-        """A column for each domain's posterior, over ``__stats``."""
-        x = [c if i < len(STATS) else F.log1p(c) for i, c in enumerate(stat_columns(len(self.lexicons)))]
-        z = [(c - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(x, self.mean, self.scale, strict=True)]
-        margins = []
-        for row in self.weights:
-            margin = F.lit(float(row[-1]))
-            for c, w in zip(z, row[:-1], strict=True):
-                margin = margin + c * F.lit(float(w))
-            margins.append(margin)
-        top = F.greatest(*margins) if len(margins) > 1 else margins[0]
-        e = [F.exp(m - top) for m in margins]
-        total = e[0]
-        for x in e[1:]:
-            total = total + x
-        return [x / total for x in e]
+    def posterior(self, stats: np.ndarray) -> np.ndarray:
+        """Posteriors of the domains for rows of STATS and lexicon counts."""
+        x = stats.copy()
+        x[:, len(STATS):] = np.log1p(x[:, len(STATS):])
+        margin = ((x - self.mean) / self.scale) @ self.weights[:, :-1].T + self.weights[:, -1]
+        e = np.exp(margin - margin.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
 
 
 def _lexicon(counts: Counter, rest: Counter, n: int, m: int) -> frozenset:
@@ -134,8 +125,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str
 def members(docs: DataFrame, model: Domains, text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """``docs`` with ``__tokens`` (long) and ``__p`` (array of posteriors, in the order of ``model.names``)."""
     n = word_count(F.col(text_col)) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0).cast("long"))
-    seen = with_stats(docs.withColumn("__tokens", n), text_col, model.lexicons)
-    return seen.withColumn("__p", F.array(*model.posterior())).drop("__stats")
+    return with_stats(docs.withColumn("__tokens", n), text_col, model.lexicons, model.posterior).withColumnRenamed(
+        "__stats", "__p")
 
 
 def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, ridge: float = RIDGE,

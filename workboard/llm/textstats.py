@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from operator import eq
 
@@ -64,22 +64,23 @@ def _stats(texts: list, lexicons: list) -> np.ndarray:
     return out
 
 
-def _add(it: Iterator[pa.RecordBatch], text: str, lexicons: list) -> Iterator[pa.RecordBatch]:
+def _add(it: Iterator[pa.RecordBatch], text: str, lexicons: list, then: Callable | None) -> Iterator[pa.RecordBatch]:
     for batch in batches(it, text):
         s = _stats(batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist(), lexicons)
+        s = then(s) if then else s
         col = lists(s.ravel(), np.arange(len(s) + 1) * s.shape[1], pa.float64())
         yield pa.RecordBatch.from_arrays([*batch.columns, col], names=[*batch.schema.names, "__stats"])
 
 
-def with_stats(df: DataFrame, text: str, lexicons: list | None = None) -> DataFrame:
+def with_stats(df: DataFrame, text: str, lexicons: list | None = None, then: Callable | None = None) -> DataFrame:
     """``df`` with ``__stats`` array<double>: STATS and the hits of each lexicon (a set of lower-case bytes words).
 
-    All numbers are 0 for a null or empty text.
+    All numbers are 0 for a null or empty text. ``then`` may turn the rows of numbers into others.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("__stats", T.ArrayType(T.DoubleType()))])
-    return df.mapInArrow(partial(_add, text=text, lexicons=lexicons or []), schema)
+    return df.mapInArrow(partial(_add, text=text, lexicons=lexicons or [], then=then), schema)
 
 
-def stat_columns(n_lexicons: int = 0) -> list:
-    """A column expression for each number of ``__stats``."""
-    return [F.element_at("__stats", i + 1) for i in range(len(STATS) + n_lexicons)]
+def stat_columns() -> list:
+    """A column expression for each of STATS."""
+    return [F.element_at("__stats", i + 1) for i in range(len(STATS))]
