@@ -1,54 +1,39 @@
-"""Seed projects used as golden inputs: dates, plan order and parent links as seeded; names are invented."""
+"""Two small project plans on working days, built by rule; the goldens in the tests are worked out by hand."""
 
 import datetime as dt
 
 D = dt.date.fromisoformat
 
-# Seed A: one project, four sequential tasks (order, start, end, parent order).
-SEED_A_PROJECT = ("Instalacion camaras", D("2026-08-13"), D("2026-08-24"))
-SEED_A_TASKS = [
-    (1, "2026-08-13", "2026-08-14", None),
-    (2, "2026-08-17", "2026-08-18", None),
-    (3, "2026-08-19", "2026-08-20", None),
-    (4, "2026-08-21", "2026-08-24", None),
-]
+# Plan 1: five tasks of two working days, one after another, from Monday 2027-03-01 (ends Friday 2027-03-12).
+# Plan 2: four phases of 3, 5, 2 and 4 one-day steps from Monday 2027-04-05 (14 days, ends Thursday 2027-04-22).
+PHASES = (3, 5, 2, 4)
 
-# Seed B: one project, six phases (no parent) and 28 activities linked to their phase.
-SEED_B_PROJECT = ("Almacen de datos", D("2026-05-21"), D("2026-08-07"))
-SEED_B_TASKS = [
-    (1, "2026-05-21", "2026-05-28", None),
-    (2, "2026-05-21", "2026-05-21", 1), (3, "2026-05-22", "2026-05-22", 1), (4, "2026-05-25", "2026-05-26", 1),
-    (5, "2026-05-27", "2026-05-27", 1), (6, "2026-05-28", "2026-05-28", 1),
-    (7, "2026-05-29", "2026-06-03", None),
-    (8, "2026-05-29", "2026-06-01", 7), (9, "2026-06-02", "2026-06-02", 7), (10, "2026-06-03", "2026-06-03", 7),
-    (11, "2026-06-04", "2026-06-29", None),
-    (12, "2026-06-04", "2026-06-11", 11), (13, "2026-06-12", "2026-06-16", 11), (14, "2026-06-17", "2026-06-18", 11),
-    (15, "2026-06-19", "2026-06-22", 11), (16, "2026-06-23", "2026-06-24", 11), (17, "2026-06-25", "2026-06-29", 11),
-    (18, "2026-06-30", "2026-08-03", None),
-    (19, "2026-06-30", "2026-06-30", 18), (20, "2026-07-01", "2026-07-06", 18), (21, "2026-07-07", "2026-07-13", 18),
-    (22, "2026-07-14", "2026-07-15", 18), (23, "2026-07-16", "2026-07-17", 18), (24, "2026-07-20", "2026-07-20", 18),
-    (25, "2026-07-21", "2026-07-21", 18), (26, "2026-07-22", "2026-07-23", 18), (27, "2026-07-24", "2026-07-27", 18),
-    (28, "2026-07-28", "2026-07-29", 18), (29, "2026-07-30", "2026-08-03", 18),
-    (30, "2026-08-04", "2026-08-04", None),
-    (31, "2026-08-04", "2026-08-04", 30),
-    (32, "2026-08-05", "2026-08-07", None),
-    (33, "2026-08-05", "2026-08-05", 32), (34, "2026-08-06", "2026-08-07", 32),
-]
+
+def working_days(start: str, n: int) -> list:
+    days, d = [], D(start)
+    while len(days) < n:
+        if d.weekday() < 5:
+            days.append(d)
+        d += dt.timedelta(days=1)
+    return days
 
 
 def seed_frames(spark):
     """Projects (ids 1, 2) and their tasks, with parent links resolved to task ids."""
     from workboard import schemas
-    reg = dt.datetime(2026, 5, 1)
-    projects = [(1, SEED_A_PROJECT[0], None, "resp.a", SEED_A_PROJECT[1], SEED_A_PROJECT[2], "Activo", reg),
-                (2, SEED_B_PROJECT[0], None, "resp.b", SEED_B_PROJECT[1], SEED_B_PROJECT[2], "Activo", reg)]
-    rows = []
-    next_id = 1
-    for pid, tasks in ((1, SEED_A_TASKS), (2, SEED_B_TASKS)):
-        by_order = {}
-        for order, start, end, parent in tasks:
-            by_order[order] = next_id
-            rows.append((next_id, pid, f"Tarea {order}", D(start), D(end), 0, None, None, False, order, None,
-                         by_order[parent] if parent else None))
-            next_id += 1
+    reg = dt.datetime(2027, 2, 1)
+    a, b = working_days("2027-03-01", 10), working_days("2027-04-05", sum(PHASES))
+    projects = [(1, "Biblioteca movil", None, "resp.a", a[0], a[-1], "Activo", reg),
+                (2, "Huerto escolar", None, "resp.b", b[0], b[-1], "Activo", reg)]
+    rows = [(i + 1, 1, f"Tarea {i + 1}", a[2 * i], a[2 * i + 1], 0, None, None, False, i + 1, None, None)
+            for i in range(5)]
+    at, order = 0, 1
+    for n in PHASES:
+        phase = len(rows) + 1
+        rows.append((phase, 2, f"Fase {order}", b[at], b[at + n - 1], 0, None, None, False, order, None, None))
+        order += 1
+        for k in range(n):
+            rows.append((phase + 1 + k, 2, f"Paso {order}", b[at + k], b[at + k], 0, None, None, False, order, None, phase))
+            order += 1
+        at += n
     return (spark.createDataFrame(projects, schemas.PROJECTS), spark.createDataFrame(rows, schemas.TASKS))

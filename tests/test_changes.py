@@ -74,7 +74,7 @@ def test_upsert(spark):
 def test_deletes(spark):
     projects, tasks = seed_frames(spark)
     p2, t2 = changes.cascade_delete(projects, tasks, spark.createDataFrame([(1,), (77,)], "Id bigint"))
-    assert [r["Id"] for r in p2.collect()] == [2] and t2.count() == 34
+    assert [r["Id"] for r in p2.collect()] == [2] and t2.count() == 18
     assert audit.referential_audit(p2, t2, spark.createDataFrame([], "Tipo string, " + schemas.REQUESTS_ERP),
                                    spark.createDataFrame([], schemas.NOTES),
                                    spark.createDataFrame([], schemas.ATTACHMENTS),
@@ -83,15 +83,27 @@ def test_deletes(spark):
     leaf = tasks.where(F.col("TareaPadreId") == phase_b).orderBy("Id").first()["Id"]
     left, out = changes.delete_tasks_checked(tasks, spark.createDataFrame([(phase_b,), (leaf,), (-1,)], "Id bigint"))
     assert {r["Id"]: r["outcome"] for r in out.collect()} == {phase_b: "blocked", leaf: "deleted", -1: "missing"}
-    assert left.count() == 37
+    assert left.count() == 22
     kept = changes.delete_keys(tasks, spark.createDataFrame([(leaf,), (999,)], "Id bigint"))
-    assert kept.count() == 37
-
-
-def test_orphans_by_distinct_keys(spark):
-    child = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (4, None)], "Id bigint, ProyectoId bigint")
-    parents = spark.createDataFrame([(10,)], "ProyectoId bigint")
-    assert [r["Id"] for r in audit.orphans(child, ["ProyectoId"], parents).collect()] == [3]
+    assert kept.count() == 22
+
+
+def test_changes_without_order_or_key_are_rejected_and_ties_have_one_winner(spark):
+    ddl = "Id bigint, seq bigint, Estado string, Responsable string, FechaEntrega date"
+    rows = [(1, 5, "A", "x", None), (1, 5, "B", "y", None), (1, None, "C", "z", None), (None, 9, "D", "w", None)]
+    batch = spark.createDataFrame(rows, ddl)
+    usable, rejects = changes.split_changes(batch, ["Id"])
+    assert usable.count() == 2 and {r["Motivo"] for r in rejects.collect()} == {"sin_orden", "sin_clave"}
+    target = spark.createDataFrame([_erp(1)], schemas.REQUESTS_ERP)
+    one = changes.apply_patch(target, batch, changes.TRACKING_POLICY, as_of=NOW).collect()
+    # all columns come from one change, whatever the order of the rows
+    assert len(one) == 1 and (one[0]["Estado"], one[0]["Responsable"]) in {("A", "x"), ("B", "y")}
+    again = changes.apply_patch(target, batch.orderBy(F.col("Estado").desc()), changes.TRACKING_POLICY, as_of=NOW).first()
+    assert again["Estado"] == one[0]["Estado"]
+    tied = spark.createDataFrame([_chg("gen", 7, 3, "a", "Rollback"), _chg("gen", 7, 3, "b", "Aprobado"),
+                                  _chg("erp", 8, None, "c", "Aprobado")], CHG_DDL)
+    assert [(r["Tipo"], r["SolicitudId"]) for r in changes.upsert(spark.createDataFrame([], schemas.RELEASES), tied,
+                                                                  as_of=NOW).collect()] == [("gen", 7)]
 
 
 def test_patch_hot_key_batch(spark):

@@ -108,3 +108,34 @@ def test_directory_pages(spark, tmp_dir):
     assert names == ["álamo", "azul", "nz", "Ñu", "Ob"]
     jt = {r["name"]: r["jobTitle"] for r in directory.members(users, "@example.com").collect()}
     assert jt["azul"] == "TI" and jt["Ñu"] == ""
+
+
+def test_ids_beyond_32_and_64_bits(spark):
+    big, huge = "3000000000", "99999999999999999999"
+    t = spark.createDataFrame([(big, "a", big, big), (big, "a", None, huge), (huge, "a", None, None), ("0", "a", None, None)],
+                              "proyectoId string, nombre string, dependenciaId string, tareaPadreId string")
+    got = [(r["ProyectoId"], r["DependenciaId"], r["TareaPadreId"], r["Motivo"]) for r in intake.tasks(t).collect()]
+    assert got == [(3000000000, 3000000000, 3000000000, None), (3000000000, None, None, "id_fuera_de_rango"),
+                   (None, None, None, "id_fuera_de_rango"), (0, None, None, "sin_proyecto")]
+    n = spark.createDataFrame([("erp", big, "x"), ("erp", huge, "x")], "tipo string, solicitudId string, nota string")
+    assert [(r["SolicitudId"], r["Motivo"]) for r in intake.notes(n, NOW).collect()] == [
+        (3000000000, None), (None, "id_fuera_de_rango")]
+
+
+def test_infra_number_out_of_range_is_rejected(spark):
+    body = '{"model":{"informacion_general":{"nombre_aplicacion":"x"},"computo_y_contenedores":{"cpu_total_vcpu":"%s"}}}'
+    raw = spark.createDataFrame([(body % "1e9",), (body % "12.345",)], "body string")
+    got = [(None if r["CPURequerida"] is None else float(r["CPURequerida"]), r["Motivo"])
+           for r in intake.infra_requests(raw).collect()]
+    assert got == [(None, "numero_fuera_de_rango"), (12.35, None)] or got == [(None, "numero_fuera_de_rango"), (12.34, None)]
+
+
+def test_change_bodies(spark):
+    raw = spark.createDataFrame([("7", 1, '{"estado":" Cerrado ","fechaEntrega":"2026-02-31"}'), ("0", 2, "{}"), ("5", 3, "{bad")],
+                                "id string, seq int, body string")
+    got = [(r["Id"], r["seq"], r["Estado"], r["FechaEntrega"], r["Motivo"]) for r in intake.tracking_changes(raw).collect()]
+    assert got == [(7, 1, "Cerrado", None, None), (0, 2, None, None, "falta_id"), (5, 3, None, None, "json_invalido")]
+    rel = spark.createDataFrame([('{"tipo":"erp","solicitudId":"4","docFuncional":"0","induccion":[]}', 1)], "body string, seq int")
+    r = intake.release_changes(rel).first()
+    assert (r["Tipo"], r["SolicitudId"], r["Estado"], r["DocArquitectura"], r["DocFuncional"], r["Induccion"], r["Motivo"]) == (
+        "erp", 4, "Planificado", False, True, True, None)

@@ -14,15 +14,15 @@ def test_seed_rollup_goldens(spark):
     r = {row["Id"]: row for row in portfolio.project_rollup(projects, tasks).collect()}
     a, b = r[1], r[2]
     assert (a["Tareas"], a["Hitos"], a["Avance"], a["TareaMin"], a["TareaMax"]) == \
-        (4, 0, 0.0, D("2026-08-13"), D("2026-08-24"))
+        (5, 0, 0.0, D("2027-03-01"), D("2027-03-12"))
     assert (b["Tareas"], b["Hitos"], b["Avance"], b["TareaMin"], b["TareaMax"]) == \
-        (34, 0, 0.0, D("2026-05-21"), D("2026-08-07"))
+        (18, 0, 0.0, D("2027-04-05"), D("2027-04-22"))
 
 
 def test_seed_kpis_golden(spark):
     projects, tasks = seed_frames(spark)
     k = portfolio.portfolio_kpis(portfolio.project_rollup(projects, tasks)).first().asDict()
-    assert k == {"Proyectos": 2, "Activos": 2, "AvancePromedio": 0, "Tareas": 38, "Hitos": 0}
+    assert k == {"Proyectos": 2, "Activos": 2, "AvancePromedio": 0, "Tareas": 23, "Hitos": 0}
 
 
 def test_seed_plan_audit_has_no_findings(spark):

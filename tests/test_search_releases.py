@@ -19,20 +19,21 @@ def _requests(spark, n=600):
 
 def test_list_top500_and_filters(spark):
     df = _requests(spark)
-    top = search.list_requests(df, "infra").collect()
+    top = search.list_requests(df, "infra", limit=500).collect()
+    assert search.list_requests(df, "infra", limit=None).count() == 600  # all of them, when asked for
     assert len(top) == 500 and top[0]["Id"] == 600 and top[-1]["Id"] == 101
     assert len(top[0]) == len(search.INFRA_LIST)
-    caja = search.list_requests(df, "infra", q="caja").collect()  # mixed case
+    caja = search.list_requests(df, "infra", q="caja", limit=500).collect()  # mixed case
     assert len(caja) == 300 and all(r["Aplicacion"] == "Aplicación Caja" for r in caja)
-    assert search.list_requests(df, "infra", q="aplicacion").count() == 0  # accent-sensitive
-    assert search.list_requests(df, "infra", q="portal_web").count() == 300
+    assert search.list_requests(df, "infra", q="aplicacion", limit=500).count() == 0  # accent-sensitive
+    assert search.list_requests(df, "infra", q="portal_web", limit=500).count() == 300
     # % stays a wildcard: 200 "100% nube" projects plus "Titulo 100"
-    assert search.list_requests(df, "infra", q="100%").count() == 201
-    both = search.list_requests(df, "infra", estado="Cerrado", proyecto_id="2").collect()
+    assert search.list_requests(df, "infra", q="100%", limit=500).count() == 201
+    both = search.list_requests(df, "infra", estado="Cerrado", proyecto_id="2", limit=500).collect()
     assert {(r["Estado"]) for r in both} == {"Cerrado"} and len(both) == 30
-    assert search.list_requests(df, "infra", estado="", q="").count() == 500  # empty filters add nothing
+    assert search.list_requests(df, "infra", estado="", q="", limit=500).count() == 500  # empty filters add nothing
     with pytest.raises(ValueError):
-        search.list_requests(df, "infra", proyecto_id="abc")
+        search.list_requests(df, "infra", proyecto_id="abc", limit=500)
 
 
 def test_by_id_and_keys(spark):

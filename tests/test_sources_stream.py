@@ -1,12 +1,13 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from workboard import schemas
 from workboard.operators import changes
 from workboard.sources import tables
-from workboard.streaming.apply import SnapshotStore, apply_change_stream
+from workboard.streaming.apply import change_log_stream
 
 
 def test_with_ids_contiguous_over_partitions(spark):
@@ -34,7 +35,7 @@ def test_link_children(spark):
     assert got == {1: 1, 2: 2, 3: 2}
 
 
-def test_stream_equals_batch_and_replay_is_skipped(spark, tmp_dir):
+def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_dir):
     now = dt.datetime(2026, 9, 1)
     target = spark.createDataFrame(
         [(i, dt.datetime(2026, 1, 1), "t", "s", "a", None, None, None, "No", None, None, "Nuevo", "ana", None, None,
@@ -46,21 +47,20 @@ def test_stream_equals_batch_and_replay_is_skipped(spark, tmp_dir):
     b1.coalesce(1).write.parquet(os.path.join(src, "p1"))
     b2.coalesce(1).write.parquet(os.path.join(src, "p2"))
     stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+    log = os.path.join(tmp_dir, "log")
 
-    def apply(cur, batch, _bid):
-        return changes.apply_patch(cur, batch, changes.TRACKING_POLICY, as_of=now)
+    def state():
+        changed = spark.read.parquet(log).drop("batch")
+        return sorted(map(tuple, changes.apply_patch(target, changed, changes.TRACKING_POLICY, as_of=now).collect()))
 
-    root = os.path.join(tmp_dir, "table")
-    q = apply_change_stream(stream, target, root, os.path.join(tmp_dir, "ckpt"), apply, keys=["Id"], buckets=4)
-    q.awaitTermination()
-    store = SnapshotStore(spark, root, ["Id"], 4)
-    final = sorted(map(tuple, store.read_latest().collect()))
-    batch = sorted(map(tuple, apply(target, b1.unionByName(b2), 0).collect()))
-    assert final == batch
-    assert store.has(store.latest_batch())
-    # each batch rewrote only the buckets it touched
-    m = spark.read.parquet(os.path.join(root, "_manifest"))
-    assert m.where("batch_id >= 0").count() < 2 * 4
+    change_log_stream(stream, lambda b: b, log, os.path.join(tmp_dir, "ckpt")).awaitTermination()
+    batch = changes.apply_patch(target, b1.unionByName(b2), changes.TRACKING_POLICY, as_of=now)
+    assert state() == sorted(map(tuple, batch.collect()))
+    # without its checkpoint the stream hands out the same batches again; they replace their partitions
+    change_log_stream(stream, lambda b: b, log, os.path.join(tmp_dir, "ckpt2")).awaitTermination()
+    assert spark.read.parquet(log).count() == 4 and state() == sorted(map(tuple, batch.collect()))
+    with pytest.raises(ValueError):
+        change_log_stream(stream, lambda b: b, log, "")
 
 
 def test_append_and_replace_partitions(spark, tmp_dir):
@@ -84,46 +84,15 @@ def test_write_table_layout_prunes_partitions(spark, tmp_dir):
     assert [r["Id"] for r in df.collect()] == [13]
 
 
-def test_batch_copy_on_write_rewrites_touched_buckets_only(spark, tmp_dir):
-    now = dt.datetime(2026, 9, 1)
-    target = spark.createDataFrame(
-        [(i, dt.datetime(2026, 1, 1), "t", "s", "a", None, None, None, "No", None, None, "Nuevo", "ana", None, None,
-          "{}", None) for i in range(1, 41)], schemas.REQUESTS_ERP)
-    store = SnapshotStore(spark, os.path.join(tmp_dir, "t"), ["Id"], 8)
-    store.initialise(target)
-    batch = spark.createDataFrame([(3, 1, "Cerrado", None, None)],
-                                  "Id bigint, seq bigint, Estado string, Responsable string, FechaEntrega date")
-
-    def apply(cur, b, _bid):
-        return changes.apply_patch(cur, b, changes.TRACKING_POLICY, as_of=now)
-
-    assert store.apply_batch(batch, 0, apply, schema=target.schema)
-    assert not store.apply_batch(batch, 0, apply, schema=target.schema)  # replay skipped
-    final = {r["Id"]: r["Estado"] for r in store.read_latest().collect()}
-    assert len(final) == 40 and final[3] == "Cerrado" and final[4] == "Nuevo"
-    m = spark.read.parquet(os.path.join(tmp_dir, "t", "_manifest"))
-    assert m.where("batch_id = 0").count() == 1  # one bucket rewritten
-
-
-def test_manifest_compaction_keeps_state(spark, tmp_dir):
-    target = spark.createDataFrame(
-        [(i, dt.datetime(2026, 1, 1), "t", "s", "a", None, None, None, "No", None, None, "Nuevo", "ana", None, None,
-          "{}", None) for i in range(1, 21)], schemas.REQUESTS_ERP)
-    store = SnapshotStore(spark, os.path.join(tmp_dir, "t"), ["Id"], 4, compact_every=2)
-    store.initialise(target)
-    ddl = "Id bigint, seq bigint, Estado string, Responsable string, FechaEntrega date"
-
-    def apply(cur, b, _bid):
-        return changes.apply_patch(cur, b, changes.TRACKING_POLICY, as_of=dt.datetime(2026, 9, 1))
-
-    for bid, (i, estado) in enumerate([(1, "A"), (2, "B"), (1, "C")]):
-        store.apply_batch(spark.createDataFrame([(i, bid, estado, None, None)], ddl), bid, apply,
-                          schema=target.schema)
-    final = {r["Id"]: r["Estado"] for r in store.read_latest().collect()}
-    assert (len(final), final[1], final[2], final[3]) == (20, "C", "B", "Nuevo")
-    assert store.latest_batch() == 2 and store.has(1) and not store.has(3)
-    assert store._generation() == 1  # compacted after batch 1
-    assert store._manifest().count() <= 4 + 1
+def test_write_table_splits_one_kind(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "one-kind")
+    df = spark.range(40_000, numPartitions=4).select(F.lit("erp").alias("Tipo"), F.col("id").alias("Id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.write_table(df, path, ["Tipo"], ["Id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(spark.read.parquet(path).inputFiles()) > 1
 
 
 def test_with_ids_hot_key_spreads_and_stays_contiguous(spark):

@@ -84,6 +84,38 @@ def to_int_prefix(c) -> Column:
     return F.when(raw != "", digits.try_cast("int"))
 
 
+def to_id(c) -> Column:
+    """An id by the same prefix rule as :func:`to_int_prefix`, as BIGINT; null when blank, not a number or too large
+    (see :func:`id_too_large`)."""
+    raw = _c(c).cast("string")
+    digits = F.regexp_extract(F.ltrim(raw, F.lit(JS_WS_CHARS)), "^([+-]?[0-9]+)", 1)
+    return F.when(raw != "", digits.try_cast("bigint"))
+
+
+def id_too_large(*cs) -> Column:
+    """Whether any of the values starts with an integer that no BIGINT holds."""
+    out = F.lit(False)
+    for c in cs:
+        found = F.ltrim(_c(c).cast("string"), F.lit(JS_WS_CHARS)).rlike("^[+-]?[0-9]+")
+        out = out | F.coalesce(found & to_id(c).isNull(), F.lit(False))
+    return out
+
+
+def to_id_trunc(c) -> Column:
+    """An id by the truncating rule of :func:`to_int_trunc`, as BIGINT: plain integers exactly, other forms through
+    ``Number()`` while it holds integers exactly."""
+    t = js_trim(c)
+    n = to_num(c)
+    return F.when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("bigint")).otherwise(
+        F.when(F.abs(n) <= 9007199254740991.0, n.cast("bigint")))
+
+
+def number_out_of_range(c, precision: int, scale: int) -> Column:
+    """Whether a value is a number that DECIMAL(p,s) cannot hold."""
+    n = to_num(c)
+    return F.coalesce(n.isNotNull() & (F.abs(n) >= 10.0 ** (precision - scale)), F.lit(False))
+
+
 def clamp_progress(c) -> Column:
     """H6 ``clampProg``: parseInt then clamp to 0..100; null stays null."""
     n = to_int_prefix(c)

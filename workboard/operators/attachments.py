@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workboard.functions.coerce import clean_text, to_int_prefix
+from workboard.functions.coerce import clean_text, id_too_large, to_id
 
 
 def passthrough(raw: DataFrame, outputs: list[str]) -> list[str]:
@@ -55,11 +55,11 @@ def intake(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """
     raw = with_fields(raw, ["tipo", "solicitudId", "nombre", "contentType", "base64", "autor"])
     tipo = clean_text("tipo", 10)
-    sid = to_int_prefix("solicitudId")
+    sid = to_id("solicitudId")
     nombre = clean_text("nombre", 300)
     content = lenient_base64("base64")
     size = F.octet_length(content)
-    motivo = (F.when(~valid_kind_expr(tipo) | F.coalesce(sid == 0, F.lit(True)), "tipo_o_solicitud")
+    motivo = (F.when(id_too_large("solicitudId"), "id_fuera_de_rango").when(~valid_kind_expr(tipo) | F.coalesce(sid == 0, F.lit(True)), "tipo_o_solicitud")
               .when(nombre.isNull(), "sin_nombre")
               .when(F.col("base64").isNull() | (F.col("base64") == ""), "sin_contenido")
               .when(F.coalesce(size, F.lit(0)) == 0, "vacio")
@@ -67,7 +67,7 @@ def intake(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     outs = ["Tipo", "SolicitudId", "Nombre", "ContentType", "Tamano", "Contenido", "Autor", "Motivo"]
     return raw.select(
         *passthrough(raw, outs),
-        tipo.alias("Tipo"), sid.cast("bigint").alias("SolicitudId"), nombre.alias("Nombre"),
+        tipo.alias("Tipo"), sid.alias("SolicitudId"), nombre.alias("Nombre"),
         F.coalesce(clean_text("contentType", 150), F.lit(DEFAULT_CONTENT_TYPE)).alias("ContentType"),
         size.alias("Tamano"), content.alias("Contenido"), clean_text("autor", 200).alias("Autor"),
         motivo.alias("Motivo"),

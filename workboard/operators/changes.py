@@ -12,11 +12,11 @@ small and a sort-merge join otherwise.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workboard.functions.coerce import as_of_lit, now_utc
-from workboard.session import materialize
 from workboard.sources.tables import max_id, with_ids
 
 KEEP_IF_NULL = "keep_if_null"
@@ -37,24 +37,37 @@ RELEASE_FIELDS = ["Titulo", "FechaPlanificada", "VentanaInicio", "VentanaFin", "
                   "ReceptorDocumentacion", "ReceptorInduccion", "ContrapartePlanificacion"]
 
 
-def _last(col: str, seq: str) -> Column:
-    """Value of ``col`` in the row with the highest ``seq`` (null values included)."""
-    return F.max_by(F.col(col), F.col(seq))
+def _order(changes: DataFrame, seq: str) -> Column:
+    """Batch order: ``seq``, then a hash of the whole change, so changes with equal ``seq`` have one winner."""
+    return F.struct(F.col(seq), F.xxhash64(*[F.col(c) for c in changes.columns]))
 
 
-def _last_non_null(col: str, seq: str) -> Column:
-    """Value of ``col`` in the highest-``seq`` row where it is not null (rows with a null ordering are skipped)."""
-    return F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(seq)))
+def split_changes(changes: DataFrame, keys: list[str], seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """``(usable, rejects)``: a change without a key or without an order cannot be applied and keeps its ``Motivo``."""
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    reason = F.when(no_key, "sin_clave").when(F.col(seq).isNull(), "sin_orden")
+    return (changes.where(reason.isNull()),
+            changes.where(reason.isNotNull()).withColumn("Motivo", reason))
 
 
 def collapse(changes: DataFrame, keys: list[str], policy: dict, seq: str = "seq") -> DataFrame:
     """Fold a batch of sequential patches into one row per key.
 
-    Overwrite columns take the last patch's value; keep-if-null columns take the last non-null value (null when
-    every patch left them null) — the result of applying the patches one by one.
+    Overwrite columns all come from the last patch; keep-if-null columns take the last non-null value (null when
+    every patch left them null) — the result of applying the patches one by one. Changes without key or order are no
+    part of it (see :func:`split_changes`).
     """
-    aggs = [(_last_non_null(c, seq) if p == KEEP_IF_NULL else _last(c, seq)).alias(c) for c, p in policy.items()]
-    return changes.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_patches"))
+    usable, _ = split_changes(changes, keys, seq)
+    order = _order(usable, seq)
+    last = [c for c, p in policy.items() if p != KEEP_IF_NULL]
+    aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
+            for c, p in policy.items() if p == KEEP_IF_NULL]
+    if last:
+        aggs.append(F.max_by(F.struct(*last), order).alias("_last"))
+    out = usable.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_patches"))
+    return out.select(*keys, *[F.col(f"_last.{c}").alias(c) if c in last else F.col(c) for c in policy], "_patches")
 
 
 def apply_patch(target: DataFrame, changes: DataFrame, policy: dict, as_of=None, key: str = "Id",
@@ -95,15 +108,14 @@ def outcome_counts(outcomes_df: DataFrame) -> DataFrame:
 
 
 def last_per_key(changes: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """R3 for whole-row changes: the last change per key.
+    """R3 for whole-row changes: the last change per key, exactly one (equal ``seq``: see :func:`collapse`).
 
-    The winning ``seq`` comes from a narrow hash aggregate (partial, map-side); the wide rows are then picked by a
-    semi join on ``(key, seq)``. That join's key includes the unique ``seq``, so a key holding a third of the batch
-    still hashes over all partitions, and AQE broadcasts the winners when they are small. ``seq`` must be non-null
-    and unique per key.
+    One aggregate that combines before its shuffle, so a key holding a third of the batch is one row per task.
     """
-    winners = changes.groupBy(*keys).agg(F.max(seq).alias(seq))
-    return changes.join(winners, list(keys) + [seq], "left_semi")
+    usable, _ = split_changes(changes, keys, seq)
+    rest = [c for c in changes.columns if c not in keys]
+    best = usable.groupBy(*keys).agg(F.max_by(F.struct(*rest), _order(usable, seq)).alias("_last"))
+    return best.select(*keys, "_last.*")
 
 
 def upsert(target: DataFrame, changes: DataFrame, as_of=None, keys=("Tipo", "SolicitudId"), seq: str = "seq",
@@ -111,14 +123,13 @@ def upsert(target: DataFrame, changes: DataFrame, as_of=None, keys=("Tipo", "Sol
     """U4 ``MERGE`` on a composite key: the last change per key (R3) overwrites every field of a matched row and is
     inserted otherwise, with ids continuing after the target's largest id in key order (S4).
 
-    ``changes`` must already be normalised (state defaulted, kinds validated); ``seq`` is the batch order, non-null
-    and unique per key.
+    ``changes`` are normalised rows (see ``intake.release_changes``); those without key or order are not applied
+    (:func:`split_changes` gives them with their reason).
     """
     keys = list(keys)
     last = last_per_key(changes, keys, seq)
-    # The collapsed batch feeds both the merge join and the insert branch (whose ids need a stable input): compute
-    # it once and cut its lineage in the shared checkpoint folder.
-    c = materialize(last.select(*keys, *fields, F.lit(True).alias("_hit")), "upsert-batch")
+    # the collapsed batch feeds both the merge join and the insert branch: computed once
+    c = last.select(*keys, *fields, F.lit(True).alias("_hit")).persist(StorageLevel.MEMORY_AND_DISK)
     stamp = as_of_lit(as_of) if as_of is not None else now_utc()
 
     t = target.alias("t")
@@ -170,9 +181,8 @@ def delete_tasks_checked(tasks: DataFrame, task_ids: DataFrame):
     parents = tasks.where(F.col("TareaPadreId").isNotNull()).select(F.col("TareaPadreId").alias("Id")).distinct()
     exists = tasks.select("Id").withColumn("_e", F.lit(True))
     # one row per requested id, used twice below: computed once
-    out = materialize(req.join(exists, "Id", "left")
-                      .join(parents.withColumn("_p", F.lit(True)), "Id", "left")
-                      .select("Id", F.when(F.col("_e").isNull(), "missing").when(F.col("_p"), "blocked")
-                              .otherwise("deleted").alias("outcome")), "delete-outcomes")
+    out = (req.join(exists, "Id", "left").join(parents.withColumn("_p", F.lit(True)), "Id", "left")
+           .select("Id", F.when(F.col("_e").isNull(), "missing").when(F.col("_p"), "blocked")
+                   .otherwise("deleted").alias("outcome")).persist(StorageLevel.MEMORY_AND_DISK))
     deletable = out.where(F.col("outcome") == "deleted").select("Id")
     return tasks.join(deletable, "Id", "left_anti"), out

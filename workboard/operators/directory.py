@@ -30,5 +30,5 @@ def members(users: DataFrame, domain: str) -> DataFrame:
 
 
 def sorted_members(users: DataFrame, domain: str) -> DataFrame:
-    """P12 + T6: members ordered by name under the Spanish locale collation (ICU ``es``)."""
-    return members(users, domain).orderBy(F.collate(F.col("name"), "es"))
+    """P12 + T6: members ordered by name under the Spanish locale collation (ICU ``es``), then by e-mail."""
+    return members(users, domain).orderBy(F.collate(F.col("name"), "es"), "email")

@@ -8,14 +8,16 @@ types that the flag rules depend on. Everything is row-local: intake is a map-on
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workboard.functions.coerce import (as_of_lit, clamp_progress, clean_text, date_or_now, default_if_blank,
-                                        join_list, jstr, jtype, now_utc, strict_bit_text, to_date_utc, to_decimal,
-                                        to_int_prefix, to_int_trunc, truthy, yes_no)
+                                        id_too_large, join_list, jstr, jtype, now_utc, number_out_of_range, strict_bit,
+                                        strict_bit_text, to_date_utc, to_decimal, to_id, to_id_trunc, to_int_prefix,
+                                        to_int_trunc, to_timestamp_utc, truthy, yes_no)
 from workboard.operators.attachments import passthrough, with_fields
-from workboard.session import materialize
+from workboard.schemas import KINDS
 from workboard.sources.tables import conform, max_id, with_ids
 
 # ---------------------------------------------------------------------------------------------- JSON envelope
@@ -44,7 +46,8 @@ def staged_body(raw: DataFrame, text_col: str, fields: dict, typed: tuple = ())
                        "_m_t": F.when(F.col("_use_m"), F.col("_m0_t")).otherwise(jtype(F.col("_b")))})
     roots = {"m": F.col("_m"), "b": F.col("_b")}
     d = d.withColumns({
-        "_is_obj": F.coalesce(F.col("_m_t") == "OBJECT", F.lit(False)),
+        # an array passes the portal's object test and then fails for its missing members
+        "_is_obj": F.coalesce(F.col("_m_t").isin("OBJECT", "ARRAY"), F.lit(False)),
         "_payload": F.when(F.col("_use_m"), F.get_json_object(F.col(text_col), "$.model"))
                      .otherwise(F.get_json_object(F.col(text_col), "$")),
         **{f"_v_{k}": field(roots[spec[0]], *spec[1:]) for k, spec in fields.items()},
@@ -92,14 +95,15 @@ def erp_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
         "TransformarFabric": yes_no(_v("transformar_fabric"), _y("transformar_fabric")),
         "FabricDetalle": clean_text(_t("fabric_detalle")), "Prioridad": clean_text(_t("prioridad"), 20),
         "Estado": default_if_blank(_t("estado"), "Nuevo", 50),
-        "ProyectoId": to_int_prefix(_t("proyecto_id")).cast("bigint"), "PayloadJson": F.col("_payload"),
+        "ProyectoId": to_id(_t("proyecto_id")), "PayloadJson": F.col("_payload"),
     }
     derived = {
         "Titulo": clean_text(F.concat(F.col("Area"), F.lit(" – "), F.coalesce(
             F.nullif(F.col("Modulos"), F.lit("")), F.substring(F.col("Descripcion"), 1, 60),
             F.lit("Solicitud ERP"))), 300),
         "Motivo": _envelope_reason().when(F.col("Solicitante").isNull() | F.col("Area").isNull(),
-                                          "faltan_obligatorios"),
+                                          "faltan_obligatorios").when(id_too_large(_t("proyecto_id")),
+                                                                      "id_fuera_de_rango"),
     }
     return _finish(d, clean, derived)
 
@@ -118,11 +122,11 @@ def general_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
         "Area": clean_text(_t("area"), 200), "Ambito": join_list(_v("ambito"), ", ", t=_y("ambito")),
         "Descripcion": clean_text(_t("descripcion")), "Justificacion": clean_text(_t("justificacion")),
         "Prioridad": clean_text(_t("prioridad"), 20), "Estado": default_if_blank(_t("estado"), "Nuevo", 50),
-        "ProyectoId": to_int_prefix(_t("proyecto_id")).cast("bigint"), "PayloadJson": F.col("_payload"),
+        "ProyectoId": to_id(_t("proyecto_id")), "PayloadJson": F.col("_payload"),
     }
     derived = {"Motivo": _envelope_reason().when(
         F.col("Solicitante").isNull() | F.col("Titulo").isNull() | F.col("Descripcion").isNull(),
-        "faltan_obligatorios")}
+        "faltan_obligatorios").when(id_too_large(_t("proyecto_id")), "id_fuera_de_rango")}
     return _finish(d, clean, derived)
 
 
@@ -151,7 +155,7 @@ _INFRA_FIELDS = {
 def infra_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     """Infrastructure bodies ``{model: {six groups}, sharepoint_row}`` → ``requests_infra`` columns + ``Motivo``.
 
-    Numbers use ``Number()`` (decimals, out-of-range → null) and the truncating integer rule (H3); the title is the
+    Numbers use ``Number()`` (decimals; out of range → null and rejected) and the truncating integer rule (H3); the title is the
     supplied list title, else ``identificador – nombre`` (raw text, not cut), else the name (H12a). No default state.
     """
     d = staged_body(raw, text_col, _INFRA_FIELDS, typed=("ident", "nombre"))
@@ -168,7 +172,7 @@ def infra_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
         "NivelSensibilidad": clean_text(_t("sens"), 100), "Ambiente": clean_text(_t("amb"), 50),
         "UsuariosConcurrentes": to_int_trunc(_t("usuarios")), "Criticidad": clean_text(_t("crit"), 20),
         "RequiereHA": clean_text(_t("ha"), 5), "RequiereDR": clean_text(_t("dr"), 5),
-        "Estado": clean_text(_t("estado"), 50), "ProyectoId": to_int_trunc(_t("pid")).cast("bigint"),
+        "Estado": clean_text(_t("estado"), 50), "ProyectoId": to_id_trunc(_t("pid")),
         "PayloadJson": F.col("_payload"),
     }
     derived = {
@@ -177,16 +181,17 @@ def infra_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
             F.when(truthy(_v("ident"), _y("ident")), F.concat(_t("ident"), F.lit(" – "), F.when(
                 truthy(_v("nombre"), _y("nombre")), _t("nombre")).otherwise(F.lit("")))),
             clean_text(_t("nombre"), 300)),
-        "Motivo": _envelope_reason().when(F.col("Aplicacion").isNull(), "faltan_obligatorios"),
+        "Motivo": _envelope_reason().when(F.col("Aplicacion").isNull(), "faltan_obligatorios")
+        .when(id_too_large(_t("pid")), "id_fuera_de_rango")
+        .when(number_out_of_range(_t("cpu"), 9, 2) | number_out_of_range(_t("ram"), 9, 2)
+              | number_out_of_range(_t("storage"), 12, 2) | number_out_of_range(_t("crec"), 12, 2)
+              | number_out_of_range(_t("usuarios"), 10, 0), "numero_fuera_de_rango"),
     }
     return _finish(d, clean, derived)
 
 
 # ---------------------------------------------------------------------------------------------- I4–I6 form bodies
 
-KINDS = ("infra", "erp", "gen")
-
-
 def _stage_clean(raw: DataFrame, cols: list[str]) -> DataFrame:
     """Clean text fields once, in their own projection (``_c_<name>``), before rules that read them repeatedly."""
     return raw.withColumns({f"_c_{c}": clean_text(c) for c in cols})
@@ -206,11 +211,11 @@ def notes(raw: DataFrame, as_of) -> DataFrame:
     A supplied, parseable ``fecha`` back-dates the note; otherwise it is stamped ``as_of`` (H25).
     """
     raw = _stage_clean(with_fields(raw, ["tipo", "solicitudId", "nota", "autor", "fecha"]), ["fecha"])
-    tipo, sid, nota = clean_text("tipo", 10), to_int_prefix("solicitudId"), clean_text("nota")
-    motivo = F.when(~_kind_ok(tipo, sid), "tipo_o_solicitud").when(nota.isNull(), "nota_vacia")
+    tipo, sid, nota = clean_text("tipo", 10), to_id("solicitudId"), clean_text("nota")
+    motivo = F.when(id_too_large("solicitudId"), "id_fuera_de_rango").when(~_kind_ok(tipo, sid), "tipo_o_solicitud").when(nota.isNull(), "nota_vacia")
     return _drop_staged(raw.select(
         *passthrough(raw, ["Tipo", "SolicitudId", "Nota", "Autor", "Fecha", "Motivo"]),
-        tipo.alias("Tipo"), sid.cast("bigint").alias("SolicitudId"), nota.alias("Nota"),
+        tipo.alias("Tipo"), sid.alias("SolicitudId"), nota.alias("Nota"),
         clean_text("autor", 200).alias("Autor"), date_or_now("_c_fecha", as_of, cleaned=True).alias("Fecha"),
         motivo.alias("Motivo")))
 
@@ -239,19 +244,19 @@ def tasks(raw: DataFrame) -> DataFrame:
     raw = _stage_clean(with_fields(raw, ["proyectoId", "nombre", "fechaInicio", "fechaFin", "progreso", "responsable",
                                          "dependenciaId", "tareaPadreId", "esHito", "orden"]),
                        ["fechaInicio", "fechaFin"])
-    pid, nombre = to_int_prefix("proyectoId"), clean_text("nombre", 300)
+    pid, nombre = to_id("proyectoId"), clean_text("nombre", 300)
     hito = strict_bit_text("esHito")
-    motivo = F.when(F.coalesce(pid == 0, F.lit(True)), "sin_proyecto").when(nombre.isNull(), "sin_nombre")
+    motivo = F.when(id_too_large("proyectoId", "dependenciaId", "tareaPadreId"), "id_fuera_de_rango").when(F.coalesce(pid == 0, F.lit(True)), "sin_proyecto").when(nombre.isNull(), "sin_nombre")
     return _drop_staged(raw.select(
                       *passthrough(raw, ["ProyectoId", "Nombre", "FechaInicio", "FechaFin", "Progreso",
                                          "Responsable", "DependenciaId", "TareaPadreId", "EsHito", "Orden", "Motivo"]),
-                      pid.cast("bigint").alias("ProyectoId"), nombre.alias("Nombre"),
+                      pid.alias("ProyectoId"), nombre.alias("Nombre"),
                       to_date_utc("_c_fechaInicio", cleaned=True).alias("FechaInicio"),
                       to_date_utc("_c_fechaFin", cleaned=True).alias("FechaFin"),
                       F.coalesce(clamp_progress("progreso"), F.lit(0)).alias("Progreso"),
                       clean_text("responsable", 200).alias("Responsable"),
-                      to_int_prefix("dependenciaId").cast("bigint").alias("DependenciaId"),
-                      to_int_prefix("tareaPadreId").cast("bigint").alias("TareaPadreId"),
+                      to_id("dependenciaId").alias("DependenciaId"),
+                      to_id("tareaPadreId").alias("TareaPadreId"),
                       hito.alias("EsHito"), to_int_prefix("orden").alias("Orden"),
                       motivo.alias("Motivo")))
 
@@ -259,11 +264,11 @@ def tasks(raw: DataFrame) -> DataFrame:
 def split_valid(df: DataFrame, reason_col: str = "Motivo") -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejects)``; together they are the whole input.
 
-    The typed rows are written once to the shared checkpoint folder and both outputs read that table. One intake
-    computation feeds both outputs, and the filter cannot be pushed back through the parsing stages, where Catalyst
-    would otherwise inline the JSON parse into the predicate once per reference.
+    The typed rows are persisted, so one intake computation feeds both outputs (blocks of a lost executor are computed
+    again), and the filter cannot be pushed back through the parsing stages, where Catalyst would otherwise inline the
+    JSON parse into the predicate once per reference.
     """
-    typed = materialize(df, "intake")
+    typed = df.persist(StorageLevel.MEMORY_AND_DISK)
     return typed.where(F.col(reason_col).isNull()), typed.where(F.col(reason_col).isNotNull())
 
 
@@ -273,6 +278,85 @@ def reason_counts(df: DataFrame, reason_col: str = "Motivo") -> DataFrame:
         F.count(F.lit(1)).alias("Filas"))
 
 
+# ---------------------------------------------------------------------------------------------- U1–U4 change bodies
+
+
+def _change_reason(id_col: str) -> Column:
+    return (F.when(F.col("_b").isNull(), "json_invalido").when(id_too_large(id_col), "id_fuera_de_rango")
+            .when(F.coalesce(to_id(id_col) == 0, F.lit(True)), "falta_id"))
+
+
+def _members(*names: str) -> dict:
+    return {n: ("b", n) for n in names}
+
+
+def tracking_changes(raw: DataFrame, text_col: str = "body", id_col: str = "id") -> DataFrame:
+    """Tracking PATCH bodies (``id`` of the path, JSON text) → ``Id, Estado, Responsable, FechaEntrega, Motivo``;
+    other input columns (the batch order) stay."""
+    d = staged_body(raw, text_col, _members("estado", "responsable", "fechaEntrega"))
+    d = d.withColumns({"_reason": _change_reason(id_col), "_id": to_id(id_col)}).drop(id_col)
+    return _finish(d, {"Id": F.col("_id"), "Estado": clean_text(_t("estado"), 50),
+                       "Responsable": clean_text(_t("responsable"), 200),
+                       "FechaEntrega": to_date_utc(_t("fechaEntrega"))}, {"Motivo": F.col("_reason")}).drop(text_col)
+
+
+def project_changes(raw: DataFrame, text_col: str = "body", id_col: str = "id") -> DataFrame:
+    """Project PATCH bodies → typed change rows + ``Motivo``."""
+    d = staged_body(raw, text_col, _members("nombre", "descripcion", "responsable", "fechaInicio", "fechaFin", "estado"))
+    d = d.withColumns({"_reason": _change_reason(id_col), "_id": to_id(id_col)}).drop(id_col)
+    return _finish(d, {"Id": F.col("_id"), "Nombre": clean_text(_t("nombre"), 200),
+                       "Descripcion": clean_text(_t("descripcion")), "Responsable": clean_text(_t("responsable"), 200),
+                       "FechaInicio": to_date_utc(_t("fechaInicio")), "FechaFin": to_date_utc(_t("fechaFin")),
+                       "Estado": clean_text(_t("estado"), 50)}, {"Motivo": F.col("_reason")}).drop(text_col)
+
+
+def task_changes(raw: DataFrame, text_col: str = "body", id_col: str = "id") -> DataFrame:
+    """Task PATCH bodies → typed change rows + ``Motivo`` (progress clamped, milestone strict bit)."""
+    d = staged_body(raw, text_col, _members("nombre", "fechaInicio", "fechaFin", "progreso", "responsable", "dependenciaId",
+                                            "tareaPadreId", "esHito", "orden"), typed=("esHito",))
+    reason = _change_reason(id_col).when(id_too_large(_t("dependenciaId"), _t("tareaPadreId")), "id_fuera_de_rango")
+    d = d.withColumns({"_reason": reason, "_id": to_id(id_col)}).drop(id_col)
+    return _finish(d, {"Id": F.col("_id"), "Nombre": clean_text(_t("nombre"), 300),
+                       "FechaInicio": to_date_utc(_t("fechaInicio")), "FechaFin": to_date_utc(_t("fechaFin")),
+                       "Progreso": clamp_progress(_t("progreso")), "Responsable": clean_text(_t("responsable"), 200),
+                       "DependenciaId": to_id(_t("dependenciaId")), "TareaPadreId": to_id(_t("tareaPadreId")),
+                       "EsHito": strict_bit(_v("esHito"), _y("esHito")), "Orden": to_int_prefix(_t("orden"))},
+                   {"Motivo": F.col("_reason")}).drop(text_col)
+
+
+# JSON members of a release body, by the column they fill.
+_RELEASE_TEXT = {"Titulo": ("titulo", 300), "Responsable": ("responsable", 200), "Aprobador": ("aprobador", 200),
+                 "PlanRollback": ("planRollback", None), "ReceptorDocumentacion": ("receptorDocumentacion", 200),
+                 "ReceptorInduccion": ("receptorInduccion", 200),
+                 "ContrapartePlanificacion": ("contrapartePlanificacion", 200)}
+_RELEASE_DATES = {"FechaPlanificada": "fechaPlanificada", "DocArquitecturaFecha": "docArquitecturaFecha",
+                  "DocFuncionalFecha": "docFuncionalFecha", "DocSoporteFecha": "docSoporteFecha",
+                  "InduccionFecha": "induccionFecha"}
+_RELEASE_TIMES = {"VentanaInicio": "ventanaInicio", "VentanaFin": "ventanaFin"}
+_RELEASE_GATES = {"DocArquitectura": "docArquitectura", "DocFuncional": "docFuncional", "DocSoporte": "docSoporte",
+                  "Induccion": "induccion"}
+
+
+def release_changes(raw: DataFrame, text_col: str = "body") -> DataFrame:
+    """U4: release bodies → key, the nineteen written columns and ``Motivo``.
+
+    The key must be a known kind and a non-zero request id; a blank state becomes ``Planificado``; the four gates follow
+    JavaScript truthiness (H10). Other input columns (the batch order) stay.
+    """
+    d = staged_body(raw, text_col, _members(
+        "tipo", "solicitudId", "estado", *[m for m, _ in _RELEASE_TEXT.values()], *_RELEASE_DATES.values(),
+        *_RELEASE_TIMES.values(), *_RELEASE_GATES.values()), typed=tuple(_RELEASE_GATES.values()))
+    clean = {"Tipo": clean_text(_t("tipo"), 10), "SolicitudId": to_id(_t("solicitudId")),
+             "Estado": default_if_blank(_t("estado"), "Planificado", 30),
+             **{c: clean_text(_t(m), n) for c, (m, n) in _RELEASE_TEXT.items()},
+             **{c: to_date_utc(_t(m)) for c, m in _RELEASE_DATES.items()},
+             **{c: to_timestamp_utc(_t(m)) for c, m in _RELEASE_TIMES.items()},
+             **{c: truthy(_v(m), _y(m)) for c, m in _RELEASE_GATES.items()}}
+    reason = (F.when(F.col("_b").isNull(), "json_invalido").when(id_too_large(_t("solicitudId")), "id_fuera_de_rango")
+              .when(~_kind_ok(F.col("Tipo"), F.col("SolicitudId")), "tipo_o_solicitud"))
+    return _finish(d, clean, {"Motivo": reason}).drop(text_col)
+
+
 # ---------------------------------------------------------------------------------------------- J4 name lookup
 
 def name_key(c) -> Column:

@@ -19,7 +19,7 @@ PROJECT_COLS = ["Id", "Nombre", "Responsable", "Estado", "FechaInicio", "FechaFi
 def task_stats(tasks: DataFrame) -> DataFrame:
     """Per-project task aggregates: count, milestones, mean progress of non-milestones, date span."""
     return tasks.groupBy(F.col("ProyectoId")).agg(
-        F.count("Id").alias("Tareas"),
+        F.count(F.lit(1)).alias("Tareas"),
         F.sum(F.when(F.col("EsHito"), 1).otherwise(0)).cast("bigint").alias("Hitos"),
         F.avg(F.when(~F.col("EsHito"), F.col("Progreso").cast("double"))).alias("Avance"),
         F.min("FechaInicio").alias("TareaMin"),
@@ -68,9 +68,9 @@ def portfolio_kpis(rollup: DataFrame) -> DataFrame:
 
 
 def project_list(projects: DataFrame) -> DataFrame:
-    """P5/T5: the project list (8 columns) ordered by name."""
+    """P5/T5: the project list (8 columns) ordered by name, then id."""
     return projects.select("Id", "Nombre", "Descripcion", "Responsable", "FechaInicio", "FechaFin", "Estado",
-                           "FechaRegistro").orderBy("Nombre")
+                           "FechaRegistro").orderBy("Nombre", "Id")
 
 
 def active(projects: DataFrame) -> DataFrame:

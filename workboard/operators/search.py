@@ -38,6 +38,7 @@ SEARCH_COLS = {
 }
 LIST_COLS = {"infra": INFRA_LIST, "erp": ERP_LIST, "gen": GENERAL_LIST}
 
+#: The portal's own bound of a request list, for callers that want it.
 LIST_LIMIT = 500
 
 
@@ -88,15 +89,18 @@ def text_search(q: str | None, cols: list[str], lowered: bool = False) -> Column
 
 
 def list_requests(requests: DataFrame, kind: str, estado: str | None = None, q: str | None = None,
-                  proyecto_id=None, limit: int = LIST_LIMIT) -> DataFrame:
-    """P1–P3 + P9 + P10 + T1: the request list of one kind, newest id first, at most ``limit`` rows."""
+                  proyecto_id=None, *, limit: int | None) -> DataFrame:
+    """P1–P3 + P9 + P10 + T1: the request list of one kind, newest id first.
+
+    ``limit`` must be given: a number of rows (T1; the portal shows ``LIST_LIMIT``), or None for all matches.
+    """
     pid = parse_int_param(proyecto_id)
-    return (requests
-            .where(optional_filters(Estado=estado, ProyectoId=pid))
-            .where(text_search(q, SEARCH_COLS[kind]))
-            .select(*LIST_COLS[kind])
-            .orderBy(F.col("Id").desc())
-            .limit(limit))
+    found = (requests
+             .where(optional_filters(Estado=estado, ProyectoId=pid))
+             .where(text_search(q, SEARCH_COLS[kind]))
+             .select(*LIST_COLS[kind])
+             .orderBy(F.col("Id").desc()))
+    return found if limit is None else found.limit(limit)
 
 
 def valid_ids(ids: DataFrame, col: str = "Id") -> DataFrame:
@@ -181,11 +185,6 @@ def release_order() -> list[Column]:
     return [F.col("FechaPlanificada").asc_nulls_last(), F.col("Id").desc()]
 
 
-def top_by_id(df: DataFrame, n: int) -> DataFrame:
-    """Newest ``n`` rows by id."""
-    return df.orderBy(F.col("Id").desc()).limit(n)
-
-
 # Columns shared by the three request tables (the unified feed).
 FEED_COLS = ["Id", "FechaRegistro", "Titulo", "Estado", "Responsable", "FechaEntrega", "FechaActualizacion",
              "ProyectoId"]

@@ -88,22 +88,30 @@ def _search_sql(kind: str, estado=None, q=None, pid=None, limit=search.LIST_LIMI
         where.append("(" + " OR ".join(f"{c} ILIKE {_q('%' + q + '%')}" for c in search.SEARCH_COLS[kind]) + ")")
     cols = ", ".join(search.LIST_COLS[kind])
     return (f"WITH r AS ({role.sql}) SELECT {cols} FROM r WHERE {' AND '.join(where)} "
-            f"ORDER BY Id DESC LIMIT {limit}")
+            f"ORDER BY Id DESC" + (f" LIMIT {limit}" if limit else ""))
 
 
 @register("request_search", _search_sql("infra", estado="Nuevo", q="CLI"))
 def q_request_search(spark, sf_dir):
-    return search.list_requests(roles.REQUESTS_INFRA.df(spark, sf_dir), "infra", estado="Nuevo", q="CLI")
+    return search.list_requests(roles.REQUESTS_INFRA.df(spark, sf_dir), "infra", estado="Nuevo", q="CLI",
+                                limit=search.LIST_LIMIT)
+
+
+@register("request_search_all", _search_sql("infra", estado="Nuevo", q="CLI", limit=None))
+def q_request_search_all(spark, sf_dir):
+    return search.list_requests(roles.REQUESTS_INFRA.df(spark, sf_dir), "infra", estado="Nuevo", q="CLI", limit=None)
 
 
 @register("request_search_project", _search_sql("erp", pid=7))
 def q_request_search_project(spark, sf_dir):
-    return search.list_requests(roles.REQUESTS_ERP.df(spark, sf_dir), "erp", proyecto_id="7")
+    return search.list_requests(roles.REQUESTS_ERP.df(spark, sf_dir), "erp", proyecto_id="7",
+                                limit=search.LIST_LIMIT)
 
 
 @register("request_search_general", _search_sql("gen", estado="En curso", q="operac"))
 def q_request_search_general(spark, sf_dir):
-    return search.list_requests(roles.REQUESTS_GENERAL.df(spark, sf_dir), "gen", estado="En curso", q="operac")
+    return search.list_requests(roles.REQUESTS_GENERAL.df(spark, sf_dir), "gen", estado="En curso", q="operac",
+                                limit=search.LIST_LIMIT)
 
 
 PART_REQUESTS = roles.Role("part", (
@@ -201,6 +209,15 @@ FROM r
 """
 
 
+def _position(name: str, order: list, order_sql: str):
+    """Register ``<name>_order``: the rows of a listed query with their position, checked against a full sort."""
+    fn = QUERIES[name]
+
+    @register(f"{name}_order", f"SELECT *, row_number() OVER (ORDER BY {order_sql}) AS Posicion FROM ({ORACLES[name]}) q")
+    def ordered(spark, sf_dir):
+        return tables.with_position(fn(spark, sf_dir), order())
+
+
 @register("release_board", ORACLE_RELEASE_BOARD)
 def q_release_board(spark, sf_dir):
     return releases.board(roles.RELEASES.df(spark, sf_dir), AS_OF)
@@ -236,7 +253,7 @@ def q_release_totals(spark, sf_dir):
 from dataclasses import replace  # noqa: E402
 
 from workboard.functions import coerce  # noqa: E402
-from workboard.operators import changes  # noqa: E402
+from workboard.operators import changes, intake  # noqa: E402
 
 # Raw PATCH bodies derived from click events: several patches per key, unknown ids, null estado (keeps),
 # null responsable (clears). Dates arrive as ISO text and go through the date coercion.
@@ -251,15 +268,13 @@ TRACKING_CHANGES = roles.Role("events", (
 
 
 def normalise_tracking(raw):
-    """Coerce raw tracking PATCH bodies: ``str(estado, 50)``, ``str(responsable, 200)``, ``toDate(fechaEntrega)``."""
-    return raw.select(F.col("id").alias("Id"), "seq",
-                      coerce.clean_text("estado", 50).alias("Estado"),
-                      coerce.clean_text("responsable", 200).alias("Responsable"),
-                      coerce.to_date_utc("fechaEntrega").alias("FechaEntrega"))
+    """Raw tracking PATCH bodies as JSON text through the library's normaliser; rejects stay out."""
+    bodies = raw.select("id", "seq", F.to_json(F.struct("estado", "responsable", "fechaEntrega")).alias("body"))
+    return intake.tracking_changes(bodies).where("Motivo IS NULL").drop("Motivo")
 
 
 _TRACK_NORM_SQL = (f"SELECT id AS Id, seq, trim(estado) AS Estado, responsable AS Responsable, "
-                   f"CAST(fechaEntrega AS DATE) AS FechaEntrega FROM ({TRACKING_CHANGES.sql})")
+                   f"CAST(fechaEntrega AS DATE) AS FechaEntrega FROM ({TRACKING_CHANGES.sql}) WHERE id <> 0")
 
 
 def _patch_sql(target_sql: str, changes_sql: str, policy: dict, cols: list[str], stamp: str | None) -> str:
@@ -291,6 +306,20 @@ def q_tracking_patch(spark, sf_dir):
     return changes.apply_patch(target, batch, changes.TRACKING_POLICY, as_of=AS_OF)
 
 
+def _register_tracking(kind: str):
+    role = roles.REQUESTS[kind]
+
+    @register(f"tracking_patch_{kind}", _patch_sql(role.sql, _TRACK_NORM_SQL, changes.TRACKING_POLICY, role.names(),
+                                                   "FechaActualizacion"))
+    def q_tracking_patch_of(spark, sf_dir):
+        batch = normalise_tracking(TRACKING_CHANGES.df(spark, sf_dir))
+        return changes.apply_patch(role.df(spark, sf_dir), batch, changes.TRACKING_POLICY, as_of=AS_OF)
+
+
+for _kind in ("infra", "gen"):
+    _register_tracking(_kind)
+
+
 @register("tracking_patch_outcomes", f"""
 WITH t AS ({roles.REQUESTS_ERP.sql}), c AS ({_TRACK_NORM_SQL}),
 o AS (SELECT DISTINCT Id, CASE WHEN Id IN (SELECT Id FROM t) THEN 'updated' ELSE 'not_found' END AS outcome FROM c)
@@ -331,14 +360,14 @@ _TASK_PATCH_COLS = (
     ("FechaFin", "CAST(l_shipdate AS DATE) + 5"),
     ("progreso_txt", "CAST(CAST(l_quantity * 3 - 20 AS BIGINT) AS STRING)"),
     ("Responsable", "CAST(NULL AS STRING)"),
-    ("DependenciaId", "CAST(NULL AS BIGINT)"),
-    ("TareaPadreId", "CAST(NULL AS BIGINT)"),
+    ("DependenciaId", "CAST(NULL AS STRING)"),
+    ("TareaPadreId", "CAST(NULL AS STRING)"),
     ("EsHito", "l_quantity > 45"),
     ("Orden", "l_linenumber + 10"),
 )
-TASK_CHANGES_A = roles.Role("lineitem", (("Id", roles.TASK_KEY), ("seq", f"2 * ({roles.TASK_KEY})"))
+TASK_CHANGES_A = roles.Role("lineitem", (("Id", roles.TASK_KEY), ("seq", f"{roles.TASK_KEY} || '-0'"))
                             + _TASK_PATCH_COLS, where="l_returnflag = 'N'")
-TASK_CHANGES_B = roles.Role("lineitem", (("Id", roles.TASK_KEY), ("seq", f"2 * ({roles.TASK_KEY}) + 1"))
+TASK_CHANGES_B = roles.Role("lineitem", (("Id", roles.TASK_KEY), ("seq", f"{roles.TASK_KEY} || '-1'"))
                             + tuple((n, "CAST(NULL AS STRING)" if n in ("Nombre", "progreso_txt") else e)
                                     for n, e in _TASK_PATCH_COLS), where="l_linestatus = 'O' AND l_quantity < 10")
 
@@ -362,7 +391,7 @@ def q_task_patch(spark, sf_dir):
 
 # ------------------------------------------------------------------ U4 J2 S4: release upsert
 
-RELEASE_TARGET = replace(roles.RELEASES, where="o_orderstatus <> 'P'")
+RELEASE_TARGET = roles.RELEASES
 
 RELEASE_CHANGES = roles.Role("lineitem", (
     ("Tipo", "CASE WHEN l_linenumber = 7 THEN 'otro' WHEN l_linestatus = 'O' THEN 'infra' ELSE 'erp' END"),
@@ -393,7 +422,7 @@ RELEASE_CHANGES = roles.Role("lineitem", (
 def _release_batch(spark, sf_dir):
     """Normalise release upsert bodies: kind must be known (P14), blank state defaults to ``Planificado`` (H7)."""
     raw = RELEASE_CHANGES.df(spark, sf_dir)
-    return (raw.where(search.valid_kind() & (F.col("SolicitudId") != 0))
+    return (raw.where(search.valid_kind() & (F.col("SolicitudId") != 0))  # the rest: release_rejects
             .withColumn("Estado", coerce.default_if_blank("estado_txt", "Planificado", 30)).drop("estado_txt"))
 
 
@@ -436,14 +465,119 @@ def q_release_upsert(spark, sf_dir):
     return changes.upsert(RELEASE_TARGET.df(spark, sf_dir), _release_batch(spark, sf_dir), as_of=AS_OF)
 
 
+@register("release_rejects", f"""
+SELECT Tipo, SolicitudId, seq, 'tipo_o_solicitud' AS Motivo FROM ({RELEASE_CHANGES.sql})
+WHERE Tipo NOT IN ('infra', 'erp', 'gen') OR SolicitudId = 0
+""")
+def q_release_rejects(spark, sf_dir):
+    raw = RELEASE_CHANGES.df(spark, sf_dir)
+    return raw.where(~(search.valid_kind() & (F.col("SolicitudId") != 0))).select(
+        "Tipo", "SolicitudId", "seq", F.lit("tipo_o_solicitud").alias("Motivo"))
+
+
+# Release bodies as JSON: unknown kinds, a key beyond BIGINT, blank states, gates of every JSON type.
+RELEASE_BODIES = roles.Role("orders", (
+    ("seq", "o_orderkey"),
+    ("estado_caso", "o_orderkey % 3"),
+    ("gate_caso", "o_orderkey % 8"),
+    ("tipo_caso", "o_orderkey % 5"),
+    ("dia", "CAST(CAST(o_orderdate AS DATE) AS STRING)"),
+    ("body", "'{\"tipo\":\"' || CASE o_orderkey % 5 WHEN 0 THEN 'infra' WHEN 1 THEN ' erp ' WHEN 2 THEN 'gen' WHEN 3 THEN "
+             "'otro' ELSE 'infra' END || '\",\"solicitudId\":' || CASE WHEN o_orderkey % 5 = 4 THEN "
+             "'\"99999999999999999999\"' ELSE '\"' || CAST(o_orderkey AS STRING) || 'x\"' END || "
+             "',\"titulo\":\" Pase ' || CAST(o_orderkey AS STRING) || ' \",\"estado\":' || CASE o_orderkey % 3 WHEN 0 "
+             "THEN '\" \"' WHEN 1 THEN '\"Aprobado\"' ELSE 'null' END || ',\"fechaPlanificada\":\"' || "
+             "CAST(CAST(o_orderdate AS DATE) AS STRING) || '\",\"ventanaInicio\":\"' || "
+             "CAST(CAST(o_orderdate AS DATE) AS STRING) || 'T22:00:00Z\",\"docArquitectura\":' || "
+             "CASE o_orderkey % 8 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '1' WHEN 3 THEN '0' WHEN 4 THEN "
+             "'\"0\"' WHEN 5 THEN '\"\"' WHEN 6 THEN '[]' ELSE 'null' END || "
+             "',\"induccion\":{},\"aprobador\":\"  \",\"docSoporteFecha\":\"2024-02-30\"}'"),
+))
+_RELEASE_OUT = ["seq", "Tipo", "SolicitudId", *changes.RELEASE_FIELDS, "Motivo"]
+
+
+def _release_intake_sql() -> str:
+    known = {
+        "Titulo": "'Pase ' || CAST(seq AS VARCHAR)", "FechaPlanificada": "CAST(dia AS DATE)",
+        "VentanaInicio": "CAST(dia AS TIMESTAMP) + INTERVAL 22 HOUR", "VentanaFin": "CAST(NULL AS TIMESTAMP)",
+        "Estado": "CASE WHEN estado_caso = 1 THEN 'Aprobado' ELSE 'Planificado' END",
+        "DocArquitectura": "gate_caso IN (0, 2, 4, 6)", "DocFuncional": "FALSE", "DocSoporte": "FALSE", "Induccion": "TRUE",
+        **{c: "CAST(NULL AS DATE)" for c in ("DocArquitecturaFecha", "DocFuncionalFecha", "DocSoporteFecha", "InduccionFecha")},
+    }
+    cols = ", ".join(f"{known.get(c, 'CAST(NULL AS VARCHAR)')} AS {c}" for c in changes.RELEASE_FIELDS)
+    return (f"SELECT seq, CASE tipo_caso WHEN 1 THEN 'erp' WHEN 2 THEN 'gen' WHEN 3 THEN 'otro' ELSE 'infra' END AS Tipo, "
+            f"CASE WHEN tipo_caso <> 4 THEN seq END AS SolicitudId, {cols}, "
+            f"CASE WHEN tipo_caso = 3 OR seq = 0 THEN 'tipo_o_solicitud' WHEN tipo_caso = 4 THEN 'id_fuera_de_rango' END "
+            f"AS Motivo "
+            f"FROM ({RELEASE_BODIES.sql})")
+
+
+@register("release_intake", _release_intake_sql())
+def q_release_intake(spark, sf_dir):
+    """Every release body with its typed row or its reason: accepted and rejects are the whole input."""
+    return intake.release_changes(RELEASE_BODIES.df(spark, sf_dir)).select(*_RELEASE_OUT)
+
+
+# Project and task patch bodies as JSON, with ids of the path that are missing, zero, text and too large.
+_PATH_ID = ("CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 1 THEN '0' WHEN 2 THEN 'abc' WHEN 3 THEN '92233720368547758080' "
+            "ELSE CAST(o_orderkey + 3000000000 AS STRING) || 'z' END")
+_PATH_REASON = ("CASE caso WHEN 0 THEN 'falta_id' WHEN 1 THEN 'falta_id' WHEN 2 THEN 'falta_id' "
+                "WHEN 3 THEN 'id_fuera_de_rango' END")
+_PATH_KNOWN = "CASE WHEN caso = 1 THEN 0 WHEN caso > 3 THEN seq + 3000000000 END"
+PROJECT_PATCH_BODIES = roles.Role("orders", (
+    ("seq", "o_orderkey"), ("caso", "o_orderkey % 9"), ("id", _PATH_ID),
+    ("body", "'{\"nombre\":\"  \",\"descripcion\":\" ' || o_orderpriority || '\",\"fechaInicio\":\"2024-03-05T01:00:00+02:00\","
+             "\"fechaFin\":\"05/03/2024\",\"estado\":\"En pausa\"}'"),
+    ("prioridad", "o_orderpriority"),
+))
+
+
+@register("project_patch_intake", f"""
+SELECT seq, CAST({_PATH_KNOWN} AS BIGINT) AS Id, CAST(NULL AS VARCHAR) AS Nombre, prioridad AS Descripcion,
+       CAST(NULL AS VARCHAR) AS Responsable, DATE '2024-03-04' AS FechaInicio, CAST(NULL AS DATE) AS FechaFin,
+       'En pausa' AS Estado, {_PATH_REASON} AS Motivo
+FROM ({PROJECT_PATCH_BODIES.sql})
+""")
+def q_project_patch_intake(spark, sf_dir):
+    return intake.project_changes(PROJECT_PATCH_BODIES.df(spark, sf_dir)).select(
+        "seq", "Id", *changes.PROJECT_POLICY, "Motivo")
+
+
+TASK_PATCH_BODIES = roles.Role("orders", (
+    ("seq", "o_orderkey"), ("caso", "o_orderkey % 9"), ("id", _PATH_ID), ("hito", "o_orderkey % 4"),
+    ("body", "'{\"nombre\":\" T \",\"progreso\":\"' || CAST(o_orderkey % 300 - 100 AS STRING) || '%\",\"dependenciaId\":' || "
+             "CAST(o_orderkey + 5000000000 AS STRING) || ',\"esHito\":' || CASE o_orderkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN "
+             "'\"1\"' WHEN 2 THEN '\"true\"' ELSE '2' END || ',\"orden\":\"7.9\"}'"),
+))
+
+
+@register("task_patch_intake", f"""
+SELECT seq, CAST({_PATH_KNOWN} AS BIGINT) AS Id, 'T' AS Nombre, CAST(NULL AS DATE) AS FechaInicio,
+       CAST(NULL AS DATE) AS FechaFin, CAST(GREATEST(0, LEAST(100, seq % 300 - 100)) AS INTEGER) AS Progreso,
+       CAST(NULL AS VARCHAR) AS Responsable, CAST(seq + 5000000000 AS BIGINT) AS DependenciaId,
+       CAST(NULL AS BIGINT) AS TareaPadreId, hito < 2 AS EsHito, CAST(7 AS INTEGER) AS Orden, {_PATH_REASON} AS Motivo
+FROM ({TASK_PATCH_BODIES.sql})
+""")
+def q_task_patch_intake(spark, sf_dir):
+    return intake.task_changes(TASK_PATCH_BODIES.df(spark, sf_dir)).select("seq", "Id", *changes.TASK_POLICY, "Motivo")
+
+
 # ------------------------------------------------------------------ X1–X5: deletes
 
-NOTE_DELETES = "SELECT doc_id * 1000 + quality AS Id FROM labels WHERE toxic = 1"
+@register("delete_attachments", f"""
+WITH a AS ({roles.ATTACHMENTS.sql}) SELECT * FROM a WHERE Id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+""")
+def q_delete_attachments(spark, sf_dir):
+    keys = roles.read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("Id"))
+    return changes.delete_keys(roles.ATTACHMENTS.df(spark, sf_dir), keys)
+
+
+NOTE_DELETES = "SELECT doc_id * 1000000 + quality AS Id FROM labels WHERE toxic = 1"
 
 
 @register("delete_rows", f"WITH n AS ({roles.NOTES.sql}) SELECT * FROM n WHERE Id NOT IN ({NOTE_DELETES})")
 def q_delete_rows(spark, sf_dir):
-    keys = roles.read(spark, sf_dir, "labels").where("toxic = 1").selectExpr("doc_id * 1000 + quality AS Id")
+    keys = roles.read(spark, sf_dir, "labels").where("toxic = 1").selectExpr("doc_id * 1000000 + quality AS Id")
     return changes.delete_keys(roles.NOTES.df(spark, sf_dir), keys)
 
 
@@ -470,7 +604,7 @@ def q_delete_project_cascade_projects(spark, sf_dir):
 
 # ------------------------------------------------------------------ tasks with plan links (phase = line 1)
 
-from workboard.operators import activity, attachments, audit, directory, intake  # noqa: E402
+from workboard.operators import activity, attachments, audit, directory  # noqa: E402
 from workboard.sources import tables  # noqa: E402
 
 
@@ -492,7 +626,7 @@ TASKS_PLAN_SQL = (f"WITH t0 AS ({roles.TASKS.sql}), "
                   "FROM t0 LEFT JOIN ph ON ph.ProyectoId = t0.ProyectoId")
 
 TASK_DELETES = roles.Role("lineitem", (
-    ("Id", f"CASE WHEN l_linenumber = 3 THEN -({roles.TASK_KEY}) ELSE {roles.TASK_KEY} END"),
+    ("Id", f"CASE WHEN l_linenumber = 3 THEN '-' || {roles.TASK_KEY} ELSE {roles.TASK_KEY} END"),
 ), where="l_returnflag = 'R' AND l_linenumber <= 3")
 
 
@@ -507,6 +641,17 @@ def q_delete_task_blocked(spark, sf_dir):
     return changes.delete_tasks_checked(tasks_plan(spark, sf_dir), TASK_DELETES.df(spark, sf_dir))[1]
 
 
+@register("delete_task_blocked_tasks", f"""
+WITH tp AS ({TASKS_PLAN_SQL})
+SELECT * FROM tp WHERE Id NOT IN (SELECT Id FROM ({TASK_DELETES.sql}))
+  OR Id IN (SELECT TareaPadreId FROM tp WHERE TareaPadreId IS NOT NULL)
+""")
+def q_delete_task_blocked_tasks(spark, sf_dir):
+    left = changes.delete_tasks_checked(tasks_plan(spark, sf_dir), TASK_DELETES.df(spark, sf_dir))[0]
+    return left.select(*[c for c in roles.TASKS.names() if c not in ("DependenciaId", "TareaPadreId")],
+                       "DependenciaId", "TareaPadreId")
+
+
 # ------------------------------------------------------------------ R2 J7: referential audit
 
 _AUDIT_PROJECTS_WHERE = "NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"
@@ -517,17 +662,17 @@ _AUDIT_TASKS_WHERE = "NOT (Nombre = 'Linea 1' AND EsHito)"
 WITH p AS ({replace(roles.PROJECTS, where=_AUDIT_PROJECTS_WHERE).sql}),
 tp AS (SELECT * FROM ({TASKS_PLAN_SQL}) WHERE {_AUDIT_TASKS_WHERE}),
 f AS ({_FEED_SQL}), n AS ({roles.NOTES.sql}), a AS ({roles.ATTACHMENTS.sql}), r AS ({roles.RELEASES.sql})
-SELECT 'tarea_sin_proyecto' AS Regla, 'tareas' AS Tabla, Id, ProyectoId AS Ref FROM tp
+SELECT 'tarea_sin_proyecto' AS Regla, 'tareas' AS Tabla, Id, CAST(ProyectoId AS VARCHAR) AS Ref FROM tp
   WHERE ProyectoId NOT IN (SELECT Id FROM p)
 UNION ALL SELECT 'tarea_sin_padre', 'tareas', Id, TareaPadreId FROM tp
   WHERE TareaPadreId IS NOT NULL AND TareaPadreId NOT IN (SELECT Id FROM tp)
-UNION ALL SELECT 'solicitud_sin_proyecto', 'solicitudes', Id, ProyectoId FROM f
+UNION ALL SELECT 'solicitud_sin_proyecto', 'solicitudes', CAST(Id AS VARCHAR), CAST(ProyectoId AS VARCHAR) FROM f
   WHERE ProyectoId IS NOT NULL AND ProyectoId NOT IN (SELECT Id FROM p)
-UNION ALL SELECT 'nota_sin_solicitud', 'notas', Id, SolicitudId FROM n
+UNION ALL SELECT 'nota_sin_solicitud', 'notas', CAST(Id AS VARCHAR), CAST(SolicitudId AS VARCHAR) FROM n
   WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.Tipo = n.Tipo AND f.Id = n.SolicitudId)
-UNION ALL SELECT 'documento_sin_solicitud', 'documentos', Id, SolicitudId FROM a
+UNION ALL SELECT 'documento_sin_solicitud', 'documentos', CAST(Id AS VARCHAR), CAST(SolicitudId AS VARCHAR) FROM a
   WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.Tipo = a.Tipo AND f.Id = a.SolicitudId)
-UNION ALL SELECT 'pase_sin_solicitud', 'pases', Id, SolicitudId FROM r
+UNION ALL SELECT 'pase_sin_solicitud', 'pases', CAST(Id AS VARCHAR), CAST(SolicitudId AS VARCHAR) FROM r
   WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.Tipo = r.Tipo AND f.Id = r.SolicitudId)
 """)
 def q_referential_audit(spark, sf_dir):
@@ -670,6 +815,18 @@ def q_resolve_project_key(spark, sf_dir):
     return out
 
 
+@register("resolve_project_new", f"""
+WITH d AS ({NAME_DIM_SQL}), r AS (SELECT {', '.join(f'{roles.duck(e)} AS {c}' for c, e in NAME_ROWS.cols)}
+      FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
+m AS (SELECT lower(trim(nombre)) AS k, MIN(trim(nombre)) AS Nombre FROM r WHERE trim(nombre) <> ''
+      AND lower(trim(nombre)) NOT IN (SELECT lower(trim(Nombre)) FROM d) GROUP BY 1)
+SELECT CAST((SELECT MAX(Id) FROM d) + row_number() OVER (ORDER BY k) AS BIGINT) AS Id, Nombre, 'Activo' AS Estado,
+       {AS_OF_SQL} AS FechaRegistro FROM m
+""")
+def q_resolve_project_new(spark, sf_dir):
+    return intake.resolve_project_names(_name_rows(spark, sf_dir), "nombre", _name_dim(spark, sf_dir), AS_OF)[1]
+
+
 # ------------------------------------------------------------------ P12 T6: directory members
 
 DIRECTORY_DOMAIN = "example.com"
@@ -728,7 +885,19 @@ def q_seed_load(spark, sf_dir):
                               .select("o_orderkey"), [F.col("o_orderkey")], base=0)
     kids = roles.TASKS.df(spark, sf_dir).withColumnRenamed("ProyectoId", "o_orderkey")
     linked = tables.link_children(kids, parents, "o_orderkey", "ProyectoId")
-    return linked.where(F.col("ProyectoId").isNotNull()).drop("o_orderkey")
+    return linked.where(F.col("ProyectoId").isNotNull()).drop("o_orderkey")  # the rest: seed_load_rejects
+
+
+@register("seed_load_rejects", f"""
+WITH t AS ({roles.TASKS.sql})
+SELECT Id, ProyectoId AS o_orderkey, 'sin_padre' AS Motivo FROM t
+WHERE ProyectoId NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')
+""")
+def q_seed_load_rejects(spark, sf_dir):
+    parents = roles.read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").selectExpr("o_orderkey", "o_orderkey AS Id")
+    kids = roles.TASKS.df(spark, sf_dir).withColumnRenamed("ProyectoId", "o_orderkey")
+    linked = tables.link_children(kids, parents, "o_orderkey", "ProyectoId")
+    return linked.where(F.col("ProyectoId").isNull()).select("Id", "o_orderkey", F.lit("sin_padre").alias("Motivo"))
 
 
 # ------------------------------------------------------------------ H1: clean text
@@ -895,7 +1064,7 @@ SELECT Ref, substr(NULLIF(trim(Area || ' – ' || COALESCE(NULLIF(Modulos, ''),
   COALESCE(NULLIF(trim({_jstr('$.estado')}), ''), 'Nuevo') AS Estado,
   TRY_CAST(regexp_extract({_jstr('$.proyecto_id')}, '^([+-]?[0-9]+)', 1) AS BIGINT) AS ProyectoId,
   PayloadJson,
-  CASE WHEN vb IS NULL THEN 'json_invalido' WHEN json_type(m) <> 'OBJECT' THEN 'cuerpo_invalido'
+  CASE WHEN vb IS NULL THEN 'json_invalido' WHEN json_type(m) NOT IN ('OBJECT', 'ARRAY') THEN 'cuerpo_invalido'
        WHEN Solicitante IS NULL OR Area IS NULL THEN 'faltan_obligatorios' END AS Motivo
 FROM f
 """)
@@ -931,7 +1100,7 @@ SELECT Ref, Titulo, Solicitante, NULLIF(trim({_jstr('$.area')}), '') AS Area, {_
   COALESCE(NULLIF(trim({_jstr('$.estado')}), ''), 'Nuevo') AS Estado,
   TRY_CAST(regexp_extract({_jstr('$.proyecto_id')}, '^([+-]?[0-9]+)', 1) AS BIGINT) AS ProyectoId,
   PayloadJson,
-  CASE WHEN vb IS NULL THEN 'json_invalido' WHEN json_type(m) <> 'OBJECT' THEN 'cuerpo_invalido'
+  CASE WHEN vb IS NULL THEN 'json_invalido' WHEN json_type(m) NOT IN ('OBJECT', 'ARRAY') THEN 'cuerpo_invalido'
        WHEN Solicitante IS NULL OR Titulo IS NULL OR Descripcion IS NULL THEN 'faltan_obligatorios' END AS Motivo
 FROM f
 """)
@@ -978,7 +1147,7 @@ def q_validation_split(spark, sf_dir):
 
 # ------------------------------------------------------------------ R4: stream change application (final state)
 
-from workboard.session import scratch_path  # noqa: E402
+from workboard.session import fresh_path, shared_root  # noqa: E402
 from workboard.streaming import apply as stream_apply  # noqa: E402
 
 
@@ -994,14 +1163,11 @@ def _change_stream(spark, sf_dir):
 
 @register("stream_apply", ORACLES["tracking_patch"])
 def q_stream_apply(spark, sf_dir):
-    root = scratch_path(spark, "stream-apply")
-    q = stream_apply.apply_change_stream(
-        _change_stream(spark, sf_dir), roles.REQUESTS_ERP.df(spark, sf_dir), f"{root}/table", f"{root}/checkpoint",
-        lambda cur, batch, _bid: changes.apply_patch(cur, normalise_tracking(batch), changes.TRACKING_POLICY,
-                                                     as_of=AS_OF),
-        keys=["Id"], change_keys=["id"], buckets=16)
-    q.awaitTermination()
-    return stream_apply.SnapshotStore(spark, f"{root}/table", ["Id"], 16).read_latest()
+    root = fresh_path(shared_root(spark), "stream-apply")
+    stream_apply.change_log_stream(_change_stream(spark, sf_dir), normalise_tracking, f"{root}/log",
+                                   f"{root}/checkpoint").awaitTermination()
+    log = spark.read.parquet(f"{root}/log").drop("batch")
+    return changes.apply_patch(roles.REQUESTS_ERP.df(spark, sf_dir), log, changes.TRACKING_POLICY, as_of=AS_OF)
 
 
 # ------------------------------------------------------------------ S2 I1: infrastructure JSON intake
@@ -1028,9 +1194,11 @@ INFRA_BODIES = roles.Role("part", (
              f"'\"FrontEnd\":\"React\"}}}}'"),
 ))
 
-INFRA_OUT = ["Ref", "Titulo", "Aplicacion", "Identificador", "Proyecto", "FechaProduccion", "CPURequerida",
-             "RAMRequeridaGB", "StorageGB", "CrecimientoMensualGB", "UsuariosConcurrentes", "RequiereHA", "FrontEnd",
-             "Estado", "ProyectoId", "Motivo"]
+INFRA_OUT = ["Ref", "Titulo", "Aplicacion", "Identificador", "Proyecto", "LiderProyecto", "FechaProduccion",
+             "Funcionalidad", "ArquitecturaDespliegue", "FrontEnd", "BackendAPI", "CPURequerida", "RAMRequeridaGB",
+             "BaseDatos", "ModeloDespliegueBD", "StorageGB", "CrecimientoMensualGB", "DominioPublico", "TipoAcceso",
+             "MetodoAutenticacion", "NivelSensibilidad", "Ambiente", "UsuariosConcurrentes", "Criticidad", "RequiereHA",
+             "RequiereDR", "Estado", "ProyectoId", "PayloadJson", "Motivo"]
 
 
 def _num_sql(x: str) -> str:
@@ -1071,7 +1239,14 @@ SELECT Ref,
   NULLIF(trim(vb->'sharepoint_row'->>'FrontEnd'), '') AS FrontEnd,
   NULLIF(trim(json_extract_string(m, '$.clasificacion_registro.estado')), '') AS Estado,
   CAST({_trunc_sql("json_extract_string(m, '$.proyecto_id')")} AS BIGINT) AS ProyectoId,
-  CASE WHEN vb IS NULL THEN 'json_invalido' WHEN NULLIF(trim(nom), '') IS NULL THEN 'faltan_obligatorios' END
+  CAST(NULL AS VARCHAR) AS LiderProyecto, NULLIF(trim(json_extract_string(m, '$.informacion_general.descripcion')), '')
+    AS Funcionalidad, 'Contenedores' AS ArquitecturaDespliegue, CAST(NULL AS VARCHAR) AS BackendAPI,
+  'PostgreSQL' AS BaseDatos, CAST(NULL AS VARCHAR) AS ModeloDespliegueBD, CAST(NULL AS VARCHAR) AS DominioPublico,
+  CAST(NULL AS VARCHAR) AS TipoAcceso, CAST(NULL AS VARCHAR) AS MetodoAutenticacion,
+  CAST(NULL AS VARCHAR) AS NivelSensibilidad, 'QA' AS Ambiente, 'Alta' AS Criticidad, 'No' AS RequiereDR,
+  json_extract(vb, '$.model')::VARCHAR AS PayloadJson,
+  CASE WHEN vb IS NULL THEN 'json_invalido' WHEN NULLIF(trim(nom), '') IS NULL THEN 'faltan_obligatorios'
+       WHEN json_extract_string(m, '$.base_de_datos.crecimiento_mensual_gb') = '1e12' THEN 'numero_fuera_de_rango' END
     AS Motivo
 FROM f
 """)
@@ -1216,7 +1391,7 @@ _ERP_OUT = ["Ref", "Titulo", "Solicitante", "Area", "Descripcion", "Modulos", "P
 @register("stream_intake", f"WITH x AS ({ORACLES['json_intake_erp']}) SELECT {', '.join(_ERP_OUT)} FROM x "
                            "WHERE Motivo IS NULL")
 def q_stream_intake(spark, sf_dir):
-    root = scratch_path(spark, "stream-intake")
+    root = fresh_path(shared_root(spark), "stream-intake")
     # the bodies Spark derives from customer rows land as files, as the portal's POST bodies would
     ERP_BODIES.df(spark, sf_dir).write.parquet(f"{root}/in")
     src = spark.readStream.schema("Ref BIGINT, body STRING").parquet(f"{root}/in")
@@ -1224,3 +1399,30 @@ def q_stream_intake(spark, sf_dir):
                                    f"{root}/rejects", f"{root}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/accepted").select(*_ERP_OUT)
+
+
+# ------------------------------------------------------------------ T2–T5: positions in the ordered lists
+
+_position("release_board", search.release_order, "FechaPlanificada ASC NULLS LAST, Id DESC")
+_position("task_list", lambda: [F.col("ProyectoId"), *search.task_order()],
+          "ProyectoId, COALESCE(Orden, 9999), FechaInicio ASC NULLS FIRST, Id")
+_position("notes_for_request", lambda: [F.col("Fecha").desc(), F.col("Id").desc()], "Fecha DESC, Id DESC")
+_position("attachment_metadata", lambda: [F.col("Fecha").desc(), F.col("Id").desc()], "Fecha DESC, Id DESC")
+_position("project_list", lambda: [F.col("Nombre"), F.col("Id")], "Nombre, Id")
+
+
+# ------------------------------------------------------------------ rejects of the creates
+
+@register("erp_create_rejects", f"SELECT Ref, Motivo FROM ({ORACLES['json_intake_erp']}) x WHERE Motivo IS NOT NULL")
+def q_erp_create_rejects(spark, sf_dir):
+    typed = intake.erp_requests(ERP_BODIES.df(spark, sf_dir)).drop("body")
+    return intake.create(roles.REQUESTS_ERP.df(spark, sf_dir), typed, schemas.REQUESTS_ERP, [F.col("Ref")],
+                         as_of=AS_OF, keep=["Ref"])[1].select("Ref", "Motivo")
+
+
+@register("project_create_rejects",
+          f"SELECT o_orderkey, Motivo FROM ({ORACLES['project_intake']}) x WHERE Motivo IS NOT NULL")
+def q_project_create_rejects(spark, sf_dir):
+    typed = intake.projects(PROJECT_BODIES.df(spark, sf_dir), AS_OF)
+    return intake.create(roles.PROJECTS.df(spark, sf_dir), typed, schemas.PROJECTS, [F.col("o_orderkey")],
+                         as_of=AS_OF, keep=["o_orderkey"])[1].select("o_orderkey", "Motivo")

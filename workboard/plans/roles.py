@@ -71,10 +71,11 @@ PROJECTS = Role("orders", (
 
 # ---------------------------------------------------------------- tasks (lineitem)
 
-# A unique BIGINT task id packed from the lineitem natural key (order, line, part, supplier, ship day). Field widths:
-# order*8+line < 2^21, part < 2^15, supplier < 2^10, day number < 2^14 — enough for every provided scale (sf ≤ 0.1).
-TASK_KEY = ("((((l_orderkey * 8 + l_linenumber) * 32768 + l_partkey) * 1024 + l_suppkey) * 16384 + "
-            "((year(l_shipdate) - 1990) * 372 + month(l_shipdate) * 31 + day(l_shipdate)))")
+# The lineitem natural key (order, line, part, supplier, ship day) as text of fixed widths: it cannot collide or
+# overflow at any scale, and its text order is the order of its parts.
+TASK_KEY = ("(lpad(CAST(l_orderkey AS STRING), 19, '0') || '-' || lpad(CAST(l_linenumber AS STRING), 3, '0') || '-' || "
+            "lpad(CAST(l_partkey AS STRING), 15, '0') || '-' || lpad(CAST(l_suppkey AS STRING), 15, '0') || '-' || "
+            "CAST(CAST(l_shipdate AS DATE) AS STRING))")
 
 TASKS = Role("lineitem", (
     ("Id", TASK_KEY),
@@ -85,11 +86,11 @@ TASKS = Role("lineitem", (
                  "THEN CAST(l_shipdate AS DATE) + l_linenumber END"),
     ("Progreso", "CASE WHEN l_linenumber <> 4 THEN CAST(l_quantity * 2 AS INT) END"),
     ("Responsable", "CASE WHEN l_linestatus = 'O' THEN 'Supplier#' || CAST(l_suppkey AS STRING) END"),
-    ("DependenciaId", "CAST(NULL AS BIGINT)"),
+    ("DependenciaId", "CAST(NULL AS STRING)"),
     ("EsHito", "l_returnflag = 'R'"),
     ("Orden", "NULLIF(l_linenumber, 3)"),
     ("FechaActualizacion", "CAST(NULL AS TIMESTAMP_NTZ)"),
-    ("TareaPadreId", "CAST(NULL AS BIGINT)"),
+    ("TareaPadreId", "CAST(NULL AS STRING)"),
 ))
 
 # ---------------------------------------------------------------- requests (events, three kinds)
@@ -212,7 +213,7 @@ RELEASES = Role("orders", (
 KIND_OF_CONV = "CASE WHEN conv_id % 3 = 0 THEN 'infra' WHEN conv_id % 3 = 1 THEN 'erp' ELSE 'gen' END"
 
 NOTES = Role("conversations", (
-    ("Id", "conv_id * 1000 + turn"),
+    ("Id", "conv_id * 1000000 + turn"),
     ("Tipo", KIND_OF_CONV),
     ("SolicitudId", "conv_id"),
     ("Nota", "text"),

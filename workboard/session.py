@@ -7,8 +7,6 @@ skew-join splitting, and the Spark UI off.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -49,12 +47,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     spark = b.getOrCreate()
     for k, v in conf.items():
-        if k.startswith("spark.ui"):
-            continue
-        try:
+        if spark.conf.isModifiable(k):
             spark.conf.set(k, v)
-        except Exception:  # static conf on an already-running session
-            pass
+        elif k in SESSION_CONF and not k.startswith("spark.ui") and spark.conf.get(k, None) != v:
+            raise ValueError(f"this session was started with another {k} than the operators rely on ({v})")
     try:
         spark.sparkContext.setLogLevel("ERROR")
     except Exception:  # sessions without a local SparkContext (e.g. Spark Connect)
@@ -62,42 +58,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and materialised intermediates.
+def shared_root(spark: SparkSession) -> str:
+    """The folder for stream state: ``spark.checkpoint.dir``, the context's checkpoint folder, or the warehouse.
 
-    Uses ``spark.checkpoint.dir`` (or the context's checkpoint dir) when the cluster names one. Only when it is unset
-    (local tests) do we create a private folder under the system temp dir and register it.
+    All of them are shared by driver and executors on a cluster; nothing is made in a machine-local temp folder.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # no local SparkContext (e.g. Spark Connect): the session conf is all we have
-        sc = None
-    current = sc.getCheckpointDir() if sc is not None else None
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and sc is not None:
-        configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="workboard-ckpt-")
-    if sc is not None:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    return configured
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint root (for written intermediates and stream state)."""
-    root = checkpoint_root(spark)
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def materialize(df, name: str):
-    """Cut lineage by writing ``df`` as parquet under the shared checkpoint folder and reading it back.
-
-    One computation and a columnar write (an eager ``checkpoint()`` computes the plan twice and writes serialized
-    rows); the result survives executor loss because it lives in the shared folder, not on executors.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def fresh_path(root: str, name: str) -> str:
+    """A unique path under a shared root."""
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from workboard import schemas
-from workboard.session import materialize
 
 _LOW33 = (1 << 33) - 1
 
@@ -16,47 +16,47 @@ def read_table(spark: SparkSession, path: str, ddl: str, fmt: str = "parquet") -
     return spark.read.schema(ddl).format(fmt).load(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, ddl: str, props: dict | None = None) -> DataFrame:
-    """S1 against the live database: a JDBC scan projected to the declared schema (driver jar supplied by the
-    deployment). Partitioned reads need ``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions`` in
-    ``props``."""
-    opts = dict(props or {})
-    df = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**opts).load()
+def read_jdbc(spark: SparkSession, url: str, table: str, ddl: str, partition_column: str, lower_bound, upper_bound,
+              num_partitions: int, props: dict | None = None) -> DataFrame:
+    """S1 against the live database: a JDBC scan in ``num_partitions`` ranges of ``partition_column``, projected to the
+    declared schema (driver jar supplied by the deployment). The four options are required: without them one task
+    would read the whole table."""
+    df = (spark.read.format("jdbc").options(**(props or {}))
+          .options(url=url, dbtable=table, partitionColumn=partition_column, lowerBound=lower_bound,
+                   upperBound=upper_bound, numPartitions=num_partitions).load())
     return conform(df, ddl)
 
 
-def max_id(df: DataFrame, col: str = "Id") -> int:
-    """Largest id in use (0 for an empty table). One scalar comes back to the driver."""
-    v = df.agg(F.max(col)).first()[0]
-    return int(v or 0)
+def max_id(df: DataFrame, col: str = "Id") -> Column:
+    """Largest id in use (0 for an empty table), as a scalar subquery of the plan that uses it."""
+    return F.coalesce(df.select(F.max(col).cast("bigint")).scalar(), F.lit(0).cast("bigint"))
 
 
-def with_ids(df: DataFrame, order_by: list, base: int = 0, id_col: str = "Id") -> DataFrame:
+def with_ids(df: DataFrame, order_by: list, base: int | Column = 0, id_col: str = "Id") -> DataFrame:
     """Assign contiguous ids ``base+1 … base+n`` in ``order_by`` order, without a one-partition window.
 
-    The rows are range-sorted (so a hot key spreads over several ranges), tagged with their partition and position,
-    and written to the shared checkpoint folder (the tags become data), so both passes see the same assignment
-    even after an executor loss. Per-partition counts (one row per partition — a bounded, broadcast-safe table) give each
-    partition its starting offset.
+    The rows are range-sorted (so a hot key spreads over several ranges), with a hash of the whole row as the last
+    sort key: only identical rows tie, so a partition that is computed again after an executor loss comes out the same. They
+    are tagged with partition and position and persisted, because the counts per partition (one row each, a
+    bounded table) and the rows must come from the same sort. Nothing is written to a folder.
     """
-    tagged = materialize(df.orderBy(*order_by)
-                         .withColumn("_pid", F.spark_partition_id())
-                         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))), "ids")
+    whole = F.xxhash64(*[F.col(c) for c in df.columns])
+    tagged = (df.orderBy(*order_by, whole).withColumn("_pid", F.spark_partition_id())
+              .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: this unpartitioned running sum sees #partitions rows, never data rows
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    start = base if isinstance(base, Column) else F.lit(base)
     out = tagged.join(F.broadcast(offsets), "_pid").withColumn(
-        id_col, (F.lit(base) + F.col("_off") + F.col("_pos") + 1).cast("bigint"))
+        id_col, (start + F.col("_off") + F.col("_pos") + 1).cast("bigint"))
     return out.drop("_pid", "_pos", "_off")
 
 
-def append_with_ids(target: DataFrame, new_rows: DataFrame, order_by: list, id_col: str = "Id") -> DataFrame:
-    """``INSERT … OUTPUT INSERTED.Id`` — the new rows with ids continuing after the target's largest id.
-
-    Write the result with ``df.write.mode('append')``; the returned frame doubles as the id report.
-    """
-    return with_ids(new_rows, order_by, base=max_id(target, id_col), id_col=id_col)
+def with_position(df: DataFrame, order_by: list, col: str = "Posicion") -> DataFrame:
+    """The position (from 1) of each row in a fully ordered list, as a column."""
+    return with_ids(df, order_by, id_col=col)
 
 
 def link_children(children: DataFrame, parents: DataFrame, natural_key: str, parent_id_col: str,
@@ -83,7 +83,7 @@ def conform(df: DataFrame, ddl: str, defaults: dict | None = None) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> None:
-    """S4 append sink: add new rows (e.g. the output of :func:`append_with_ids`) to a parquet table."""
+    """S4 append sink: add new rows (e.g. the output of :func:`with_ids`) to a parquet table."""
     w = df.write.mode("append")
     if partition_cols:
         w = w.partitionBy(*partition_cols)
@@ -95,7 +95,7 @@ def replace_partitions(df: DataFrame, path: str, partition_cols: list[str]) -> N
 
     Use for change operators whose output covers whole partitions (e.g. a table partitioned by ``Tipo`` or by
     registration month): untouched partitions are left as they are. Never target the path being read by ``df``
-    itself — write a new version or materialize first.
+    itself — write a new version first.
     """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(path)
 
@@ -109,8 +109,8 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     parquet row-group min/max statistics let pushed-down filters skip most of the file.
     """
     out = df
-    if partition_by:
-        out = out.repartition(*partition_by)
+    if partition_by:  # ranges over the sort columns too, so one kind with most rows spreads over many tasks
+        out = out.repartitionByRange(*partition_by, *(sort_within or []))
     if sort_within:
         out = out.sortWithinPartitions(*sort_within)
     w = out.write.mode(mode)

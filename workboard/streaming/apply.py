@@ -1,210 +1,54 @@
 """Stream forms of intake and change application.
 
 The portal receives one event per HTTP call; here those events arrive as files (JSON bodies or parquet change rows)
-and a Structured Streaming query applies each micro-batch with ``foreachBatch``. State lives in a bucketed,
-copy-on-write parquet table under a shared folder:
+and a Structured Streaming query handles each micro-batch with ``foreachBatch``: normalise, then write the rows to a
+plain parquet log partitioned by batch id. A replayed batch (``foreachBatch`` is at-least-once) replaces its own
+partition, so nothing is applied twice. The state of a table is the batch operator over the initial rows and the
+log, for example ``changes.apply_patch(initial, log, policy)``.
 
-* rows are hashed on the table key into ``buckets`` buckets; a micro-batch reads and rewrites **only the buckets its
-  keys touch**, into a new version directory (a path that is being read is never overwritten);
-* a manifest table ``(batch_id, bucket, path)`` records where each bucket's latest copy lives; it is appended after
-  the data is written, so a crash in between leaves the previous copy current; every ``compact_every`` batches the
-  latest entry per bucket is written as a new manifest generation, so the manifest stays ≤ buckets + recent rows;
-* a batch id already in the manifest is skipped, so a replay after a failure (``foreachBatch`` is at-least-once)
-  does not apply the same changes twice; the stream checkpoint tracks which files were consumed.
-
-The driver only handles bucket ids (at most ``buckets`` values) — never rows. Everything is DataFrame I/O, so the
-same code runs on any file system the cluster uses.
+All paths are given by the caller and must be shared by driver and executors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
-
-MANIFEST_SCHEMA = "batch_id BIGINT, bucket INT, path STRING"
-BUCKET_COL = "wb_bucket"
-
-
-def bucket_of(keys: list[str], buckets: int) -> F.Column:
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
-
-
-class SnapshotStore:
-    """Bucketed copy-on-write snapshots of one table plus a manifest.
-
-    Size ``buckets`` so one bucket is about 1 GiB (e.g. ~100k buckets for 100 TB): a batch then rewrites roughly
-    ``touched buckets × 1 GiB``, and each bucket is written by one task.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 64, compact_every: int = 50):
-        self.compact_every = compact_every
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.keys = list(keys)
-        self.buckets = buckets
-        self.manifest_path = f"{self.root}/_manifest"
-
-    def _all_generations(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(MANIFEST_SCHEMA + ", gen INT").parquet(self.manifest_path)
-        except AnalysisException:
-            return None
-
-    def _generation(self) -> int | None:
-        m = self._all_generations()
-        return None if m is None else m.agg(F.max("gen")).first()[0]
-
-    def _manifest(self) -> DataFrame | None:
-        """The newest manifest generation (older ones are superseded by compaction and never read)."""
-        m = self._all_generations()
-        if m is None:
-            return None
-        g = m.agg(F.max("gen")).first()[0]
-        return None if g is None else m.where(F.col("gen") == g).select("batch_id", "bucket", "path")
-
-    def _record(self, entries: list, gen: int | None = None) -> None:
-        g = self._generation() if gen is None else gen
-        self.spark.createDataFrame(entries, MANIFEST_SCHEMA).withColumn("gen", F.lit(g or 0)).coalesce(1) \
-            .write.mode("append").partitionBy("gen").parquet(self.manifest_path)
-
-    def compact(self) -> None:
-        """Write the latest entry per bucket (≤ ``buckets`` rows, kept as data — nothing reaches the driver) as a
-        new manifest generation. The newest batch id survives because its entries are the latest for the buckets
-        it touched."""
-        m = self._manifest()
-        if m is None:
-            return
-        g = self._generation()
-        latest = m.groupBy("bucket").agg(F.max("batch_id").alias("batch_id"),
-                                         F.max_by("path", "batch_id").alias("path"))
-        latest.select("batch_id", "bucket", "path").withColumn("gen", F.lit(g + 1)).coalesce(1) \
-            .write.mode("append").partitionBy("gen").parquet(self.manifest_path)
-
-    def has(self, batch_id: int) -> bool:
-        """Whether ``batch_id`` was already applied. Stream batch ids only grow and a replay re-runs the last one,
-        so comparing with the latest committed id is enough (one small aggregate, whatever the manifest size)."""
-        latest = self.latest_batch()
-        return latest is not None and batch_id <= latest
-
-    def latest_batch(self) -> int | None:
-        m = self._manifest()
-        if m is None:
-            return None
-        return m.agg(F.max("batch_id")).first()[0]
 
-    def current_paths(self, buckets: list[int] | None = None) -> list[str]:
-        """Paths of the latest copy of each bucket (optionally only ``buckets``): at most one per bucket."""
-        m = self._manifest()
-        if m is None:
-            return []
-        if buckets is not None:
-            m = m.where(F.col("bucket").isin(buckets))
-        latest = m.groupBy("bucket").agg(F.max_by("path", "batch_id").alias("path"))
-        return [r["path"] for r in latest.collect()]
 
-    def _write(self, rows: DataFrame, version: str) -> None:
-        """One writer per bucket (rows are hash-partitioned on the bucket first), so each bucket is one file set."""
-        b = rows.withColumn(BUCKET_COL, bucket_of(self.keys, self.buckets))
-        b.repartition(BUCKET_COL).write.mode("overwrite").partitionBy(BUCKET_COL).parquet(version)
-
-    def _buckets_in(self, version: str) -> list[int]:
-        """Bucket ids written under a version directory (at most ``buckets`` values)."""
-        try:
-            return [r[0] for r in self.spark.read.parquet(version).select(BUCKET_COL).distinct().collect()]
-        except AnalysisException:  # nothing written
-            return []
-
-    def read(self, buckets: list[int] | None = None, schema=None) -> DataFrame:
-        paths = [p for p in self.current_paths(buckets) if p]
-        if not paths:
-            if schema is None:
-                raise ValueError(f"no snapshot committed under {self.root}")
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(*paths)
-
-    def read_latest(self) -> DataFrame:
-        return self.read()
-
-    def commit(self, batch_id: int, rows: DataFrame, buckets: list[int]) -> None:
-        """Write the new copy of ``buckets`` (``rows`` must hold every row of those buckets), then record it."""
-        version = f"{self.root}/v{batch_id + 1:012d}"
-        self._write(rows, version)
-        written = set(self._buckets_in(version))
-        # a touched bucket left without rows is recorded with an empty path (reads as no rows)
-        entries = [(batch_id, b, f"{version}/{BUCKET_COL}={b}" if b in written else "") for b in buckets]
-        self._record(entries)
-
-    def apply_batch(self, batch: DataFrame, batch_id: int,
-                    apply: Callable[[DataFrame, DataFrame, int], DataFrame],
-                    change_keys: list[str] | None = None, schema=None) -> bool:
-        """Apply one change batch copy-on-write: only the buckets its keys touch are read and rewritten.
-
-        Used by the stream below and directly for batch loads (a patch batch against a very large table then costs
-        about ``touched buckets × bucket size`` instead of a full rewrite). Returns False for an already-applied id.
-        """
-        if self.has(batch_id):
-            return False
-        ckeys = change_keys or self.keys
-        touched = [r[0] for r in batch.select(bucket_of(ckeys, self.buckets).alias("b")).distinct().collect()]
-        if touched:
-            self.commit(batch_id, apply(self.read(touched, schema), batch, batch_id), touched)
-            if self.compact_every and (batch_id + 1) % self.compact_every == 0:
-                self.compact()
-        return True
-
-    def initialise(self, initial: DataFrame) -> None:
-        """Version 0: the whole initial table. Buckets without rows get no entry (they read as empty)."""
-        version = f"{self.root}/v{0:012d}"
-        self._write(initial, version)
-        entries = [(-1, b, f"{version}/{BUCKET_COL}={b}") for b in self._buckets_in(version)]
-        self._record(entries, gen=0)
+def _start(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool):
+    if not checkpoint:
+        raise ValueError("a stream needs a checkpoint folder that all machines share")
+    w = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
 
 
-def apply_change_stream(changes: DataFrame, initial: DataFrame, root: str, checkpoint: str,
-                        apply: Callable[[DataFrame, DataFrame, int], DataFrame], keys: list[str],
-                        change_keys: list[str] | None = None, buckets: int = 64, available_now: bool = True):
-    """Apply a streaming change feed to a snapshot table, one micro-batch at a time.
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
-    ``apply(current_rows, batch, batch_id) -> new_rows`` is any batch change operator (``changes.apply_patch``,
-    ``changes.upsert``, …); it receives only the rows of the buckets the batch touches and must return all of
-    them (updated or not) plus any inserts. ``keys`` is the table key, ``change_keys`` the same key's columns in
-    the change rows (defaults to ``keys``). Returns the started ``StreamingQuery``.
-    """
-    spark = initial.sparkSession
-    store = SnapshotStore(spark, root, keys, buckets)
-    if store.latest_batch() is None:
-        store.initialise(initial)
-    schema = initial.schema
 
+def change_log_stream(changes: DataFrame, normalise: Callable[[DataFrame], DataFrame], log_path: str, checkpoint: str,
+                      available_now: bool = True):
+    """Append a change feed to the log at ``log_path``, one ``batch`` partition per micro-batch."""
     def on_batch(batch: DataFrame, batch_id: int):
-        store.apply_batch(batch, batch_id, apply, change_keys, schema)  # a replayed id is skipped
+        _write(normalise(batch).withColumn("batch", F.lit(batch_id)), log_path)
 
-    w = changes.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    return _start(changes, on_batch, checkpoint, available_now)
 
 
 def intake_stream(bodies: DataFrame, normalise: Callable[[DataFrame], DataFrame], accepted_path: str,
                   rejects_path: str, checkpoint: str, available_now: bool = True):
     """R4 intake: a stream of raw request bodies → typed rows in ``accepted_path`` and rejects (with their reason) in
-    ``rejects_path``. Each micro-batch lands in its own ``batch`` partition, written with dynamic partition
-    overwrite, so a replayed batch replaces its earlier output instead of duplicating it."""
-
-    def write(df: DataFrame, path: str):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-
+    ``rejects_path``."""
     def on_batch(batch: DataFrame, batch_id: int):
         typed = normalise(batch).withColumn("batch", F.lit(batch_id))
         typed.persist()  # both outputs read it; recomputed from the batch if an executor is lost
         try:
-            write(typed.where(F.col("Motivo").isNull()).drop("Motivo"), accepted_path)
-            write(typed.where(F.col("Motivo").isNotNull()), rejects_path)
+            _write(typed.where(F.col("Motivo").isNull()).drop("Motivo"), accepted_path)
+            _write(typed.where(F.col("Motivo").isNotNull()), rejects_path)
         finally:
             typed.unpersist()
 
-    w = bodies.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    return _start(bodies, on_batch, checkpoint, available_now)
