@@ -180,8 +180,10 @@ def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(int(gone.sum()))
             kept.append(b" ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=["key", "n_removed", "kept_text"])
+            [batch.column(0), pa.array(removed, pa.int64()),
+             pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+             pa.array(kept, pa.binary()).cast(pa.string())],
+            names=["key", "n_removed", "sha", "kept_text"])
 
 
 def _repeated(rows: DataFrame, names: list[str], label: str) -> DataFrame:
@@ -189,23 +191,24 @@ def _repeated(rows: DataFrame, names: list[str], label: str) -> DataFrame:
     return cut(rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").select(*names), label)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n_words, n_removed, kept_sha256, kept_text) for every row of ``docs``.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   with_text: bool = False) -> DataFrame:
+    """(doc_id, key, n_words, n_removed, kept_sha256) for every row of ``docs``; ``key`` is a hash of id and text.
 
-    ``kept_text`` are the words left, joined by one space; it is null where nothing was removed. ``key`` is a hash of id
-    and text.
+    ``with_text`` adds ``kept_text``, the words left, joined by one space; it is null where nothing was removed.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "key", F.xxhash64("doc_id", "text"))
     parsed = cut(texts.select("doc_id", "key", "text").mapInArrow(
         _parse, "doc_id long, key long, n_words long, digest binary, marks array<long>"), "parsed")
     classes = cut(parsed.where(F.col("n_words") >= WINDOW).groupBy("digest")
-                  .agg(F.count("*").alias("copies"), F.min("key").alias("rep")), "classes")
-    # the rows that stand for classes in the search; equal rows have equal keys, and one of them is enough
-    chosen = parsed.where(F.size("marks") > 0).join(
-        classes.select(F.col("rep").alias("key"), "copies"), "key").select("key", "copies", "marks")
-    marks = chosen.where("copies = 1").select("key", F.explode("marks").alias("mark")).unionAll(
-        chosen.where("copies > 1").dropDuplicates(["key"]).select("key", F.explode("marks").alias("mark")))
+                  .agg(F.count("*").alias("copies"), F.min("key").alias("rep")).where("copies > 1"), "classes")
+    # of a class one document stands in the search (a repeated row has the key of its first: its marks count twice,
+    # which only lets more windows through to the second count, where each key stands once)
+    others = cut(parsed.select("key", "digest").join(classes, "digest").where("key <> rep").select(
+        F.col("key").alias("other")).distinct(), "others")
+    marks = (parsed.where(F.size("marks") > 0).join(small(others), F.col("key") == F.col("other"), "left_anti")
+             .select("key", F.explode("marks").alias("mark")))
     known = _repeated(marks, ["mark"], "marks")
     per_doc = cut(marks.join(known, "mark", "left_semi").groupBy("key").agg(F.collect_set("mark").alias("marks")),
                   "per_doc")
@@ -214,17 +217,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = cut(found.select("key", "text", "marks").mapInArrow(_windows, "key long, start int, h1 long, h2 int"),
                   "windows")
     twice = _repeated(windows, ["h1", "h2"], "twice")
-    whole = classes.where("copies > 1").select("digest")
-    starts = cut(windows.join(twice, ["h1", "h2"], "left_semi").groupBy("key").agg(F.collect_list("start").alias("starts")),
+    # the documents of classes lose everything anyway: their windows only count
+    alone = windows.join(small(cut(classes.select(F.col("rep").alias("of_class")), "reps")),
+                         F.col("key") == F.col("of_class"), "left_anti")
+    starts = cut(alone.join(twice, ["h1", "h2"], "left_semi").groupBy("key").agg(F.collect_list("start").alias("starts")),
                  "starts")
     keys = cut(starts.select(F.col("key").alias("k")), "keys")
-    fixed = cut(texts.join(small(keys), F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"]).join(starts, "key")
-                .select("key", "text", "starts").mapInArrow(_remove, "key long, n_removed long, kept_text string")
-                .withColumn("sha", F.sha2(F.col("kept_text").cast("binary"), 256)), "fixed")
-    gone = F.col("all").isNotNull()
-    empty = F.sha2(F.lit("").cast("binary"), 256)
-    return (parsed.drop("marks").join(whole.withColumn("all", F.lit(True)), "digest", "left").join(fixed, "key", "left")
-            .select("doc_id", "key", "n_words",
-                    F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-                    F.when(gone, empty).otherwise(F.coalesce("sha", F.lower(F.hex("digest")))).alias("kept_sha256"),
-                    F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")))
+    fixed = (texts.join(small(keys), F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"]).join(starts, "key")
+             .select("key", "text", "starts")
+             .mapInArrow(_remove, "key long, n_removed long, sha string, kept_text string"))
+    if not with_text:
+        fixed = cut(fixed.drop("kept_text"), "fixed")
+    gone = F.col("copies").isNotNull()
+    columns = [F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+               F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(
+                   F.coalesce("sha", F.lower(F.hex("digest")))).alias("kept_sha256")]
+    if with_text:
+        columns.append(F.when(gone, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
+    return (parsed.drop("marks").join(classes.select("digest", "copies"), "digest", "left").join(fixed, "key", "left")
+            .select("doc_id", "key", "n_words", *columns))
