@@ -81,6 +81,7 @@ def _finish(d: DataFrame, stage1: dict, stage2: dict) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- I2 ERP requests
 
+# Member names of the portal's JSON bodies (ERP here; general and infrastructure bodies below).
 _ERP_FIELDS = {k: ("m", k) for k in ("solicitante", "area", "descripcion", "modulos", "procesos",
                                       "transformar_fabric", "fabric_detalle", "prioridad", "estado", "proyecto_id")}
 
@@ -110,6 +111,7 @@ def erp_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- I3 general
 
+# Member names of general request bodies.
 _GENERAL_FIELDS = {k: ("m", k) for k in ("solicitante", "area", "asunto", "ambito", "descripcion", "justificacion",
                                           "prioridad", "estado", "proyecto_id")}
 
@@ -132,6 +134,7 @@ def general_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- I1 infrastructure
 
+# Groups and member names of infrastructure bodies.
 _IG, _CC, _BD, _RA, _SM, _CR = ("informacion_general", "computo_y_contenedores", "base_de_datos", "redes_y_apis",
                                 "seguridad_y_monitoreo", "clasificacion_registro")
 _INFRA_FIELDS = {

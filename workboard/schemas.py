@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
+# The column names and types of the portal's tables, which are its public interface.
+
 REQUESTS_INFRA = (
     "Id BIGINT NOT NULL, FechaRegistro TIMESTAMP_NTZ NOT NULL, Titulo STRING, Aplicacion STRING, "
     "Identificador STRING, Proyecto STRING, LiderProyecto STRING, FechaProduccion DATE, Funcionalidad STRING, "
@@ -77,7 +79,7 @@ TABLES = {
     "releases": RELEASES,
 }
 
-# Request kinds and the request table each one addresses (the polymorphic (Tipo, SolicitudId) key).
+# Request kinds and the request table each one addresses (the polymorphic (Tipo, SolicitudId) key).
 KINDS = ("infra", "erp", "gen")
 KIND_TABLE = {"infra": "requests_infra", "erp": "requests_erp", "gen": "requests_general"}
 
