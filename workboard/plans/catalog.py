@@ -1426,3 +1426,66 @@ def q_project_create_rejects(spark, sf_dir):
     typed = intake.projects(PROJECT_BODIES.df(spark, sf_dir), AS_OF)
     return intake.create(roles.PROJECTS.df(spark, sf_dir), typed, schemas.PROJECTS, [F.col("o_orderkey")],
                          as_of=AS_OF, keep=["o_orderkey"])[1].select("o_orderkey", "Motivo")
+
+
+# ------------------------------------------------------------------ I1 I3 I5 I6 I7 + S4: the other creates end to end
+
+def _created(name: str, intake_oracle: str, base_sql: str, order: str, cols: list, nulls: dict):
+    """The create's oracle: accepted rows with ids after the largest one, in ``order``."""
+    rest = ", ".join(f"{v} AS {k}" for k, v in nulls.items())
+    return (f"SELECT (SELECT COALESCE(MAX(Id), 0) FROM ({base_sql})) + row_number() OVER (ORDER BY {order}) AS Id, "
+            f"{', '.join(cols)}{', ' + rest if rest else ''}, {order} FROM ({intake_oracle}) x WHERE Motivo IS NULL")
+
+
+_TRACK_NULLS = {"FechaRegistro": AS_OF_SQL, "Responsable": "CAST(NULL AS VARCHAR)", "FechaEntrega": "CAST(NULL AS DATE)",
+                "FechaActualizacion": "CAST(NULL AS TIMESTAMP)"}
+_GENERAL_CREATE = [c for c in roles.REQUESTS_GENERAL.names() if c != "Id" and c not in _TRACK_NULLS]
+
+
+@register("infra_create", _created("infra_create", ORACLES["json_intake_infra"], roles.REQUESTS_INFRA.sql, "Ref",
+                                   [c for c in INFRA_OUT if c not in ("Ref", "Motivo")], _TRACK_NULLS))
+def q_infra_create(spark, sf_dir):
+    typed = intake.infra_requests(INFRA_BODIES.df(spark, sf_dir)).drop("body")
+    return intake.create(roles.REQUESTS_INFRA.df(spark, sf_dir), typed, schemas.REQUESTS_INFRA, [F.col("Ref")],
+                         as_of=AS_OF, keep=["Ref"])[0]
+
+
+@register("general_create", _created("general_create", ORACLES["json_intake_general"], roles.REQUESTS_GENERAL.sql, "Ref",
+                                     _GENERAL_CREATE, _TRACK_NULLS))
+def q_general_create(spark, sf_dir):
+    typed = intake.general_requests(GEN_BODIES.df(spark, sf_dir)).drop("body")
+    return intake.create(roles.REQUESTS_GENERAL.df(spark, sf_dir), typed, schemas.REQUESTS_GENERAL, [F.col("Ref")],
+                         as_of=AS_OF, keep=["Ref"])[0]
+
+
+@register("note_create", _created("note_create", ORACLES["note_intake"], roles.NOTES.sql, "event_id",
+                                  ["Tipo", "SolicitudId", "Nota", "Autor", "Fecha"], {}))
+def q_note_create(spark, sf_dir):
+    typed = intake.notes(NOTE_BODIES.df(spark, sf_dir), AS_OF)
+    return intake.create(roles.NOTES.df(spark, sf_dir), typed, schemas.NOTES, [F.col("event_id")], stamp_col=None,
+                         keep=["event_id"])[0]
+
+
+#: A table with numeric task ids, after which new ids continue.
+_TASK_IDS = roles.Role("lineitem", (("Id", "l_orderkey"),))
+
+
+@register("task_create", _created("task_create", ORACLES["task_intake"], _TASK_IDS.sql, "Ref",
+                                  ["ProyectoId", "Nombre", "FechaInicio", "FechaFin", "Progreso", "Responsable",
+                                   "DependenciaId", "TareaPadreId", "EsHito", "Orden"],
+                                  {"FechaActualizacion": "CAST(NULL AS TIMESTAMP)"}))
+def q_task_create(spark, sf_dir):
+    typed = intake.tasks(TASK_BODIES.df(spark, sf_dir))
+    return intake.create(_TASK_IDS.df(spark, sf_dir), typed, schemas.TASKS, [F.col("Ref")], stamp_col=None,
+                         keep=["Ref"])[0]
+
+
+@register("attachment_create", f"""
+SELECT (SELECT MAX(Id) FROM ({roles.ATTACHMENTS.sql})) + row_number() OVER (ORDER BY Ref) AS Id, Tipo, SolicitudId,
+       x.Nombre, ContentType, Tamano, encode(d.text) AS Contenido, d.source AS Autor, {AS_OF_SQL} AS Fecha, Ref
+FROM ({ORACLES["attachment_decode"]}) x JOIN documents d ON d.doc_id = x.Ref WHERE Motivo IS NULL
+""")
+def q_attachment_create(spark, sf_dir):
+    typed = attachments.intake(UPLOADS.df(spark, sf_dir)).drop("original", "base64")
+    return intake.create(roles.ATTACHMENTS.df(spark, sf_dir), typed, schemas.ATTACHMENTS, [F.col("Ref")], as_of=AS_OF,
+                         stamp_col="Fecha", keep=["Ref"])[0]
