@@ -49,8 +49,8 @@ BRANCHES = 2
 SMALL_NODE = 2048
 MAX_LEVELS = 6
 #: Rows with sketches, and shingles, that a task takes at a time.
-TASK_ROWS = 8_000
-TASK_SHINGLES = 2_000_000
+TASK_ROWS = 2_000
+TASK_SHINGLES = 500_000
 #: P(Binomial(64, 0.75) < 28) < 1e-7.
 MIN_AGREE = 28
 
@@ -249,7 +249,7 @@ def _search(texts: DataFrame, reps: DataFrame, comp: DataFrame | None, first: in
         leaves = cut(leaves.join(mixed, "path", "left_semi"), "open")
     nodes = _distinct_groups(leaves.withColumn("one", F.lit(1)), "path", "one")
     dealt = _blocks(leaves.join(nodes, "path"), "path", "node", F.col("weight"), SMALL_NODE)
-    dealt = cut(dealt.join(reps.drop("roots"), "rep").select("node", "rep", "comp", "n_shingles", "sig"), "dealt")
+    dealt = dealt.join(reps.drop("roots"), "rep").select("node", "rep", "comp", "n_shingles", "sig")
 
     def likely(t: pa.Table) -> pa.Table:
         return _likely(t, percent)
@@ -257,7 +257,7 @@ def _search(texts: DataFrame, reps: DataFrame, comp: DataFrame | None, first: in
     def exact(t: pa.Table) -> pa.Table:
         return _exact(t, percent)
 
-    n = -(-dealt.count() // TASK_ROWS) or 1
+    n = -(-(nodes.agg(F.sum("weight")).first()[0] or 0) // TASK_ROWS) or 1
     groups = cut(dealt.groupBy(F.pmod(F.xxhash64("node"), F.lit(n)).alias("task"))
                  .applyInArrow(likely, "grp long, rep long, n_shingles long"), "likely")
     chosen = _distinct_groups(groups, "grp", "n_shingles")
