@@ -33,7 +33,7 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 16
 #: Length at which attention costs as much as everything else.
 ATTENTION = 32_768
-SHARD_PIECES = 20_000
+SHARD_PIECES = 4_000
 
 _PLACED = "doc_id long, piece long, start long, n_tokens long, shard int, bin int, capacity int, offset int"
 
