@@ -18,7 +18,6 @@ every rate is 1. Repeated rows get equal rates. An empty table gives no rows. Ot
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +26,11 @@ from pyspark.sql import functions as F
 
 from workboard.llm.packing import word_count
 from workboard.llm.store import cut
-from workboard.llm.textstats import _PUNCTUATION, STATS, with_stats
+from workboard.llm.textstats import PUNCTUATION, STATS, with_stats
 
-#: Bound of the labelled sample whose texts reach the driver one after another, and of its bytes in all.
+#: Bound of the labelled sample. Its words are counted in Spark; a row of numbers for each document and the words of
+#: the lexicons reach the driver.
 MAX_LABELLED = 6_000
-MAX_SAMPLE_BYTES = 48 << 20
 LEXICON_WORDS = 300
 #: A word is typical of a domain if the G statistic of its document counts is above this.
 LEAST_G = 25.0
@@ -58,17 +57,31 @@ class Domains:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def _lexicon(counts: Counter, rest: Counter, n: int, m: int) -> frozenset:
-    """The words whose share of the domain's n documents exceeds that of the m others the most surely (G test)."""
-    sure = {}
-    for w, c in counts.items():
-        other = rest[w]
-        expected = (c + other) * n / (n + m)
-        if c >= 4 and c > 2 * expected:
-            g = 2 * (c * np.log(c / expected) + (other * np.log(other / (c + other - expected)) if other else 0))
-            if g > LEAST_G:
-                sure[w] = g
-    return frozenset(sorted(sure, key=lambda w: (-sure[w], w))[:LEXICON_WORDS])
+def _lexicons(sample: DataFrame, names: list[str]) -> list:
+    """For each domain the words whose share of its documents exceeds that of the others the most surely (G test).
+
+    ``sample`` (__y, __text). Words are cut and lower-cased as ``with_stats`` does.
+    """
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    plain = F.translate("__text", upper + PUNCTUATION, lower + " " * len(PUNCTUATION))
+    split = F.array_distinct(F.split(plain, "[\\x20\\x09-\\x0D]+"))
+    words = sample.select("__y", F.explode(split).alias("word")).where("word <> ''")
+    sizes = {r["__y"]: r["n"] for r in sample.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    counts = cut(words.groupBy("word").agg(
+        F.count("*").alias("n"), *[F.count_if(F.col("__y") == n).alias(f"c{i}") for i, n in enumerate(names)])
+        .where("n >= 4"), "words")
+    out = []
+    for i, n in enumerate(names):
+        c, all_of = F.col(f"c{i}"), F.col("n")
+        expected = all_of * (sizes.get(n, 0) / max(1, total))
+        rest = all_of - c
+        of_rest = F.when(rest > 0, rest * F.log(F.try_divide(rest, all_of - expected))).otherwise(0.0)
+        g = 2 * (c * F.log(F.try_divide(c, expected)) + of_rest)
+        best = (counts.where((c >= 4) & (c > 2 * expected)).withColumn("g", g).where(F.col("g") > LEAST_G)
+                .orderBy(F.col("g").desc(), "word").limit(LEXICON_WORDS).select("word").collect())
+        out.append(frozenset(r["word"].encode() for r in best))
+    return out
 
 
 def _softmax(x: np.ndarray, y: np.ndarray, k: int, steps: int = 300, decay: float = 1e-4) -> np.ndarray:
@@ -84,7 +97,7 @@ def _softmax(x: np.ndarray, y: np.ndarray, k: int, steps: int = 300, decay: floa
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text",
-                max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_SAMPLE_BYTES) -> Domains | None:
+                max_labelled: int = MAX_LABELLED) -> Domains | None:
     """Fit the classifier on a bounded sample of the labelled documents; ``domain`` is a string over ``labels``."""
     known = (labels.select(F.col(id_col).cast("long").alias("__id"), domain.alias("__y"))
              .where("__id is not null and __y is not null").groupBy("__id").agg(F.min("__y").alias("__y"))
@@ -94,30 +107,15 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str
     names = [r[0] for r in sample.select("__y").distinct().orderBy("__y").collect()]
     if not names:
         return None
-    # half of the sample picks the words, the other half fits the weights; texts pass one by one
-    seen, sizes, spent = {n: Counter() for n in names}, Counter(), 0
-    half = sample.where(F.xxhash64("__id", F.lit(1)) % 2 == 0).orderBy(F.xxhash64("__id"))
-    for r in half.toLocalIterator():
-        text = (r["__text"] or "").encode()
-        spent += len(text)
-        if spent > max_bytes:
-            break
-        seen[r["__y"]].update(set(text.lower().translate(_PUNCTUATION).split()))
-        sizes[r["__y"]] += 1
-    lexicons = []
-    for n in names:
-        rest = Counter()
-        for other in names:
-            if other != n:
-                rest.update(seen[other])
-        lexicons.append(_lexicon(seen[n], rest, sizes[n], sum(sizes.values()) - sizes[n]))
+    # half of the sample picks the words, the other half fits the weights
+    lexicons = _lexicons(sample.where(F.xxhash64("__id", F.lit(1)) % 2 == 0).select("__y", "__text"), names)
     rows = (with_stats(sample.where(F.xxhash64("__id", F.lit(1)) % 2 != 0), "__text", lexicons)
-            .select("__id", "__y", "__stats").orderBy("__id").collect())
+            .select("__id", "__y", "__stats").orderBy("__id").toArrow())
     width = len(STATS) + len(names)
-    x = np.array([r["__stats"] for r in rows], dtype=float).reshape(len(rows), width)
+    x = rows["__stats"].combine_chunks().flatten().to_numpy().reshape(-1, width).copy()
     x[:, len(STATS):] = np.log1p(x[:, len(STATS):])
     mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(width), np.ones(width))
-    y = np.array([names.index(r["__y"]) for r in rows], dtype=int)
+    y = np.array([names.index(v) for v in rows["__y"].to_pylist()], dtype=int)
     weights = _softmax((x - mean) / scale, y, len(names)) if len(x) else np.zeros((len(names), width + 1))
     return Domains(names, lexicons, mean, scale, weights)
 

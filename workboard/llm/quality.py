@@ -72,22 +72,23 @@ def _holds(rule: tuple, x: np.ndarray) -> np.ndarray:
 def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
     """Logistic regression with an L1 penalty on all weights but the bias, by accelerated proximal gradient."""
     n = len(y)
-    mean = y.mean()
-    bias, w = float(np.log((mean + 1e-6) / (1 - mean + 1e-6))), np.zeros(z.shape[1])
+    mean = float(y.mean())
+    bias, w = float(np.log((mean + 1e-6) / (1 - mean + 1e-6))), np.zeros(z.shape[1], np.float32)
     # the largest eigenvalue of z'z / n bounds the curvature; a few power steps find it
-    v = np.ones(z.shape[1])
+    v = np.ones(z.shape[1], np.float32)
     for _ in range(20):
         v = z.T @ (z @ v)
-        v /= np.linalg.norm(v) + 1e-12
-    step = 1 / (0.25 * (np.linalg.norm(z @ v) ** 2 / n + 1) + 1e-6)
+        v /= np.linalg.norm(v) + np.float32(1e-12)
+    step = float(1 / (0.25 * (np.linalg.norm(z @ v) ** 2 / n + 1) + 1e-6))
     wa, ba, k = w, bias, 1.0
     for _ in range(steps):
-        r = 1 / (1 + np.exp(-(z @ wa + ba))) - y
-        new = wa - step * (z.T @ r) / n
-        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
-        b = ba - step * r.mean()
+        r = 1 / (1 + np.exp(-(z @ wa + np.float32(ba)))) - y  # float32 throughout: no wider copy of z is made
+        new = wa - np.float32(step) * (z.T @ r) / np.float32(n)
+        new = np.sign(new) * np.maximum(np.abs(new) - np.float32(step * penalty), np.float32(0))
+        b = ba - step * float(r.mean())
         nk = (1 + np.sqrt(1 + 4 * k * k)) / 2
-        wa, ba = new + (k - 1) / nk * (new - w), b + (k - 1) / nk * (b - bias)
+        ahead = (k - 1) / nk
+        wa, ba = new + np.float32(ahead) * (new - w), b + ahead * (b - bias)
         w, bias, k = new, b, nk
     return bias, w
 
@@ -102,13 +103,16 @@ def fit_rules(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = D
     rules, z, seen = [], [], set()
     for rule in dict.fromkeys(p for t in trees for p in paths(t)):
         hit = _holds(rule, x)
-        if (key := hit.tobytes()) not in seen and 0 < hit.sum() < len(y):
+        if (key := hash(hit.tobytes())) not in seen and 0 < hit.sum() < len(y):
             seen.add(key)
             rules.append(rule)
             z.append(hit)
     if not rules:
         return Rules(float(np.log((y.mean()) / (1 - y.mean()))), fitted=True)
-    bias, w = _lasso(np.stack(z, axis=1).astype(np.float32), y.astype(np.float32), penalty)
+    table = np.empty((len(y), len(z)), np.float32)
+    for i, hit in enumerate(z):
+        table[:, i] = hit
+    bias, w = _lasso(table, y.astype(np.float32), penalty)
     keep = np.flatnonzero(np.abs(w) > 1e-4)
     return Rules(float(bias), [rules[i] for i in keep], [float(w[i]) for i in keep], True)
 
@@ -122,9 +126,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .orderBy(F.xxhash64("__id"), "__id").limit(max_labelled))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     seen = with_stats(texts.join(F.broadcast(known), "__id"), "__text")
-    rows = seen.groupBy("__id").agg(F.min("__y").alias("y"), F.min("__stats").alias("s")).orderBy("__id").collect()
-    x = np.array([r["s"] for r in rows], dtype=float).reshape(len(rows), len(STATS))
-    return fit_rules(x, np.array([r["y"] for r in rows], dtype=float))
+    rows = seen.groupBy("__id").agg(F.min("__y").alias("y"), F.min("__stats").alias("s")).orderBy("__id").toArrow()
+    x = rows["s"].combine_chunks().flatten().to_numpy().reshape(-1, len(STATS))
+    return fit_rules(x, rows["y"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, rules: Rules, text_col: str = "text") -> DataFrame:

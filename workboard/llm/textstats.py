@@ -23,7 +23,9 @@ _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopq
             "bang": b"!", "pipe": b"|", "symbol": b"#$%&*@^~_=+<>{}[]\\", "stop": b".,;:?", "space": b" \t\n\r\x0b\x0c"}
 _TABLES = {k: np.isin(np.arange(256), np.frombuffer(v, np.uint8)) for k, v in _CLASSES.items()}
 _TABLES["non_ascii"] = np.arange(256) >= 128
-_PUNCTUATION = bytes.maketrans(b".,;:!?()\"'|#$%&*", b" " * 16)
+#: Characters that words of a lexicon end at, besides white space.
+PUNCTUATION = ".,;:!?()\"'|#$%&*"
+_TO_SPACES = bytes.maketrans(PUNCTUATION.encode(), b" " * len(PUNCTUATION))
 
 
 def _stats(texts: list, lexicons: list) -> np.ndarray:
@@ -59,7 +61,7 @@ def _stats(texts: list, lexicons: list) -> np.ndarray:
             capitals[k] / n, sum(x > 20 for x in map(len, words)) / n, np.log1p(size[i] / max(1, len(lines))),
             count["non_ascii"][k] / ink, 1 - len(set(lines)) / max(1, len(lines)))
         if lexicons:
-            plain = t.lower().translate(_PUNCTUATION).split()
+            plain = t.lower().translate(_TO_SPACES).split()
             out[i, len(STATS):] = [sum(map(x.__contains__, plain)) for x in lexicons]
     return out
 
