@@ -88,9 +88,8 @@ def best_templates(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = templates(spark)
     of_template = _terms(known, ["template"], "text")
     df = (of_notice.select("word").unionAll(of_template.select("word")).groupBy("word").agg(F.count("*").alias("df")))
-    total = texts.select("nid").unionAll(known.select("template")).agg(F.count("*").alias("total"))
-    idf = cut(df.join(F.broadcast(total)).select(  # one row
-        "word", (F.log((F.col("total") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "idf")
+    total = texts.select("nid").unionAll(known.select("template")).agg(F.count("*")).scalar()
+    idf = cut(df.select("word", (F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "idf")
 
     def weighted(t: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         w = t.join(idf, "word").select(key, "word", (F.col("tf") * F.col("idf")).alias("w"))
