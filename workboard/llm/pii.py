@@ -3,12 +3,19 @@
 Base spans (always kept) are the leftmost non-overlapping matches of four patterns that pass their check: e-mail
 addresses, dotted IP addresses with parts up to 255, card numbers of 14 to 19 digits passing Luhn's check, and
 international phone numbers of 10 to 15 digits. High-recall generators propose further, overlapping spans: anything
-around an ``@`` or a spelt-out "at", and any long run of digits and separators. Boosted trees score each candidate by
-its format and its context (neighbouring characters, words before it). They are fitted on the whole corpus without a
-sample: candidates that overlap a base span are the positives, and all candidates are counted by feature vector in
-Spark, so that what reaches the driver is one row per vector, at most the size of the feature grid. The lowest score
-at which at least ``PRECISION`` of the candidates above are base spans is the calibrated threshold of each
-generator; candidates beyond it that touch no base span are added.
+around an ``@`` or a spelt-out "at", any long run of digits and separators, and of a run of several digit groups every
+sub-run of at most ``GROUPS`` whole groups with 10 to 19 digits (so proposals stay linear in the text).
+
+A candidate that alone would be a base span (a whole group or four groups of four passing Luhn's check, a number after
+``+``) is accepted. For the others, boosted trees for each likely kind score the context (neighbouring characters, words
+before it; for cards, where the base rule can match every form, the format too). They never see what defines a base
+rule: no ``+``, no ``@``, no checksum, and not whether base matched the form. They are fitted on the whole corpus without
+a sample, base spans against decoys: numbers that can be no phone number, cards failing their check, addresses with
+another short word than "at" in the brackets. All of these are counted by feature vector in Spark, so what reaches the
+driver is at most the size of the feature grid. The threshold of a kind is the lowest score at which ``PRECISION`` of
+base spans and decoys above are base spans and, for phone numbers and addresses, the decoys let expect at most
+1 - ``PRECISION`` random ones among the other candidates above. Overlapping accepted candidates are resolved by score;
+of one that touches a base span, the uncovered rest is added.
 
 The patterns are written so that Java's matcher needs no recursion and no second look at a run of characters
 (possessive loops, and a look-behind or the end of the last match in front), with the same matches as the plain ones;
@@ -45,16 +52,19 @@ GENERATORS = {
     # something at something dot something, with the signs spelt out or spaced
     "email": "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++(?: ?@ ?| ?[\\[(](?:at|AT)[\\])] ?)"
              "[A-Za-z0-9-]++(?:(?: ?[\\[(](?:dot|DOT)[\\])] ?|\\.)[A-Za-z0-9-]++)++",
-    "number": "(?<![0-9])(?<![0-9][\\x20().-])[+(]?[0-9](?:[\\x20().-]{0,2}[0-9]){7,}+",
+    "number": "(?:\\+|(?<![0-9])(?<![0-9][\\x20().-])\\(?)[0-9](?:[\\x20().-]{0,2}[0-9]){7,}+",
+    # never an address: another short word in the brackets
+    "decoy": "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++ ?[\\[(](?!at[\\])]|AT[\\])])[A-Za-z]{1,3}[\\])] ?"
+             "[A-Za-z0-9-]++(?:(?: ?[\\[(](?:dot|DOT)[\\])] ?|\\.)[A-Za-z0-9-]++)++",
 }
+#: Digits of a sub-run of a number run (fewer have no likely kind), and the most groups it may have.
+PART, GROUPS = range(10, 20), 8
 
 #: Words within this many characters before a candidate are its context.
 CONTEXT = 24
 _CONTEXTS = ["(?i)mail|contact|write", "(?i)tel|phone|call|fax|mobile", "(?i)card|visa|credit|pay",
              "(?i)\\bip\\b|host|server", "(?i)token|key|password|secret|hash|version|order|isbn"]
 PRECISION = 0.98
-#: A generator needs so many candidates above its threshold, else it adds nothing.
-LEAST = 20
 ROUNDS = 20
 
 _SPAN = "array<struct<kind:string,start:int,end:int,s:string>>"
@@ -131,8 +141,9 @@ def _in_order(spans: Column) -> Column:
         x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"))).cast(_SPAN)
 
 
-#: Feature -> number of its values; their product bounds what is collected.
-GRID = {"digits": 21, "dots": 5, "gaps": 6, "plus": 2, "at": 2, "left": 4, "right": 4, "context": 6}
+#: Feature -> number of its values; their product bounds what is collected. The first three are format, for cards only.
+GRID = {"digits": 21, "dots": 5, "gaps": 6, "left": 4, "right": 4, "context": 6}
+FORMAT = 3
 
 
 def _char_class(c: Column) -> Column:
@@ -145,18 +156,21 @@ def _count(s: Column, unwanted: str) -> Column:
     return F.length(F.regexp_replace(s, unwanted, ""))
 
 
-def _features(text: Column, c: Column) -> dict[str, Column]:
-    s = c["s"]
-    before = F.substring(text, F.greatest(c["start"] - CONTEXT + 1, F.lit(1)), F.least(c["start"], F.lit(CONTEXT)))
+def _before(text: Column, c: Column) -> Column:
+    return F.when(c["start"] > 0, F.substring(text, F.greatest(c["start"] - CONTEXT + 1, F.lit(1)),
+                                              F.least(c["start"], F.lit(CONTEXT)))).otherwise("")
+
+
+def _features(c: Column) -> dict[str, Column]:
+    s, before = c["s"], c["before"]
     context = F.lit(0)
     for i, words in reversed(list(enumerate(_CONTEXTS))):
         context = F.when(before.rlike(words), i + 1).otherwise(context)
-    left = F.when(c["start"] > 0, F.substring(text, c["start"], F.lit(1))).otherwise("")
+    left = F.right(before, F.lit(1))
     return {
         "digits": F.least(_count(s, "[^0-9]"), F.lit(20)), "dots": F.least(_count(s, "[^.]"), F.lit(4)),
-        "gaps": F.least(_count(s, "[^\\x20()-]"), F.lit(5)), "plus": F.startswith(s, F.lit("+")).cast("int"),
-        "at": F.contains(s, F.lit("@")).cast("int"), "left": _char_class(left),
-        "right": _char_class(F.substring(text, c["end"] + 1, F.lit(1))), "context": context,
+        "gaps": F.least(_count(s, "[^\\x20()-]"), F.lit(5)), "left": _char_class(left),
+        "right": _char_class(c["after"]), "context": context,
     }
 
 
@@ -164,69 +178,194 @@ def _overlaps(spans: Column, c: Column) -> Column:
     return F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+_FOUND = ["kind", "start", "end", "s", "before", "after", "edge"]
+
+
+def _parts(text: Column, run: Column) -> Column:
+    """Proper sub-runs of whole digit groups of a number run, with what stands beside them.
+
+    ``edge`` tells whether the groups beside it are apart from it: it lies at an end of the run, or neither neighbour
+    is a group of four.
+    """
+    size = F.char_length(run["s"])
+
+    def of(x: Column) -> Column:
+        chars, lead = x["chars"], x["lead"]  # the run from lead + 1 to lead + size, looked up without a scan of the text
+        char = lambda p: F.element_at(chars, F.greatest(p, F.lit(1)))
+        digit = lambda p: char(p).between("0", "9")
+        piece = lambda a, n: F.array_join(F.slice(chars, a, n), "")
+        firsts = F.filter(F.sequence(lead + 1, lead + size), lambda p: digit(p) & ((p == lead + 1) | ~digit(p - 1)))
+
+        def at(p: Column) -> Column:
+            sign = F.when((p > lead + 1) & char(p - 1).isin("+", "("), 1).otherwise(0)
+            window = piece(p, F.least(F.lit(3 * max(PART) + 8), lead + size + 1 - p))
+
+            def ends(w: Column) -> Column:
+                found = F.array(*[F.regexp_extract(w, f"^[0-9](?:[\\x20().-]{{0,2}}[0-9]){{{k - 1}}}(?![0-9])", 0) for k in PART])
+                few = F.filter(found, lambda m: (m != "") & ~m.rlike(f"^(?:[0-9]++[^0-9]++){{{GROUPS}}}"))
+
+                def span(m: Column) -> Column:
+                    first, past = p - sign, p + F.length(m)  # places in chars
+                    start = run["start"] + first - lead - 1
+                    before = piece(F.greatest(first - CONTEXT, F.lit(1)), F.least(first - 1, F.lit(CONTEXT)))
+                    return F.struct(
+                        F.lit("number").alias("kind"), start.alias("start"), (start + past - first).alias("end"),
+                        F.when(sign == 1, F.concat(char(p - 1), m)).otherwise(m).alias("s"), before.alias("before"),
+                        piece(past, F.lit(1)).alias("after"),
+                        ((first == lead + 1) | (past == lead + size + 1)
+                         | ~(before.rlike("(^|[^0-9])[0-9]{4}[^0-9]+$")
+                             | F.substring(w, F.length(m) + 1, F.lit(8)).rlike("^[^0-9]+[0-9]{4}([^0-9]|$)"))).alias("edge"))
+
+                return F.transform(few, span)
+
+            return _let(window, ends)
+
+        return F.filter(F.flatten(F.transform(firsts, at)), lambda c: (c["start"] > run["start"]) | (c["end"] < run["end"]))
+
+    lead = _before(text, run)
+    around = F.concat(lead, run["s"], F.substring(text, run["end"] + 1, F.lit(1)))
+    return F.when(run["s"].rlike("[0-9][^0-9]+[0-9]"), _let(
+        F.struct(F.split(around, "").alias("chars"), F.char_length(lead).alias("lead")), of)).otherwise(
+        F.array().cast("array<struct<kind:string,start:int,end:int,s:string,before:string,after:string,edge:boolean>>"))
+
+
+def _likely(c: Column, f: dict[str, Column]) -> Column:
+    """What a candidate can be, by form; null: nothing."""
+    plus = F.startswith(c["s"], F.lit("+"))
+    return (F.when(c["kind"].isin("email", "decoy"), "email")
+            .when((f["dots"] == 3) & (f["gaps"] == 0) & ~plus & (f["digits"] <= 12), "ip")
+            .when(~plus & f["digits"].between(14, 19), "card")
+            .when(f["digits"].between(10, 13) | (plus & f["digits"].between(14, 15)), "phone"))
+
+
 def candidates(text: Column, base: Column) -> Column:
-    """Candidate spans with their features and whether a base span overlaps them (the label)."""
-    found = F.concat(
-        F.when(F.contains(text, F.lit("@")) | F.rlike(text, F.lit("(?:at|AT)[\\])]")),
-               _matches(text, "email", GENERATORS["email"])).otherwise(_none()),
-        _matches(text, "number", GENERATORS["number"]))
-    return F.transform(found, lambda c: F.struct(
-        c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["s"].alias("s"),
-        _overlaps(base, c).alias("known"), *[v.alias(k) for k, v in _features(text, c).items()]))
+    """Candidate spans: what they may be, features, and what the base rules say of them.
+
+    ``known``: touches a base span; ``fits``: would be a base span if it stood alone; ``role``: ``hit`` (a base span of
+    its kind), ``decoy`` (can be none), ``other``, or null for a sub-run, which is not learnt from.
+    """
+    wide = lambda found: F.transform(found, lambda c: F.struct(
+        *[c[x].alias(x) for x in _FOUND[:4]], _before(text, c).alias("before"),
+        F.substring(text, c["end"] + 1, F.lit(1)).alias("after"), F.lit(True).alias("edge"), F.lit(True).alias("whole")))
+    runs = _matches(text, "number", GENERATORS["number"])
+    spelt = F.when(F.contains(text, F.lit("@")) | F.rlike(text, F.lit("(?:at|AT)[\\])]")),
+                   _matches(text, "email", GENERATORS["email"])).otherwise(_none())
+    decoys = F.when(F.rlike(text, F.lit("[\\[(][A-Za-z]{1,3}[\\])]")),
+                    _matches(text, "decoy", GENERATORS["decoy"])).otherwise(_none())
+
+    def numbers(found: Column) -> Column:
+        parts = F.transform(F.flatten(F.transform(found, lambda run: _parts(text, run))), lambda c: F.struct(
+            *[c[x].alias(x) for x in _FOUND], F.lit(False).alias("whole")))
+        return F.concat(wide(found), parts)
+
+    def judged(c: Column) -> Column:
+        f = _features(c)
+
+        def finish(x: Column) -> Column:
+            luhn = F.when(x["likely"] == "card", _luhn(c["s"])).otherwise(False)
+            form = c["s"].rlike("^([0-9]{14,19}|[0-9]{4}([\\x20-][0-9]{4}){3})$")
+            fits = F.coalesce(((x["likely"] == "card") & luhn & form & (c["edge"] | ~c["s"].rlike("[^0-9]")))
+                              | ((x["likely"] == "phone") & F.startswith(c["s"], F.lit("+"))), F.lit(False))
+            hit = F.exists(base, lambda b: (b["kind"] == x["likely"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+            role = (F.when(~c["whole"], F.lit(None).cast("string")).when(c["kind"] == "decoy", "decoy").when(hit, "hit")
+                    .when(x["known"], F.lit(None).cast("string"))
+                    .when(x["likely"].isNull() | (x["likely"] == "ip") | ((x["likely"] == "card") & ~luhn), "decoy")
+                    .otherwise("other"))
+            return F.struct(x["likely"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["s"].alias("s"),
+                            x["known"].alias("known"), (fits & (c["kind"] == "number")).alias("fits"), role.alias("role"),
+                            (c["kind"] != "decoy").alias("real"), *[x[k].alias(k) for k in GRID])
+
+        return _let(F.struct(_likely(c, f).alias("likely"), _overlaps(base, c).alias("known"),
+                             *[v.alias(k) for k, v in f.items()]), finish)
+
+    return F.transform(F.concat(wide(spelt), wide(decoys), _let(runs, numbers)), judged)
 
 
 @dataclass
 class Judge:
-    """Boosted trees over the feature grid, and a threshold of the margin for each generator (None: adds nothing)."""
-    base: float = 0.0
-    trees: list = field(default_factory=list)
-    thresholds: dict = field(default_factory=dict)
+    """For each kind: boosted trees over the feature grid, and a threshold of their margin (no entry: adds nothing).
 
-    def accepts(self, c: Column) -> Column:
-        if not self.trees:
-            return F.lit(False)
-        x = [c[k].cast("double") for k in GRID]
-        margin = F.lit(self.base)
-        for t in self.trees:
-            margin = margin + column(t, x)
-        out = F.lit(False)
-        for g, least in self.thresholds.items():
-            if least is not None:
-                out = F.when(c["kind"] == g, margin >= F.lit(least)).otherwise(out)
+    ``forms`` holds the share of each (digits, gaps) among the base spans of a kind; it ranks overlapping candidates.
+    """
+    models: dict = field(default_factory=dict)
+    thresholds: dict = field(default_factory=dict)
+    forms: dict = field(default_factory=dict)
+
+    def margin(self, c: Column) -> Column:
+        out = F.lit(0.0)
+        for kind, (base, trees) in self.models.items():
+            x = [c[k].cast("double") for k in GRID]
+            own = F.lit(base)
+            for t in trees:
+                own = own + column(t, x)
+            out = F.when(c["kind"] == kind, own).otherwise(out)
         return out
 
+    def accepts(self, c: Column) -> Column:
+        out, margin = F.lit(False), self.margin(c)
+        for kind, least in self.thresholds.items():
+            out = F.when(c["kind"] == kind, margin >= F.lit(least)).otherwise(out)
+        return c["real"] & c["kind"].isNotNull() & (c["fits"] | out)
 
-def _likely_kind(c: Column) -> Column:
-    """What an accepted candidate is called."""
-    return (F.when(c["kind"] == "email", "email").when((c["dots"] == 3) & (c["gaps"] == 0) & (c["plus"] == 0), "ip")
-            .when(c["digits"] >= 14, "card").otherwise("phone"))
+    def form(self, c: Column) -> Column:
+        if not self.forms:
+            return F.lit(0.0)
+        known = F.create_map(*[F.lit(x) for k in sorted(self.forms) for x in (k, self.forms[k])])
+        key = F.concat_ws(":", c["kind"], c["digits"].cast("string"), c["gaps"].cast("string"))
+        return F.coalesce(F.try_element_at(known, key), F.lit(0.0))
 
 
 def fit(found: DataFrame) -> Judge:
     """Fit on ``found`` (candidates: array of candidate structs): counted by feature vector in Spark, all of them."""
-    rows = (found.select(F.explode("candidates").alias("c")).select("c.kind", "c.known", *[f"c.{k}" for k in GRID])
-            .groupBy("kind", "known", *GRID).count().orderBy("kind", "known", *GRID).collect())
-    if not rows:
-        return Judge()
-    x = np.array([[r[k] for k in GRID] for r in rows], dtype=float)
-    y, n = np.array([r["known"] for r in rows], dtype=float), np.array([r["count"] for r in rows], dtype=float)
-    base, trees = boost(x, y, n, rounds=ROUNDS, depth=3)
-    margin = base + sum(predict(t, x) for t in trees)
-    judge = Judge(base, trees)
-    kinds = np.array([r["kind"] for r in rows])
-    for g in GENERATORS:
-        own = np.flatnonzero(kinds == g)
-        levels, group = np.unique(-margin[own], return_inverse=True)  # falling margins, equal ones together
-        hits = np.cumsum(np.bincount(group, n[own] * y[own], len(levels)))
-        total = np.cumsum(np.bincount(group, n[own], len(levels)))
-        good = np.flatnonzero((hits >= PRECISION * total) & (total >= LEAST))
-        # halfway to the next level, so that rounding of sums cannot move a candidate across
+    rows = (found.select(F.explode("candidates").alias("c")).where("c.role is not null")
+            .select("c.kind", "c.role", *[f"c.{k}" for k in GRID])
+            .groupBy("kind", "role", *GRID).count().orderBy("kind", "role", *GRID).collect())
+    judge = Judge()
+    for kind in KINDS:
+        hits = [r for r in rows if r["kind"] == kind and r["role"] == "hit"]
+        if not hits:
+            continue
+        for r in hits:
+            key = f"{kind}:{r['digits']}:{r['gaps']}"
+            judge.forms[key] = judge.forms.get(key, 0.0) + r["count"] / sum(h["count"] for h in hits)
+        others = [r for r in rows if r["kind"] == kind and r["role"] == "other"]
+        # a number of no kind, or failing the check of its kind, is a random number also for phones
+        like = {"email": ("email",), "phone": (None, "card", "ip"), "card": ("card",), "ip": ("ip",)}[kind]
+        decoys = [r for r in rows if r["role"] == "decoy" and r["kind"] in like]
+        if kind == "phone" and not decoys:
+            decoys = others
+        every = hits + others + decoys
+        x = np.array([[r[k] for k in GRID] for r in every], dtype=float)
+        if kind != "card":
+            x[:, :FORMAT] = 0
+        cells, cell = np.unique(x, axis=0, return_inverse=True)
+        count = np.array([r["count"] for r in every], dtype=float)
+        role = np.repeat([0, 1, 2], [len(hits), len(others), len(decoys)])
+        n_hit, n_other, n_decoy = (np.bincount(cell.ravel(), count * (role == k), len(cells)) for k in range(3))
+        # one decoy is spread over all cells, so that cells without any base span score low
+        weight = np.concatenate([n_hit, n_decoy + 1 / len(cells)])
+        base, trees = boost(np.concatenate([cells, cells]), np.repeat([1.0, 0.0], len(cells)), weight, rounds=ROUNDS, depth=3)
+        margin = base + sum(predict(t, cells) for t in trees)
+        levels, group = np.unique(-margin, return_inverse=True)  # falling margins, equal ones together
+        own = np.bincount(group, n_hit, len(levels))
+        hit, other, decoy = (np.cumsum(np.bincount(group, n, len(levels))) for n in (n_hit, n_other, n_decoy))
+        good = (own > 0) & (hit >= PRECISION * (hit + decoy))
+        if kind in ("email", "phone"):
+            # as many random ones of this form are expected as the decoys' share above tells; each bracketed decoy is one
+            scale = 1.0 if kind == "email" else other[-1] / max(decoy[-1], 1.0)
+            good &= decoy * scale <= (1 - PRECISION) * other
+        good = np.flatnonzero(good)
         if len(good):
+            # halfway to the next level, so that rounding of sums cannot move a candidate across
             k = good[-1]
             nxt = -levels[k + 1] if k + 1 < len(levels) else -levels[k] - 1.0
-            judge.thresholds[g] = float((-levels[k] + nxt) / 2)
-        else:
-            judge.thresholds[g] = None
+            judge.models[kind] = (float(base), trees)
+            judge.thresholds[kind] = float((-levels[k] + nxt) / 2)
     return judge
 
 
@@ -236,12 +375,44 @@ def _located(docs: DataFrame, text: Column) -> DataFrame:
     return out.withColumn("__candidates", candidates(F.col("__text"), F.col("__base")))
 
 
+def _rest(base: Column, c: Column) -> Column:
+    """The parts of ``c`` that no base span covers, without signs at their ends, as spans."""
+    def cover(acc, b):
+        free = F.struct(acc["pos"].alias("start"), F.least(b["start"], c["end"]).alias("end"))
+        inside = (b["start"] < c["end"]) & (c["start"] < b["end"])
+        return F.when(inside, F.struct(
+            F.greatest(acc["pos"], F.least(b["end"], c["end"])).alias("pos"),
+            F.when(free["end"] > free["start"], F.concat(acc["out"], F.array(free))).otherwise(acc["out"]).alias("out"))).otherwise(acc)
+
+    empty = F.struct(c["start"].alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    free = F.aggregate(base, empty, cover, lambda acc: F.when(acc["pos"] < c["end"], F.concat(
+        acc["out"], F.array(F.struct(acc["pos"].alias("start"), c["end"].alias("end"))))).otherwise(acc["out"]))
+
+    def trimmed(p: Column) -> Column:
+        s = F.substring(c["s"], p["start"] - c["start"] + 1, p["end"] - p["start"])
+        lead = F.char_length(s) - F.char_length(F.regexp_replace(s, "^[^A-Za-z0-9+(\\[]++", ""))
+        core = F.regexp_extract(s, "^[^A-Za-z0-9+(\\[]*+(.*[A-Za-z0-9)\\]])", 1)
+        start = p["start"] + lead
+        return F.struct(c["kind"].alias("kind"), start.alias("start"), (start + F.char_length(core)).alias("end"), core.alias("s"))
+
+    whole = F.array(F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["s"].alias("s")))
+    return F.when(c["known"], F.filter(F.transform(free, trimmed), lambda x: x["s"].rlike("[A-Za-z0-9]"))).otherwise(whole).cast(_SPAN)
+
+
 def _added(judge: Judge, base: Column, found: Column) -> Column:
-    """Accepted candidates that touch no base span and no accepted candidate before them."""
-    taken = F.filter(found, lambda c: ~c["known"] & judge.accepts(c))
-    named = F.transform(taken, lambda c: F.struct(_likely_kind(c).alias("kind"), c["start"].alias("start"),
-                                                  c["end"].alias("end"), c["s"].alias("s")))
-    return F.when(F.size(taken) > 0, _in_order(F.concat(base, named.cast(_SPAN)))).otherwise(base)
+    """``base`` and what accepted candidates add to it: of overlapping ones the best, without what ``base`` covers."""
+    ranked = F.array_sort(F.transform(F.filter(found, judge.accepts), lambda c: F.struct(
+        (~c["fits"]).alias("a"), c["known"].alias("b"), (-judge.form(c)).alias("c"), (-judge.margin(c)).alias("d"),
+        (c["start"] - c["end"]).alias("e"), c["start"].alias("f"), c.alias("of"))))
+
+    def take(acc, x):
+        return F.when(_overlaps(acc["taken"], x["of"]), acc).otherwise(F.struct(
+            F.concat(acc["taken"], F.array(F.struct(x["of"]["start"].alias("start"), x["of"]["end"].alias("end")))).alias("taken"),
+            F.concat(acc["out"], _rest(base, x["of"])).alias("out")))
+
+    empty = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("taken"), _none().alias("out"))
+    more = F.aggregate(ranked, empty, take, lambda acc: acc["out"])
+    return F.when(F.exists(found, judge.accepts), _in_order(F.concat(base, more))).otherwise(base)
 
 
 def _digest_text(spans: Column) -> Column:
