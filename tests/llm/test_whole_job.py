@@ -19,3 +19,31 @@ def test_pii_beside_other_digits(spark):
     assert got[2] == [("card", "4111 1111 1111 1111")]
     assert got[3][0][0] == "phone" and got[3][0][1].startswith("+1 (826) 555-4081")
     assert got[4] == []
+
+
+def _number(rng, n):
+    return str(rng.randrange(1, 10)) + "".join(str(rng.randrange(10)) for _ in range(n - 1))
+
+
+def test_pii_of_forms_that_base_cannot_match(spark):
+    rng, texts = random.Random(4), []
+    texts += [f"write to u{i}.x@host.example.org now" for i in range(380)]
+    texts += [f"write to u{i}.x [at] host [dot] org now" for i in range(20)]
+    texts += [f"call +1 ({_number(rng, 3)}) 555-{_number(rng, 4)} now" for _ in range(200)]
+    texts += [f"call ({_number(rng, 3)}) 555-{_number(rng, 4)} now" for _ in range(30)]
+    texts += [f"order {_number(rng, rng.randrange(8, 13))} came" for _ in range(300)]
+    got = _spans(spark, texts)
+    assert all(got[i] == [("email", f"u{i - 380}.x [at] host [dot] org")] for i in range(380, 400))
+    assert all(len(got[i]) == 1 and got[i][0] == ("phone", texts[i][5:-4]) for i in range(400, 630))
+    assert all(got[i] == [] for i in range(630, 930))
+
+
+def test_pii_adds_no_random_numbers(spark):
+    """Where random numbers stand like the known spans, nothing is added."""
+    rng, texts = random.Random(5), []
+    texts += [f"and +1 ({_number(rng, 3)}) 555-{_number(rng, 4)} went" for _ in range(200)]
+    texts += [f"and {_number(rng, rng.randrange(8, 13))} went" for _ in range(200)]
+    texts += ["and 4111111111111111 went"] * 60 + ["and 4111111111111112 went"] * 60
+    texts += ["look u@host.org here"] * 50 + ["look (in) the.end here"] * 40 + ["look (at) the.end here"] * 40
+    got = _spans(spark, texts)
+    assert all(got[i] == [] for i, t in enumerate(texts) if "+" not in t and "4111111111111111" not in t and "@" not in t)
