@@ -2,7 +2,7 @@
 
 import random
 
-from workboard.llm import pii
+from workboard.llm import pii, queries
 
 
 def _spans(spark, texts):
@@ -47,3 +47,31 @@ def test_pii_adds_no_random_numbers(spark):
     texts += ["look u@host.org here"] * 50 + ["look (in) the.end here"] * 40 + ["look (at) the.end here"] * 40
     got = _spans(spark, texts)
     assert all(got[i] == [] for i, t in enumerate(texts) if "+" not in t and "4111111111111111" not in t and "@" not in t)
+
+
+def test_licences_are_inherited_in_the_registered_query(spark, tmp_dir):
+    rng, rows = random.Random(7), []
+    for i in range(3000):
+        mark = rng.choice(["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."])
+        rows.append((i, "Plain prose of a file." + (f"\n{mark}" if rng.random() < 0.03 else ""), f"l{i % 2}", f"s{i % 3}"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_dir}/documents.parquet")
+    got = queries.op9_license_scan(spark, tmp_dir).collect()
+    assert len(got) == len(rows)
+    speaks = {}
+    for r in got:
+        folder, _, name = r.path.rpartition("/")
+        if r.license and name.startswith("LICENSE"):
+            speaks[folder] = min(speaks.get(folder, (1, "")), (-r.score, r.license))
+    twice, depths = 0, set()
+    for r in got:
+        if r.license:
+            assert (r.effective, r.origin) == (r.license, r.path)
+            continue
+        parts = r.path.split("/")[:-1]
+        above = ["/".join(parts[:n]) for n in range(len(parts), 0, -1)]
+        above = [a for a in above if a in speaks]
+        assert (r.effective, r.origin) == ((speaks[above[0]][1], above[0]) if above else (None, None))
+        twice += len(above) > 1
+        depths |= {a.count("/") for a in above[:1]}
+    assert depths == {1, 2, 3} or depths == {2, 3}
+    assert twice > 0 and sum(r.license is None and r.effective is not None for r in got) > len(got) / 2

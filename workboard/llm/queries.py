@@ -78,12 +78,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document, own or inherited (operator 9).
 
-    Documents are the files of a tree by source, language and 64 neighbouring ids; the first id of each such
-    directory is its licence file.
+    Documents are the files of a tree by source, language and block of 1024 neighbouring ids. Three of four that mention
+    a licence, by id, are a licence file: of their source, of source and language, or of their block.
     """
-    leaf = F.when(F.col("doc_id") % 64 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("-")), F.lit("/"), F.coalesce("lang", F.lit("-")), F.lit("/"),
-                    F.floor(F.col("doc_id") / 64).cast("string"), F.lit("/"), leaf)
+    source, lang = F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-"))
+    name, block = F.col("doc_id").cast("string"), F.floor(F.col("doc_id") / 1024).cast("string")
+    # every fourth stays a plain file; documents without a licence word too
+    depth = F.when(F.col("text").rlike(license_scan.KEYWORD), F.pmod(F.col("doc_id"), F.lit(4)))
+    path = (F.when(depth == 0, F.concat(F.lit("/"), source, F.lit("/LICENSE-"), name))
+            .when(depth == 1, F.concat(F.lit("/"), source, F.lit("/"), lang, F.lit("/LICENSE-"), name))
+            .otherwise(F.concat(F.lit("/"), source, F.lit("/"), lang, F.lit("/"), block, F.lit("/"), F.when(
+                depth == 2, F.concat(F.lit("LICENSE-"), name)).otherwise(F.concat(name, F.lit(".txt"))))))
     return license_scan.scan(table(spark, sf_dir, "documents"), path, F.col("text"))
 
 
