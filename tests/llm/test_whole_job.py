@@ -2,7 +2,9 @@
 
 import random
 
-from workboard.llm import pii, queries
+from pyspark.sql import functions as F
+
+from workboard.llm import license_scan, pii, queries
 
 
 def _spans(spark, texts):
@@ -75,3 +77,19 @@ def test_licences_are_inherited_in_the_registered_query(spark, tmp_dir):
         depths |= {a.count("/") for a in above[:1]}
     assert depths == {1, 2, 3} or depths == {2, 3}
     assert twice > 0 and sum(r.license is None and r.effective is not None for r in got) > len(got) / 2
+
+
+def test_licence_texts_and_broken_notices(spark):
+    isc = license_scan._ISC.replace("hereby granted, ", "hereby granted,\n").replace(". ", ".\n\n")
+    three = (license_scan._BSD + license_scan._BSD_3 + license_scan._BSD_END).replace(". ", ".\n")
+    two = (license_scan._BSD + license_scan._BSD_END).replace(". ", ".\n")
+    files = [(1, "/i/LICENSE", "Copyright (c) 2019, A. Person\n\n" + isc), (2, "/i/x.c", "code"),
+             (3, "/m/COPYING", "Copyright (c) 2020 Some One\n\n" + license_scan._PERMISSION.replace(", ", ",\n")), (4, "/m/y/z.c", "code"),
+             (5, "/b/LICENSE.txt", "Copyright 2001 Us. All rights kept.\r\n\r\n" + three.replace("\n", "\r\n")), (6, "/c/LICENSE", "Copyright 2001 Us\n" + two),
+             (7, "/h/a.py", "# This work is licensed under the\n# GNU General Public\n# License, version 3\n\nimport os\n"),
+             (8, "/h/b.c", "/*\n * Licensed under the Apache\n * License, Version 2.0\n */\nint x;\n"), (9, "/h/c.c", "int copyright;\n"),
+             (10, "/n/LICENSE", "nothing of the kind"), (11, "/u/LICENSE", None)]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r.doc_id: r.effective for r in license_scan.scan(df, F.col("path"), F.col("text")).collect()}
+    assert got == {1: "ISC", 2: "ISC", 3: "MIT", 4: "MIT", 5: "BSD-3-Clause", 6: "BSD-2-Clause", 7: "GPL-3.0", 8: "Apache-2.0",
+                   9: None, 10: None, 11: None}
