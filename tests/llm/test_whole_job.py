@@ -1,10 +1,12 @@
 """Operators do the whole job: cases that were once left out, on small tables."""
 
+import pathlib
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
-from workboard.llm import license_scan, pii, queries
+from workboard.llm import license_scan, minhash_dedup, pii, queries
 
 
 def _spans(spark, texts):
@@ -93,3 +95,22 @@ def test_licence_texts_and_broken_notices(spark):
     got = {r.doc_id: r.effective for r in license_scan.scan(df, F.col("path"), F.col("text")).collect()}
     assert got == {1: "ISC", 2: "ISC", 3: "MIT", 4: "MIT", 5: "BSD-3-Clause", 6: "BSD-2-Clause", 7: "GPL-3.0", 8: "Apache-2.0",
                    9: None, 10: None, 11: None}
+
+
+def test_sketch_tasks_do_not_grow_with_a_hot_node(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "SMALL_NODE", 16)
+    monkeypatch.setattr(minhash_dedup, "TASK_ROWS", 16)
+    monkeypatch.setattr(minhash_dedup, "MAX_LEVELS", 0)
+    real = minhash_dedup._likely
+
+    def counted(t, percent):
+        with open(f"{tmp_dir}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(t.num_rows))
+        return real(t, percent)
+
+    monkeypatch.setattr(minhash_dedup, "_likely", counted)
+    common = " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(i, f"{common} end{i}") for i in range(120)], "doc_id long, text string")
+    assert {r.component_id for r in minhash_dedup.near_duplicates(df).collect()} == {0}
+    sizes = [int(p.read_text()) for p in pathlib.Path(tmp_dir).iterdir()]
+    assert sum(sizes) > 1000 and max(sizes) <= 8 * 16

@@ -33,7 +33,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workboard.llm.components import components
@@ -192,13 +192,18 @@ def _exact(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": np.concatenate(left or [none]), "b": np.concatenate(right or [none])})
 
 
+def _n_blocks(weight: Column, most: int) -> Column:
+    """Into how many blocks a group is dealt, which is also how often each of its rows is repeated."""
+    return F.when(weight > most, F.ceil(weight * 2 / most)).otherwise(1).cast("int")
+
+
 def _blocks(df: DataFrame, key: str, out: str, weight, most: int) -> DataFrame:
     """``df`` with ``out``: the task groups of each row of group ``key``, whose members weigh ``weight`` in all.
 
     Up to ``most`` a group is one task group. Beyond, its rows are dealt into blocks of about half of that by a hash,
     and a row goes to the pairs of its block with every block.
     """
-    n = F.when(weight > most, F.ceil(weight * 2 / most)).otherwise(1).cast("int")
+    n = _n_blocks(weight, most)
     mine = F.pmod(F.xxhash64("rep", F.lit(5)), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.when(n == 1, F.col(key)).otherwise(
         F.xxhash64(F.col(key), F.least(x, mine), F.greatest(x, mine))))
@@ -257,7 +262,9 @@ def _search(texts: DataFrame, reps: DataFrame, comp: DataFrame | None, first: in
     def exact(t: pa.Table) -> pa.Table:
         return _exact(t, percent)
 
-    n = -(-(nodes.agg(F.sum("weight")).first()[0] or 0) // TASK_ROWS) or 1
+    # rows as they are dealt, each repeated once for each block of its node
+    total = nodes.agg(F.sum(F.col("weight") * _n_blocks(F.col("weight"), SMALL_NODE))).first()[0] or 0
+    n = -(-total // TASK_ROWS) or 1
     groups = cut(dealt.groupBy(F.pmod(F.xxhash64("node"), F.lit(n)).alias("task"))
                  .applyInArrow(likely, "grp long, rep long, n_shingles long"), "likely")
     chosen = _distinct_groups(groups, "grp", "n_shingles")
