@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workboard.llm import (embedding_dedup, exact_topk, license_scan, minhash_dedup, mixing, packing, pii, quality,
-                           substring_dedup, url_filter)
+from workboard.llm import (conversation_repair, embedding_dedup, exact_topk, license_scan, minhash_dedup, mixing, packing,
+                           pii, prefix_trie, quality, rotated_codes, substring_dedup, url_filter)
+from workboard.llm.oracles import ORACLES as ORACLES
 from workboard.llm.store import table
 
 
@@ -97,10 +98,23 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op11_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id is divisible by 100 (operator 11)."""
+    return rotated_codes.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every conversation after damage (operator 12)."""
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")), F.col("gone"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and sums of the trie of all rebuilt conversations (operator 13)."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_embedding_near_dedup, op4_mixing,
                             op5_substring_dedup, op6_pii, op7_url_filter, op8_quality, op9_license_scan,
-                            op10_exact_topk)
+                            op10_exact_topk, op11_rotated_codes, op12_conversation_repair, op13_prefix_trie)
 }
-
-ORACLES: dict[str, str] = {}
