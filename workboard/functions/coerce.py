@@ -237,15 +237,16 @@ def strict_bit(v: Column, t: Column | None = None) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def join_list(v: Column, sep: str, max_len: int | None = None, t: Column | None = None) -> Column:
+def join_list(v: Column, sep: str, max_len: int | None = None, t: Column | None = None, collect: bool = False) -> Column:
     """H8 ``joinList``: an array drops falsy items and joins (may give ``''``); any other value → :func:`clean_text`.
 
-    Items are not trimmed. Falsy array items are null, ``''``, ``false`` and numeric 0.
+    Falsy array items are null, ``''``, ``false`` and numeric 0. Items are not trimmed, unless ``collect``: then they are first
+    collected as the portal's form does (H26, :func:`trim_list`), for bodies that did not pass through it.
     """
     t = jtype(v) if t is None else t
     arr = F.try_variant_get(v, "$", "array<variant>")
     items = F.transform(arr, lambda x: F.when(truthy(x), F.try_variant_get(x, "$", "string")))
-    joined = F.array_join(items, sep)  # array_join skips the nulls left by falsy items
+    joined = F.array_join(trim_list(items) if collect else items, sep)  # skips the nulls left by falsy items
     out = F.when(t == "ARRAY", joined).otherwise(clean_text(jstr(v, t)))
     return F.substring(out, 1, max_len) if max_len else out
 
@@ -264,5 +265,5 @@ def strict_bit_text(c) -> Column:
 
 
 def trim_list(arr: Column) -> Column:
-    """Form-side list collection — trim every entry and drop the empty ones."""
+    """Form-side list collection — trim every entry and drop the null and empty ones."""
     return F.filter(F.transform(arr, lambda x: js_trim(x)), lambda x: x != "")

@@ -12,12 +12,11 @@ small and a sort-merge join otherwise.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workboard.functions.coerce import as_of_lit, now_utc
-from workboard.sources.tables import max_id, with_ids
+from workboard.sources.tables import hold, max_id, with_ids
 
 KEEP_IF_NULL = "keep_if_null"
 OVERWRITE = "overwrite"
@@ -37,7 +36,7 @@ RELEASE_FIELDS = ["Titulo", "FechaPlanificada", "VentanaInicio", "VentanaFin", "
                   "ReceptorDocumentacion", "ReceptorInduccion", "ContrapartePlanificacion"]
 
 
-def _order(changes: DataFrame, seq: str) -> Column:
+def order_of(changes: DataFrame, seq: str) -> Column:
     """Batch order: ``seq``, then a hash of the whole change, so changes with equal ``seq`` have one winner."""
     return F.struct(F.col(seq), F.xxhash64(*[F.col(c) for c in changes.columns]))
 
@@ -60,7 +59,7 @@ def collapse(changes: DataFrame, keys: list[str], policy: dict, seq: str = "seq"
     part of it (see :func:`split_changes`).
     """
     usable, _ = split_changes(changes, keys, seq)
-    order = _order(usable, seq)
+    order = order_of(usable, seq)
     last = [c for c, p in policy.items() if p != KEEP_IF_NULL]
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
             for c, p in policy.items() if p == KEEP_IF_NULL]
@@ -114,7 +113,7 @@ def last_per_key(changes: DataFrame, keys: list[str], seq: str = "seq") -> DataF
     """
     usable, _ = split_changes(changes, keys, seq)
     rest = [c for c in changes.columns if c not in keys]
-    best = usable.groupBy(*keys).agg(F.max_by(F.struct(*rest), _order(usable, seq)).alias("_last"))
+    best = usable.groupBy(*keys).agg(F.max_by(F.struct(*rest), order_of(usable, seq)).alias("_last"))
     return best.select(*keys, "_last.*")
 
 
@@ -127,32 +126,25 @@ def upsert(target: DataFrame, changes: DataFrame, as_of=None, keys=("Tipo", "Sol
     (:func:`split_changes` gives them with their reason).
     """
     keys = list(keys)
-    last = last_per_key(changes, keys, seq)
-    # the collapsed batch feeds both the merge join and the insert branch: computed once
-    c = last.select(*keys, *fields, F.lit(True).alias("_hit")).persist(StorageLevel.MEMORY_AND_DISK)
+    c = last_per_key(changes, keys, seq).select(*keys, *fields, F.lit(True).alias("_hit"))
     stamp = as_of_lit(as_of) if as_of is not None else now_utc()
-
-    t = target.alias("t")
-    j = t.join(c.alias("c"), keys, "left")
+    t = target.withColumn("_old", F.lit(True)).alias("t")
     hit = F.col("c._hit").isNotNull()
-    cols = []
-    for name in target.columns:
+
+    def value(name: str) -> Column:
         if name in keys:
-            cols.append(F.col(name))
-        elif name in fields:
-            cols.append(F.when(hit, F.col(f"c.{name}")).otherwise(F.col(f"t.{name}")).alias(name))
-        elif name == stamp_col:
-            cols.append(F.when(hit, stamp).otherwise(F.col(f"t.{name}")).alias(name))
-        else:
-            cols.append(F.col(f"t.{name}").alias(name))
-    updated = j.select(*cols)
+            return F.coalesce(f"t.{name}", f"c.{name}")
+        if name in fields:
+            return F.when(hit, F.col(f"c.{name}")).otherwise(F.col(f"t.{name}"))
+        return F.when(hit, stamp).otherwise(F.col(f"t.{name}")) if name == stamp_col else F.col(f"t.{name}")
 
-    new = c.join(target.select(*keys), keys, "left_anti")
-    fill = {n: F.lit(None).cast(target.schema[n].dataType) for n in target.columns
-            if n not in keys and n not in fields and n != "Id"}
-    new = new.withColumns({**fill, stamp_col: stamp}) if stamp_col in target.columns else new.withColumns(fill)
-    inserted = with_ids(new.drop("_hit"), [F.col(k) for k in keys], base=max_id(target)).select(*target.columns)
-    return updated.unionByName(inserted)
+    # one full outer join gives both sides; it is held, because the inserted rows are numbered apart
+    on = [F.col(f"t.{k}") == F.col(f"c.{k}") for k in keys]
+    merged = hold(t.join(c.alias("c"), on, "full_outer").select(
+        *[value(n).alias(n) for n in target.columns], F.col("t._old").isNull().alias("_new")))
+    updated = merged.where(~F.col("_new")).drop("_new")
+    inserted = with_ids(merged.where("_new").drop("_new", "Id"), [F.col(k) for k in keys], base=max_id(target))
+    return updated.unionByName(inserted.select(*target.columns))
 
 
 def delete_keys(target: DataFrame, keys: DataFrame, key: str = "Id") -> DataFrame:
@@ -183,6 +175,7 @@ def delete_tasks_checked(tasks: DataFrame, task_ids: DataFrame):
     # one row per requested id, used twice below: computed once
     out = (req.join(exists, "Id", "left").join(parents.withColumn("_p", F.lit(True)), "Id", "left")
            .select("Id", F.when(F.col("_e").isNull(), "missing").when(F.col("_p"), "blocked")
-                   .otherwise("deleted").alias("outcome")).persist(StorageLevel.MEMORY_AND_DISK))
+                   .otherwise("deleted").alias("outcome")))
+    out = hold(out)
     deletable = out.where(F.col("outcome") == "deleted").select("Id")
     return tasks.join(deletable, "Id", "left_anti"), out

@@ -8,7 +8,6 @@ types that the flag rules depend on. Everything is row-local: intake is a map-on
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from workboard.functions.coerce import (as_of_lit, clamp_progress, clean_text, d
                                         to_int_trunc, to_timestamp_utc, truthy, yes_no)
 from workboard.operators.attachments import passthrough, with_fields
 from workboard.schemas import KINDS
-from workboard.sources.tables import conform, max_id, with_ids
+from workboard.sources.tables import conform, hold, max_id, with_ids
 
 # ---------------------------------------------------------------------------------------------- JSON envelope
 
@@ -86,13 +85,16 @@ _ERP_FIELDS = {k: ("m", k) for k in ("solicitante", "area", "descripcion", "modu
                                       "transformar_fabric", "fabric_detalle", "prioridad", "estado", "proyecto_id")}
 
 
-def erp_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
-    """ERP request bodies → ``requests_erp`` columns (without Id/registration time) + ``Motivo``."""
+def erp_requests(raw: DataFrame, text_col: str = "body", collect: bool = False) -> DataFrame:
+    """ERP request bodies → ``requests_erp`` columns (without Id/registration time) + ``Motivo``.
+
+    ``collect`` trims the entries of the list members first, as the portal's form does before it sends them (H26).
+    """
     d = staged_body(raw, text_col, _ERP_FIELDS, typed=("modulos", "procesos", "transformar_fabric"))
     clean = {
         "Solicitante": clean_text(_t("solicitante"), 200), "Area": clean_text(_t("area"), 200),
-        "Descripcion": clean_text(_t("descripcion")), "Modulos": join_list(_v("modulos"), ", ", t=_y("modulos")),
-        "Procesos": join_list(_v("procesos"), " | ", t=_y("procesos")),
+        "Descripcion": clean_text(_t("descripcion")), "Modulos": join_list(_v("modulos"), ", ", t=_y("modulos"), collect=collect),
+        "Procesos": join_list(_v("procesos"), " | ", t=_y("procesos"), collect=collect),
         "TransformarFabric": yes_no(_v("transformar_fabric"), _y("transformar_fabric")),
         "FabricDetalle": clean_text(_t("fabric_detalle")), "Prioridad": clean_text(_t("prioridad"), 20),
         "Estado": default_if_blank(_t("estado"), "Nuevo", 50),
@@ -116,12 +118,12 @@ _GENERAL_FIELDS = {k: ("m", k) for k in ("solicitante", "area", "asunto", "ambit
                                           "prioridad", "estado", "proyecto_id")}
 
 
-def general_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
-    """General request bodies → ``requests_general`` columns + ``Motivo``."""
+def general_requests(raw: DataFrame, text_col: str = "body", collect: bool = False) -> DataFrame:
+    """General request bodies → ``requests_general`` columns + ``Motivo`` (``collect``: see :func:`erp_requests`)."""
     d = staged_body(raw, text_col, _GENERAL_FIELDS, typed=("ambito",))
     clean = {
         "Titulo": clean_text(_t("asunto"), 300), "Solicitante": clean_text(_t("solicitante"), 200),
-        "Area": clean_text(_t("area"), 200), "Ambito": join_list(_v("ambito"), ", ", t=_y("ambito")),
+        "Area": clean_text(_t("area"), 200), "Ambito": join_list(_v("ambito"), ", ", t=_y("ambito"), collect=collect),
         "Descripcion": clean_text(_t("descripcion")), "Justificacion": clean_text(_t("justificacion")),
         "Prioridad": clean_text(_t("prioridad"), 20), "Estado": default_if_blank(_t("estado"), "Nuevo", 50),
         "ProyectoId": to_id(_t("proyecto_id")), "PayloadJson": F.col("_payload"),
@@ -271,7 +273,7 @@ def split_valid(df: DataFrame, reason_col: str = "Motivo") -> tuple[DataFrame, D
     again), and the filter cannot be pushed back through the parsing stages, where Catalyst would otherwise inline the
     JSON parse into the predicate once per reference.
     """
-    typed = df.persist(StorageLevel.MEMORY_AND_DISK)
+    typed = hold(df)
     return typed.where(F.col(reason_col).isNull()), typed.where(F.col(reason_col).isNotNull())
 
 
@@ -399,9 +401,14 @@ def create(target: DataFrame, typed: DataFrame, ddl: str, order_by: list, as_of=
     columns (e.g. a source reference) to carry next to the schema columns.
     """
     valid, rejects = split_valid(typed)
+    return number_rows(valid, ddl, order_by, max_id(target), as_of, stamp_col, keep), rejects
+
+
+def number_rows(valid: DataFrame, ddl: str, order_by: list, base, as_of=None, stamp_col: str | None = "FechaRegistro",
+                keep: list[str] | None = None) -> DataFrame:
+    """Accepted rows with ids after ``base`` in ``order_by`` order, their stamp and the declared columns (defaults null)."""
     if stamp_col:
-        stamp = as_of_lit(as_of) if as_of is not None else now_utc()
-        valid = valid.withColumn(stamp_col, stamp)
-    with_id = with_ids(valid.drop("Motivo"), order_by, base=max_id(target))
+        valid = valid.withColumn(stamp_col, as_of_lit(as_of) if as_of is not None else now_utc())
+    with_id = with_ids(valid.drop("Motivo"), order_by, base=base)
     extra = "".join(f", {k} {with_id.schema[k].dataType.simpleString()}" for k in (keep or []))
-    return conform(with_id, ddl + extra), rejects
+    return conform(with_id, ddl + extra)

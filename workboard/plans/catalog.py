@@ -1489,3 +1489,250 @@ def q_attachment_create(spark, sf_dir):
     typed = attachments.intake(UPLOADS.df(spark, sf_dir)).drop("original", "base64")
     return intake.create(roles.ATTACHMENTS.df(spark, sf_dir), typed, schemas.ATTACHMENTS, [F.col("Ref")], as_of=AS_OF,
                          stamp_col="Fecha", keep=["Ref"])[0]
+
+
+# ------------------------------------------------------------------ X3 X5: deletes one after the other
+
+from pyspark.sql import Window  # noqa: E402
+
+from workboard.operators import ordered_deletes  # noqa: E402
+from workboard.streaming import state as stream_state  # noqa: E402
+
+# Plans of two shapes by project: chains of four (each task under the one before) and a phase with all others under it.
+_DEEP_PLAN_SQL = f"""
+SELECT Id, ProyectoId, pos, CASE WHEN ProyectoId % 2 = 0 THEN CASE WHEN pos % 4 <> 1 THEN antes END WHEN Id <> fase THEN fase END AS TareaPadreId
+FROM (SELECT Id, ProyectoId, row_number() OVER (PARTITION BY ProyectoId ORDER BY Id) AS pos,
+             lag(Id) OVER (PARTITION BY ProyectoId ORDER BY Id) AS antes, MIN(Id) OVER (PARTITION BY ProyectoId) AS fase
+      FROM ({roles.TASKS.sql}) t0) t1
+"""
+
+# Per project: children first, parents first with a second try for the first task, or children first with a gap.
+_DEEP_SEQ = "CASE WHEN ProyectoId % 3 = 1 THEN pos ELSE 100 - pos END"
+_DEEP_REQUESTS = (
+    ("Id", _DEEP_SEQ, "NOT (ProyectoId % 3 = 2 AND pos = 3)"),
+    ("Id", "200", "ProyectoId % 3 = 1 AND pos = 1"),
+    ("'-' || Id", "50", "pos = 2"),
+)
+
+
+def _deep_plan(spark, sf_dir):
+    whole = Window.partitionBy("ProyectoId")
+    t = roles.TASKS.df(spark, sf_dir).select("Id", "ProyectoId").withColumns({
+        "pos": F.row_number().over(whole.orderBy("Id")), "antes": F.lag("Id").over(whole.orderBy("Id")), "fase": F.min("Id").over(whole)})
+    up = (F.when(F.col("ProyectoId") % 2 == 0, F.when(F.col("pos") % 4 != 1, F.col("antes")))
+          .when(F.col("Id") != F.col("fase"), F.col("fase")))
+    return t.withColumn("TareaPadreId", up).drop("antes", "fase")
+
+
+def _delete_in_order(spark, sf_dir):
+    plan = _deep_plan(spark, sf_dir)
+    asked = ", ".join(f"IF({w}, named_struct('Id', {i}, 'seq', CAST({q} AS BIGINT)), NULL)" for i, q, w in _DEEP_REQUESTS)
+    requests = plan.selectExpr(f"explode(array_compact(array({asked}))) AS r").select("r.*")
+    return ordered_deletes.delete_tasks_in_order(plan.drop("pos"), requests)
+
+
+# One request at a time, as the portal does: what is left of each project after each of its requests.
+_DELETE_STEPS_SQL = f"""
+WITH RECURSIVE plan AS ({_DEEP_PLAN_SQL}),
+asked AS ({' UNION ALL '.join(f"SELECT ProyectoId, {i} AS Id, CAST({q} AS BIGINT) AS seq FROM plan WHERE {w}" for i, q, w in _DEEP_REQUESTS)}),
+turns AS (SELECT *, row_number() OVER (PARTITION BY ProyectoId ORDER BY seq) AS k FROM asked),
+steps(ProyectoId, k, quedan, Id, seq, outcome) AS (
+  SELECT ProyectoId, CAST(0 AS BIGINT), list({{'id': Id, 'up': TareaPadreId}}), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT),
+         CAST(NULL AS VARCHAR) FROM plan GROUP BY ProyectoId
+  UNION ALL
+  SELECT ProyectoId, k, CASE WHEN outcome = 'deleted' THEN list_filter(quedan, lambda x: x.id <> Id) ELSE quedan END, Id, seq, outcome
+  FROM (SELECT t.ProyectoId, t.k, s.quedan, t.Id, t.seq,
+               CASE WHEN len(list_filter(s.quedan, lambda x: x.id = t.Id)) = 0 THEN 'missing'
+                    WHEN len(list_filter(s.quedan, lambda x: x.up = t.Id)) > 0 THEN 'blocked' ELSE 'deleted' END AS outcome
+        FROM steps s JOIN turns t ON t.ProyectoId = s.ProyectoId AND t.k = s.k + 1))
+"""
+
+
+@register("delete_task_ordered", f"{_DELETE_STEPS_SQL} SELECT Id, seq, outcome FROM steps WHERE k > 0")
+def q_delete_task_ordered(spark, sf_dir):
+    return _delete_in_order(spark, sf_dir)[1]
+
+
+@register("delete_task_ordered_tasks", f"{_DELETE_STEPS_SQL} SELECT Id, ProyectoId, TareaPadreId FROM plan "
+                                       "WHERE Id NOT IN (SELECT Id FROM steps WHERE outcome = 'deleted')")
+def q_delete_task_ordered_tasks(spark, sf_dir):
+    return _delete_in_order(spark, sf_dir)[0]
+
+
+# ------------------------------------------------------------------ S4 in R4: ids assigned by a stream
+
+@register("stream_create", ORACLES["erp_create"])
+def q_stream_create(spark, sf_dir):
+    """Bodies land in three parts; the stream is stopped and started between them and goes on with its ids."""
+    root = fresh_path(shared_root(spark), "stream-create")
+    bodies, target = ERP_BODIES.df(spark, sf_dir), roles.REQUESTS_ERP.df(spark, sf_dir)
+    most = bodies.select(F.max("Ref")).scalar()
+    for part in range(3):
+        here = (F.col("Ref") > most * part / 3) & (F.col("Ref") <= most * (part + 1) / 3)
+        bodies.where(here if part else here | (F.col("Ref") <= 0)).write.parquet(f"{root}/in/part={part}")
+        src = spark.readStream.schema("Ref BIGINT, body STRING").parquet(f"{root}/in/*")
+        stream_apply.create_stream(
+            src, lambda b: intake.erp_requests(b).drop("body"), schemas.REQUESTS_ERP, [F.col("Ref")], f"{root}/accepted",
+            f"{root}/rejects", f"{root}/marks", f"{root}/checkpoint", lambda: target.agg(F.max("Id")).first()[0], AS_OF,
+            keep=["Ref"]).awaitTermination()
+    return spark.read.schema(f"{schemas.REQUESTS_ERP}, Ref BIGINT").parquet(f"{root}/accepted").drop("batch")
+
+
+# ------------------------------------------------------------------ R4: state by base and tail
+
+_TRACKING_LOG = "Id BIGINT, seq BIGINT, Estado STRING, Responsable STRING, FechaEntrega DATE, batch BIGINT"
+
+
+def _tracking_bodies(spark, sf_dir):
+    raw = TRACKING_CHANGES.df(spark, sf_dir)
+    return raw.select("id", "seq", F.to_json(F.struct("estado", "responsable", "fechaEntrega")).alias("body"))
+
+
+def _tracking_log(spark, sf_dir, after_batch):
+    """The tracking feed in three parts, newest changes first, so that later batches hold older changes."""
+    root = fresh_path(shared_root(spark), "stream-state")
+    bodies = _tracking_bodies(spark, sf_dir)
+    most = bodies.select(F.max("seq")).scalar()
+    for part in (2, 1, 0):
+        here = (F.col("seq") > most * part / 3) & (F.col("seq") <= most * (part + 1) / 3)
+        bodies.where(here if part else here | (F.col("seq") <= 0)).write.parquet(f"{root}/in/part={part}")
+        src = spark.readStream.schema("id BIGINT, seq BIGINT, body STRING").parquet(f"{root}/in/*")
+        stream_apply.change_log_stream(src, intake.tracking_changes, f"{root}/log", f"{root}/checkpoint",
+                                       rejects_path=f"{root}/rejects").awaitTermination()
+        after_batch(root, stream_apply.read_log(spark, f"{root}/log", _TRACKING_LOG))
+    return root
+
+
+@register("stream_state", ORACLES["tracking_patch"])
+def q_stream_state(spark, sf_dir):
+    """A base is written after every batch but the last, whose changes are read from the tail."""
+    initial, bases = roles.REQUESTS_ERP.df(spark, sf_dir), []
+
+    def base(root, log):
+        if len(bases) < 2:
+            bases.append(stream_state.write_base(initial, log, f"{root}/bases", f"{root}/index", changes.TRACKING_POLICY, AS_OF))
+
+    root = _tracking_log(spark, sf_dir, base)
+    log = stream_apply.read_log(spark, f"{root}/log", _TRACKING_LOG)
+    return stream_state.read_state(initial, log, f"{root}/index", changes.TRACKING_POLICY, AS_OF)
+
+
+@register("stream_change_rejects", f"SELECT id AS Id, seq, 'falta_id' AS Motivo FROM ({TRACKING_CHANGES.sql}) WHERE id = 0")
+def q_stream_change_rejects(spark, sf_dir):
+    root = _tracking_log(spark, sf_dir, lambda root, log: None)
+    return stream_apply.read_log(spark, f"{root}/rejects", "Id BIGINT, seq BIGINT, Motivo STRING, batch BIGINT").select("Id", "seq", "Motivo")
+
+
+# ------------------------------------------------------------------ H26: list members collected as the form does
+
+_LISTS = ("CASE c_custkey % 5 WHEN 0 THEN '[\" Contabilidad \",\"\",\"   \",\"Compras\"]' WHEN 1 THEN '[\"  Ventas\"]' WHEN 2 THEN '[\"  \"]' "
+          "WHEN 3 THEN '\" suelto \"' ELSE '[null, \" ' || c_mktsegment || '\"]' END")
+LIST_BODIES = roles.Role("customer", (
+    ("Ref", "c_custkey"),
+    ("segmento", "c_mktsegment"),
+    ("body", f"'{{\"solicitante\":\"x\",\"area\":\"TI\",\"asunto\":\"a\",\"descripcion\":\"d\",\"modulos\":' || {_LISTS} || "
+             f"',\"procesos\":' || {_LISTS} || ',\"ambito\":' || {_LISTS} || '}}'"),
+))
+
+
+def _collected_sql(sep: str) -> str:
+    return (f"CASE Ref % 5 WHEN 0 THEN 'Contabilidad{sep}Compras' WHEN 1 THEN 'Ventas' WHEN 2 THEN '' WHEN 3 THEN 'suelto' "
+            "ELSE segmento END")
+
+
+@register("list_collect", f"""
+SELECT Ref, {_collected_sql(', ')} AS Modulos, {_collected_sql(' | ')} AS Procesos, {_collected_sql(', ')} AS Ambito
+FROM ({LIST_BODIES.sql})
+""")
+def q_list_collect(spark, sf_dir):
+    bodies = LIST_BODIES.df(spark, sf_dir)
+    erp = intake.erp_requests(bodies, collect=True).select("Ref", "Modulos", "Procesos")
+    return erp.join(intake.general_requests(bodies, collect=True).select("Ref", "Ambito"), "Ref")
+
+
+# ------------------------------------------------------------------ S1: a table of older files by its declared schema
+
+STORED_PROJECTS = roles.Role("orders", (
+    ("Id", "CASE WHEN o_orderkey % 40 = 7 THEN 'x' ELSE '' END || CAST(o_orderkey AS STRING)"),
+    ("Nombre", "CASE WHEN o_orderkey % 30 <> 3 THEN 'P-' || CAST(o_orderkey AS STRING) END"),
+    ("FechaInicio", "CASE WHEN o_orderkey % 25 = 4 THEN 'pronto' WHEN o_orderkey % 25 <> 5 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) END"),
+    ("FechaFin", "CAST(o_orderdate AS DATE)"),
+    ("FechaRegistro", "CAST(o_orderdate AS TIMESTAMP_NTZ)"),
+    ("Sobrante", "o_orderpriority"),
+))
+_STORED_SQL = f"""
+SELECT *, CASE WHEN Id LIKE 'x%' THEN 'tipo_invalido:Id' WHEN Nombre IS NULL THEN 'nulo:Nombre'
+               WHEN FechaInicio = 'pronto' THEN 'tipo_invalido:FechaInicio' END AS Motivo FROM ({STORED_PROJECTS.sql})
+"""
+
+
+def _stored_projects(spark, sf_dir):
+    path = fresh_path(shared_root(spark), "stored-projects")
+    STORED_PROJECTS.df(spark, sf_dir).write.parquet(path)
+    return tables.scan_table(spark, path, schemas.PROJECTS, {"Estado": "Activo"})
+
+
+@register("table_scan", f"""
+SELECT CAST(Id AS BIGINT) AS Id, Nombre, CAST(NULL AS VARCHAR) AS Descripcion, CAST(NULL AS VARCHAR) AS Responsable,
+       CAST(FechaInicio AS DATE) AS FechaInicio, FechaFin, 'Activo' AS Estado, FechaRegistro
+FROM ({_STORED_SQL}) WHERE Motivo IS NULL
+""")
+def q_table_scan(spark, sf_dir):
+    return _stored_projects(spark, sf_dir)[0]
+
+
+@register("table_scan_rejects", f"SELECT * FROM ({_STORED_SQL}) WHERE Motivo IS NOT NULL")
+def q_table_scan_rejects(spark, sf_dir):
+    return _stored_projects(spark, sf_dir)[1]
+
+
+# ------------------------------------------------------------------ S3: landed directory pages
+
+PAGE_USERS = replace(DIRECTORY_USERS, cols=DIRECTORY_USERS.cols + (("pagina", "CAST(floor(c_custkey / 50) AS BIGINT)"),))
+
+
+def _landed_pages(spark, sf_dir):
+    """Pages of 50 users as JSON lines; some are cut off, some are the directory's error answers."""
+    path, page = fresh_path(shared_root(spark), "directory-pages"), F.col("pagina")
+    user = F.struct("displayName", "mail", "userPrincipalName", "jobTitle")
+    pages = (PAGE_USERS.df(spark, sf_dir).groupBy("pagina").agg(F.collect_list(user).alias("value"))
+             .withColumn("texto", F.to_json(F.struct("pagina", "value"))))
+    cut_off = F.substring("texto", 1, F.length("texto") - 20)
+    answer = F.concat(F.lit('{"pagina":'), page.cast("string"), F.lit(',"error":{"code":"TooManyRequests"}}'))
+    pages.select(F.when(page % 7 == 2, cut_off).when(page % 7 == 4, answer).otherwise(F.col("texto")).alias("value")).write.text(path)
+    return directory.landed_pages(spark, path)
+
+
+@register("directory_pages", ORACLES["directory_members"].replace(
+    f"({DIRECTORY_USERS.sql})", f"(SELECT * FROM ({PAGE_USERS.sql}) WHERE pagina % 7 NOT IN (2, 4))"))
+def q_directory_pages(spark, sf_dir):
+    return directory.sorted_members(_landed_pages(spark, sf_dir)[0], DIRECTORY_DOMAIN)
+
+
+@register("directory_page_rejects", f"""
+SELECT DISTINCT CAST(pagina AS VARCHAR) AS Pagina, CASE WHEN pagina % 7 = 2 THEN 'pagina_invalida' ELSE 'error_del_directorio' END AS Motivo
+FROM ({PAGE_USERS.sql}) WHERE pagina % 7 IN (2, 4)
+""")
+def q_directory_page_rejects(spark, sf_dir):
+    rejects = _landed_pages(spark, sf_dir)[1]
+    return rejects.select(F.regexp_extract("Texto", '"pagina":([0-9]+)', 1).alias("Pagina"), "Motivo")
+
+
+# ------------------------------------------------------------------ T6: the Spanish order
+
+_FIRST_NAMES = ("Ñandú", "ñora", "Nube", "nz", "Álvaro", "alba", "Azul", "Óscar", "oso", "Pérez", "perez", "Zoé", "Zacarías")
+ACCENTED_USERS = roles.Role("customer", (
+    ("displayName", f"CASE c_custkey % {len(_FIRST_NAMES)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_FIRST_NAMES))
+     + " END || ' ' || CAST(c_custkey % 97 AS STRING)"),
+    ("mail", "'u' || CAST(c_custkey AS STRING) || '@example.com'"),
+    ("userPrincipalName", "CAST(NULL AS STRING)"),
+    ("jobTitle", "c_mktsegment"),
+))
+
+
+@register("directory_order", f"""
+SELECT displayName AS name, mail AS email, jobTitle, row_number() OVER (ORDER BY displayName COLLATE es, mail) AS Posicion
+FROM ({ACCENTED_USERS.sql})
+""")
+def q_directory_order(spark, sf_dir):
+    return directory.ranked_members(ACCENTED_USERS.df(spark, sf_dir), DIRECTORY_DOMAIN)

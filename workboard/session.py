@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed session settings the operators rely on.
 SESSION_CONF = {
@@ -70,3 +70,10 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_path(root: str, name: str) -> str:
     """A unique path under a shared root."""
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as plain Parquet under the shared root and read it back, so that rounds do not grow one plan."""
+    path = fresh_path(shared_root(df.sparkSession), name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

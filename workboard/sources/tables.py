@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +15,73 @@ from workboard import schemas
 
 _LOW33 = (1 << 33) - 1
 
+_held: ContextVar[list | None] = ContextVar("held", default=None)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Persist a frame that a plan reads twice; a surrounding :func:`released` block lets go of it."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if (frames := _held.get()) is not None:
+        frames.append(df)
+    return df
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Frames that operators persist inside the block are unpersisted at its end: build *and write* results in it, so that a
+    long-lived job does not fill its executors' disks."""
+    token = _held.set([])
+    try:
+        yield
+    finally:
+        for df in _held.get():
+            df.unpersist()
+        _held.reset(token)
+
 
 def read_table(spark: SparkSession, path: str, ddl: str, fmt: str = "parquet") -> DataFrame:
     """Read one portal table with its declared schema (never inferred)."""
     return spark.read.schema(ddl).format(fmt).load(path)
 
 
+def _cast(raw: DataFrame, name: str, kind: str) -> Column:
+    """The column as ``kind``, null where it cannot be; a type that has no cast at all is null throughout."""
+    if raw.schema[name].dataType.simpleString() == kind:
+        return F.col(name)  # as stored: filters on it still reach the files
+    try:
+        raw.select(F.col(name).try_cast(kind))
+    except AnalysisException:
+        return F.lit(None).cast(kind)
+    return F.col(name).try_cast(kind)
+
+
+def scan_table(spark: SparkSession, path: str, ddl: str, defaults: dict | None = None, fmt: str = "parquet",
+               options: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """A portal table from files that may be older or looser than its declaration → ``(rows, rejects)``.
+
+    Rows come out with the declared columns and types: missing columns get their default (or null), columns of another
+    type are cast. A row is rejected, with the first reason in column order, where a value does not fit the declared type
+    (``tipo_invalido:Columna``) or a column declared NOT NULL has none (``nulo:Columna``); rejects keep the stored columns.
+    Both sides are plain scans of the files: nothing is cached or shuffled.
+    """
+    raw = spark.read.format(fmt).options(**(options or {})).load(path)
+    defaults, present = defaults or {}, set(raw.columns)
+    out, reason = [], F.lit(None).cast("string")
+    for f in schemas.struct(ddl).fields:
+        kind = f.dataType.simpleString()
+        value = _cast(raw, f.name, kind) if f.name in present else F.lit(defaults.get(f.name)).try_cast(kind)
+        if f.name in present and f.name in defaults:
+            value = F.when(F.col(f.name).isNull(), F.lit(defaults[f.name]).try_cast(kind)).otherwise(value)
+        bad = F.lit(None).cast("string")
+        if f.name in present and raw.schema[f.name].dataType.simpleString() != kind:
+            bad = F.when(F.col(f.name).isNotNull() & value.isNull(), f"tipo_invalido:{f.name}")
+        if not f.nullable:
+            bad = F.coalesce(bad, F.when(value.isNull(), f"nulo:{f.name}"))
+        reason = F.coalesce(reason, bad)
+        out.append(value.alias(f.name))
+    return raw.where(reason.isNull()).select(*out), raw.withColumn("Motivo", reason).where("Motivo is not null")
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, ddl: str, partition_column: str, lower_bound, upper_bound,
               num_partitions: int, props: dict | None = None) -> DataFrame:
     """S1 against the live database: a JDBC scan in ``num_partitions`` ranges of ``partition_column``, projected to the
@@ -41,9 +107,8 @@ def with_ids(df: DataFrame, order_by: list, base: int | Column = 0, id_col: str
     bounded table) and the rows must come from the same sort. Nothing is written to a folder.
     """
     whole = F.xxhash64(*[F.col(c) for c in df.columns])
-    tagged = (df.orderBy(*order_by, whole).withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    tagged = hold(df.orderBy(*order_by, whole).withColumn("_pid", F.spark_partition_id())
+                  .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: this unpartitioned running sum sees #partitions rows, never data rows
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
