@@ -42,8 +42,9 @@ class Rules:
     weights: list[float] = field(default_factory=list)
     fitted: bool = False
 
-    def column(self) -> Column:
-        x = stat_columns()
+    def column(self, stats: Column | None = None) -> Column:
+        """The score over the statistics ``stats`` (by default the column that :func:`with_stats` adds)."""
+        x = stat_columns(stats)
         margin = F.lit(float(self.bias))
         for rule, weight in zip(self.rules, self.weights, strict=True):
             test = None
@@ -154,4 +155,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     rules = fit(docs, labels, id_col, text_col, label_col, max_labelled)
     if not rules.fitted:
         return docs
-    return score(docs, rules, text_col).where(F.col("__score") >= threshold).drop("__score")
+    # inside a higher-order function the rules are interpreted once a row: as a plain predicate Spark would write them all into
+    # one generated method, which is too long to compile and costs the driver the memory of the attempt
+    scored = with_stats(docs, text_col)
+    good = F.element_at(F.transform(F.array("__stats"), lambda s: rules.column(s)), 1) >= threshold
+    return scored.where(good).drop("__stats")

@@ -8,7 +8,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,6 +83,6 @@ def with_stats(df: DataFrame, text: str, lexicons: list | None = None, then: Cal
     return df.mapInArrow(partial(_add, text=text, lexicons=lexicons or [], then=then), schema)
 
 
-def stat_columns() -> list:
-    """A column expression for each of STATS."""
-    return [F.element_at("__stats", i + 1) for i in range(len(STATS))]
+def stat_columns(stats: Column | None = None) -> list:
+    """A column expression for each of STATS, taken from the array ``stats``."""
+    return [F.element_at("__stats" if stats is None else stats, i + 1) for i in range(len(STATS))]
