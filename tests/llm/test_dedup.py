@@ -89,7 +89,10 @@ def test_near_duplicates_edges(spark):
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4, None: None, 7: 7, 8: 7, 9: 7}
     kept = minhash_dedup.keep_one(_frame(spark, rows, True))
     assert kept.columns == _frame(spark, rows, True).columns
-    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: -1 if x is None else x) == [None, 1, 3, 4, 7]
+    stays = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(t or "" for _, t in stays) == ["", "", "a b c d e f", "k l m n o p", "p q r s t u", "x y"]
+    assert {i for i, t in stays if t in (None, "", "a b c d e f", "x y")} == {1, 3, 4, None}
+    assert {i for i, t in stays if t == "k l m n o p"} <= {7, 8} and {i for i, t in stays if t == "p q r s t u"} <= {7, 9}
     assert minhash_dedup.near_duplicates(_frame(spark, rows, False).limit(0)).count() == 0
     assert minhash_dedup.keep_one(_frame(spark, rows, False).limit(0)).count() == 0
 

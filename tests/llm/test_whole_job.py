@@ -2,6 +2,8 @@
 
 import pathlib
 import random
+import subprocess
+import sys
 import uuid
 
 from pyspark.sql import functions as F
@@ -101,6 +103,7 @@ def test_sketch_tasks_do_not_grow_with_a_hot_node(spark, tmp_dir, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "SMALL_NODE", 16)
     monkeypatch.setattr(minhash_dedup, "TASK_ROWS", 16)
     monkeypatch.setattr(minhash_dedup, "MAX_LEVELS", 0)
+    monkeypatch.setattr(minhash_dedup, "_pivot_links", lambda *a: None)  # which would leave nothing to deal
     real = minhash_dedup._likely
 
     def counted(t, percent):
@@ -114,3 +117,86 @@ def test_sketch_tasks_do_not_grow_with_a_hot_node(spark, tmp_dir, monkeypatch):
     assert {r.component_id for r in minhash_dedup.near_duplicates(df).collect()} == {0}
     sizes = [int(p.read_text()) for p in pathlib.Path(tmp_dir).iterdir()]
     assert sum(sizes) > 1000 and max(sizes) <= 8 * 16
+
+
+def _texts(rng, n, common, own):
+    """``n`` near copies: a shared run of words, and a few of their own."""
+    return [" ".join([f"w{i}" for i in range(common)] + [f"x{rng.randrange(10 ** 9)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_a_member_like_the_pivot_still_links_one_unlike_it(spark, monkeypatch):
+    for name, value in (("SMALL_NODE", 8), ("MAX_LEVELS", 1), ("PIVOTS", 1), ("TASK_ROWS", 20), ("TASK_SHINGLES", 2000)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    rng = random.Random(8)
+    texts = _texts(rng, 60, 200, 12)
+    for step in range(12):  # each like the one before, ever less like the rest
+        words = texts[-1].split()
+        texts.append(" ".join(words[25:] + [f"y{step}-{i}" for i in range(25)]))
+    texts += _texts(rng, 20, 60, 150)  # unlike all, with a shared start
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert len(set(root[:72])) == 1 and len(set(root)) == 21
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df).collect()} == dict(enumerate(root))
+
+
+def test_rows_grow_with_a_hot_group_not_with_its_square(spark, monkeypatch):
+    for name, value in (("SMALL_NODE", 16), ("MAX_LEVELS", 3), ("TASK_ROWS", 64)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    seen, real = [], minhash_dedup.cut
+
+    def counted(df, name):
+        out = real(df, name)
+        seen[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "cut", counted)
+    rng = random.Random(9)
+    for n in (100, 400):
+        seen.append(0)
+        texts = _texts(rng, n, 200, 6) + _texts(rng, 10, 60, 150)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert len({r.component_id for r in minhash_dedup.near_duplicates(df).collect()}) == 11
+    assert seen[1] <= 4.4 * seen[0]
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """3,000 pairs between 0.75 and 0.77, among nothing else that is alike: all are found."""
+    rng, rows = random.Random(10), []
+    for i in range(3000):
+        n, own = 200, 28  # 196 shingles each; 28 changed words at the end leave 168 shared of 224: exactly 0.75
+        words = [f"p{i}-{j}" for j in range(n)]
+        cut_at = n - own + rng.randrange(3)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:cut_at] + [f"q{i}-{j}" for j in range(n - cut_at)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(3000)) == 3000
+
+
+_FILTER = """
+import sys
+from pyspark.sql import functions as F
+from workboard.session import get_session
+from workboard.llm import quality
+from workboard.llm.store import table
+spark = get_session("local[2]", 4, extra={"spark.checkpoint.dir": sys.argv[1]})
+docs, labels = (table(spark, sys.argv[2], t) for t in ("documents", "labels"))
+kept = quality.keep_good(docs, labels).count()
+wanted = quality.classify(docs, labels).agg(F.sum("predicted")).first()[0]
+print(len(quality.fit(docs, labels).rules), kept, wanted)
+"""
+
+
+def test_quality_filter_compiles(tmp_dir):
+    """The pipeline's filter keeps what op8 predicts, and Spark never tries a method over 64 KB for it."""
+    root = pathlib.Path(__file__).parents[2]
+    out = subprocess.run([sys.executable, "-c", _FILTER, tmp_dir, "/root/testdata/sf0.01"], cwd=root, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr[-2000:]
+    n, kept, wanted = map(int, out.stdout.split())
+    assert n > 20 and kept == wanted
+    assert "64 KB" not in out.stderr and "failed to compile" not in out.stderr

@@ -7,12 +7,18 @@ meet in a node. A small node is compared exhaustively; a large one branches agai
 ``TREES`` trees start at different coordinates. A pair of similarity s meets in a root node with probability
 1 - (1-s)^TREES (1 - 6e-8 at s = 0.75), and each branch keeps it with probability s.
 
+Dense groups come first. In every large node at the start of a tree all members are compared with PIVOTS of them (sketches, then
+full sets), which connects a group of near copies by one row per member and pivot. From then on only pairs of different
+components have to meet: a node of one component is finished, and in a large node whose members mostly belong to one
+component, its rows are dealt to chunks, once each, which the few others join; it is never set against itself. All rows stay, as
+a member may still be what links a document unlike the pivot.
+
 Nodes with equal members are looked at once. In a node, sketches are compared first: documents without a partner that
 agrees in at least ``MIN_AGREE`` coordinates leave (a pair at the threshold agrees less with probability below 1e-7),
 and the rest splits into groups of possible partners. Groups with equal members are again looked at once; there the
 full shingle sets are compared by counting over an inverted index, so a returned link is always exact, and links that
-span the group's components are returned, not all pairs. Trees run in two rounds: after the first, nodes whose members
-are already connected are dropped, so the other trees only work on what is still open.
+span the group's components are returned, not all pairs. Trees run in two rounds, so the second works on what the first left
+open.
 
 Documents with equal sets are one representative. A node or group is handled in one task only up to a fixed number of
 members or shingles; a larger one branches, and what stays larger at the last level (very many near copies) is dealt in
@@ -27,7 +33,7 @@ table gives no rows. Other columns of the input are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import chain
 
 import numpy as np
@@ -47,6 +53,8 @@ FIRST_TREES = 3
 BRANCHES = 2
 #: A node of more members branches.
 SMALL_NODE = 2048
+#: Members of a large node that all others are compared with.
+PIVOTS = 3
 MAX_LEVELS = 6
 #: Rows with sketches, and shingles, that a task takes at a time.
 TASK_ROWS = 2_000
@@ -219,39 +227,90 @@ def _distinct_groups(rows: DataFrame, key: str, weight: str) -> DataFrame:
                "groups")
 
 
-def _tree_nodes(reps: DataFrame, first: int, last: int) -> DataFrame:
-    """(path, rep) in the leaves of trees first..last-1: nodes that are small, or at the last level."""
-    rows = reps.select("rep", F.posexplode(F.slice("roots", first + 1, last - first)).alias("tree", "token")).select(
+def _starts(reps: DataFrame, first: int, last: int) -> DataFrame:
+    """(path, rep) of the nodes at which trees first..last-1 start."""
+    return reps.select("rep", F.posexplode(F.slice("roots", first + 1, last - first)).alias("tree", "token")).select(
         F.xxhash64(F.col("tree") + first, "token").alias("path"), "rep")
-    leaves = None
+
+
+def _pivot_links(texts: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Confirmed links (a, b) between the members of large starting nodes and their pivots; None without large nodes."""
+    rows = _starts(reps, 0, FIRST_TREES)
+    large = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_NODE).select("path"), "large")
+    if large.isEmpty():
+        return None
+    members = rows.join(small(large), "path")
+    pivots = cut(members.groupBy("path").agg(F.array_distinct(F.array(
+        *[F.min_by("rep", F.xxhash64("rep", F.lit(i))) for i in range(PIVOTS)])).alias("pivots")), "pivots")
+    pairs = (members.join(small(pivots), "path").select("rep", F.explode("pivots").alias("pivot"))
+             .where("rep <> pivot").distinct())
+    mine = reps.select("rep", "sig", "n_shingles")
+    ends = cut(pivots.select(F.explode("pivots").alias("pivot")).distinct(), "pivot-ids")
+    theirs = mine.join(small(ends), F.col("rep") == F.col("pivot")).select("pivot", F.col("sig").alias("with"), F.col("n_shingles").alias("m"))
+    agree = F.aggregate(F.zip_with("sig", "with", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    likely = cut(pairs.join(mine, "rep").join(theirs, "pivot")
+                 .where((F.least("n_shingles", "m") * 100 >= F.greatest("n_shingles", "m") * percent) & (agree >= MIN_AGREE))
+                 .select("rep", "pivot"), "pivot-pairs")
+    ids = cut(likely.select("rep").union(ends).distinct().withColumnRenamed("rep", "id"), "ids")
+    sets = cut(texts.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
+               .mapInArrow(partial(_sets, words=words), "rep long, shingles array<long>"), "sets")
+    held = sets.join(small(ends), F.col("rep") == F.col("pivot")).select("pivot", F.col("shingles").alias("other"))
+    both = F.size(F.array_intersect("shingles", "other"))
+    found = (likely.join(sets, "rep").join(held, "pivot")
+             .where(both * 100 >= (F.size("shingles") + F.size("other") - both) * percent))
+    return cut(found.select(F.col("pivot").alias("a"), F.col("rep").alias("b")), "pivot-links")
+
+
+def _chunked(large: DataFrame, main: DataFrame) -> DataFrame:
+    """Leaves (path, rep, comp) for nodes that consist of one component ``main`` (of ``d`` members) and few others: chunks of
+    the component that all others join, and the others among themselves. In a chunk the others count as one component."""
+    node = large.drop("n").join(main, "path")
+    chunks = F.ceil(F.col("d") * 2 / SMALL_NODE).cast("int")
+    own, other = node.where("comp = main"), node.where("comp <> main")
+    one = own.select(F.xxhash64("path", F.pmod(F.xxhash64("rep", F.lit(7)), chunks).cast("int")).alias("path"), "rep", "comp")
+    each = other.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select(
+        F.xxhash64("path", "chunk").alias("path"), "rep", F.bitwise_not("main").alias("comp"))
+    rest = other.select(F.xxhash64("path", F.lit(-1)).alias("path"), "rep", "comp")
+    return one.unionAll(each).unionAll(rest)
+
+
+def _tree_nodes(reps: DataFrame, comp: DataFrame | None, first: int, last: int) -> DataFrame:
+    """(path, rep, comp) in the leaves of trees first..last-1: nodes of several components that are small, mostly of one
+    component, or at the last level. ``comp`` (id, component) is what is connected so far."""
+    rows = _starts(reps, first, last)
+    if comp is None:
+        rows = rows.withColumn("comp", F.col("rep"))
+    else:
+        rows = rows.join(small(comp), F.col("rep") == F.col("id"), "left").select(
+            "path", "rep", F.coalesce("component", "rep").alias("comp"))
+    leaves = []
     for level in range(MAX_LEVELS + 1):
-        sizes = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        sizes = cut(rows.groupBy("path").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+                    .where("n > 1 and x <> y").select("path", "n"), "sizes")
         live = cut(rows.join(sizes, "path"), "nodes")
-        leaf = live if level == MAX_LEVELS else live.where(F.col("n") <= SMALL_NODE)
-        leaf = leaf.select("path", "rep")
-        leaves = leaf if leaves is None else leaves.unionAll(leaf)
+        leaves.append(live.where(F.col("n") <= SMALL_NODE).select("path", "rep", "comp"))
+        if sizes.where(F.col("n") > SMALL_NODE).isEmpty():
+            break
         large = live.where(F.col("n") > SMALL_NODE)
-        if level == MAX_LEVELS or sizes.where(F.col("n") > SMALL_NODE).isEmpty():
-            return leaves
+        main = cut(large.groupBy("path", "comp").agg(F.count("*").alias("d")).groupBy("path")
+                   .agg(F.max_by("comp", F.struct("d", "comp")).alias("main"), F.max("d").alias("d"), F.sum("d").alias("all"))
+                   .where(F.col("all") - F.col("d") <= SMALL_NODE // 2).drop("all"), "main")
+        leaves.append(_chunked(large, main))
+        large = large.join(main, "path", "left_anti")
+        if level == MAX_LEVELS:
+            leaves.append(large.select("path", "rep", "comp"))
+            break
         pick = [F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).cast("int") for b in range(BRANCHES)]
         step = F.array(*[F.struct(p.alias("j"), F.element_at("sig", p + 1).alias("t")) for p in pick])
-        rows = (large.join(reps.select("rep", "sig"), "rep").select("rep", "path", F.explode(step).alias("c"))
-                .select(F.xxhash64("path", "c.j", "c.t").alias("path"), "rep").distinct())
-    return leaves
+        rows = (large.join(reps.select("rep", "sig"), "rep").select("rep", "comp", "path", F.explode(step).alias("c"))
+                .select(F.xxhash64("path", "c.j", "c.t").alias("path"), "rep", "comp").distinct())
+    return reduce(DataFrame.unionAll, leaves)
 
 
 def _search(texts: DataFrame, reps: DataFrame, comp: DataFrame | None, first: int, last: int, words: int,
             percent: int) -> DataFrame:
     """Links found by trees first..last-1 between representatives that ``comp`` (id, component) does not connect."""
-    leaves = _tree_nodes(reps, first, last)
-    if comp is None:
-        leaves = leaves.withColumn("comp", F.col("rep"))
-    else:
-        leaves = cut(leaves.join(small(comp), F.col("rep") == F.col("id"), "left")
-                     .select("path", "rep", F.coalesce("component", "rep").alias("comp")), "leaves")
-        mixed = cut(leaves.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-                    .select("path"), "mixed")
-        leaves = cut(leaves.join(mixed, "path", "left_semi"), "open")
+    leaves = _tree_nodes(reps, comp, first, last)
     nodes = _distinct_groups(leaves.withColumn("one", F.lit(1)), "path", "one")
     dealt = _blocks(leaves.join(nodes, "path"), "path", "node", F.col("weight"), SMALL_NODE)
     dealt = dealt.join(reps.drop("roots"), "rep").select("node", "rep", "comp", "n_shingles", "sig")
@@ -282,7 +341,9 @@ def _search(texts: DataFrame, reps: DataFrame, comp: DataFrame | None, first: in
 
 def links(texts: DataFrame, reps: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """Confirmed links (a, b) whose components are those of all links between ``reps`` (rep, n_shingles, sig)."""
-    found = _search(texts, reps, None, 0, FIRST_TREES, words, percent)
+    dense = _pivot_links(texts, reps, words, percent)
+    found = _search(texts, reps, None if dense is None else components(dense), 0, FIRST_TREES, words, percent)
+    found = found if dense is None else found.unionAll(dense)
     more = _search(texts, reps, components(found), FIRST_TREES, TREES, words, percent)
     return found.unionAll(more)
 
@@ -313,14 +374,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each near-duplicate group, columns unchanged."""
-    id_col = options.get("id_col", "doc_id")
-    found = cut(near_duplicates(docs, **options), "near")
+    """The rows of ``docs`` that stay: one row of each group of near-duplicate texts, columns unchanged.
+
+    Groups are of rows, not of ids: rows that share an id but hold unlike texts each stay, rows without an id are
+    compared like all others, and rows without words all stay.
+    """
+    id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
+    own, text = F.col(id_col).cast("long"), F.col(text_col)
+    # ids that do not tell rows apart: null, or several texts; such rows get a hash of id and text instead
+    unclear = cut(docs.select(own.alias("__id"), F.xxhash64(text).alias("h")).groupBy("__id")
+                  .agg(F.min("h").alias("x"), F.max("h").alias("y")).where("__id is not null and x <> y").select("__id"), "unclear")
+    hashed = F.xxhash64(F.lit(11), own, text)
+    if unclear.isEmpty():
+        keyed = docs.withColumn("__key", F.coalesce(own, hashed))
+    else:
+        keyed = docs.join(small(unclear), own == F.col("__id"), "left").withColumn(
+            "__key", F.when(own.isNull() | F.col("__id").isNotNull(), hashed).otherwise(own)).drop("__id")
+    found = cut(near_duplicates(keyed, id_col="__key", text_col=text_col, **options), "near")
     gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(small(cut(gone, "gone")), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    twice = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    out = keyed.join(small(cut(gone, "gone")), F.col("__key") == F.col("__gone"), "left_anti")
+    twice = cut(found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1")
                 .select(F.col("doc_id").alias("__twice")), "twice")
-    if twice.isEmpty():
-        return out
-    key = F.col(id_col).cast("long") == F.col("__twice")
-    return out.join(twice, key, "left_anti").unionByName(out.join(twice, key, "left_semi").dropDuplicates([id_col]))
+    if not twice.isEmpty():
+        repeats = F.col("__key") == F.col("__twice")
+        out = out.join(twice, repeats, "left_anti").unionByName(out.join(twice, repeats, "left_semi").dropDuplicates(["__key"]))
+    return out.drop("__key")
