@@ -20,6 +20,59 @@ def _usable(v: str) -> str:
     return (f"({v} IS NOT NULL AND len({v}) > 0 AND len(list_filter({v}, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0)")
 
 
+_WORDS = f"regexp_extract_all(COALESCE({{}}, ''), '[^{_BLANK}]+')"
+
+
+def _classes(ids: str, links: str) -> str:
+    """The smallest id reachable over ``links`` (a, b, both ways) of each of ``ids`` (id)."""
+    return (f"reached AS (SELECT id, id AS other FROM {ids} UNION SELECT r.id, l.b FROM reached r JOIN {links} l ON l.a = r.other), "
+            "classes AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)")
+
+
+OP1 = f"""
+WITH RECURSIVE split AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+                         FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM split),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM flat x JOIN flat y ON y.shingle = x.shingle AND y.doc_id <> x.doc_id
+          GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+ids AS (SELECT doc_id AS id FROM documents), {_classes('ids', 'links')}
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN classes ON id = doc_id
+"""
+
+OP3 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+                     WHERE {_usable('embedding')} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON y.vec_id <> x.vec_id AND len(y.e) = len(x.e)
+          WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+ids AS (SELECT vec_id AS id FROM embeddings), {_classes('ids', 'links')}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM classes
+"""
+
+OP5 = f"""
+WITH split AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM split),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM split WHERE len(w) >= 35),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) > 1 AS again FROM starts),
+marked AS (SELECT x.doc_id, x.i, x.word, bool_or(COALESCE(y.again, FALSE)) OVER
+             (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+           FROM words x LEFT JOIN windows y ON y.doc_id = x.doc_id AND y.i = x.i),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+         FROM marked GROUP BY doc_id)
+SELECT s.doc_id, len(s.w) AS n_words, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
+FROM split s LEFT JOIN sums m ON m.doc_id = s.doc_id
+"""
+
+OP10 = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND {_usable('embedding')}),
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) WHERE rank <= 5
+"""
+
 OP11 = f"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND {_usable('embedding')} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -109,4 +162,5 @@ SELECT l.conv_id, CAST(l.depth AS BIGINT) AS depth, l.parent_conv_id, l.n_convs,
 FROM linked l JOIN below b ON b.node = l.node
 """
 
-ORACLES = {"op11_rotated_codes": OP11, "op12_conversation_repair": OP12, "op13_prefix_trie": OP13}
+ORACLES = {"op1_minhash_near_dedup": OP1, "op3_embedding_near_dedup": OP3, "op5_substring_dedup": OP5, "op10_exact_topk": OP10,
+           "op11_rotated_codes": OP11, "op12_conversation_repair": OP12, "op13_prefix_trie": OP13}
