@@ -53,7 +53,7 @@ def parse_int_param(value) -> int | None:
     s = s[1:] if s[:1] in "+-" else s
     digits = ""
     for ch in s:
-        if not ch.isdigit():
+        if ch not in "0123456789":  # isdigit() would let other digits through
             break
         digits += ch
     if not digits:
