@@ -83,4 +83,4 @@ def test_every_stage_takes_an_empty_table_and_odd_rows(spark, corpus):
 
 
 def test_registered_names():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
