@@ -216,20 +216,41 @@ def test_vector_links_match_brute_force(spark, vectors, monkeypatch, bucket):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bins", [1024, 8])
-def test_top_k_matches_brute_force(spark, vectors, monkeypatch, bins):
+@pytest.mark.parametrize(("bins", "enough"), [(1024, 1000), (1024, 0), (8, 3)])
+def test_top_k_matches_brute_force(spark, vectors, monkeypatch, bins, enough):
     monkeypatch.setattr(exact_topk, "BINS", bins)
+    monkeypatch.setattr(exact_topk, "ENOUGH", enough)
     monkeypatch.setattr(exact_topk, "CANDIDATE_BLOCK", 200)
     monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 8)
-    rows = vectors + [(5000, [0.1] * 8), (5050, [0.2] * 5)]
+    monkeypatch.setattr(exact_topk, "QUERY_TILE", 3)
+    rows = vectors + [(5000, [0.1] * 8), (5050, [0.2] * 5), (0, vectors[3][1]), (1, vectors[2][1]), (1, vectors[2][1])]
     df = spark.createDataFrame([(i, v, i) for i, v in rows], "vec_id long, embedding array<float>, rank long")
-    whole = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in rows if _usable(v)}
-    want = set()
-    for q, x in whole.items():
+    whole = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if _usable(v)]
+    want = []
+    for a, (q, x) in enumerate(whole):
         if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in whole.items()
-                            if i != q and len(x) == len(y))
-            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])}
+            scored = sorted((-sum(m * n for m, n in zip(x, y, strict=True)), i) for b, (i, y) in enumerate(whole)
+                            if a != b and len(x) == len(y))
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
     got = exact_topk.top_k(df, lambda i: i % 50 == 0).collect()
-    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
     assert exact_topk.top_k(df.limit(0), lambda i: i % 50 == 0).count() == 0
+
+
+def test_top_k_beyond_exact_doubles(spark):
+    """Products that a double does not hold are summed as integers; fewer than k candidates are all returned."""
+    big = [2.0 ** 20, 2.0 ** -8]
+    df = spark.createDataFrame([(0, big), (1, [2.0 ** 20, 2.0 ** -7]), (2, big), (3, [2.0 ** 20, 0.0])],
+                               "vec_id long, embedding array<double>")
+    got = exact_topk.top_k(df, lambda i: i % 50 == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2 ** 56 + 2), (2, 2 ** 56 + 1), (3, 2 ** 56)]
+
+
+def test_histograms_of_a_hot_vector(spark, monkeypatch):
+    """A third of all rows is one vector: its score is one integer, and ties go to the smallest ids."""
+    monkeypatch.setattr(exact_topk, "CANDIDATE_BLOCK", 64)
+    monkeypatch.setattr(exact_topk, "ENOUGH", 10)
+    rng = np.random.default_rng(2)
+    rows = [(i, [0.5, 0.5] if i % 3 == 0 else rng.uniform(-0.5, 0.4, 2).tolist()) for i in range(600)]
+    got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 300).collect()
+    assert sorted((r.rank, r.vec_id) for r in got) == [(1, 0), (2, 3), (3, 6), (4, 9), (5, 12)]
