@@ -189,6 +189,60 @@ def test_mixing_edges(spark, labelled):
     assert sum(i in left for i in truth if truth[i]) < 0.7 * sum(truth.values())
 
 
+def test_shares_after_thinning(spark):
+    """Kept shares are within 2 % of the targets, those of a plain projected gradient, and main documents stay."""
+    rng = np.random.default_rng(4)
+    n = 40_000
+    truth = rng.choice(3, n, p=[0.77, 0.12, 0.11])
+    p = np.full((n, 3), 0.004)
+    p[np.arange(n), truth] = 0.992
+    p[:4000] = rng.dirichlet([4, 1, 1], 4000)  # some of no clear domain
+    t = rng.integers(1, 400, n)
+    t[7] = 0
+    df = mixing.cut(spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(n)],
+                                          "id long, __tokens long, __p array<double>"), "rows")
+    goal = np.array([0.95, 0.03, 0.02])
+    rate, kept, want = mixing.fit_shares(df, goal.tolist())
+    assert np.allclose(kept, goal, rtol=0.02) and np.allclose(want, goal)
+    got = dict(df.select("id", rate).collect())
+    r = np.array([got[i] for i in range(n)])
+    assert 0 <= r.min() and r.max() <= 1 and r[7] == 1
+    main = p[:, 0] > 0.99
+    assert (r[main] == 1).mean() > 0.99 and r[truth == 1].mean() < 0.4
+    u = rng.random(n)
+    drawn = (t * (r + u >= 1)) @ p
+    assert np.allclose(drawn / drawn.sum(), goal, rtol=0.1)
+    # the same objective by plain steps
+    total, share, plain = t.sum(), t @ p / t.sum(), np.ones(n)
+    for _ in range(mixing.STEPS):
+        now = (t * plain) @ p / total
+        gap = (now - goal * now[0] / goal[0]) / share
+        gap[0] = mixing.HOLD * (now[0] - share[0]) / share[0]
+        plain = np.clip(plain - 0.5 / (1 + mixing.RIDGE) * (2 * p @ gap + 2 * mixing.RIDGE * (plain - 1)), 0, 1)
+    assert np.allclose((t * plain) @ p, (t * r) @ p, rtol=0.01)
+
+
+def test_scarce_domains_stay_whole(spark):
+    """A domain below its target is no reason to drop the main one; without tokens or targets nothing is dropped."""
+    rows = [(100, [0.999, 0.001])] * 50 + [(3, [0.001, 0.999])]
+    df = mixing.cut(spark.createDataFrame(rows, "__tokens long, __p array<double>"), "rows")
+    rate, _, _ = mixing.fit_shares(df, [0.7, 0.3])
+    assert {r[0] for r in df.select(rate).collect()} == {1.0}
+    for frame, goal in ((df, [0.0, 0.0]), (df.limit(0), [0.7, 0.3])):
+        rate, _, _ = mixing.fit_shares(frame, goal)
+        assert {r[0] for r in frame.select(rate).collect()} <= {1.0}
+
+
+def test_thinning_null_ids(spark, labelled):
+    """Rows without an id are drawn by their texts, not all alike."""
+    d, labels = _frames(spark, labelled)
+    domain = F.when(F.col("toxic") == 1, "toxic").otherwise("clean")
+    nameless = d.withColumn("doc_id", F.lit(None).cast("long"))
+    kept = mixing.resample(d.unionAll(nameless), labels, domain, {"clean": 0.97, "toxic": 0.03})
+    bad = sum(t for _, _, t in labelled[1])
+    assert 0 < kept.where("doc_id is null").count() - (len(labelled[1]) - bad) < bad
+
+
 def test_packing_places_every_token_once(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.choice([1, 5, 60, 300, 511, 700, 2500]))) for i in range(700)] + [(7, "w w"), (7, "w w")]

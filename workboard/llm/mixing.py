@@ -11,6 +11,10 @@ expected token totals match the targets while rates stay near 1. Projected gradi
 a document is a fold of its own posterior over the gradients so far, one number per domain and step, so an iteration is
 one aggregation over a small table and nothing per document is kept between iterations or reaches the driver.
 
+Where documents can only be kept or dropped (``fit_shares``, used by ``resample``), rates lie in [0, 1] and the totals follow the
+main domain, that of the largest target: T_k = T_main's present total * target_k / target_main. Domains with more than that are
+thinned to it; those with less, and the main one, are held at their present totals, so their documents stay.
+
 Edge cases: null and empty texts have no tokens and rate 1. Labels that are null are ignored; an id with several labels
 counts once with the smallest. A domain without labelled documents gets posterior 0 and no target. With no labels at all
 every rate is 1. Repeated rows get equal rates. An empty table gives no rows. Other columns are not looked at.
@@ -37,6 +41,8 @@ LEAST_G = 25.0
 STEPS = 25
 RIDGE = 1e-3
 TOLERANCE = 1e-4
+#: Weight of keeping the held domains whole, against the targets of the others.
+HOLD = 0.25
 
 
 @dataclass
@@ -162,6 +168,43 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, ridge:
     return (F.when(t > 0, rate).otherwise(one)), [float(x * total) for x in totals], [float(x * total) for x in wanted]
 
 
+def fit_shares(rows: DataFrame, targets: list[float], steps: int = STEPS, ridge: float = RIDGE, hold: float = HOLD,
+               tolerance: float = TOLERANCE) -> tuple[Column, list[float], list[float]]:
+    """Rates in [0, 1] for ``rows`` (__tokens, __p): (rate column, shares kept, wanted shares).
+
+    A domain scarcer than its target keeps all; it cannot be raised without repeats or without dropping the main domain.
+    """
+    k = len(targets)
+    p = [F.element_at("__p", i + 1) for i in range(k)]
+    t = F.col("__tokens").cast("double")
+    now = np.array(rows.agg(*[F.coalesce(F.sum(t * x), F.lit(0.0)) for x in p]).first(), dtype=float)
+    total, one = now.sum(), F.lit(1.0)
+    share = now / total if total > 0 else now
+    wanted = np.where(share > 0, np.array(targets, dtype=float), 0.0)
+    if wanted.sum() <= 0:
+        return one, share.tolist(), share.tolist()
+    wanted = wanted / wanted.sum()
+    main = int(np.argmax(wanted))
+    held = wanted * share[main] / wanted[main] >= share
+    rate, step, kept = one, 0.5 / (1 + ridge), share
+    for _ in range(0 if held.all() else steps):
+        follow = wanted * kept[main] / wanted[main]
+        # documents of the held domains are drawn back to 1 with a small weight, the others to their targets
+        gap = np.where(held, hold * (kept - share), kept - follow) / np.maximum(share, 1e-12)
+        pull = F.lit(0.0)
+        for x, g in zip(p, gap, strict=True):
+            pull = pull + x * F.lit(float(2 * g))
+        rate = F.least(one, F.greatest(F.lit(0.0), rate * F.lit(1 - 2 * ridge * step) + F.lit(2 * ridge * step)
+                                       - F.lit(step) * pull))
+        got = rows.select((t * rate).alias("w"), *[x.alias(f"p{i}") for i, x in enumerate(p)]).agg(
+            *[F.sum(F.col("w") * F.col(f"p{i}")) for i in range(k)]).first()
+        before, kept = kept, np.array(got, dtype=float) / total
+        if np.abs(kept - before).max() <= tolerance / 10:
+            break
+    rest = max(kept.sum(), 1e-300)
+    return F.when(t > 0, rate).otherwise(one), (kept / rest).tolist(), wanted.tolist()
+
+
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id",
         text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_tokens, domain, posterior, rate) for every row of ``docs``; ``domain`` is the likeliest.
@@ -184,9 +227,10 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, f
 
 def resample(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], id_col: str = "doc_id",
              text_col: str = "text", seed: int = 11, **options) -> DataFrame:
-    """``docs`` thinned by the rates, columns unchanged: a row stays if rate + u >= 1, u in [0, 1) a hash of its id.
+    """``docs`` thinned by rates in [0, 1], columns unchanged: a row stays if rate + u >= 1, u in [0, 1) a hash of its id.
 
-    Rates of 1 and more always stay; nothing is repeated, so duplicates removed before do not come back.
+    Rates of 1 always stay; nothing is repeated, so duplicates removed before do not come back. Rows with a null id are
+    drawn by a hash of their text.
     """
     model = fit_domains(docs, labels, domain, id_col, text_col, **options)
     if model is None:
@@ -194,6 +238,8 @@ def resample(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[s
     columns = docs.columns
     scored = members(docs, model, text_col)
     rows = cut(scored.select("__tokens", "__p"), "members")
-    rate, _, _ = fit_rates(rows, [targets.get(n, 0.0) for n in model.names])
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rate, _, _ = fit_shares(rows, [targets.get(n, 0.0) for n in model.names])
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed))).otherwise(
+        F.xxhash64(F.col(id_col), F.lit(seed)))
+    u = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
     return scored.where(rate + u >= 1).select(*columns)
