@@ -310,6 +310,24 @@ def test_url_templates(spark):
     assert len({r.template for r in got.values()}) <= 5
 
 
+def test_url_deep_templates(spark, monkeypatch):
+    """Branches of the sixth segment are told apart; long paths, long segments, repeated and null urls have a result."""
+    rows = [(i, f"http://h.org/a/b/c/d/e/{'spam' if i % 3 == 0 else 'news'}/{i}", i % 3 == 0) for i in range(300)]
+    rows += [(1000, "http://h.org" + "/x" * 3000, None), (1001, "http://h.org/" + "ab1" * 4000, None),
+             (1002, "http://h.org/" + "ab" * 6000, None), (0, rows[0][1], None), (0, rows[0][1], None), (None, None, True)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    for chars in (url_filter.BROADCAST_CHARS, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_CHARS", chars)
+        got = url_filter.judge(df, F.col("bad"), []).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.verdict == ("block" if "/spam/" in r.path else "allow")
+        assert {r.template for r in got if "/spam/" in r.path} == {"/*/*/*/*/*/spam/*"}
+        assert {r.template for r in got if r.page_id == 1000} == {"/*" * 3000}
+    shapes = df.select(url_filter.shape(F.lit("/" + "ab1" * 4000 + "/12ab/a1b/face/x9"))).first()[0]
+    assert shapes == ["<hex>", "<n>ab", "<hex>", "face", "x<n>"]
+
+
 def test_licences(spark):
     files = [(1, "/a/LICENSE", "MIT stuff\nReleased under the MIT License.\nmore"), (2, "/a/b/x.txt", "plain words"),
              (3, "/a/b/y.txt", "Some prose. Licensed under the Apache License, Version 2.0. And more prose here"), (4, "/a/c/COPYING", None),

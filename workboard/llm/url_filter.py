@@ -3,9 +3,9 @@
 Rules (host and path) come first: the longest rule whose host is the url's host or a parent domain of it, and whose path
 starts the url's path, decides. Every other url is judged by a template tree that is learnt from labelled pages.
 
-Per host, a path is a sequence of segments. Digits, hexadecimal and very long segments are variable and become
-wildcards at once. The tree then grows level by level over counted shapes (not pages): a literal branch is kept only if it has
-enough labelled pages and its share of bad ones differs significantly from that of its siblings; branches
+Per host, a path is a sequence of segments, of any number and length. Digits and hexadecimal segments are variable and become
+wildcards at once. The tree then grows level by level over counted shapes (not pages), as long as a node that goes on has labelled
+pages enough for a branch; what is deeper are wildcards. A literal branch is kept only if it has enough labelled pages and its share of bad ones differs significantly from that of its siblings; branches
 that are statistically alike are merged into one wildcard. A url's template is its host and its generalised path. The
 purity of a template is its share of bad pages, smoothed towards its host's share, which is smoothed towards the share
 of all pages; templates with a purity of ``REJECT`` and more are blocked.
@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from workboard.llm.store import cut, small
 
-#: Levels of the tree; what is deeper is one last wildcard.
-DEPTH = 4
 MIN_LABELLED = 20
 #: Two-sided 99 % bound of a difference of shares.
 Z = 2.58
 STRENGTH = 10.0
 REJECT = 0.5
+#: Verdicts are broadcast only if their shapes hold at most this many characters.
+BROADCAST_CHARS = 16_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,14 +55,13 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 
 def shape(path: Column) -> Column:
-    """Segments of a path with variable parts as wildcards; at most DEPTH + 1, the last standing for all deeper ones."""
+    """Segments of a whole path with variable parts as wildcards."""
     def general(s: Column) -> Column:
         s = F.regexp_replace(s, "[0-9]+", "<n>")
-        return (F.when(F.length(s) > 40, "<long>").when(s.rlike("^(<n>|[a-fA-F])*[a-fA-F]+<n>(<n>|[a-fA-F])*$"), "<hex>")
-                .otherwise(s))
+        letters = F.translate(F.replace(s, F.lit("<n>"), F.lit("")), "abcdefABCDEF", "")
+        return F.when((letters == "") & s.rlike("[a-fA-F]<n>"), "<hex>").otherwise(s)
 
-    segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
-    return F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit("**")))).otherwise(segments)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
 
 
 def _share(bad: Column, n: Column, prior: Column) -> Column:
@@ -72,7 +71,9 @@ def _share(bad: Column, n: Column, prior: Column) -> Column:
 def grow(shapes: DataFrame) -> DataFrame:
     """(host, shape, template) for counted ``shapes`` (host, shape, pages, labelled, bad)."""
     rows = shapes.withColumn("template", F.lit(""))
-    for d in range(DEPTH + 1):
+    d = 0
+    while not (rows.where(F.size("shape") > d).groupBy("host", "template").agg(F.sum("labelled").alias("n"))
+               .where(F.col("n") > MIN_LABELLED).isEmpty()):
         here = F.get("shape", F.lit(d))
         branches = rows.where(F.size("shape") > d).groupBy("host", "template", here.alias("seg")).agg(
             F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
@@ -89,7 +90,8 @@ def grow(shapes: DataFrame) -> DataFrame:
         rows = cut(rows.withColumn("seg", here).join(cut(token, "tokens"), ["host", "template", "seg"], "left")
                    .select("host", "shape", "pages", "labelled", "bad",
                            F.when(F.size("shape") > d, longer).otherwise(F.col("template")).alias("template")), "tree")
-    return rows
+        d += 1
+    return rows.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), F.greatest(F.size("shape") - d, F.lit(0)))))
 
 
 def purities(tree: DataFrame) -> DataFrame:
@@ -115,8 +117,10 @@ def judge(pages: DataFrame, bad: Column, rules: list[tuple[str, str, str]], id_c
                                                F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     tree = grow(cut(shapes, "shapes"))
     verdicts = cut(tree.join(purities(tree), ["host", "template"]).select("host", "shape", "template", "purity"), "verdicts")
+    chars = verdicts.agg(F.sum(F.length("host") + 2 * F.length(F.array_join("shape", "/")))).first()[0] or 0
+    side = small(verdicts) if chars <= BROADCAST_CHARS else verdicts
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    return (seen.drop("bad").join(small(verdicts), ["host", "shape"], "left")
+    return (seen.drop("bad").join(side, ["host", "shape"], "left")
             .select("page_id", "host", "path", rule.alias("rule"),
                     F.coalesce(verdict, F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"),
                     "template", "purity"))
