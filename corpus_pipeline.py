@@ -25,7 +25,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are thinned by the rates that bring domain totals to the targets; rates of 1 and more always stay."""
+    """Documents are thinned by rates in [0, 1] that bring the shares kept to the targets; main documents stay."""
     return mixing.resample(docs, table(spark, sf_dir, "labels"), domain(), TARGETS)
 
 
