@@ -169,6 +169,38 @@ def test_marks_of_equal_windows_are_equal():
         assert alone[0] == value[s] and p[0] == pos[s] - s
 
 
+def test_blocks_are_named_alike_everywhere():
+    """A passage has the same blocks in its interior in every text; names follow from symbols, not from places."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: substring_dedup.mix(rng.integers(1, 1 << 60, n).astype(np.uint64))
+    passage = fresh(200)
+    one = np.concatenate([fresh(31), passage, fresh(40)])
+    two = np.concatenate([fresh(5), fresh(90), passage])
+    a = substring_dedup.blocks(one, np.array([0]))[31:231]
+    b = substring_dedup.blocks(two, np.array([0, 5]))[95:295]
+    c, none = substring_dedup.CONTEXT, substring_dedup._NONE
+    inner = slice(c, 200 - c - substring_dedup.BLOCK - substring_dedup.SYMBOL + 1)
+    assert (a[inner] == b[inner]).all()
+    named = a[inner][a[inner] != none]
+    assert len(named) > 60 and len(set(named.tolist())) == len(named)
+    starts = np.flatnonzero(a[inner] != none)
+    assert np.diff(starts).max() <= substring_dedup.SYMBOL
+
+
+def test_long_repeats_runs_and_periods(spark):
+    """Repeats of 10,000 words, a run and a period of many thousand words, with clashing columns, against brute force."""
+    rng = random.Random(3)
+    long = _words(rng, 10_000, 3000)
+    texts = [" ".join(_words(rng, 300) + long + _words(rng, 100)), " ".join(long[17:9_900]), " ".join(["run"] * 9_000),
+             " ".join(["p", "q", "r"] * 4_000 + _words(rng, 60)), " ".join(["q", "r", "p"] * 20 + _words(rng, 60)),
+             " ".join(_words(rng, 5_000, 100_000))]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, 5, "k", "d", 7) for i, t in rows],
+                               "doc_id long, text string, n_words int, key string, digest string, copies int")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == dict(enumerate(_brute_repeats(texts)))
+
+
 def test_repeated_passages_edges(spark):
     t = " ".join(f"k{i}" for i in range(40))
     rows = [(1, t), (1, t), (2, None), (2, "few words"), (None, "few words")]

@@ -2,20 +2,23 @@
 
 A window is ``WINDOW`` consecutive words. Every word covered by a window whose word sequence starts anywhere else too is
 removed. Recompression makes equal passages recognisable without comparing all windows: rounds name runs of equal
-symbols, and pairs of a left and a right symbol (the side is a bit of the symbol's name, another one each round). A
-name is a 64-bit hash of what it stands for, so names are global: every task gives the same run or pair the same name
-without a dictionary to exchange. Only symbols of bounded length take part in a round, so whether a symbol starts at a
-word depends on at most ``CONTEXT`` words on either side, and no symbol is longer than 4 words except long runs, which
-stay uncompressed. Two equal windows therefore have the same symbol starts in their interiors. From these, a window's
-mark is the start whose following ``SEED`` words have the smallest name; equal windows have equal marks.
+symbols, then pairs of a left and a right symbol (the side is a bit of the symbol's name, another one each round), then
+blocks of pair symbols. A name is a 64-bit hash of the names it stands for, so names are global: every task gives the
+same run, pair or block the same name without a dictionary to exchange. Only symbols of bounded length take part in a
+round, so whether a symbol starts at a word depends on at most ``CONTEXT`` words on either side, and no symbol of the
+pair rounds is longer than 4 words (long runs stay uncompressed). A block is as many symbols as cover ``BLOCK`` words,
+hence at most ``BLOCK`` + 3. Equal windows therefore have the same blocks in their interiors, wherever they lie.
 
-Spark counts the names of all marks. A window whose mark is unique in the corpus cannot repeat; the windows left are
-named whole by 96 bits, counted by Spark in turn, and those counted twice and more are removed. No window is lost
-by the marks: that follows from the bounds above.
+Two Spark rounds follow. The first counts block names over the corpus: each window is represented by the smallest of
+its interior blocks, and the blocks that occur twice are the join keys that reveal repeats; a window whose block is
+unique cannot repeat. The second goes down to the lowest level: windows around shared blocks are named by their words,
+each word by 128 bits in two unrelated halves, and counted by both sums of 64 bits; windows counted twice and more are
+removed, and as neighbouring windows overlap, what goes are the maximal repeats. No window is lost by the blocks: that
+follows from the bounds above.
 
 Documents with equal word sequences are one class, counted first: all words of a class of two and more go (if it has a
 window), and one document of it stands for all in the search. Counts combine before their shuffles and names are
-joined back by plain joins, so a passage or a copy in a third of all rows spreads. A document's own marks and
+joined back by plain joins, so a passage or a copy in a third of all rows spreads. A document's own blocks and
 starts are gathered per document, which is bounded by the document.
 
 Edge cases: null, empty and blank texts have no words and the digest of the empty string. Texts shorter than a window
@@ -31,36 +34,42 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workboard.llm.store import cut, small
-from workboard.llm.words import batches, mix, segments, window_hashes, word_hashes
+from workboard.llm.words import batches, mix, segments, window_hashes
 
 WINDOW = 35
-SEED = 12
 #: Longest run that gets a name, and longest symbols that take part in each pair round.
-RUN = 3
-PAIR_ROUNDS = (1, 1, 2, 2)
+RUN = 2
+PAIR_ROUNDS = (1, 1, 2)
+#: Longest symbol of the pair rounds, and words that the symbols of a block cover at least.
+SYMBOL = 4
+BLOCK = 8
 #: Words on either side that decide whether a symbol starts at a word.
 CONTEXT = RUN + sum(PAIR_ROUNDS)
-#: Marks of a window start within these words of it.
-FIRST, LAST = CONTEXT, WINDOW - SEED
-assert LAST - FIRST + 1 == 15 and LAST + CONTEXT <= WINDOW
+#: A window's blocks start within these words of it; they end where the window still decides the symbols.
+FIRST, LAST = CONTEXT, WINDOW - CONTEXT - (BLOCK + SYMBOL - 1)
+assert LAST - FIRST + 1 >= SYMBOL and SYMBOL >= max(RUN, 2 * max(PAIR_ROUNDS))
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _SIDES = mix(np.arange(1, len(PAIR_ROUNDS) + 1, dtype=np.uint64) * _PAIR)
+#: Odd base of the block names and its inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def symbol_starts(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Whether a symbol starts at each word after all rounds; ``starts`` are the first words of documents."""
+def symbols(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, first word) of the symbols after all run and pair rounds; ``starts`` are the first words of documents."""
     at = np.arange(len(words))
-    first = np.zeros(len(words), bool)
-    first[starts[starts < len(words)]] = True
-    name, length, head = words, np.ones(len(words), np.int64), first
+    head = np.zeros(len(words), bool)
+    head[starts[starts < len(words)]] = True
+    name, length = words.copy(), np.ones(len(words), np.int64)
     if not len(words):
-        return first
+        return name, at
     # runs of equal symbols
     begins = np.flatnonzero(np.append(True, name[1:] != name[:-1]) | head)
     run = np.diff(np.append(begins, len(name)))
@@ -68,7 +77,6 @@ def symbol_starts(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     keep = np.ones(len(name), bool)
     for k in range(1, RUN):
         keep[(begins[short & (run > k)] + k)] = False
-    name, length = name.copy(), length.copy()
     name[begins[short]] = mix(name[begins[short]] * _PAIR + run[short].astype(np.uint64))
     length[begins[short]] = run[short]
     name, length, head, at = name[keep], length[keep], head[keep], at[keep]
@@ -81,30 +89,46 @@ def symbol_starts(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         keep = np.ones(len(name), bool)
         keep[joins + 1] = False
         name, length, head, at = name[keep], length[keep], head[keep], at[keep]
-    out = np.zeros(len(words), bool)
-    out[at] = True
+    return name, at
+
+
+def blocks(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The name of the block that starts at each word, ``_NONE`` where none does.
+
+    A block's name is made of the names of its symbols alone, the same wherever it stands.
+    """
+    out = np.full(len(words), _NONE)
+    name, at = symbols(words, starts)
+    if not len(name):
+        return out
+    n = len(words)
+    ends = np.append(np.sort(starts[starts < n]), n)  # of documents
+    last = ends[np.searchsorted(ends, at, side="right")]
+    first = np.flatnonzero(at + BLOCK <= last)
+    stop = np.searchsorted(np.append(at, n), at[first] + BLOCK)
+
+    def series(base: int) -> np.ndarray:
+        factors = np.full(len(name) + 1, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors, dtype=np.uint64)
+
+    sums = np.append(np.uint64(0), np.cumsum(mix(name) * series(_BASE)[:-1], dtype=np.uint64))
+    out[at[first]] = mix((sums[stop] - sums[first]) * series(_INVERSE)[first])
     return out
 
 
 def window_marks(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(name, position) of the mark of the window at each word, for words far enough from the end of the array."""
+    """(name, position) of the smallest interior block of the window at each word that a whole window follows."""
     n = len(words) - WINDOW + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    name = np.full(len(words), _NONE)
-    seeds = mix(window_hashes(words, SEED))
-    symbol = symbol_starts(words, starts)[:len(seeds)]
-    name[:len(seeds)][symbol] = seeds[symbol]
-    pos = np.arange(len(words))
-
-    def wider(v: np.ndarray, p: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each entry and the one ``by`` further the smaller, of equal ones the first."""
+    v, p = blocks(words, starts), np.arange(len(words))
+    width = 1
+    while width <= LAST - FIRST:  # the smallest of twice as many words, of equal ones the first
+        by = min(width, LAST - FIRST + 1 - width)
         later = v[by:] < v[:-by]
-        return np.where(later, v[by:], v[:-by]), np.where(later, p[by:], p[:-by])
-
-    v, p = name, pos
-    for by in (1, 2, 4, 7):  # 2, 4, 8 and then 15 words
-        v, p = wider(v, p, by)
+        v, p = np.where(later, v[by:], v[:-by]), np.where(later, p[by:], p[:-by])
+        width += by
     return v[FIRST:FIRST + n], p[FIRST:FIRST + n]
 
 
@@ -112,14 +136,17 @@ def _texts(batch: pa.RecordBatch, name: str) -> list:
     return [t or b"" for t in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
-def _hashed(texts: list) -> tuple[list, np.ndarray, np.ndarray]:
+def _hashed(texts: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the two halves of their 128-bit hashes and the words' offsets by text."""
     split = [t.split() for t in texts]
-    return split, word_hashes(list(chain.from_iterable(split))), segments(np.array([len(w) for w in split]))
+    flat = b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(split)))
+    both = np.frombuffer(flat, "<u8").reshape(-1, 2)
+    return split, both[:, 0].copy(), both[:, 1].copy(), segments(np.array([len(w) for w in split]))
 
 
 def _parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(it, "text"):
-        split, words, off = _hashed(_texts(batch, "text"))
+        split, words, _, off = _hashed(_texts(batch, "text"))
         value, pos = window_marks(words, off[:-1])
         marks = []
         for a, b in zip(off[:-1], off[1:], strict=True):
@@ -139,11 +166,11 @@ def _parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, start, h1, h2) of the windows whose mark is among the document's repeated ``marks``."""
+    """(key, start, h1, h2) of the windows whose block is among the document's shared ``marks``."""
     for batch in batches(it, "text"):
         key = batch.column(0).to_numpy()
         marks = batch.column(batch.schema.get_field_index("marks"))
-        _, words, off = _hashed(_texts(batch, "text"))
+        _, words, check, off = _hashed(_texts(batch, "text"))
         value, _ = window_marks(words, off[:-1])
         which, start = [], []
         for i, (a, b) in enumerate(zip(off[:-1], off[1:], strict=True)):
@@ -158,12 +185,12 @@ def _windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which, start = np.concatenate(which), np.concatenate(start)
         at = off[which] + start
         h1 = mix(window_hashes(words, WINDOW))[at]
-        h2 = mix(window_hashes(mix(words + _PAIR), WINDOW))[at] >> np.uint64(32)
+        h2 = window_hashes(mix(check), WINDOW)[at]
         for k in range(0, len(at), 200_000):
             part = slice(k, k + 200_000)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[which[part]]), pa.array(start[part].astype(np.int32)), pa.array(h1[part].view(np.int64)),
-                 pa.array(h2[part].astype(np.uint32).view(np.int32))], names=["key", "start", "h1", "h2"])
+                 pa.array(h2[part].view(np.int64))], names=["key", "start", "h1", "h2"])
 
 
 def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +241,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                   "per_doc")
     keys = cut(per_doc.select(F.col("key").alias("k")), "keys")
     found = texts.join(small(keys), F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"]).join(per_doc, "key")
-    windows = cut(found.select("key", "text", "marks").mapInArrow(_windows, "key long, start int, h1 long, h2 int"),
+    windows = cut(found.select("key", "text", "marks").mapInArrow(_windows, "key long, start int, h1 long, h2 long"),
                   "windows")
     twice = _repeated(windows, ["h1", "h2"], "twice")
     # the documents of classes lose everything anyway: their windows only count
