@@ -1,6 +1,7 @@
 """Quality, personal data, mixing, packing, url filter and licence scan on small tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -328,6 +329,65 @@ def test_url_deep_templates(spark, monkeypatch):
     assert shapes == ["<hex>", "<n>ab", "<hex>", "face", "x<n>"]
 
 
+def _kl_evidence(b, n, q):
+    return sum(k * math.log(k / (n * p)) for k, p in ((b, q), (n - b, 1 - q)) if k)
+
+
+def test_url_tree_against_brute_force(spark):
+    """Templates, purities and verdicts of two-segment paths by a plain loop; random labels reject nothing."""
+    rng, rows = random.Random(12), []
+    for i in range(1500):
+        host = rng.choice(["a.x.org", "b.x.org", "c.y.org", "lone"])
+        one, two = rng.choice("pqr"), rng.choice("st")
+        risk = 0.9 if (host, one) == ("b.x.org", "q") else 0.02 if (host, one) == ("c.y.org", "r") else 0.15
+        rows.append((i, f"http://{host}/{one}/{two}", (rng.random() < risk) if rng.random() < 0.7 else None))
+    rows += rows[:50]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    seen = [(u[7:].split("/"), b) for _, u, b in rows]
+    template = [""] * len(rows)
+    for d in (1, 2):
+        count = {}
+        for (s, b), t in zip(seen, template, strict=True):
+            for k in ((s[0], t), (s[0], t, s[d])):
+                c = count.setdefault(k, [0, 0])
+                c[0] += b is not None
+                c[1] += bool(b)
+        tests = sum(1 for k, c in count.items() if len(k) == 3 and c[0])
+        keep = {k for k, (n, b) in count.items() if len(k) == 3 and 0 < n < count[k[:2]][0]
+                and _kl_evidence(b, n, count[k[:2]][1] / count[k[:2]][0]) > math.log(2 * tests / url_filter.ERROR)}
+        template = [f"{t}/{s[d] if (s[0], t, s[d]) in keep else '*'}" for (s, _), t in zip(seen, template, strict=True)]
+
+    def tally(key):
+        out = {}
+        for (s, b), t in zip(seen, template, strict=True):
+            c = out.setdefault(key(s[0], t), [0, 0])
+            c[0] += b is not None
+            c[1] += bool(b)
+        return out
+
+    domain = lambda h: {"lone": "lone"}.get(h, h[2:])
+    own, hosts, domains = tally(lambda h, t: (h, t)), tally(lambda h, t: h), tally(lambda h, t: domain(h))
+    (n, b), = tally(lambda h, t: 0).values()
+    base = b / n
+    least = min(0.5, 3 * base / (1 - base) / (1 + 3 * base / (1 - base)))
+    smooth = lambda c, prior: (c[1] + 10 * prior) / (c[0] + 10)
+    want = {}
+    for (h, t), c in own.items():
+        purity = smooth(c, smooth(hosts[h], smooth(domains[domain(h)], base)))
+        out = c[1] > c[0] * base and _kl_evidence(c[1], c[0], base) > math.log(len(own) / url_filter.ERROR)
+        want[h, t] = (purity, "block" if out and purity >= least else "allow")
+    got = url_filter.judge(df, F.col("bad"), []).collect()
+    assert len(got) == len(rows)
+    assert {(r.host, r.template) for r in got} == set(want)
+    for r in got:
+        purity, verdict = want[r.host, r.template]
+        assert r.verdict == verdict and abs(r.purity - purity) < 1e-9
+    assert {(r.host, r.path[:2]) for r in got if r.verdict == "block"} == {("b.x.org", "/q")}
+
+    noise = df.withColumn("bad", F.col("bad").isNotNull() & (F.xxhash64("page_id", F.lit(5)) % 4 == 0))
+    assert {r.verdict for r in url_filter.judge(noise, F.col("bad"), []).collect()} == {"allow"}
+
+
 def test_licences(spark):
     files = [(1, "/a/LICENSE", "MIT stuff\nReleased under the MIT License.\nmore"), (2, "/a/b/x.txt", "plain words"),
              (3, "/a/b/y.txt", "Some prose. Licensed under the Apache License, Version 2.0. And more prose here"), (4, "/a/c/COPYING", None),

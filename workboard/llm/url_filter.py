@@ -4,11 +4,19 @@ Rules (host and path) come first: the longest rule whose host is the url's host
 starts the url's path, decides. Every other url is judged by a template tree that is learnt from labelled pages.
 
 Per host, a path is a sequence of segments, of any number and length. Digits and hexadecimal segments are variable and become
-wildcards at once. The tree then grows level by level over counted shapes (not pages), as long as a node that goes on has labelled
-pages enough for a branch; what is deeper are wildcards. A literal branch is kept only if it has enough labelled pages and its share of bad ones differs significantly from that of its siblings; branches
-that are statistically alike are merged into one wildcard. A url's template is its host and its generalised path. The
-purity of a template is its share of bad pages, smoothed towards its host's share, which is smoothed towards the share
-of all pages; templates with a purity of ``REJECT`` and more are blocked.
+wildcards at once. The tree then grows level by level over counted shapes (not pages), as long as some node that goes on holds
+labels enough for a branch to differ; what is deeper are wildcards. A literal branch is kept only if its bad pages are more, or
+fewer, than chance deals it from its node; all other branches are statistically alike and are merged into one wildcard. A
+url's template is its host and its generalised path.
+
+The purity of a template is its share of bad pages, smoothed towards its host's share, which is smoothed towards the share of
+all hosts of its domain (the host without its first label) and that towards the share of all pages. A template is rejected if
+its smoothed purity reaches ``REJECT``, or ``LIFT`` times the odds of all pages where that is less, and its bad pages are more
+than the share of all pages (at most ``REJECT``) gives by chance.
+
+Chance is bounded in closed form at every size: of n pages drawn from a share q, at least (or at most) b are bad with a
+probability of at most exp(-n KL(b/n, q)), with or without replacement. ``ERROR`` is shared out among all tests of a level,
+or all templates, so that labels that have nothing to do with urls keep no branch and reject no template but by ``ERROR``.
 
 All pages and all labels count. Trees are small tables (one row per host and shape), joined back to the pages.
 
@@ -18,16 +26,17 @@ Repeated rows get equal results. An empty table gives no rows. Other columns are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workboard.llm.store import cut, small
 
-MIN_LABELLED = 20
-#: Two-sided 99 % bound of a difference of shares.
-Z = 2.58
+#: Probability of any branch kept, or template rejected, by chance alone (by level, and for all templates).
+ERROR = 0.01
 STRENGTH = 10.0
-REJECT = 0.5
+REJECT, LIFT = 0.5, 3.0
 #: Verdicts are broadcast only if their shapes hold at most this many characters.
 BROADCAST_CHARS = 16_000_000
 
@@ -68,22 +77,35 @@ def _share(bad: Column, n: Column, prior: Column) -> Column:
     return (bad + STRENGTH * prior) / (n + STRENGTH)
 
 
+def _evidence(bad: Column, n: Column, share: Column) -> Column:
+    """n KL(bad / n, share): the chance that ``share`` gives a count this far off is at most exp of its negative."""
+    def part(k: Column, q: Column) -> Column:
+        expected = F.greatest(n * q, F.lit(1e-300))
+        return F.when(k > 0, k * F.ln(k / expected)).otherwise(0.0)
+
+    return part(bad.cast("double"), share) + part((n - bad).cast("double"), 1 - share)
+
+
+def _bound(tests: int) -> float:
+    return math.log(max(tests, 1) / ERROR)
+
+
 def grow(shapes: DataFrame) -> DataFrame:
     """(host, shape, template) for counted ``shapes`` (host, shape, pages, labelled, bad)."""
     rows = shapes.withColumn("template", F.lit(""))
+    share = F.col("all_b") / F.greatest(F.col("all_n"), F.lit(1))
+    # no branch of a node can be further off than one that holds all of its bad pages, or all of its good ones
+    most = F.greatest(_evidence(F.col("all_b"), F.col("all_b"), share),
+                      _evidence(F.lit(0), F.col("all_n") - F.col("all_b"), share))
     d = 0
-    while not (rows.where(F.size("shape") > d).groupBy("host", "template").agg(F.sum("labelled").alias("n"))
-               .where(F.col("n") > MIN_LABELLED).isEmpty()):
+    while not (rows.where(F.size("shape") > d).groupBy("host", "template")
+               .agg(F.sum("labelled").alias("all_n"), F.sum("bad").alias("all_b")).where(most > _bound(2)).isEmpty()):
         here = F.get("shape", F.lit(d))
-        branches = rows.where(F.size("shape") > d).groupBy("host", "template", here.alias("seg")).agg(
-            F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-        branches = cut(branches, "branches")
+        branches = cut(rows.where(F.size("shape") > d).groupBy("host", "template", here.alias("seg")).agg(
+            F.sum("labelled").alias("n"), F.sum("bad").alias("b")), "branches")
         whole = branches.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
-        rest_n, rest_b = F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b")
-        p = F.col("all_b") / F.greatest(F.col("all_n"), F.lit(1))
-        error = F.sqrt(p * (1 - p) * (1.0 / F.greatest("n", F.lit(1)) + 1.0 / F.greatest(rest_n, F.lit(1))))
-        differs = ((F.col("n") >= MIN_LABELLED) & (rest_n >= 1)
-                   & (F.abs(F.col("b") / F.greatest("n", F.lit(1)) - rest_b / F.greatest(rest_n, F.lit(1))) > Z * error))
+        bound = _bound(2 * branches.where("n > 0").count())
+        differs = (F.col("n") < F.col("all_n")) & (_evidence(F.col("b"), F.col("n"), share) > bound)
         token = (branches.join(whole, ["host", "template"])
                  .select("host", "template", "seg", F.when(differs, F.col("seg")).otherwise("*").alias("token")))
         longer = F.concat("template", F.lit("/"), F.coalesce("token", F.lit("*")))
@@ -95,13 +117,22 @@ def grow(shapes: DataFrame) -> DataFrame:
 
 
 def purities(tree: DataFrame) -> DataFrame:
-    """(host, template, purity): smoothed share of bad pages."""
-    overall = tree.agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n")).select(
-        (F.coalesce("b", F.lit(0)) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))).alias("overall"))
-    prior = overall.first()[0]
-    hosts = tree.groupBy("host").agg(_share(F.sum("bad"), F.sum("labelled"), F.lit(prior)).alias("of_host"))
-    own = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n"))
-    return own.join(hosts, "host").select("host", "template", _share(F.col("b"), F.col("n"), F.col("of_host")).alias("purity"))
+    """(host, template, purity, rejected): smoothed share of bad pages, and whether it is rejected."""
+    own = cut(tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("n"))
+              .withColumn("domain", F.regexp_replace("host", "^[^.]*[.](?=.*[.])", "")), "templates")
+    tests, bad, labelled = own.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("b"), F.lit(0)),
+                                   F.coalesce(F.sum("n"), F.lit(0))).first()
+    base = bad / max(labelled, 1)
+    odds = LIFT * base / (1 - base) if base < 1 else math.inf
+    least = min(REJECT, odds / (1 + odds)) if base < 1 else REJECT
+    chance = F.lit(min(base, REJECT))
+    domains = own.groupBy("domain").agg(_share(F.sum("b"), F.sum("n"), F.lit(base)).alias("of_domain"))
+    hosts = own.groupBy("host", "domain").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).join(domains, "domain").select(
+        "host", _share(F.col("b"), F.col("n"), F.col("of_domain")).alias("of_host"))
+    purity = _share(F.col("b"), F.col("n"), F.col("of_host"))
+    beyond = (F.col("b") > F.col("n") * chance) & (_evidence(F.col("b"), F.col("n"), chance) > _bound(tests))
+    return own.join(hosts, "host").select("host", "template", purity.alias("purity"),
+                                          (beyond & (purity >= least)).alias("rejected"))
 
 
 def judge(pages: DataFrame, bad: Column, rules: list[tuple[str, str, str]], id_col: str = "page_id",
@@ -116,11 +147,12 @@ def judge(pages: DataFrame, bad: Column, rules: list[tuple[str, str, str]], id_c
     shapes = seen.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count("bad").alias("labelled"),
                                                F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     tree = grow(cut(shapes, "shapes"))
-    verdicts = cut(tree.join(purities(tree), ["host", "template"]).select("host", "shape", "template", "purity"), "verdicts")
+    verdicts = cut(tree.join(purities(tree), ["host", "template"]).select(
+        "host", "shape", "template", "purity", "rejected"), "verdicts")
     chars = verdicts.agg(F.sum(F.length("host") + 2 * F.length(F.array_join("shape", "/")))).first()[0] or 0
     side = small(verdicts) if chars <= BROADCAST_CHARS else verdicts
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     return (seen.drop("bad").join(side, ["host", "shape"], "left")
             .select("page_id", "host", "path", rule.alias("rule"),
-                    F.coalesce(verdict, F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"),
+                    F.coalesce(verdict, F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"),
                     "template", "purity"))
