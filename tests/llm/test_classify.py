@@ -329,6 +329,41 @@ def test_url_deep_templates(spark, monkeypatch):
     assert shapes == ["<hex>", "<n>ab", "<hex>", "face", "x<n>"]
 
 
+def _plain_best_fit(sizes, lengths, overhead):
+    """Best-fit by looking at every open sequence for each piece: (bin, offset, capacity) by piece."""
+    bins, out = [], []  # [length, used, step of the last change]
+    for i, size in enumerate(sizes):
+        fitting = [(b[0] - b[1], -b[2], k) for k, b in enumerate(bins) if b[0] - b[1] >= size]
+        if fitting:
+            k = min(fitting)[2]
+        else:
+            def cost(n):
+                rest = sum(x for x in sizes[i + 1:] if x <= n - size)  # noqa: B023
+                return (overhead + n + n * n / packing.ATTENTION) / (size + min(n - size, rest)), n  # noqa: B023
+            bins.append([min((n for n in lengths if n >= size), key=cost), 0, 0])
+            k = len(bins) - 1
+        out.append((k, bins[k][1]))
+        bins[k][1:] = [bins[k][1] + size, i + 1]
+    return [(k, at, min(n for n in lengths if n >= bins[k][1])) for k, at in out]
+
+
+def test_packing_against_plain_best_fit(spark):
+    """Every shard of a packed table is what a plain best-fit of its pieces gives; ties and repeated rows included."""
+    rng = random.Random(21)
+    rows = [(i, rng.choice([1, 2, 7, 7, 40, 63, 64, 65, 200, 255, 300, 513, 1500]) + rng.randrange(3)) for i in range(900)]
+    rows += rows[:40] + [(None, 12), (950, None), (951, 0)]
+    df = spark.createDataFrame([(i, n, 3) for i, n in rows], "doc_id long, n long, shard int")
+    lengths = (64, 256, 512)
+    shards = defaultdict(list)
+    for r in packing.best_fit(df, lengths, tokens=F.col("n"), shard_pieces=300).where("bin is not null").collect():
+        shards[r.shard].append(r)
+    assert len(shards) > 2
+    for placed in shards.values():
+        sizes = sorted((r.n_tokens for r in placed), reverse=True)
+        want = sorted((n, *w) for n, w in zip(sizes, _plain_best_fit(sizes, lengths, packing.OVERHEAD), strict=True))
+        assert sorted((r.n_tokens, r.bin, r.offset, r.capacity) for r in placed) == want
+
+
 def _kl_evidence(b, n, q):
     return sum(k * math.log(k / (n * p)) for k, p in ((b, q), (n - b, 1 - q)) if k)
 
@@ -388,6 +423,46 @@ def test_url_tree_against_brute_force(spark):
     assert {r.verdict for r in url_filter.judge(noise, F.col("bad"), []).collect()} == {"allow"}
 
 
+def test_licence_scores_against_brute_force(spark):
+    """Best template and cosine of every notice by a plain loop; equal cosines, repeated and very long notices included."""
+    rng = random.Random(17)
+    fill = ["file", "of", "the", "work", "is", "terms", "version", "2.0", "license", "copyright", "Apache", "public", "c++"]
+    notices = [t for _, t in license_scan.TEMPLATES] + [t.upper() + "..." for _, t in license_scan.TEMPLATES]
+    notices += [" ".join(rng.choice(fill) for _ in range(rng.randrange(1, 25))) for _ in range(120)]
+    notices += [f"{t} {' '.join(rng.choice(fill) for _ in range(rng.randrange(12)))}" for _, t in license_scan.TEMPLATES * 3]
+    notices += ["Licensed under the License", "Released", "-- . --", "license " * 30_000, license_scan._ISC, license_scan._PERMISSION]
+    notices += notices[:5]
+
+    def terms(text):
+        out = defaultdict(int)
+        for w in re.findall("[a-z0-9][a-z0-9.+-]*", text.lower()):
+            out[re.sub("[.-]+$", "", w)] += 1
+        return out
+
+    known = [(n, terms(t)) for n, t in license_scan.TEMPLATES + license_scan.BODIES]
+    texts = {t: terms(t) for t in notices}
+    every = list(texts.values()) + [x for _, x in known]
+    df = defaultdict(int)
+    for x in every:
+        for w in x:
+            df[w] += 1
+    weigh = lambda x: {w: n * (math.log((len(every) + 1) / (df[w] + 1)) + 1) for w, n in x.items()}
+    norm = lambda x: math.sqrt(sum(v * v for v in x.values()))
+    known = [(n, weigh(x)) for n, x in known]
+    want = {}
+    for t, x in texts.items():
+        x = weigh(x)
+        scores = [(-round(sum(v * y.get(w, 0.0) for w, v in x.items()) / (norm(x) * norm(y)), 9), n) for n, y in known if x]
+        if scores and -min(scores)[0] >= license_scan.THRESHOLD:
+            want[t] = min(scores)
+    found = spark.createDataFrame([(1, t, "x") for t in notices], "file long, notice string, license string")
+    got = license_scan.best_templates(found).collect()
+    assert len(got) == len(want) > 80
+    for r in got:
+        score, name = want[r.notice]
+        assert r.license == name and abs(r.score + score) < 1e-8
+
+
 def test_licences(spark):
     files = [(1, "/a/LICENSE", "MIT stuff\nReleased under the MIT License.\nmore"), (2, "/a/b/x.txt", "plain words"),
              (3, "/a/b/y.txt", "Some prose. Licensed under the Apache License, Version 2.0. And more prose here"), (4, "/a/c/COPYING", None),
