@@ -9,11 +9,11 @@ sub-run of at most ``GROUPS`` whole groups with 10 to 19 digits (so proposals st
 A candidate that alone would be a base span (a whole group or four groups of four passing Luhn's check, a number after
 ``+``) is accepted. For the others, boosted trees for each likely kind score the context (neighbouring characters, words
 before it; for cards, where the base rule can match every form, the format too). They never see what defines a base
-rule: no ``+``, no ``@``, no checksum, and not whether base matched the form. They are fitted on the whole corpus without
-a sample, base spans against decoys: numbers that can be no phone number, cards failing their check, addresses with
+rule: no ``+``, no ``@``, no checksum, and not whether base matched the form. They are fitted on all texts but
+one in ``FOLDS`` (by a hash of the text), base spans against decoys: numbers that can be no phone number, cards failing their check, addresses with
 another short word than "at" in the brackets. All of these are counted by feature vector in Spark, so what reaches the
-driver is at most the size of the feature grid. The threshold of a kind is the lowest score at which ``PRECISION`` of
-base spans and decoys above are base spans and, for phone numbers and addresses, the decoys let expect at most
+driver is at most the size of the feature grid. The threshold of a kind is calibrated on the texts held
+out: the lowest score at which ``PRECISION`` of their base spans and decoys above are base spans and, for phone numbers and addresses, the decoys let expect at most
 1 - ``PRECISION`` random ones among the other candidates above. Overlapping accepted candidates are resolved by score;
 of one that touches a base span, the uncovered rest is added.
 
@@ -66,6 +66,9 @@ _CONTEXTS = ["(?i)mail|contact|write", "(?i)tel|phone|call|fax|mobile", "(?i)car
              "(?i)\\bip\\b|host|server", "(?i)token|key|password|secret|hash|version|order|isbn"]
 PRECISION = 0.98
 ROUNDS = 20
+#: One text in this many calibrates the thresholds and teaches no tree.
+FOLDS = 4
+ROLES = ("hit", "other", "decoy")
 
 _SPAN = "array<struct<kind:string,start:int,end:int,s:string>>"
 
@@ -144,6 +147,8 @@ def _in_order(spans: Column) -> Column:
 #: Feature -> number of its values; their product bounds what is collected. The first three are format, for cards only.
 GRID = {"digits": 21, "dots": 5, "gaps": 6, "left": 4, "right": 4, "context": 6}
 FORMAT = 3
+#: The features that make a form: digits and gaps.
+FORM = [0, 2]
 
 
 def _char_class(c: Column) -> Column:
@@ -320,40 +325,61 @@ class Judge:
         return F.coalesce(F.try_element_at(known, key), F.lit(0.0))
 
 
+def _held(text: Column) -> Column:
+    """Whether a text's candidates calibrate the thresholds (one text in ``FOLDS``); copies of a text stay together."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(FOLDS)) == 0
+
+
 def fit(found: DataFrame) -> Judge:
-    """Fit on ``found`` (candidates: array of candidate structs): counted by feature vector in Spark, all of them."""
-    rows = (found.select(F.explode("candidates").alias("c")).where("c.role is not null")
-            .select("c.kind", "c.role", *[f"c.{k}" for k in GRID])
-            .groupBy("kind", "role", *GRID).count().orderBy("kind", "role", *GRID).collect())
+    """Fit on ``found`` (candidates: array of candidate structs, held): counted by feature vector in Spark, all of them.
+
+    Trees learn from the texts that are not held, thresholds come from the held ones alone. A kind without base spans on
+    either side gets no threshold.
+    """
+    # format counts for cards, and for the forms of base spans: other cells are few
+    kept = F.expr("c.kind = 'card' or c.role = 'hit'")
+    features = [F.when(kept, F.col(f"c.{k}")).otherwise(0).alias(k) if i < FORMAT else F.col(f"c.{k}")
+                for i, k in enumerate(GRID)]
+    rows = (found.select("held", F.explode("candidates").alias("c")).where("c.role is not null")
+            .select("held", "c.kind", "c.role", *features)
+            .groupBy("held", "kind", "role", *GRID).count().orderBy("held", "kind", "role", *GRID).collect())
+    of_kind = np.array([KINDS.index(r["kind"]) if r["kind"] else -1 for r in rows], dtype=int)
+    of_role = np.array([ROLES.index(r["role"]) for r in rows], dtype=int)
+    held = np.array([r["held"] for r in rows], dtype=bool)
+    every = np.array([[r[k] for k in GRID] for r in rows], dtype=float).reshape(-1, len(GRID))
+    count = np.array([r["count"] for r in rows], dtype=float)
     judge = Judge()
-    for kind in KINDS:
-        hits = [r for r in rows if r["kind"] == kind and r["role"] == "hit"]
-        if not hits:
+    for at, kind in enumerate(KINDS):
+        hits = (of_kind == at) & (of_role == 0)
+        for form in np.unique(every[hits][:, FORM], axis=0).tolist():
+            same = hits & (every[:, FORM] == form).all(axis=1)
+            judge.forms[f"{kind}:{form[0]:.0f}:{form[1]:.0f}"] = float(count[same].sum() / count[hits].sum())
+        if not (hits & held).any() or not (hits & ~held).any():
             continue
-        for r in hits:
-            key = f"{kind}:{r['digits']}:{r['gaps']}"
-            judge.forms[key] = judge.forms.get(key, 0.0) + r["count"] / sum(h["count"] for h in hits)
-        others = [r for r in rows if r["kind"] == kind and r["role"] == "other"]
+        others = (of_kind == at) & (of_role == 1)
         # a number of no kind, or failing the check of its kind, is a random number also for phones
-        like = {"email": ("email",), "phone": (None, "card", "ip"), "card": ("card",), "ip": ("ip",)}[kind]
-        decoys = [r for r in rows if r["role"] == "decoy" and r["kind"] in like]
-        if kind == "phone" and not decoys:
+        like = [KINDS.index("card"), KINDS.index("ip"), -1] if kind == "phone" else [at]
+        decoys = (of_role == 2) & np.isin(of_kind, like)
+        if kind == "phone" and not decoys.any():
             decoys = others
-        every = hits + others + decoys
-        x = np.array([[r[k] for k in GRID] for r in every], dtype=float)
+        x = every.copy()
         if kind != "card":
             x[:, :FORMAT] = 0
-        cells, cell = np.unique(x, axis=0, return_inverse=True)
-        count = np.array([r["count"] for r in every], dtype=float)
-        role = np.repeat([0, 1, 2], [len(hits), len(others), len(decoys)])
-        n_hit, n_other, n_decoy = (np.bincount(cell.ravel(), count * (role == k), len(cells)) for k in range(3))
+        wanted = hits | others | decoys
+        cells, inverse = np.unique(x[wanted], axis=0, return_inverse=True)
+        cell = np.zeros(len(x), int)
+        cell[wanted] = inverse.ravel()
+
+        def counts(part: np.ndarray) -> np.ndarray:
+            return np.bincount(cell[part], count[part], len(cells))  # noqa: B023
+
         # one decoy is spread over all cells, so that cells without any base span score low
-        weight = np.concatenate([n_hit, n_decoy + 1 / len(cells)])
+        weight = np.concatenate([counts(hits & ~held), counts(decoys & ~held) + 1 / len(cells)])
         base, trees = boost(np.concatenate([cells, cells]), np.repeat([1.0, 0.0], len(cells)), weight, rounds=ROUNDS, depth=3)
         margin = base + sum(predict(t, cells) for t in trees)
         levels, group = np.unique(-margin, return_inverse=True)  # falling margins, equal ones together
-        own = np.bincount(group, n_hit, len(levels))
-        hit, other, decoy = (np.cumsum(np.bincount(group, n, len(levels))) for n in (n_hit, n_other, n_decoy))
+        own, other, decoy = (np.bincount(group, counts(p & held), len(levels)) for p in (hits, others, decoys))
+        hit, other, decoy = np.cumsum(own), np.cumsum(other), np.cumsum(decoy)
         good = (own > 0) & (hit >= PRECISION * (hit + decoy))
         if kind in ("email", "phone"):
             # as many random ones of this form are expected as the decoys' share above tells; each bracketed decoy is one
@@ -424,7 +450,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, base, spans) for every row: base spans and all spans, as arrays of (kind, start, end, s)."""
     found = cut(_located(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__raw")),
                          F.col("__raw")).select("doc_id", F.col("__base").alias("base"),
-                                                F.col("__candidates").alias("candidates")), "pii")
+                                                F.col("__candidates").alias("candidates"), _held(F.col("__raw")).alias("held")), "pii")
     judge = fit(found)
     return found.select("doc_id", "base", _added(judge, F.col("base"), F.col("candidates")).alias("spans"))
 
@@ -455,7 +481,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """``docs`` with all spans redacted in ``text_col``, columns unchanged; ``length_col`` follows where it exists."""
     columns = docs.columns
     judge = fit(cut(_located(docs.select(F.col(text_col).alias("__raw")), F.col("__raw"))
-                    .where(F.size("__candidates") > 0).select(F.col("__candidates").alias("candidates")), "pii"))
+                    .where(F.size("__candidates") > 0).select(F.col("__candidates").alias("candidates"),
+                                                             _held(F.col("__raw")).alias("held")), "pii"))
     out = _located(docs, F.col(text_col))
     out = out.withColumn("__spans", _added(judge, F.col("__base"), F.col("__candidates")))
     out = out.withColumn(text_col, _redacted(F.col(text_col), F.col("__spans")))
