@@ -82,6 +82,25 @@ def test_ordered_deletes_reject_and_take_nothing(spark):
     assert left.count() == 0 and [r.outcome for r in out.collect()] == ["missing"]
 
 
+def test_ordered_deletes_move_requests_and_rows_by_id_once(spark):
+    """What is left and the outcomes read requests and rows where they were placed: only what the rounds found is shuffled."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    tasks = spark.createDataFrame([(i, i - i % 4 if i % 4 else None, "t") for i in range(40)], TREE)
+    requests = spark.createDataFrame([(i, 50 - i) for i in range(45)] + [(8, 60), (8, 60)], "Id bigint, seq bigint")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        left, out, _ = ordered_deletes.delete_tasks_in_order(tasks, requests)
+        for df, n in ((left, 0), (out, 46)):
+            assert df.count() == n
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") <= 2, plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 # ------------------------------------------------------------------ S4 in R4
 
 BODY = '{"solicitante":"%s","area":"TI"}'

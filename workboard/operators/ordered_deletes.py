@@ -7,6 +7,10 @@ The batch is not replayed row by row. A task goes at its first request after all
 it goes follows from the times of its children: a fixpoint over the forest of requested tasks, climbed from the leaves, one
 aggregate per parent and round. There are as many rounds as that forest is high (a plan of phases and subtasks: two); a phase
 with any number of children is combined before the shuffle.
+
+Ids may be long texts, so rows travel by id once: requests, and rows with what was asked of them, are written hashed by id
+(:func:`placed`) and every later join by id reads them in place. A row without children is settled by its first request. A
+round moves only what its rows report to their parents; it looks at later requests only where the first came too early.
 """
 
 from __future__ import annotations
@@ -17,34 +21,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workboard.operators.changes import split_changes
-from workboard.session import cut
+from workboard.session import cut, placed
 
 
-def _went(tasks: DataFrame, requests: DataFrame, key: str, parent: str) -> tuple[DataFrame, DataFrame]:
-    """``(known, went)``: requested tasks that exist, and (id, ``at``) of those that go."""
-    above = F.when(F.col(parent) != F.col(key), F.col(parent))  # a row that names itself does not hold itself
-    plan = cut(tasks.select(F.col(key).alias("id"), above.alias("up")), "deletes-plan")
-    children = (plan.where(F.col("up").isNotNull()).groupBy("up").agg(F.count(F.lit(1)).alias("n"))
-                .withColumnRenamed("up", "id"))
-    first = requests.groupBy("id").agg(F.min("seq").alias("first"))
-    known = cut(plan.join(first, "id").join(children, "id", "left")
-                .select("id", "up", F.coalesce("n", F.lit(0)).alias("n"), "first"), "deletes-known")
-    holding = known.where("n > 0").select("id", "up", "n")
-    newly, partly, rounds = known.where("n = 0").select("id", "up", F.col("first").alias("at")), None, []
-    while not newly.isEmpty():
-        rounds.append(newly.select("id", "at"))
+def _climb(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, ``at``) of the requested rows with children that go. ``known``: id, up, n (children), first and last request."""
+    known = known.where("first is not null")
+    holding = known.where("n > 0")
+    again = cut(asked.join(holding.where("first < final").select("id"), "id", "left_semi"), "deletes-again")
+    newly, partly, rounds = known.where("n = 0").select("up", F.col("first").alias("at")), None, []
+    while True:
         sums = (newly.where(F.col("up").isNotNull()).groupBy("up").agg(F.count(F.lit(1)).alias("gone"), F.max("at").alias("last"))
                 .withColumnRenamed("up", "id"))
         if partly is not None:
             sums = partly.unionByName(sums).groupBy("id").agg(F.sum("gone").alias("gone"), F.max("last").alias("last"))
-        reached = sums.join(holding, "id").withColumn("free", F.col("gone") == F.col("n"))
-        later = requests.withColumnRenamed("id", "_id")
-        tried = reached.join(later, F.col("free") & (F.col("id") == F.col("_id")) & (F.col("seq") > F.col("last")), "left")
-        state = cut(tried.groupBy("id", "up", "free", "gone", "last").agg(F.min("seq").alias("at")), "deletes-round")
+        reached = holding.join(sums, "id").withColumn("free", F.col("gone") == F.col("n"))
+        later = again.withColumnRenamed("id", "_id")
+        tried = reached.join(later, F.col("free") & (F.col("first") <= F.col("last")) & (F.col("id") == F.col("_id"))
+                             & (F.col("seq") > F.col("last")), "left")
+        state = cut(tried.groupBy("id", "up", "free", "gone", "last", "first")
+                    .agg(F.min("seq").alias("retry")).withColumn("at", F.when(
+                        F.col("free"), F.when(F.col("first") > F.col("last"), F.col("first")).otherwise(F.col("retry"))))
+                    .drop("first", "retry"), "deletes-round")
         partly = state.where("not free").select("id", "gone", "last")
         newly = state.where("at is not null").select("id", "up", "at")
-    empty = known.select("id", F.col("first").alias("at")).limit(0)
-    return known, reduce(DataFrame.unionByName, rounds, empty)
+        rounds.append(newly.select("id", "at"))
+        if newly.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
 
 
 def delete_tasks_in_order(tasks: DataFrame, requests: DataFrame, key: str = "Id", parent: str = "TareaPadreId",
@@ -57,12 +60,22 @@ def delete_tasks_in_order(tasks: DataFrame, requests: DataFrame, key: str = "Id"
     parents is never removed; a row that names itself is. Requests without key or order are ``rejects`` with their reason.
     """
     usable, rejects = split_changes(requests.select(key, seq), [key], seq)
-    asked = cut(usable.select(F.col(key).alias("id"), F.col(seq).alias("seq")).distinct(), "deletes-asked")
-    known, went = _went(tasks, asked, key, parent)
-    went = cut(went, "deletes-went")
-    found = (asked.join(known.select("id", F.lit(True).alias("_e")), "id", "left").join(went, "id", "left")
+    asked = placed(usable.select(F.col(key).alias("id"), F.col(seq).alias("seq")), "id", "deletes-asked",
+                   lambda d: d.distinct())
+    spans = asked.groupBy("id").agg(F.min("seq").alias("first"), F.max("seq").alias("final"))
+    above = F.when(F.col(parent) != F.col(key), F.col(parent))  # a row that names itself does not hold itself
+    children = (tasks.select(above.alias("id")).where(F.col("id").isNotNull()).groupBy("id")
+                .agg(F.count(F.lit(1)).alias("n")))
+    rows = placed(tasks, key, "deletes-rows", lambda d: (
+        d.join(spans.toDF(key, "_first", "_final"), key, "left").join(children.toDF(key, "_n"), key, "left")
+        .withColumn("_n", F.coalesce("_n", F.lit(0)))))
+    known = rows.select(F.col(key).alias("id"), above.alias("up"), F.col("_n").alias("n"), F.col("_first").alias("first"),
+                        F.col("_final").alias("final"))
+    gone = rows.join(_climb(known, asked).toDF(key, "_climbed"), key, "left").withColumn(
+        "_at", F.when(F.col("_n") == 0, F.col("_first")).otherwise(F.col("_climbed")))
+    found = (asked.join(gone.select(F.col(key).alias("id"), F.lit(True).alias("_e"), F.col("_at").alias("at")), "id", "left")
              .select(F.col("id").alias(key), F.col("seq").alias(seq),
                      F.when(F.col("_e").isNull(), "missing")
                      .when(F.col("at").isNull() | (F.col("seq") < F.col("at")), "blocked")
                      .when(F.col("seq") == F.col("at"), "deleted").otherwise("missing").alias("outcome")))
-    return tasks.join(went.select(F.col("id").alias(key)), key, "left_anti"), found, rejects
+    return gone.where(F.col("_at").isNull()).select(*tasks.columns), found, rejects

@@ -1147,7 +1147,7 @@ def q_validation_split(spark, sf_dir):
 
 # ------------------------------------------------------------------ R4: stream change application (final state)
 
-from workboard.session import fresh_path, shared_root  # noqa: E402
+from workboard.session import cut, fresh_path, shared_root  # noqa: E402
 from workboard.streaming import apply as stream_apply  # noqa: E402
 
 
@@ -1517,7 +1517,9 @@ _DEEP_REQUESTS = (
 
 def _deep_plan(spark, sf_dir):
     whole = Window.partitionBy("ProyectoId")
-    t = roles.TASKS.df(spark, sf_dir).select("Id", "ProyectoId").withColumns({
+    keys = roles.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    ids = [f"{roles.spark_expr(e)} AS {n}" for n, e in roles.TASKS.cols if n in ("Id", "ProyectoId")]
+    t = keys.repartition("l_orderkey").selectExpr(*ids).withColumns({  # the narrow key columns travel, not the id's text
         "pos": F.row_number().over(whole.orderBy("Id")), "antes": F.lag("Id").over(whole.orderBy("Id")), "fase": F.min("Id").over(whole)})
     up = (F.when(F.col("ProyectoId") % 2 == 0, F.when(F.col("pos") % 4 != 1, F.col("antes")))
           .when(F.col("Id") != F.col("fase"), F.col("fase")))
@@ -1525,7 +1527,7 @@ def _deep_plan(spark, sf_dir):
 
 
 def _delete_in_order(spark, sf_dir):
-    plan = _deep_plan(spark, sf_dir)
+    plan = cut(_deep_plan(spark, sf_dir), "deep-plan")
     asked = ", ".join(f"IF({w}, named_struct('Id', {i}, 'seq', CAST({q} AS BIGINT)), NULL)" for i, q, w in _DEEP_REQUESTS)
     requests = plan.selectExpr(f"explode(array_compact(array({asked}))) AS r").select("r.*")
     return ordered_deletes.delete_tasks_in_order(plan.drop("pos"), requests)

@@ -8,6 +8,7 @@ skew-join splitting, and the Spark UI off.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,5 +76,17 @@ def fresh_path(root: str, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as plain Parquet under the shared root and read it back, so that rounds do not grow one plan."""
     path = fresh_path(shared_root(df.sparkSession), name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def placed(df: DataFrame, key: str, name: str, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows shuffled once by ``key``, worked on by ``then`` (joins and groups by that key) and written as a bucketed table under
+    the shared root: later joins and groups by the key read them in place, without another shuffle."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(shared_root(spark), name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    (then(df.repartition(n, key)).write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key)
+     .saveAsTable(table, format="parquet"))
+    return spark.table(table)
