@@ -2,6 +2,8 @@ import datetime as dt
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from workboard.operators import attachments, directory, intake
 
 NOW = dt.datetime(2026, 9, 1)
@@ -30,6 +32,20 @@ def test_erp_envelope_and_rules(spark):
     assert r[4]["Motivo"] == "cuerpo_invalido"
 
 
+def test_bodies_of_one_partition_are_parsed_by_many_tasks(spark):
+    """A small file of many rows is one partition; its bodies are dealt out before they are parsed, none lost or doubled."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    body = json.dumps({"model": {"solicitante": "Ana", "area": "TI", "informacion_general": {"nombre_aplicacion": "Caja"}}})
+    raw = _bodies(spark, [body] * 400 + ["{no"] * 40).coalesce(1)
+    for read in (intake.erp_requests, intake.infra_requests):
+        typed = read(raw).select("Ref", "Motivo")
+        sizes = typed.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(sizes) == n and max(r["count"] for r in sizes) < 2 * 440 / n
+        rows = typed.collect()
+        assert sorted(r.Ref for r in rows) == list(range(440))
+        assert sum(r.Motivo == "json_invalido" for r in rows) == 40
+
+
 def test_infra_title_and_numbers(spark):
     body = {"model": {"informacion_general": {"nombre_aplicacion": "Caja", "identificador": "APP-1"},
                       "computo_y_contenedores": {"cpu_total_vcpu": "2.5", "ram_total_gb": 99999999999},

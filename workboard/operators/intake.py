@@ -3,7 +3,7 @@
 Each intake is ``raw text rows → typed rows + Motivo``: ``Motivo`` is null for accepted rows and otherwise names
 the first failing rule, so ``valid ∪ rejects`` is always the whole input (nothing is dropped silently). The body
 is parsed once into a VARIANT (``try_parse_json``; malformed text → null → rejected), which keeps the JSON value
-types that the flag rules depend on. Everything is row-local: intake is a map-only stage.
+types that the flag rules depend on. Everything is row-local; the only shuffle deals JSON bodies out over tasks.
 """
 
 from __future__ import annotations
@@ -28,6 +28,12 @@ def field(v: Column, *path: str) -> Column:
     return F.try_variant_get(v, p, "variant")
 
 
+def spread(raw: DataFrame) -> DataFrame:
+    """Bodies dealt out evenly over ``spark.sql.shuffle.partitions`` tasks before work that costs far more than their bytes: a
+    small file of many rows (one row group) would be parsed by one task. A stream is left as its source cuts it."""
+    return raw if raw.isStreaming else raw.repartition(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def staged_body(raw: DataFrame, text_col: str, fields: dict, typed: tuple = ()) -> DataFrame:
     """S2 + H15 + H16: parse ``body.model || body`` and extract members, one projection per stage.
 
@@ -90,7 +96,7 @@ def erp_requests(raw: DataFrame, text_col: str = "body", collect: bool = False)
 
     ``collect`` trims the entries of the list members first, as the portal's form does before it sends them (H26).
     """
-    d = staged_body(raw, text_col, _ERP_FIELDS, typed=("modulos", "procesos", "transformar_fabric"))
+    d = staged_body(spread(raw), text_col, _ERP_FIELDS, typed=("modulos", "procesos", "transformar_fabric"))
     clean = {
         "Solicitante": clean_text(_t("solicitante"), 200), "Area": clean_text(_t("area"), 200),
         "Descripcion": clean_text(_t("descripcion")), "Modulos": join_list(_v("modulos"), ", ", t=_y("modulos"), collect=collect),
@@ -120,7 +126,7 @@ _GENERAL_FIELDS = {k: ("m", k) for k in ("solicitante", "area", "asunto", "ambit
 
 def general_requests(raw: DataFrame, text_col: str = "body", collect: bool = False) -> DataFrame:
     """General request bodies → ``requests_general`` columns + ``Motivo`` (``collect``: see :func:`erp_requests`)."""
-    d = staged_body(raw, text_col, _GENERAL_FIELDS, typed=("ambito",))
+    d = staged_body(spread(raw), text_col, _GENERAL_FIELDS, typed=("ambito",))
     clean = {
         "Titulo": clean_text(_t("asunto"), 300), "Solicitante": clean_text(_t("solicitante"), 200),
         "Area": clean_text(_t("area"), 200), "Ambito": join_list(_v("ambito"), ", ", t=_y("ambito"), collect=collect),
@@ -163,7 +169,7 @@ def infra_requests(raw: DataFrame, text_col: str = "body") -> DataFrame:
     Numbers use ``Number()`` (decimals; out of range → null and rejected) and the truncating integer rule (H3); the title is the
     supplied list title, else ``identificador – nombre`` (raw text, not cut), else the name (H12a). No default state.
     """
-    d = staged_body(raw, text_col, _INFRA_FIELDS, typed=("ident", "nombre"))
+    d = staged_body(spread(raw), text_col, _INFRA_FIELDS, typed=("ident", "nombre"))
     clean = {
         "Aplicacion": clean_text(_t("nombre"), 200), "Identificador": clean_text(_t("ident"), 100),
         "Proyecto": clean_text(_t("proyecto"), 200), "LiderProyecto": clean_text(_t("lider"), 200),
@@ -298,7 +304,7 @@ def _members(*names: str) -> dict:
 def tracking_changes(raw: DataFrame, text_col: str = "body", id_col: str = "id") -> DataFrame:
     """Tracking PATCH bodies (``id`` of the path, JSON text) → ``Id, Estado, Responsable, FechaEntrega, Motivo``;
     other input columns (the batch order) stay."""
-    d = staged_body(raw, text_col, _members("estado", "responsable", "fechaEntrega"))
+    d = staged_body(raw, text_col, _members("estado", "responsable", "fechaEntrega"))  # in the order they came
     d = d.withColumns({"_reason": _change_reason(id_col), "_id": to_id(id_col)}).drop(id_col)
     return _finish(d, {"Id": F.col("_id"), "Estado": clean_text(_t("estado"), 50),
                        "Responsable": clean_text(_t("responsable"), 200),
@@ -307,7 +313,7 @@ def tracking_changes(raw: DataFrame, text_col: str = "body", id_col: str = "id")
 
 def project_changes(raw: DataFrame, text_col: str = "body", id_col: str = "id") -> DataFrame:
     """Project PATCH bodies → typed change rows + ``Motivo``."""
-    d = staged_body(raw, text_col, _members("nombre", "descripcion", "responsable", "fechaInicio", "fechaFin", "estado"))
+    d = staged_body(spread(raw), text_col, _members("nombre", "descripcion", "responsable", "fechaInicio", "fechaFin", "estado"))
     d = d.withColumns({"_reason": _change_reason(id_col), "_id": to_id(id_col)}).drop(id_col)
     return _finish(d, {"Id": F.col("_id"), "Nombre": clean_text(_t("nombre"), 200),
                        "Descripcion": clean_text(_t("descripcion")), "Responsable": clean_text(_t("responsable"), 200),
@@ -317,7 +323,7 @@ def project_changes(raw: DataFrame, text_col: str = "body", id_col: str = "id")
 
 def task_changes(raw: DataFrame, text_col: str = "body", id_col: str = "id") -> DataFrame:
     """Task PATCH bodies → typed change rows + ``Motivo`` (progress clamped, milestone strict bit)."""
-    d = staged_body(raw, text_col, _members("nombre", "fechaInicio", "fechaFin", "progreso", "responsable", "dependenciaId",
+    d = staged_body(spread(raw), text_col, _members("nombre", "fechaInicio", "fechaFin", "progreso", "responsable", "dependenciaId",
                                             "tareaPadreId", "esHito", "orden"), typed=("esHito",))
     reason = _change_reason(id_col).when(id_too_large(_t("dependenciaId"), _t("tareaPadreId")), "id_fuera_de_rango")
     d = d.withColumns({"_reason": reason, "_id": to_id(id_col)}).drop(id_col)
@@ -348,7 +354,7 @@ def release_changes(raw: DataFrame, text_col: str = "body") -> DataFrame:
     The key must be a known kind and a non-zero request id; a blank state becomes ``Planificado``; the four gates follow
     JavaScript truthiness (H10). Other input columns (the batch order) stay.
     """
-    d = staged_body(raw, text_col, _members(
+    d = staged_body(spread(raw), text_col, _members(
         "tipo", "solicitudId", "estado", *[m for m, _ in _RELEASE_TEXT.values()], *_RELEASE_DATES.values(),
         *_RELEASE_TIMES.values(), *_RELEASE_GATES.values()), typed=tuple(_RELEASE_GATES.values()))
     clean = {"Tipo": clean_text(_t("tipo"), 10), "SolicitudId": to_id(_t("solicitudId")),

@@ -47,8 +47,9 @@ def read_log(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def _log(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write ``df`` as the partition of its batch (none, if it has no rows)."""
-    _write(df.withColumn("batch", F.lit(batch_id).cast("bigint")), path)
+    """Write ``df`` as the partition of its batch (none, if it has no rows), in files of Spark's advisory size: intake deals
+    bodies out over many tasks."""
+    _write(df.hint("rebalance").withColumn("batch", F.lit(batch_id).cast("bigint")), path)
 
 
 def change_log_stream(changes: DataFrame, normalise: Callable[[DataFrame], DataFrame], log_path: str, checkpoint: str,
