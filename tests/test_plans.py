@@ -3,12 +3,16 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from workboard import schemas
 from workboard.operators import changes, search
+from workboard.plans import catalog
 from workboard.sources import tables
 
+SF = "/root/testdata/sf0.001"
+
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -64,3 +68,12 @@ def test_lowered_search_copy_is_pushed(spark, tmp_dir):
     assert "StringContains(titulo_lc,caja)" in _plan(q)
     assert [r["Id"] for r in q.collect()] == [1]
     assert [r["Id"] for r in t.where(search.text_search("c_ja", ["titulo_lc"], lowered=True)).collect()] == [1]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_seed_tasks_are_linked_before_their_texts_are_made(spark):
+    """The join to the parents moves stored columns; the text id (built with ``lpad``) is made above the join."""
+    for name in ("seed_load", "seed_load_rejects"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        above, below = plan.split("Join ", 1)
+        assert "lpad" in above and "lpad" not in below, name

@@ -883,9 +883,10 @@ FROM t JOIN p ON p.o_orderkey = t.ProyectoId
 def q_seed_load(spark, sf_dir):
     parents = tables.with_ids(roles.read(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
                               .select("o_orderkey"), [F.col("o_orderkey")], base=0)
-    kids = roles.TASKS.df(spark, sf_dir).withColumnRenamed("ProyectoId", "o_orderkey")
-    linked = tables.link_children(kids, parents, "o_orderkey", "ProyectoId")
-    return linked.where(F.col("ProyectoId").isNotNull()).drop("o_orderkey")  # the rest: seed_load_rejects
+    # rows are linked as stored: the task's texts are made after the join, so they are not shuffled
+    linked = tables.link_children(roles.read(spark, sf_dir, "lineitem"), parents, "l_orderkey", "ProyectoId", "o_orderkey")
+    return linked.where(F.col("ProyectoId").isNotNull()).selectExpr(  # the rest: seed_load_rejects
+        *[f"{roles.spark_expr(e)} AS {n}" for n, e in roles.TASKS.cols if n != "ProyectoId"], "ProyectoId")
 
 
 @register("seed_load_rejects", f"""
@@ -895,9 +896,9 @@ WHERE ProyectoId NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'
 """)
 def q_seed_load_rejects(spark, sf_dir):
     parents = roles.read(spark, sf_dir, "orders").where("o_orderstatus = 'O'").selectExpr("o_orderkey", "o_orderkey AS Id")
-    kids = roles.TASKS.df(spark, sf_dir).withColumnRenamed("ProyectoId", "o_orderkey")
-    linked = tables.link_children(kids, parents, "o_orderkey", "ProyectoId")
-    return linked.where(F.col("ProyectoId").isNull()).select("Id", "o_orderkey", F.lit("sin_padre").alias("Motivo"))
+    linked = tables.link_children(roles.read(spark, sf_dir, "lineitem"), parents, "l_orderkey", "ProyectoId", "o_orderkey")
+    return linked.where(F.col("ProyectoId").isNull()).selectExpr(f"{roles.TASK_KEY} AS Id", "l_orderkey AS o_orderkey",
+                                                                 "'sin_padre' AS Motivo")
 
 
 # ------------------------------------------------------------------ H1: clean text
