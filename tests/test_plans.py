@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from workboard import schemas
-from workboard.operators import changes, search
+from workboard.operators import changes, intake, search
 from workboard.plans import catalog
 from workboard.sources import tables
 
@@ -77,3 +77,19 @@ def test_seed_tasks_are_linked_before_their_texts_are_made(spark):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         above, below = plan.split("Join ", 1)
         assert "lpad" in above and "lpad" not in below, name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_task_bodies_of_one_row_group_are_read_by_many_tasks(spark):
+    parts = catalog.QUERIES["task_intake"](spark, SF).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_task_body_id_is_searched_once(spark):
+    raw = spark.createDataFrame([("7x", "99999999999999999999", None, "3%", "a"), (" ", "5", "", None, "b")],
+                                "proyectoId string, dependenciaId string, tareaPadreId string, progreso string, nombre string")
+    typed = intake.tasks(raw)
+    rows = [(r.ProyectoId, r.DependenciaId, r.TareaPadreId, r.Progreso, r.Motivo) for r in typed.collect()]
+    assert rows == [(7, None, None, 3, "id_fuera_de_rango"), (None, 5, None, 0, "sin_proyecto")]
+    plan = typed._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(ltrim(cast(proyectoId") + plan.count("regexp_extract(ltrim(proyectoId") <= 1

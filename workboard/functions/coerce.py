@@ -92,6 +92,19 @@ def to_id(c) -> Column:
     return F.when(raw != "", digits.try_cast("bigint"))
 
 
+def leading_int(c) -> Column:
+    """The text of the integer a value starts with (``''`` if none), staged by rules that read an id more than once."""
+    return F.regexp_extract(F.ltrim(_c(c).cast("string"), F.lit(JS_WS_CHARS)), "^([+-]?[0-9]+)", 1)
+
+
+def id_text_too_large(*cs) -> Column:
+    """:func:`id_too_large` of texts from :func:`leading_int`."""
+    out = F.lit(False)
+    for c in cs:
+        out = out | F.coalesce((_c(c) != "") & _c(c).try_cast("bigint").isNull(), F.lit(False))
+    return out
+
+
 def id_too_large(*cs) -> Column:
     """Whether any of the values starts with an integer that no BIGINT holds."""
     out = F.lit(False)
@@ -118,7 +131,12 @@ def number_out_of_range(c, precision: int, scale: int) -> Column:
 
 def clamp_progress(c) -> Column:
     """H6 ``clampProg``: parseInt then clamp to 0..100; null stays null."""
-    n = to_int_prefix(c)
+    return clamp(to_int_prefix(c))
+
+
+def clamp(n) -> Column:
+    """The clamp of :func:`clamp_progress` for a number already read."""
+    n = _c(n)
     return F.when(n.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), n)))
 
 
@@ -156,8 +174,13 @@ def to_timestamp_utc(c, cleaned: bool = False) -> Column:
     does not depend on the session time zone. ``cleaned=True`` takes text already passed through
     :func:`clean_text` (stage it as a column first: the text is referenced several times here).
     """
+    return F.date_trunc("millisecond", _utc(c, cleaned)).cast("timestamp_ntz")
+
+
+def _utc(c, cleaned: bool) -> Column:
     t = _c(c) if cleaned else clean_text(c)
-    zoned = t.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$")
+    # asked of ISO text only: after the ten characters of the day, a sign can only be that of a zone
+    zoned = (F.length(t) > 10) & (t.endswith("Z") | F.substring(t, -6, 1).isin("+", "-"))
     # zone-less text is a UTC wall clock already: a TIMESTAMP_NTZ cast reads it without any session zone
     local = t.try_cast("timestamp_ntz")
     # zoned text is an instant (the cast needs seconds before a zone, so a minute-only time gets ':00'),
@@ -165,13 +188,12 @@ def to_timestamp_utc(c, cleaned: bool = False) -> Column:
     instant = F.coalesce(t.try_cast("timestamp"),
                          F.regexp_replace(t, "^(.{16})", "$1:00").try_cast("timestamp"))
     utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
-    return F.when(t.rlike(_ISO_RE), F.date_trunc("millisecond", F.when(zoned, utc).otherwise(local))
-                  .cast("timestamp_ntz"))
+    return F.when(t.rlike(_ISO_RE), F.when(zoned, utc).otherwise(local))
 
 
 def to_date_utc(c, cleaned: bool = False) -> Column:
     """H5 for DATE columns: the UTC calendar day of :func:`to_timestamp_utc`."""
-    return to_timestamp_utc(c, cleaned).cast("date")
+    return _utc(c, cleaned).cast("date")
 
 
 def date_or_now(c, as_of, cleaned: bool = False) -> Column:

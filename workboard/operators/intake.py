@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workboard.functions.coerce import (as_of_lit, clamp_progress, clean_text, date_or_now, default_if_blank,
-                                        id_too_large, join_list, jstr, jtype, now_utc, number_out_of_range, strict_bit,
-                                        strict_bit_text, to_date_utc, to_decimal, to_id, to_id_trunc, to_int_prefix,
+from workboard.functions.coerce import (as_of_lit, clamp, clamp_progress, clean_text, date_or_now, default_if_blank,
+                                        id_text_too_large, id_too_large, join_list, jstr, jtype, leading_int, now_utc,
+                                        number_out_of_range, strict_bit, strict_bit_text, to_date_utc, to_decimal, to_id, to_id_trunc, to_int_prefix,
                                         to_int_trunc, to_timestamp_utc, truthy, yes_no)
 from workboard.operators.attachments import passthrough, with_fields
 from workboard.schemas import KINDS
@@ -255,19 +255,22 @@ def tasks(raw: DataFrame) -> DataFrame:
     raw = _stage_clean(with_fields(raw, ["proyectoId", "nombre", "fechaInicio", "fechaFin", "progreso", "responsable",
                                          "dependenciaId", "tareaPadreId", "esHito", "orden"]),
                        ["fechaInicio", "fechaFin"])
-    pid, nombre = to_id("proyectoId"), clean_text("nombre", 300)
+    ids = ("proyectoId", "dependenciaId", "tareaPadreId")  # read by several rules: their integers are found once
+    raw = raw.withColumns({**{f"_c_{c}": leading_int(c) for c in ids}, "_c_progreso": to_int_prefix("progreso")})
+    raw = raw.withColumn("_c_id", F.col("_c_proyectoId").try_cast("bigint"))
+    pid, nombre = F.col("_c_id"), clean_text("nombre", 300)
     hito = strict_bit_text("esHito")
-    motivo = F.when(id_too_large("proyectoId", "dependenciaId", "tareaPadreId"), "id_fuera_de_rango").when(F.coalesce(pid == 0, F.lit(True)), "sin_proyecto").when(nombre.isNull(), "sin_nombre")
+    motivo = F.when(id_text_too_large(*[f"_c_{c}" for c in ids]), "id_fuera_de_rango").when(F.coalesce(pid == 0, F.lit(True)), "sin_proyecto").when(nombre.isNull(), "sin_nombre")
     return _drop_staged(raw.select(
                       *passthrough(raw, ["ProyectoId", "Nombre", "FechaInicio", "FechaFin", "Progreso",
                                          "Responsable", "DependenciaId", "TareaPadreId", "EsHito", "Orden", "Motivo"]),
                       pid.alias("ProyectoId"), nombre.alias("Nombre"),
                       to_date_utc("_c_fechaInicio", cleaned=True).alias("FechaInicio"),
                       to_date_utc("_c_fechaFin", cleaned=True).alias("FechaFin"),
-                      F.coalesce(clamp_progress("progreso"), F.lit(0)).alias("Progreso"),
+                      F.coalesce(clamp("_c_progreso"), F.lit(0)).alias("Progreso"),
                       clean_text("responsable", 200).alias("Responsable"),
-                      to_id("dependenciaId").alias("DependenciaId"),
-                      to_id("tareaPadreId").alias("TareaPadreId"),
+                      F.col("_c_dependenciaId").try_cast("bigint").alias("DependenciaId"),
+                      F.col("_c_tareaPadreId").try_cast("bigint").alias("TareaPadreId"),
                       hito.alias("EsHito"), to_int_prefix("orden").alias("Orden"),
                       motivo.alias("Motivo")))
 

@@ -1317,7 +1317,7 @@ SELECT *, CASE WHEN COALESCE(ProyectoId, 0) = 0 THEN 'sin_proyecto' WHEN Nombre
 FROM x
 """)
 def q_task_intake(spark, sf_dir):
-    return intake.tasks(TASK_BODIES.df(spark, sf_dir)).select(
+    return intake.tasks(TASK_BODIES.df(spark, sf_dir, spread=True)).select(
         "Ref", "ProyectoId", "Nombre", "FechaInicio", "FechaFin", "Progreso", "Responsable", "DependenciaId",
         "TareaPadreId", "EsHito", "Orden", "Motivo")
 
@@ -1476,7 +1476,7 @@ _TASK_IDS = roles.Role("lineitem", (("Id", "l_orderkey"),))
                                    "DependenciaId", "TareaPadreId", "EsHito", "Orden"],
                                   {"FechaActualizacion": "CAST(NULL AS TIMESTAMP)"}))
 def q_task_create(spark, sf_dir):
-    typed = intake.tasks(TASK_BODIES.df(spark, sf_dir))
+    typed = intake.tasks(TASK_BODIES.df(spark, sf_dir, spread=True))
     return intake.create(_TASK_IDS.df(spark, sf_dir), typed, schemas.TASKS, [F.col("Ref")], stamp_col=None,
                          keep=["Ref"])[0]
 

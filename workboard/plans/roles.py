@@ -39,10 +39,13 @@ class Role:
     where: str | None = None
     extra: dict = field(default_factory=dict)
 
-    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+    def df(self, spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+        """``spread``: rows are dealt out over tasks as stored, for work that is much dearer than reading a row group."""
         d = read(spark, sf_dir, self.table)
         if self.where:
             d = d.where(self.where)
+        if spread:
+            d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
         return d.selectExpr(*[f"{spark_expr(e)} AS {n}" for n, e in self.cols])
 
     @property
