@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from workboard.llm import license_scan, minhash_dedup, pii, queries
+from workboard.llm import license_scan, minhash_dedup, pii, queries, store
 
 
 def _spans(spark, texts):
@@ -165,6 +165,77 @@ def test_rows_grow_with_a_hot_group_not_with_its_square(spark, monkeypatch):
     assert seen[1] <= 4.4 * seen[0]
 
 
+def test_sets_are_compared_about_once(spark, tmp_dir, monkeypatch):
+    """Near copies meet in many nodes of many trees; their full sets are dealt out for about one of them, and never written."""
+    names, real, real_cut = [], minhash_dedup._exact, minhash_dedup.cut
+
+    def counted(t, percent):
+        with open(f"{tmp_dir}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(t.num_rows))
+        return real(t, percent)
+
+    def named(df, name):
+        names.append(df.dtypes)
+        return real_cut(df, name)
+
+    monkeypatch.setattr(minhash_dedup, "_exact", counted)
+    monkeypatch.setattr(minhash_dedup, "cut", named)
+    rng, rows = random.Random(12), []
+    for base in range(40):
+        words = [f"b{base}-{i}" for i in range(150)]
+        for _ in range(6):  # about 0.6 alike: likely partners, but no links
+            text = list(words)
+            for i in rng.sample(range(150), 8):
+                text[i] = f"x{rng.randrange(10 ** 9)}"
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert minhash_dedup.near_duplicates(df).count() == len(rows)
+    assert sum(int(p.read_text()) for p in pathlib.Path(tmp_dir).iterdir()) <= 1.6 * len(rows)
+    assert not any(kind == "array<bigint>" and name == "shingles" for cols in names for name, kind in cols)
+
+
+def test_left_out_groups_lie_in_others(spark):
+    rng = random.Random(13)
+    old = {100 + g: set(rng.sample(range(30), rng.randrange(2, 9))) for g in range(10)}
+    groups = {g: set(rng.sample(range(30), rng.randrange(1, 9))) for g in range(60)}
+    groups |= {60 + g: set(list(groups[g])[:3]) for g in range(20)}
+    old[110] = {50, 51, 52, 53}
+    groups |= {80: {40, 41, 42}, 81: {40, 41, 42, 43}, 82: {41, 43}, 83: {40, 41, 42, 43}, 84: {50, 51, 52, 53}, 85: {51, 53}}
+    rows = spark.createDataFrame([(g, r, 5) for g, m in groups.items() for r in m], "grp long, rep long, n_shingles long")
+    earlier = spark.createDataFrame([(g, r, len(m)) for g, m in old.items() for r in m], "grp long, rep long, n long")
+    pairs = lambda sets: {(a, b) for m in sets for a in m for b in m if a < b}
+    for seen in (None, earlier):
+        kept = {}
+        for r in minhash_dedup._open_groups(rows, seen).collect():
+            kept.setdefault(r.grp, set()).add(r.rep)
+        assert all(groups[g] == m for g, m in kept.items())
+        assert len({81, 83} & set(kept)) == 1 and not {80, 82, 85} & set(kept) and (84 in kept) == (seen is None)
+        assert pairs(groups.values()) <= pairs(kept.values()) | (pairs(old.values()) if seen else set())
+
+
+def test_rows_are_sifted_before_a_join_on_many_ids(spark, monkeypatch):
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 40)  # 2,560 bits
+    df = spark.createDataFrame([(i, i % 7) for i in range(2000)] + [(None, 1)], "id long, x long")
+    side = spark.createDataFrame([(i, -i) for i in range(0, 2000, 20)], "id long, y long")
+    may, other = store.sifted(df, "id", side)
+    got = {r.id for r in may.collect()}
+    assert set(range(0, 2000, 20)) <= got and len(got) < 300 and may.count() + other.count() == 2001
+    for how in ("inner", "left", "left_anti"):
+        want = sorted(map(str, df.join(side, "id", how).collect()))
+        assert len(want) and sorted(map(str, store.joined(df, side, "id", how).collect())) == want
+
+
+def test_classes_are_the_same_where_no_side_is_small(spark, monkeypatch):
+    rng = random.Random(14)
+    texts = [t for base in range(12) for t in _texts(rng, 5, 40 + 10 * base, rng.randrange(3, 30))] + [None, "", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3]), (None, texts[8])], "doc_id long, text string")
+    rows = lambda: sorted(map(str, minhash_dedup.near_duplicates(df).collect()))
+    kept = lambda: sorted(map(str, minhash_dedup.keep_one(df).collect()))
+    want, stay = rows(), kept()
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 1)
+    assert (rows(), kept()) == (want, stay)
+
+
 def test_recall_of_pairs_at_the_threshold(spark):
     """3,000 pairs between 0.75 and 0.77, among nothing else that is alike: all are found."""
     rng, rows = random.Random(10), []

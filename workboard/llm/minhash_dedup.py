@@ -15,10 +15,14 @@ a member may still be what links a document unlike the pivot.
 
 Nodes with equal members are looked at once. In a node, sketches are compared first: documents without a partner that
 agrees in at least ``MIN_AGREE`` coordinates leave (a pair at the threshold agrees less with probability below 1e-7),
-and the rest splits into groups of possible partners. Groups with equal members are again looked at once; there the
-full shingle sets are compared by counting over an inverted index, so a returned link is always exact, and links that
-span the group's components are returned, not all pairs. Trees run in two rounds, so the second works on what the first left
-open.
+and the rest splits into groups of possible partners. Groups with equal members are again looked at once, and a group
+whose members all lie in one other group, of this round or the one before, is left out; in the rest the full shingle sets are
+compared by counting over an inverted index, so a returned link is always exact, and links that span the group's components
+are returned, not all pairs. Trees run in two rounds, so the second works on what the first left open.
+
+The full sets are the bulk of what is shuffled: they are made from the texts wanted, go straight to the task that compares them,
+once for each group, and are not written. Sides too long to broadcast sift the rows they join by bits (``store.sifted``), so no
+size is reached from which all texts or sketches are shuffled.
 
 Documents with equal sets are one representative. A node or group is handled in one task only up to a fixed number of
 members or shingles; a larger one branches, and what stays larger at the last level (very many near copies) is dealt in
@@ -43,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workboard.llm.components import components
-from workboard.llm.store import cut, small
+from workboard.llm.store import cut, is_small, joined, sifted, small
 from workboard.llm.words import batches, lists, mix, segments, window_hashes, word_hashes
 
 COORDINATES = 64
@@ -116,6 +120,12 @@ def _sets(it: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
                                          names=["rep", "shingles"])
 
 
+def _sets_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles) of the texts whose id is in ``ids`` (doc_id, distinct), and of a few others if the ids are many."""
+    wanted = texts.join(F.broadcast(ids), "doc_id", "left_semi") if is_small(ids) else sifted(texts, "doc_id", ids)[0]
+    return wanted.select("doc_id", "text").mapInArrow(partial(_sets, words=words), "rep long, shingles array<long>")
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, print, sig, roots): size and 128-bit fingerprint of each document's set, its minwise tokens
     (16 bits of each), and the whole tokens of the coordinates at which trees start."""
@@ -219,14 +229,31 @@ def _blocks(df: DataFrame, key: str, out: str, weight, most: int) -> DataFrame:
 
 
 def _distinct_groups(rows: DataFrame, key: str, weight: str) -> DataFrame:
-    """One of the groups with equal members: (key, weight), of groups of two and more in rows (key, rep)."""
+    """One of the groups with equal members: (key, weight, n), of groups of two and more (n) in rows (key, rep)."""
     h = F.xxhash64("rep")
     seen = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(weight).alias("weight"), F.bit_xor(h).alias("x"),
                                  F.sum(F.shiftright(h, 16)).alias("y"))
-    return cut(seen.where("n > 1").groupBy("n", "x", "y", "weight").agg(F.min(key).alias(key)).select(key, "weight"),
+    return cut(seen.where("n > 1").groupBy("n", "x", "y", "weight").agg(F.min(key).alias(key)).select(key, "weight", "n"),
                "groups")
 
 
+def _open_groups(rows: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """Members (grp, rep, n_shingles, weight, n) of the groups in rows (grp, rep, n_shingles) that have to be compared: no group
+    whose members all lie in another one, be it one of these or of ``earlier`` (grp, rep, n), which was compared.
+
+    Each member names the largest group it is in. If all members of a group name the same other group, that one holds
+    them all; it stays, as these members name it.
+    """
+    members = cut(rows.join(_distinct_groups(rows, "grp", "n_shingles"), "grp"), "members")
+    named = members.select("rep", F.struct("n", F.lit(False).alias("old"), "grp").alias("g"))
+    if earlier is not None:
+        named = named.unionAll(earlier.select("rep", F.struct("n", F.lit(True).alias("old"), "grp").alias("g")))
+    most = named.groupBy("rep").agg(F.max("g").alias("g")).select("rep", F.col("g.grp").alias("most"))
+    inside = cut(members.join(most, "rep").groupBy("grp").agg(F.min("most").alias("x"), F.max("most").alias("y"))
+                 .where("x = y and x <> grp").select("grp"), "inside")
+    return cut(joined(members, inside, "grp", "left_anti").select(*members.columns), "wanted")
+
+
 def _starts(reps: DataFrame, first: int, last: int) -> DataFrame:
     """(path, rep) of the nodes at which trees first..last-1 start."""
     return reps.select("rep", F.posexplode(F.slice("roots", first + 1, last - first)).alias("tree", "token")).select(
@@ -251,9 +278,8 @@ def _pivot_links(texts: DataFrame, reps: DataFrame, words: int, percent: int) ->
     likely = cut(pairs.join(mine, "rep").join(theirs, "pivot")
                  .where((F.least("n_shingles", "m") * 100 >= F.greatest("n_shingles", "m") * percent) & (agree >= MIN_AGREE))
                  .select("rep", "pivot"), "pivot-pairs")
-    ids = cut(likely.select("rep").union(ends).distinct().withColumnRenamed("rep", "id"), "ids")
-    sets = cut(texts.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
-               .mapInArrow(partial(_sets, words=words), "rep long, shingles array<long>"), "sets")
+    ids = cut(likely.select("rep").union(ends).distinct().withColumnRenamed("rep", "doc_id"), "ids")
+    sets = cut(_sets_of(texts, ids, words), "sets")
     held = sets.join(small(ends), F.col("rep") == F.col("pivot")).select("pivot", F.col("shingles").alias("other"))
     both = F.size(F.array_intersect("shingles", "other"))
     found = (likely.join(sets, "rep").join(held, "pivot")
@@ -281,13 +307,13 @@ def _tree_nodes(reps: DataFrame, comp: DataFrame | None, first: int, last: int)
     if comp is None:
         rows = rows.withColumn("comp", F.col("rep"))
     else:
-        rows = rows.join(small(comp), F.col("rep") == F.col("id"), "left").select(
+        rows = joined(rows, comp.withColumnRenamed("id", "rep"), "rep", "left").select(
             "path", "rep", F.coalesce("component", "rep").alias("comp"))
     leaves = []
     for level in range(MAX_LEVELS + 1):
         sizes = cut(rows.groupBy("path").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
                     .where("n > 1 and x <> y").select("path", "n"), "sizes")
-        live = cut(rows.join(sizes, "path"), "nodes")
+        live = cut(joined(rows, sizes, "path").select("path", "rep", "comp", "n"), "nodes")
         leaves.append(live.where(F.col("n") <= SMALL_NODE).select("path", "rep", "comp"))
         if sizes.where(F.col("n") > SMALL_NODE).isEmpty():
             break
@@ -302,18 +328,20 @@ def _tree_nodes(reps: DataFrame, comp: DataFrame | None, first: int, last: int)
             break
         pick = [F.pmod(F.xxhash64("path", F.lit(b)), F.lit(COORDINATES)).cast("int") for b in range(BRANCHES)]
         step = F.array(*[F.struct(p.alias("j"), F.element_at("sig", p + 1).alias("t")) for p in pick])
-        rows = (large.join(reps.select("rep", "sig"), "rep").select("rep", "comp", "path", F.explode(step).alias("c"))
-                .select(F.xxhash64("path", "c.j", "c.t").alias("path"), "rep", "comp").distinct())
+        rows = cut(joined(reps.select("rep", "sig"), large, "rep").select("rep", "comp", "path", F.explode(step).alias("c"))
+                   .select(F.xxhash64("path", "c.j", "c.t").alias("path"), "rep", "comp").distinct(), "branches")
     return reduce(DataFrame.unionAll, leaves)
 
 
-def _search(texts: DataFrame, reps: DataFrame, comp: DataFrame | None, first: int, last: int, words: int,
-            percent: int) -> DataFrame:
-    """Links found by trees first..last-1 between representatives that ``comp`` (id, component) does not connect."""
+def _search(texts: DataFrame, reps: DataFrame, comp: DataFrame | None, earlier: DataFrame | None, first: int, last: int,
+            words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links found by trees first..last-1 between representatives that ``comp`` (id, component) does not connect, and the
+    groups compared; those of ``earlier`` are not compared again."""
     leaves = _tree_nodes(reps, comp, first, last)
     nodes = _distinct_groups(leaves.withColumn("one", F.lit(1)), "path", "one")
-    dealt = _blocks(leaves.join(nodes, "path"), "path", "node", F.col("weight"), SMALL_NODE)
-    dealt = dealt.join(reps.drop("roots"), "rep").select("node", "rep", "comp", "n_shingles", "sig")
+    dealt = cut(_blocks(joined(leaves, nodes.drop("n"), "path"), "path", "node", F.col("weight"), SMALL_NODE)
+                .select("node", "rep", "comp"), "dealt")
+    dealt = joined(reps.select("rep", "n_shingles", "sig"), dealt, "rep").select("node", "rep", "comp", "n_shingles", "sig")
 
     def likely(t: pa.Table) -> pa.Table:
         return _likely(t, percent)
@@ -326,25 +354,23 @@ def _search(texts: DataFrame, reps: DataFrame, comp: DataFrame | None, first: in
     n = -(-total // TASK_ROWS) or 1
     groups = cut(dealt.groupBy(F.pmod(F.xxhash64("node"), F.lit(n)).alias("task"))
                  .applyInArrow(likely, "grp long, rep long, n_shingles long"), "likely")
-    chosen = _distinct_groups(groups, "grp", "n_shingles")
-    wanted = cut(groups.join(chosen, "grp"), "wanted")
-    ids = cut(wanted.select(F.col("rep").alias("id")).distinct(), "ids")
-    sets = cut(texts.join(small(ids), F.col("doc_id") == F.col("id"), "left_semi")
-               .mapInArrow(partial(_sets, words=words), "rep long, shingles array<long>"), "sets")
-    parts = _blocks(wanted, "grp", "part", F.col("weight"), TASK_SHINGLES).select("part", "rep", "n_shingles")
+    wanted = _open_groups(groups, earlier)
+    ids = cut(wanted.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    parts = cut(_blocks(wanted, "grp", "part", F.col("weight"), TASK_SHINGLES).select("part", "rep", "n_shingles"), "parts")
     total = parts.agg(F.sum("n_shingles")).first()[0] or 0
     n = -(-total // TASK_SHINGLES) or 1
-    return cut(parts.join(sets, "rep").select("part", "rep", "shingles")
-               .groupBy(F.pmod(F.xxhash64("part"), F.lit(n)).alias("task")).applyInArrow(exact, "a long, b long"),
-               "links")
+    found = cut(_sets_of(texts, ids, words).join(small(parts.drop("n_shingles")), "rep").select("part", "rep", "shingles")
+                .groupBy(F.pmod(F.xxhash64("part"), F.lit(n)).alias("task")).applyInArrow(exact, "a long, b long"),
+                "links")
+    return found, wanted
 
 
 def links(texts: DataFrame, reps: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """Confirmed links (a, b) whose components are those of all links between ``reps`` (rep, n_shingles, sig)."""
     dense = _pivot_links(texts, reps, words, percent)
-    found = _search(texts, reps, None if dense is None else components(dense), 0, FIRST_TREES, words, percent)
+    found, compared = _search(texts, reps, None if dense is None else components(dense), None, 0, FIRST_TREES, words, percent)
     found = found if dense is None else found.unionAll(dense)
-    more = _search(texts, reps, components(found), FIRST_TREES, TREES, words, percent)
+    more, _ = _search(texts, reps, components(found), compared, FIRST_TREES, TREES, words, percent)
     return found.unionAll(more)
 
 
@@ -368,7 +394,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .where("a <> z").select("doc_id"))
     across = classed.join(split_ids, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comp = components(found.unionAll(across))
-    return (classed.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    return (joined(classed, comp.withColumnRenamed("id", "rep"), "rep", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
@@ -391,8 +417,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
         keyed = docs.join(small(unclear), own == F.col("__id"), "left").withColumn(
             "__key", F.when(own.isNull() | F.col("__id").isNotNull(), hashed).otherwise(own)).drop("__id")
     found = cut(near_duplicates(keyed, id_col="__key", text_col=text_col, **options), "near")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    out = keyed.join(small(cut(gone, "gone")), F.col("__key") == F.col("__gone"), "left_anti")
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("__key")).distinct(), "gone")
+    out = joined(keyed, gone, "__key", "left_anti").select(*keyed.columns)
     twice = cut(found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1")
                 .select(F.col("doc_id").alias("__twice")), "twice")
     if not twice.isEmpty():
