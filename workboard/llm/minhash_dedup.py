@@ -21,8 +21,7 @@ compared by counting over an inverted index, so a returned link is always exact,
 are returned, not all pairs. Trees run in two rounds, so the second works on what the first left open.
 
 The full sets are the bulk of what is shuffled: they are made from the texts wanted, go straight to the task that compares them,
-once for each group, and are not written. Sides too long to broadcast sift the rows they join by bits (``store.sifted``), so no
-size is reached from which all texts or sketches are shuffled.
+once for each group, and are not written. Where ids are too many to broadcast, their bits sift the texts (``store.sifted``).
 
 Documents with equal sets are one representative. A node or group is handled in one task only up to a fixed number of
 members or shingles; a larger one branches, and what stays larger at the last level (very many near copies) is dealt in
